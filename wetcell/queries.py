@@ -1,0 +1,10 @@
+"""The registered grid queries and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError

@@ -1,14 +1,16 @@
 """The queries of this subpackage and their SQL."""
 
-from wetcell.llm import bpe, exact_dedup, quality, secrets, token_counts
+from wetcell.llm import bpe, exact_dedup, mixing, quality, secrets, token_counts
 
 QUERIES = {
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_quality_classifier": quality.op5_quality_classifier,
+    "op6_mixing": mixing.op6_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_bpe_encoding": bpe.op8_bpe_encoding,
 }
 SQL = {
+    "op6_mixing": mixing.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from wetcell.llm import bpe, exact_dedup, mixing, quality, secrets, token_counts
+from wetcell.llm import bpe, exact_dedup, licenses, line_dedup, mixing, quality, secrets, token_counts
 
 QUERIES = {
     "op2_secret_scans": secrets.op2_secret_scans,
@@ -9,8 +9,11 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_bpe_encoding": bpe.op8_bpe_encoding,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_license_scans": licenses.op10_license_scans,
 }
 SQL = {
     "op6_mixing": mixing.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }

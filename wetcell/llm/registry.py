@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from wetcell.llm import bpe, exact_dedup, licenses, line_dedup, mixing, quality, secrets, token_counts
+from wetcell.llm import bpe, exact_dedup, licenses, line_dedup, mixing, quality, secrets, token_counts, topk
 
 QUERIES = {
+    "op1_exact_topk": topk.op1_exact_topk,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_quality_classifier": quality.op5_quality_classifier,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_license_scans": licenses.op10_license_scans,
 }
 SQL = {
+    "op1_exact_topk": topk.OP1_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,

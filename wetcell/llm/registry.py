@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from wetcell.llm import bpe, exact_dedup, licenses, line_dedup, mixing, quality, secrets, token_counts, topk
+from wetcell.llm import bpe, exact_dedup, jaccard_join, licenses, line_dedup, mixing, quality, secrets, token_counts, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_mixing": mixing.op6_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,

@@ -67,3 +67,19 @@ def test_empty_tables(spark):
     assert mixing.taken(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     none = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert sorted(tuple(r) for r in mixing.taken(none).collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+def test_mixed_documents_hold_the_words_taken(spark):
+    data = [(i, t, s, len(t or ""), k) for k, (i, t, s) in enumerate(rows())] + [(7, rows()[7][1], rows()[7][2], 1, -1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars int, id_ int")
+    out = mixing.mixed_documents(docs, block=16)
+    assert out.schema.fieldNames() == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    words = defaultdict(int)
+    for r in out.collect():
+        words[r.doc_id, r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    want = defaultdict(int)
+    sources = {r.doc_id: r.source for r in docs.collect()}
+    for r in mixing.taken(docs, block=16).collect():
+        want[r.doc_id, sources[r.doc_id]] += r.taken
+    assert dict(words) == {k: n for k, n in want.items() if n}
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0

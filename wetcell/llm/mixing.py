@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wetcell.llm.common import unused
 from wetcell.storage import durable
 
 WEIGHTS = (5, 2, 1)
@@ -59,18 +60,18 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def ordered(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and start: where the document begins in its source's shuffled stream of words. Written once."""
-    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
+    """doc_id, source, text_hash, size and start: where the document begins in its source's shuffled stream of words."""
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), size_of(F.col("text")).alias("size"))
     rows = durable(rows.withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
     digits = max(1, len(f"{rows.count() // CHUNK:x}"))  # chunks of a few thousand rows, by the leading digits of the mark
     rows = rows.withColumn("chunk", F.substring("mark", 1, digits))
     chunks = rows.groupBy("source", "chunk").agg(F.sum("size").alias("total"))
     before = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     chunks = chunks.select("source", "chunk", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("source", "chunk").orderBy("mark", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "chunk").orderBy("mark", "doc_id", "size", "text_hash").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = rows.alias("a").join(chunks.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.chunk") == F.col("b.chunk")))
-    return joined.select("a.doc_id", "a.source", "a.size", (F.col("start") + F.col("offset")).alias("start"))
+    return joined.select("a.doc_id", "a.source", "a.text_hash", "a.size", (F.col("start") + F.col("offset")).alias("start"))
 
 
 def schedule(plan: DataFrame, block: int) -> DataFrame:
@@ -113,7 +114,7 @@ def mixed(docs: DataFrame, *, block: int = 8192) -> tuple[DataFrame, DataFrame,
     plan = targets(sizes)
     plan = durable(plan.withColumn("taken", F.least(F.round("target").cast("long"), F.col("source_size") * PASSES)))
     rows = rows.alias("a").join(plan.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
-    rows = rows.select("doc_id", "a.source", "size", "start", "place", "source_size", "target")
+    rows = rows.select("doc_id", "a.source", "text_hash", "size", "start", "place", "source_size", "target")
     parts = blocks_of(rows.select("place", "start", "size"), plan, block)
     mix = schedule(plan, block).join(parts, ["place", "rank"]).select("slot", "place", "start", "pass", "first", "words")
     return rows, plan, mix
@@ -128,6 +129,33 @@ def taken(docs: DataFrame, *, block: int = 8192) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", amount.alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, *, block: int = 8192) -> DataFrame:
+    """The documents as the mix takes them, all columns as they were: a row for every pass that takes words of one.
+
+    At a source's target a document may be taken in part: its row has the first words of the text, joined by single
+    spaces, and n_chars, where there is such a column, is their length. Rows repeated with the same doc_id, source and
+    text have the other columns of one of them. Documents without words are left out.
+    """
+    rows, _, mix = mixed(docs, block=block)
+    parts = mix.groupBy("place", "start", "pass").agg(F.sum("words").alias("words"))
+    takes = rows.filter("size > 0").join(parts, ["place", "start"])
+    id_, source, text_hash, part, n = (unused(docs, x) for x in ("id_", "source_", "hash_", "part_", "copy_"))
+    key = {id_: F.coalesce("doc_id", F.lit(-(2**63))), source: F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))}
+    takes = takes.select(*(c.alias(f"k_{k}") for k, c in enumerate([*key.values(), F.col("text_hash")])), F.struct("pass", "words", "size").alias("take"))
+    takes = takes.groupBy("k_0", "k_1", "k_2").agg(F.collect_list("take").alias("takes"))  # PASSES for each repeated row
+    marked = docs.withColumns({**key, text_hash: F.xxhash64("text")})
+    found = marked.join(takes, (marked[id_] == takes["k_0"]) & (marked[source] == takes["k_1"]) & (marked[text_hash] == takes["k_2"]))
+    copy = F.row_number().over(W.partitionBy(id_, source, text_hash).orderBy(F.lit(0)))
+    found = found.withColumn(n, copy).filter(F.col(n) == 1).withColumn(part, F.explode("takes"))
+    cut = F.col(part)["words"] < F.col(part)["size"]
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    head = F.array_join(F.slice(words, F.lit(1), F.col(part)["words"].cast("int")), " ")
+    found = found.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

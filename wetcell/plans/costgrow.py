@@ -1,0 +1,136 @@
+"""The downscaling pipelines over many scenes at once (X1, X2, X4).
+
+fine: scene, r, c, dem. coarse: scene, br, bc, wse. f: fine cells along a coarse cell. Lazy but for the iterative parts.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from wetcell.functions import cell
+from wetcell.operators import checks, cost, distance, regions, resample, stencil
+from wetcell.storage import durable
+
+KEY = ["scene", "r", "c"]
+DECAYS = ("linear", "slope_linear", "slope_power")
+
+
+@dataclass(frozen=True)
+class Settings:
+    """distance_fill: neutral or terrain_penalty. distance_fill_method: chessboard, taxicab or euclidean. decay:
+    parameters by decay method. cap: growth in coarse cells, None for no bound. cost_model: geometric or node."""
+
+    distance_fill: str = "neutral"
+    distance_fill_method: str = "chessboard"
+    decay: dict = field(default_factory=lambda: {"linear": {"decay_frac": 0.001}})
+    cap: float | None = 10
+    as_wsh: bool = False
+    pixel_size: float = 1.0
+    m_to_rad: float = 1.0
+    cost_model: str = "geometric"
+    tile: int = 256
+
+    def __post_init__(self):
+        if self.distance_fill not in ("neutral", "terrain_penalty"):
+            raise ValueError(f"distance_fill {self.distance_fill!r}")
+        if self.distance_fill_method not in distance.METRICS:
+            raise ValueError(f"distance_fill_method {self.distance_fill_method!r}")
+        if unknown := set(self.decay) - set(DECAYS):
+            raise ValueError(f"decay methods {sorted(unknown)}")
+
+    def reach(self, f: int) -> int | None:
+        return None if self.cap is None else max(1, int(self.cap * f))
+
+
+def resampled(fine: DataFrame, coarse: DataFrame, f: int) -> DataFrame:
+    """Phase 1 adds wse1; phase 2 adds wse2, the wet partials."""
+    rows = resample.bilinear_up(fine, coarse, f, "wse", "wse1")
+    return rows.withColumn("wse2", cell.wet_partial(F.col("wse1"), F.col("dem")))
+
+
+def terrain_fill(rows: DataFrame, coarse: DataFrame, f: int, settings: Settings) -> DataFrame:
+    """Adds fill: each cell takes the value of the wet cell that the terrain makes cheapest. The coarse surface, filled
+    by the nearest wet cell in chessboard distance, tells how far the terrain stands over the water."""
+    as_cells = coarse.withColumnsRenamed({"br": "r", "bc": "c"})
+    full = distance.filled(as_cells, "wse", "full", None).select("scene", F.col("r").alias("br"), F.col("c").alias("bc"), "full")
+    rows = resample.bilinear_up(rows, full, f, "full", "surface")
+    rows = rows.withColumn("cost", cell.terrain_cost(F.col("surface") - F.col("dem")))
+    filled = cost.cost_fill(durable(rows), "wse2", "cost", "fill", model=settings.cost_model, tile=settings.tile)
+    return filled.drop("surface", "cost", "fill_zone", "fill_cost")
+
+
+def decay(rows: DataFrame, settings: Settings) -> tuple[DataFrame, Column]:
+    """The sum of the configured decays of dry cells; slopes are accumulated once for both that need them."""
+    dry, total = F.col("wse2").isNull(), F.lit(0.0)
+    if {"slope_linear", "slope_power"} & set(settings.decay):
+        rows = durable(stencil.slope_horn(rows, "dem", "slope", settings.pixel_size))
+        found = cost.accumulated_slope(rows, "slope", "wse2", settings.m_to_rad, tile=settings.tile)
+        rows = rows.join(found, KEY, "left").drop("slope")
+    for name, options in settings.decay.items():
+        if name == "linear":
+            total = total + cell.linear_decay(dry, F.col("away") * settings.pixel_size, **options)
+        elif name == "slope_linear":
+            total = total + cell.slope_linear_decay(F.col("accumulated"), **options)
+        else:
+            total = total + cell.slope_power_decay(F.col("accumulated"), **options)
+    return rows, total
+
+
+def grown(rows: DataFrame, coarse: DataFrame, f: int, settings: Settings) -> DataFrame:
+    """Phase 3 adds away (cells to the nearest wet one), within (the cap) and wse3."""
+    rows = distance.filled(rows, "wse2", "near", settings.reach(f), settings.distance_fill_method)
+    rows = rows.withColumnsRenamed({"near_d": "away"})
+    rows = rows.withColumn("within", F.coalesce(cell.within_cap(F.col("away"), f, settings.cap), F.lit(False)))
+    if settings.distance_fill == "terrain_penalty":
+        rows = terrain_fill(rows.drop("near"), coarse, f, settings)
+    else:
+        rows = rows.withColumnRenamed("near", "fill")
+    rows, lowering = decay(rows, settings)
+    rows = rows.withColumn("wse3", cell.infill(F.col("wse2"), F.col("fill"), lowering, F.col("dem"), F.col("within")))
+    return rows.drop("fill", "accumulated")
+
+
+def downscale(fine: DataFrame, coarse: DataFrame, f: int, settings: Settings = Settings()) -> DataFrame:
+    """fine with wse1, wse2, away, within, wse3 and wse4 (regions that touch a wet partial); wsh if asked for."""
+    rows = durable(grown(resampled(fine, coarse, f), coarse, f, settings))
+    rows = regions.isolated_filter(rows, "wse3", "wse2", "wse4")
+    return rows.withColumn("wsh", cell.depth(F.col("wse4"), F.col("dem"))) if settings.as_wsh else rows
+
+
+def checked(fine: DataFrame, coarse: DataFrame, f: int, settings: Settings = Settings()) -> DataFrame:
+    """downscale() with its input and output checks; raises if one has violations."""
+    checks.require(checks.dem_partly_valid(fine), checks.wse_partly_wet(coarse, "wse"))
+    rows = durable(downscale(fine, coarse, f, settings))
+    if rows.select("wse2").filter("wse2 IS NOT NULL").isEmpty():
+        raise checks.CheckFailed("no wet partial is above the terrain")
+    checks.require(
+        checks.phase_rules(rows, resampled="wse1", partial="wse2", grown="wse3", cap="within"),
+        checks.isolated_rules(rows, "wse3", "wse4", "wse2"), checks.water_not_below(rows, "wse4"),
+    )
+    return rows
+
+
+def downscale_mcp(fine: DataFrame, coarse: DataFrame, f: int, *, cap: float = 10, decay_frac: float = 0.001, scale: float = 1.0, pixel_size: float = 1.0, tile: int = 256) -> DataFrame:
+    """The least-path variant: a uniform fill and its distance inside the domain, a cost of the terrain over the filled
+    water, cells of the cheapest source added within the cap (it included); decay is on the distance."""
+    domain = F.col("dem").isNotNull()
+    rows = resample.valid_up(resampled(fine, coarse, f), coarse, f, "wse", "parent")
+    rows = durable(rows.withColumn("wse2", F.when(F.col("parent"), F.col("wse2"))).drop("parent").withColumn("one", F.when(domain, 1.0)))
+    rows = cost.cost_fill(rows, "wse2", "one", "flat", tile=tile).drop("flat_zone").withColumnRenamed("flat_cost", "away")
+    rows = rows.withColumn("cost", cell.terrain_cost(F.col("flat") - F.col("dem"), scale))
+    rows = cost.cost_fill(durable(rows), "wse2", "cost", "fill", tile=tile).drop("fill_zone", "fill_cost")
+    lowered = F.col("fill") - F.col("away") * pixel_size * decay_frac
+    add = F.col("wse2").isNull() & (F.col("away") / f <= cap) & (lowered > F.col("dem"))
+    rows = rows.withColumn("wse3", F.when(add, lowered).otherwise(F.col("wse2"))).drop("one", "flat", "cost", "fill")
+    return regions.isolated_filter(durable(rows), "wse3", "wse2", "wse4")
+
+
+def run_metadata(rows: DataFrame, f: int, settings: Settings) -> DataFrame:
+    """One row per scene: parameters, shape and wet cells of each phase."""
+    count = {f"wet{i}": F.count(f"wse{i}") for i in (1, 2, 3, 4)}
+    shape = {"height": F.max("r") + 1, "width": F.max("c") + 1}
+    facts = {"f": F.lit(f), "distance_fill": F.lit(settings.distance_fill), "metric": F.lit(settings.distance_fill_method), "cap": F.lit(settings.cap).cast("double")}
+    return rows.groupBy("scene").agg(*((x.alias(n)) for n, x in {**shape, **count}.items())).withColumns(facts)

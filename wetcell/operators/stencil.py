@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-ALONG = {"row": W.partitionBy("scene", "r").orderBy("c"), "column": W.partitionBy("scene", "c").orderBy("r")}
+
+def window(along: str):
+    return W.partitionBy("scene", "r").orderBy("c") if along == "row" else W.partitionBy("scene", "c").orderBy("r")
 
 
 def neighbours(rows: DataFrame, value: str, along: str, before: str, after: str) -> DataFrame:
     """The values before and after along an axis; at the edges they go on in a straight line."""
-    w = ALONG[along]
+    w = window(along)
     first, last = F.row_number().over(w) == 1, F.lead(F.lit(1)).over(w).isNull()
     prior, next_ = F.lag(value).over(w), F.lead(value).over(w)
     rows = rows.withColumns({"_p": prior, "_n": next_, "_f": first, "_l": last})
@@ -45,7 +47,7 @@ def slope_zt(cells: DataFrame, dem: str = "dem", out: str = "slope", size: float
 
 def gradient(rows: DataFrame, value: str, along: str, size: float, out: str) -> DataFrame:
     """Central differences, one-sided at the edges."""
-    w = ALONG[along]
+    w = window(along)
     rows = rows.withColumns({"_p": F.lag(value).over(w), "_n": F.lead(value).over(w)})
     v, p, n = F.col(value), F.col("_p"), F.col("_n")
     central = F.when(p.isNull(), (n - v) / size).when(n.isNull(), (v - p) / size).otherwise((n - p) / (2 * size))

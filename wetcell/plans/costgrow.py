@@ -81,13 +81,10 @@ def decay(rows: DataFrame, settings: Settings) -> tuple[DataFrame, Column]:
 
 def grown(rows: DataFrame, coarse: DataFrame, f: int, settings: Settings) -> DataFrame:
     """Phase 3 adds away (cells to the nearest wet one), within (the cap) and wse3."""
-    rows = distance.filled(rows, "wse2", "near", settings.reach(f), settings.distance_fill_method)
-    rows = rows.withColumnsRenamed({"near_d": "away"})
+    rows = distance.filled(rows, "wse2", "fill", settings.reach(f), settings.distance_fill_method).withColumnRenamed("fill_d", "away")
     rows = rows.withColumn("within", F.coalesce(cell.within_cap(F.col("away"), f, settings.cap), F.lit(False)))
     if settings.distance_fill == "terrain_penalty":
-        rows = terrain_fill(rows.drop("near"), coarse, f, settings)
-    else:
-        rows = rows.withColumnRenamed("near", "fill")
+        rows = terrain_fill(rows.drop("fill"), coarse, f, settings)
     rows, lowering = decay(rows, settings)
     rows = rows.withColumn("wse3", cell.infill(F.col("wse2"), F.col("fill"), lowering, F.col("dem"), F.col("within")))
     return rows.drop("fill", "accumulated")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from wetcell.functions import cell
 from wetcell.plans import costgrow
-from wetcell.queries import cells
+from wetcell.queries import cells, fields, scores
 from wetcell.queries.fixtures import CAP, F4, emb, water
 
-MODULES = (cells,)
+MODULES = (cells, fields, scores)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 

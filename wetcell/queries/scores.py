@@ -27,7 +27,6 @@ def query(name: str, sql: str | None = None):
 
 
 P_ = SCN_SQL + PRED
-O, P = F.col("obs"), F.col("pred")
 
 
 def rounded(df: DataFrame) -> DataFrame:

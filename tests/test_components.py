@@ -33,3 +33,14 @@ def test_components_match_brute_force(spark):
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_contraction_in_tasks_changes_nothing(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(200) if i % 37] + [(rng.randrange(500), rng.randrange(500)) for _ in range(100)]
+    df = spark.createDataFrame([e for e in edges if e[0] != e[1]], "a long, b long")
+    want = brute([e for e in edges if e[0] != e[1]])
+    for near in (None, F.col("a") % 7, F.lit(0)):
+        assert {r.node: r.label for r in components(df, near=near).collect()} == want

@@ -95,7 +95,7 @@ def dijkstra(wet, price, steps, node):
         for i, j, length in steps:
             at = (r + i, c + j)
             if price.get(at) is not None:
-                new = (d + (price[at] if node else (price[r, c] + price[at]) / 2 * length), sr, sc)
+                new = (d + cost.stepped(price[at] if node else (price[r, c] + price[at]) / 2 * length), sr, sc)
                 if at not in label or new < label[at]:
                     label[at] = new
                     heapq.heappush(heap, (*new, *at))

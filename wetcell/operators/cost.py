@@ -22,9 +22,15 @@ from wetcell.storage import durable
 
 D4 = [(-1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0), (1, 0, 1.0)]
 D8 = D4 + [(i, j, math.sqrt(2)) for i in (-1, 1) for j in (-1, 1)]
+GRAIN = 2.0**-24
 _CELL = "scene string, r int, c int, cost double, d double, sr int, sc int, pr int, pc int"
 
 
+def stepped(x: float) -> float:
+    """Steps are whole numbers of GRAIN, so that sums below 2**29 are exact and ties are ties in any order of work."""
+    return round(x / GRAIN) * GRAIN
+
+
 def relaxed(model: str, tile: int):
     steps = D4 if model == "node" else D8
 
@@ -43,7 +49,7 @@ def relaxed(model: str, tile: int):
             for i, j, length in steps:
                 at = (r + i, c + j)
                 if at in cost and at[0] // tile == tr and at[1] // tile == tc:
-                    step = cost[at] if model == "node" else (cost[r, c] + cost[at]) / 2 * length
+                    step = stepped(cost[at] if model == "node" else (cost[r, c] + cost[at]) / 2 * length)
                     new = (d + step, sr, sc)
                     if new < label[at][:3]:
                         label[at] = (*new, r, c)
@@ -70,24 +76,25 @@ def allocated(cells: DataFrame, cost: str, source: str, *, model: str = "geometr
     )
     rows = durable(rows)
     in_tile = {"tr": F.expr(f"cast(floor(r / {tile}) as int)"), "tc": F.expr(f"cast(floor(c / {tile}) as int)")}
+    tiles = durable(rows.withColumns(in_tile).select("scene", "tr", "tc").distinct())
     shifts = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))
-    fresh = rows.filter("d = 0")
-    for round_ in range(most_rounds):
-        # labels that changed in the last round go to the tiles they border on; those tiles run again
-        near = fresh.withColumn("s", F.explode(shifts)).withColumns({
-            "tr": F.expr(f"cast(floor((r + s.i) / {tile}) as int)"), "tc": F.expr(f"cast(floor((c + s.j) / {tile}) as int)")
-        }).drop("s").distinct()
-        halo = near.filter(f"floor(r / {tile}) <> tr OR floor(c / {tile}) <> tc")
-        awake = (halo if round_ else near).select("scene", "tr", "tc").distinct()
+    edge = f"pmod(r, {tile}) IN (0, {tile - 1}) OR pmod(c, {tile}) IN (0, {tile - 1})"
+    fresh, awake = None, rows.filter("d = 0").withColumns(in_tile).select("scene", "tr", "tc").distinct()
+    for _ in range(most_rounds):
         own = rows.withColumns(in_tile)
-        busy = own.join(awake, ["scene", "tr", "tc"], "left_semi")
-        done = busy.select(*own.columns).unionByName(halo).groupBy("scene", "tr", "tc").applyInPandas(relaxed(model, tile), _CELL)
+        busy = own.join(awake, ["scene", "tr", "tc"], "left_semi").select(*own.columns)
+        work = busy if fresh is None else busy.unionByName(fresh)
+        done = work.groupBy("scene", "tr", "tc").applyInPandas(relaxed(model, tile), _CELL)
         rest = own.join(awake, ["scene", "tr", "tc"], "left_anti").drop("tr", "tc")
         after = durable(done.unionByName(rest))
-        was = rows.select("scene", "r", "c", F.struct("d", "sr", "sc").alias("was"))
-        fresh = after.join(was, ["scene", "r", "c"]).filter(F.struct("d", "sr", "sc") != F.col("was")).drop("was")
-        edge = f"pmod(r, {tile}) IN (0, {tile - 1}) OR pmod(c, {tile}) IN (0, {tile - 1})"
-        fresh, rows = durable(fresh.filter(edge)), after
+        # border cells whose labels changed are the next halo of the tiles they touch; those tiles run again
+        was = rows.filter(edge).select("scene", "r", "c", F.struct("d", "sr", "sc").alias("was"))
+        changed = after.filter(edge).join(was, ["scene", "r", "c"]).filter(F.struct("d", "sr", "sc") != F.col("was")).drop("was")
+        halo = changed.withColumn("s", F.explode(shifts)).withColumns({
+            "tr": F.expr(f"cast(floor((r + s.i) / {tile}) as int)"), "tc": F.expr(f"cast(floor((c + s.j) / {tile}) as int)")
+        }).filter(f"floor(r / {tile}) <> tr OR floor(c / {tile}) <> tc").drop("s").distinct()
+        fresh, rows = durable(halo.join(tiles, ["scene", "tr", "tc"], "left_semi").select(*own.columns)), after
+        awake = fresh.select("scene", "tr", "tc").distinct()
         if fresh.isEmpty():
             reached = rows.filter(F.col("d") < float("inf"))
             back = lambda x: F.when(F.col("pr") >= 0, F.col(x))

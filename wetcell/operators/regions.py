@@ -14,19 +14,28 @@ from wetcell.operators.components import components
 from wetcell.storage import durable
 
 
+TILE = 256
+
+
 def labelled(cells: DataFrame, flag: str, label: str = "region") -> DataFrame:
     """The flagged cells with label: (r, c) of the region's first cell. cells: scene, r, c, flag, ..."""
     row, column = W.partitionBy("scene", "r").orderBy("c"), W.partitionBy("scene", "c").orderBy("r")
     rows = cells.filter(F.col(flag))
     starts = F.coalesce(F.lag("c").over(row) != F.col("c") - 1, F.lit(True))
     rows = rows.withColumn("_start", F.when(starts, F.col("c")))
-    rows = rows.withColumn("_run", F.struct("scene", "r", F.last("_start", ignorenulls=True).over(row.rowsBetween(W.unboundedPreceding, 0)).alias("c"))).drop("_start")
-    rows = durable(rows)
+    first = F.last("_start", ignorenulls=True).over(row.rowsBetween(W.unboundedPreceding, 0))
+    rows = durable(rows.withColumn("_run", F.col("r").cast("long") * F.lit(2**32) + first).drop("_start"))  # orders like (r, c)
     below = F.when(F.lead("r").over(column) == F.col("r") + 1, F.lead("_run").over(column))
-    edges = rows.select(F.col("_run").alias("a"), below.alias("b")).filter("b IS NOT NULL")
-    labels = components(edges).select(F.col("node").alias("_run"), "label")
-    rows = rows.join(labels, "_run", "left").withColumn("_label", F.coalesce("label", "_run"))
-    return rows.withColumn(label, F.struct(F.col("_label.r").alias("r"), F.col("_label.c").alias("c"))).select(*cells.columns, label)
+    edges = rows.select("scene", "r", "c", F.col("_run").alias("a"), below.alias("b")).filter("b IS NOT NULL")
+    # runs of different scenes never meet: a number for each scene keeps their nodes apart
+    scenes = rows.select("scene").distinct().select("scene", F.concat_ws("/", F.lpad(F.hex(F.xxhash64("scene")), 16, "0"), "scene").alias("_scene"))
+    node = lambda x: F.concat_ws(":", F.lpad(F.hex(x), 16, "0"), "_scene")
+    joined = edges.join(scenes, "scene").select(node("a").alias("a"), node("b").alias("b"), F.struct("scene", F.expr(f"r div {TILE}"), F.expr(f"c div {TILE}")).alias("tile"))
+    labels = components(joined, near=F.col("tile")).select(F.col("node").alias("_node"), "label")
+    rows = rows.join(scenes, "scene").withColumn("_node", node("_run")).join(labels, "_node", "left")
+    found = F.coalesce(F.conv(F.substring("label", 1, 16), 16, 10).cast("long"), F.col("_run"))
+    place = F.struct(F.expr("cast(_first div 4294967296 as int)").alias("r"), (F.col("_first") % 2**32).cast("int").alias("c"))
+    return rows.withColumn("_first", found).withColumn(label, place).select(*cells.columns, label)
 
 
 def sizes(regions: DataFrame, label: str = "region") -> DataFrame:

@@ -13,7 +13,7 @@ from wetcell.storage import durable
 
 QUERIES, SQL = {}, {}
 KEY = ("scene", "r", "c")
-TILE = 64
+TILE = 128
 
 
 def query(name: str, sql: str | None = None):

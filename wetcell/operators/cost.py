@@ -89,7 +89,10 @@ def allocated(cells: DataFrame, cost: str, source: str, *, model: str = "geometr
         after = durable(done.unionByName(rest))
         # border cells whose labels changed are the next halo of the tiles they touch; those tiles run again
         was = rows.filter(edge).select("scene", "r", "c", F.struct("d", "sr", "sc").alias("was"))
-        changed = after.filter(edge).join(was, ["scene", "r", "c"]).filter(F.struct("d", "sr", "sc") != F.col("was")).drop("was")
+        if fresh is None:  # sources on the border have had their labels from the start
+            changed = after.filter(edge).filter(F.col("d") < float("inf"))
+        else:
+            changed = after.filter(edge).join(was, ["scene", "r", "c"]).filter(F.struct("d", "sr", "sc") != F.col("was")).drop("was")
         halo = changed.withColumn("s", F.explode(shifts)).withColumns({
             "tr": F.expr(f"cast(floor((r + s.i) / {tile}) as int)"), "tc": F.expr(f"cast(floor((c + s.j) / {tile}) as int)")
         }).filter(f"floor(r / {tile}) <> tr OR floor(c / {tile}) <> tc").drop("s").distinct()

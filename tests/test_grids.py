@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wetcell.operators import checks, cost, distance, regions, resample
-from wetcell.plans import costgrow, pluvial
+from wetcell.plans import growth, pluvial
 from wetcell.sources import grids
 
 DEM = """1 1 1 9 9 9 9 9 9
@@ -38,7 +38,7 @@ def values(df, column):
 
 @pytest.mark.parametrize("metric", ["chessboard", "euclidean"])
 def test_toy_phases(spark, metric):
-    rows = costgrow.checked(*toy(spark), 3, costgrow.Settings(distance_fill_method=metric))
+    rows = growth.checked(*toy(spark), 3, growth.Settings(distance_fill_method=metric))
     partial = {(r, c): PARTIAL[r] for r in range(9) for c in range(3) if (r, c) != (4, 0)}
     assert values(rows, "wse2") == pytest.approx(partial)
     assert values(rows, "wse3") == pytest.approx(partial | GROWN, abs=1e-6)
@@ -48,20 +48,20 @@ def test_toy_phases(spark, metric):
 def test_toy_terrain_penalty_and_mcp_keep_the_rules(spark):
     fine, coarse = toy(spark)
     decay = {"linear": {"decay_frac": 0.001}, "slope_linear": {"decay_frac": 1e-5}, "slope_power": {"c": 1e-6, "n": 1.0}}
-    rows = costgrow.checked(fine, coarse, 3, costgrow.Settings(distance_fill="terrain_penalty", decay=decay, tile=4))
+    rows = growth.checked(fine, coarse, 3, growth.Settings(distance_fill="terrain_penalty", decay=decay, tile=4))
     assert set(values(rows, "wse2")) < set(values(rows, "wse4"))
-    mcp = costgrow.downscale_mcp(fine, coarse, 3, tile=4)
+    mcp = growth.downscale_mcp(fine, coarse, 3, tile=4)
     assert set(values(mcp, "wse2")) < set(values(mcp, "wse4"))
 
 
 def test_checks_raise(spark):
     fine, coarse = toy(spark)
     with pytest.raises(checks.CheckFailed):
-        costgrow.checked(fine, coarse.withColumn("wse", F.lit(None).cast("double")), 3)
+        growth.checked(fine, coarse.withColumn("wse", F.lit(None).cast("double")), 3)
     with pytest.raises(checks.CheckFailed):
-        costgrow.checked(fine.withColumn("dem", F.lit(99.0)), coarse, 3)
+        growth.checked(fine.withColumn("dem", F.lit(99.0)), coarse, 3)
     with pytest.raises(ValueError):
-        costgrow.Settings(decay={"cubic": {}})
+        growth.Settings(decay={"cubic": {}})
 
 
 def random_grid(spark, h=23, w=31, seed=1):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wetcell.functions import cell
 from wetcell.operators import metrics, regions, resample
-from wetcell.plans import costgrow
+from wetcell.plans import growth
 from wetcell.storage import durable
 
 
@@ -47,7 +47,7 @@ def small_groups_back(rows: DataFrame, prepared_: DataFrame, f: int, wse: str) -
 
 
 def downscale(
-    fine: DataFrame, coarse: DataFrame, f: int, *, project: Callable[[DataFrame, DataFrame, int], DataFrame] = costgrow.downscale,
+    fine: DataFrame, coarse: DataFrame, f: int, *, project: Callable[[DataFrame, DataFrame, int], DataFrame] = growth.downscale,
     reapply_small_groups: bool = False, **filters,
 ) -> DataFrame:
     """scene, r, c, dem, wse_base (the projection of the filtered water) and wse. project takes (fine, coarse, f) and

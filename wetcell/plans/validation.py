@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wetcell.functions import cell
 from wetcell.operators import cost, metrics, resample, stencil, tables
-from wetcell.plans import costgrow
+from wetcell.plans import growth
 from wetcell.storage import durable
 
 KEY = ["scene", "r", "c"]
@@ -31,9 +31,9 @@ def validated(observed: DataFrame, predictions: dict[str, DataFrame], *, wet: fl
     return metrics.as_long(metrics.record(cells, ["scene", "run_name"], valid, wet=wet, csi_at=csi_at), ["scene", "run_name"])
 
 
-def ensemble(fine: DataFrame, coarse: DataFrame, observed: DataFrame, f: int, members: dict[str, costgrow.Settings]) -> tuple[DataFrame, DataFrame]:
+def ensemble(fine: DataFrame, coarse: DataFrame, observed: DataFrame, f: int, members: dict[str, growth.Settings]) -> tuple[DataFrame, DataFrame]:
     """Runs every member and scores it: the run records, and the metrics of all runs over all scenes together."""
-    results = {name: durable(costgrow.downscale(fine, coarse, f, s).withColumn("wsh", cell.depth(F.col("wse4"), F.col("dem")))) for name, s in members.items()}
+    results = {name: durable(growth.downscale(fine, coarse, f, s).withColumn("wsh", cell.depth(F.col("wse4"), F.col("dem")))) for name, s in members.items()}
     records = [r.agg(F.count("wse4").alias("wet_cell_count")).select(
         F.lit(name).alias("run_name"), F.lit(members[name].distance_fill).alias("distance_fill"), F.lit(members[name].distance_fill_method).alias("distance_fill_method"),
         F.when(F.col("wet_cell_count") > 0, "ok").otherwise("failed").alias("status"), "wet_cell_count",
@@ -47,9 +47,9 @@ def backend_differences(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return metrics.differences(cells, ["scene"], "a", "b")
 
 
-def terrain_example(fine: DataFrame, coarse: DataFrame, f: int, settings: costgrow.Settings) -> DataFrame:
+def terrain_example(fine: DataFrame, coarse: DataFrame, f: int, settings: growth.Settings) -> DataFrame:
     """The terrain-penalty result with its diagnostics: shade, penalty cost accumulated from the wet cells, linear decay."""
-    rows = durable(costgrow.downscale(fine, coarse, f, settings))
+    rows = durable(growth.downscale(fine, coarse, f, settings))
     rows = durable(stencil.hillshade(rows).withColumn("penalty", cell.terrain_cost(F.col("wse1") - F.col("dem"))))
     paid = cost.allocated(rows, "penalty", "wse2", tile=settings.tile).select(*KEY, F.col("d").alias("accumulated"))
     rows = rows.join(paid, KEY, "left")

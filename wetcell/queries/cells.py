@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wetcell.functions import cell
 from wetcell.operators import resample
-from wetcell.plans import costgrow, validation
+from wetcell.plans import growth, validation
 from wetcell.queries.fixtures import EMB_SQL, F4, SCN_SQL, emb, scn, vectors, water
 from wetcell.sources import grids
 
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 def res(spark, sf: str) -> DataFrame:
     fine = emb(spark, sf)
-    return costgrow.resampled(fine, water(fine), F4)
+    return growth.resampled(fine, water(fine), F4)
 
 
 E_, S_ = EMB_SQL, SCN_SQL

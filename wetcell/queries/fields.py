@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wetcell.functions import cell
 from wetcell.operators import cost, distance, regions, stencil
-from wetcell.plans import costgrow, pluvial, validation
+from wetcell.plans import growth, pluvial, validation
 from wetcell.queries.fixtures import CAP, EMB_SQL, F4, REACH, SCN_SQL, emb, scn, water
 from wetcell.storage import durable
 
@@ -28,19 +28,19 @@ def query(name: str, sql: str | None = None):
 
 def partial(spark, sf: str, scenes: bool = False) -> DataFrame:
     fine = (scn if scenes else emb)(spark, sf)
-    return costgrow.resampled(fine, water(fine), F4)
+    return growth.resampled(fine, water(fine), F4)
 
 
 def grown(spark, sf: str, scenes: bool = False, **settings) -> DataFrame:
     fine = (scn if scenes else emb)(spark, sf)
-    own = costgrow.Settings(**{"cap": 2, "tile": TILE, **settings})
+    own = growth.Settings(**{"cap": 2, "tile": TILE, **settings})
     coarse = water(fine)
-    return costgrow.grown(costgrow.resampled(fine, coarse, F4), coarse, F4, own)
+    return growth.grown(growth.resampled(fine, coarse, F4), coarse, F4, own)
 
 
 def downscaled(spark, sf: str, scenes: bool = False, **settings) -> DataFrame:
     fine = (scn if scenes else emb)(spark, sf)
-    return costgrow.downscale(fine, water(fine), F4, costgrow.Settings(**{"cap": 2, "tile": TILE, **settings}))
+    return growth.downscale(fine, water(fine), F4, growth.Settings(**{"cap": 2, "tile": TILE, **settings}))
 
 
 def near_sql(measure: str, most: int) -> str:
@@ -218,8 +218,8 @@ def c9(spark, sf):
 def c10(spark, sf):
     fine = scn(spark, sf)
     coarse = water(fine)
-    rows = durable(costgrow.resampled(fine, coarse, F4))
-    return costgrow.terrain_fill(rows, coarse, F4, costgrow.Settings(tile=TILE)).select(*KEY, "fill")
+    rows = durable(growth.resampled(fine, coarse, F4))
+    return growth.terrain_fill(rows, coarse, F4, growth.Settings(tile=TILE)).select(*KEY, "fill")
 
 
 @query("p8_linear_decay", EMB_SQL + "SELECT scene, r, c, CASE WHEN wse2 IS NULL THEN away * 0.001::DOUBLE ELSE 0 END AS v FROM grown")
@@ -302,7 +302,7 @@ def x2(spark, sf):
 @query("x3_pluvial")
 def x3(spark, sf):
     fine = scn(spark, sf)
-    own = lambda a, b, f: costgrow.downscale(a, b, f, CAP)
+    own = lambda a, b, f: growth.downscale(a, b, f, CAP)
     rows = pluvial.downscale(fine, pluvial.coarse_depth(fine, water(fine), F4), F4, project=own, filter_depth=None, small_pixel_count=2, reapply_small_groups=True)
     return rows.select(*KEY, "wse_base", "wse")
 
@@ -310,11 +310,11 @@ def x3(spark, sf):
 @query("x4_mcp")
 def x4(spark, sf):
     fine = scn(spark, sf)
-    return costgrow.downscale_mcp(fine, water(fine), F4, cap=2, scale=0.01, tile=TILE).select(*KEY, F.round("wse4", 6).alias("wse4"))
+    return growth.downscale_mcp(fine, water(fine), F4, cap=2, scale=0.01, tile=TILE).select(*KEY, F.round("wse4", 6).alias("wse4"))
 
 
 @query("x8_terrain_example")
 def x8(spark, sf):
     fine = scn(spark, sf)
-    rows = validation.terrain_example(fine, water(fine), F4, costgrow.Settings(distance_fill="terrain_penalty", cap=2, tile=TILE))
+    rows = validation.terrain_example(fine, water(fine), F4, growth.Settings(distance_fill="terrain_penalty", cap=2, tile=TILE))
     return rows.select(*KEY, *(F.round(x, 6).alias(x) for x in ("wse4", "shade", "accumulated", "decay")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wetcell.plans.costgrow import Settings
+from wetcell.plans.growth import Settings
 from wetcell.sources import grids
 
 F4 = 4

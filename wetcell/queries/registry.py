@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wetcell.functions import cell
-from wetcell.plans import costgrow
+from wetcell.plans import growth
 from wetcell.queries import cells, fields, scores
 from wetcell.queries.fixtures import CAP, F4, emb, water
 
@@ -18,7 +18,7 @@ SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wet cells of each phase and the mean depth, by scene."""
     fine = emb(spark, sf_dir)
-    rows = costgrow.downscale(fine, water(fine), F4, CAP)
+    rows = growth.downscale(fine, water(fine), F4, CAP)
     depth = cell.raw_depth(F.col("wse4"), F.col("dem"))
     return rows.groupBy("scene").agg(
         F.count("wse1").alias("resampled"), F.count("wse2").alias("wet_partial"), F.count("wse3").alias("grown"), F.count("wse4").alias("final"),

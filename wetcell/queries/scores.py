@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wetcell.functions import cell
 from wetcell.operators import checks, metrics, resample, stencil, tables
-from wetcell.plans import costgrow, pluvial, validation
+from wetcell.plans import growth, pluvial, validation
 from wetcell.queries.fields import PRED, downscaled, grown, partial, predicted
 from wetcell.queries.fixtures import CAP, EMB_SQL, F4, SCN_SQL, emb, scn, water
 from wetcell.storage import durable
@@ -148,7 +148,7 @@ def a17(spark, sf):
 
 @query("a18_run_metadata", EMB_SQL + "SELECT scene, max(r) + 1 AS height, max(c) + 1 AS width, count(wse1) AS wet1, count(wse2) AS wet2, count(wse3) AS wet3, count(wse4) AS wet4, 4 AS f, 'neutral' AS distance_fill, 'chessboard' AS metric, 2.0::DOUBLE AS cap FROM final GROUP BY scene")
 def a18(spark, sf):
-    return costgrow.run_metadata(downscaled(spark, sf), F4, CAP)
+    return growth.run_metadata(downscaled(spark, sf), F4, CAP)
 
 
 @query("p29_clip_limits", SCN_SQL + "SELECT scene, round(quantile_cont(dem, 0.02), 6) AS p02, round(quantile_cont(dem, 0.98), 6) AS p98 FROM fine GROUP BY scene")
@@ -176,7 +176,7 @@ def p19(spark, sf):
     fine = scn(spark, sf)
     coarse = water(fine)
     ready = coarse.select("scene", "br", "bc", F.col("wse").alias("filtered"), F.when(F.col("br") % 2 != 0, F.col("wse")).alias("wse_in"))
-    return pluvial.small_groups_back(costgrow.resampled(fine, coarse, F4), ready, F4, "wse2").select(*KEY, "wse2")
+    return pluvial.small_groups_back(growth.resampled(fine, coarse, F4), ready, F4, "wse2").select(*KEY, "wse2")
 
 
 def runs(spark, sf: str) -> DataFrame:
@@ -375,7 +375,7 @@ def x5(spark, sf):
 def x6(spark, sf):
     fine = scn(spark, sf)
     coarse = water(fine)
-    members = {m: costgrow.Settings(cap=2, distance_fill_method=m) for m in ("chessboard", "euclidean")}
+    members = {m: growth.Settings(cap=2, distance_fill_method=m) for m in ("chessboard", "euclidean")}
     records, scores = validation.ensemble(fine, coarse, validation.bilinear_baseline(fine, coarse, F4), F4, members)
     means = scores.groupBy("run_name", "metric").agg(F.avg("value").alias("value"))
     return rounded(tables.summary(records, means))

@@ -34,7 +34,7 @@ E_, S_ = EMB_SQL, SCN_SQL
 
 
 @query("s3_profile", E_ + """SELECT scene, 'dem' AS layer, max(r) + 1 AS height, max(c) + 1 AS width, count(dem) AS valid,
-  100.0::DOUBLE AS "left", 100.0 + 2.0 * (max(c) + 1) AS "right", 50.0 - 2.0 * (max(r) + 1) AS bottom FROM fine GROUP BY scene""")
+  100.0::DOUBLE AS "left", (100 + 2 * (max(c) + 1))::DOUBLE AS "right", (50 - 2 * (max(r) + 1))::DOUBLE AS bottom FROM fine GROUP BY scene""")
 def s3(spark, sf):
     cells = emb(spark, sf).select("scene", F.lit("dem").alias("layer"), "r", "c", F.col("dem").alias("v"))
     shape = cells.groupBy("scene", "layer").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))

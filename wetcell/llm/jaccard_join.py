@@ -43,7 +43,7 @@ BINS = 128
 DEPTH = 3
 MOST = 2000
 MOST_TOKENS = 4_000_000
-FORGET = 1 << 20  # distinct words that a task remembers before it starts anew
+FORGET = 1 << 18  # distinct words that a task remembers before it starts anew
 LEAST_ALIKE = 0.6  # samples of sets at 0.8 agree less than this with a chance below 1e-5
 _MIX = np.random.Generator(np.random.PCG64(20)).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)  # odd multipliers
 

@@ -94,10 +94,10 @@ expression("p9_slope_linear_decay", lambda: cell.slope_linear_decay(F.abs("dem")
 expression("p26_error_gain", lambda: F.abs(c_("wse1") - c_("dem")) - F.abs(c_("wse2") - c_("dem")), f"abs({DELTA}) - abs(wse2 - dem)")
 
 
-@query("p21_metres", E_ + "SELECT scene, r, round(0.01 * 6371000 * pi() / 180 * cos(radians(r / 10.0)), 6) AS x, round(0.02 * 6371000 * pi() / 180, 6) AS y FROM fine WHERE c = 0")
+@query("p21_metres", E_ + "SELECT DISTINCT scene, r, round(0.01 * 6371000 * pi() / 180 * cos(radians(r / 10.0)), 6) AS x, round(0.02 * 6371000 * pi() / 180, 6) AS y FROM fine")
 def p21(spark, sf):
     x, y = cell.metres(F.lit(0.01), F.lit(-0.02), F.col("r") / 10.0)
-    return emb(spark, sf).filter("c = 0").select("scene", "r", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    return emb(spark, sf).select("scene", "r", F.round(x, 6).alias("x"), F.round(y, 6).alias("y")).distinct()
 
 
 @query("p23_place", E_ + "SELECT scene, r, c, 100 + (c + 0.5) * 2::DOUBLE AS x, 50 - (r + 0.5) * 2::DOUBLE AS y FROM fine")

@@ -206,7 +206,7 @@ def c7(spark, sf):
 @query("c8_paths")
 def c8(spark, sf):
     links = durable(cost.allocated(durable(penalty(spark, sf)), "cost", "wse2", tile=TILE))
-    return cost.paths(links.select(*KEY, "pr", "pc"), links.filter("c % 8 = 0"))
+    return cost.paths(links.select(*KEY, "pr", "pc"), links)
 
 
 @query("c9_target_mask")

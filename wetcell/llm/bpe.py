@@ -181,7 +181,7 @@ def join_back(documents: pa.Table, words: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out, schema=schema)
 
 
-def encode(docs: DataFrame, *, path: str | None = None, block_chars: int = 1 << 25) -> DataFrame:
+def encode(docs: DataFrame, *, path: str | None = None, block_chars: int = 1 << 23) -> DataFrame:
     """doc_id and ids (array<int>) of every document."""
     path = path or default_path()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,3 +1,4 @@
+import hashlib
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -47,3 +48,13 @@ def test_many_sites_need_the_sketch(spark):
 
 def test_empty_table(spark):
     assert line_dedup.without_shared_lines(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_the_query_removes_short_lines_too(spark, tmp_path):
+    texts = [f"Les.\nown {i}\n\n \t\nNt onor. The of it.\r" for i in range(10)] + ["Les.\nand more", "rare\nkept"]
+    data = [(i, t, f"s{i % 10}") for i, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.clean_sha256) for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()}
+    want = [f"own {i}\n\n \t" for i in range(10)] + ["and more", "rare\nkept"]
+    lost = [2] * 10 + [1, 0]
+    assert got == {i: (t.count("\n") + 1, n, hashlib.sha256(w.encode()).hexdigest()) for i, (t, n, w) in enumerate(zip(texts, lost, want, strict=True))}

@@ -74,6 +74,25 @@ def test_recall_of_choosing_at_the_threshold():
     assert found >= jaccard_join.RECALL * 2000
 
 
+def test_recall_at_the_threshold_through_all_splits():
+    """What a run loses, counted over all runs of pairs at 0.8, of equal sizes and one inside the other."""
+    rng = np.random.default_rng(4)
+    for own in ((50, 50), (100, 0)):
+        lost = 0
+        for _ in range(400):
+            both, *rest = (rng.integers(0, 2**63, k, np.uint64) * np.uint64(2) for k in (400, *own))
+            sets = [np.unique(np.concatenate((both, x))) for x in rest]
+            samples = [jaccard_join.sampled(x) for x in sets]
+            for r in range(jaccard_join.RUNS):
+                codes = [set(jaccard_join.chosen(x, r + 1)[len(jaccard_join.chosen(x, r)) if r else 0 :].tolist()) for x in sets]
+                met = codes[0] & codes[1]
+                for _ in range(jaccard_join.DEPTH):
+                    met = {c for m in met for c in set(jaccard_join.children(m, samples[0])) & set(jaccard_join.children(m, samples[1]))}
+                lost += not met
+        missed = (lost / (400 * jaccard_join.RUNS)) ** jaccard_join.RUNS
+        assert missed <= 1 - jaccard_join.RECALL, (own, missed)
+
+
 def test_one_document_of_each_class_stays(spark):
     docs = spark.createDataFrame([(*r, "m") for r in corpus()], "doc_id long, text string, mark_ string")
     kept = jaccard_join.drop_near_copies(docs)

@@ -61,6 +61,9 @@ for metric, measure, most, number in (
     query(f"n{number}_distance_{metric}", EMB_SQL + near_sql(measure, most) + f"SELECT f.scene, f.r, f.c, {d} AS d, n[3] AS sr, n[4] AS sc FROM fine f LEFT JOIN brute USING (scene, r, c)")(
         lambda spark, sf, m=metric: distance.nearest_within(partial(spark, sf), "wse2", REACH, m).select(*KEY, "near.d", "near.sr", "near.sc")
     )
+    query(f"n{number}_distance_{metric}_unbounded")(
+        lambda spark, sf, m=metric: distance.nearest(partial(spark, sf), "wse2", m, REACH).select(*KEY, "near.d", "near.sr", "near.sc")
+    )
 
 
 @query("n4_brute_force", EMB_SQL + near_sql("((sr - r) * (sr - r) + (sc - c) * (sc - c))", 2 * REACH * REACH) + "SELECT scene, r, c, n[1] AS d, n[3] AS sr, n[4] AS sc, n[5] AS v FROM brute")
@@ -73,6 +76,11 @@ def n5(spark, sf):
     return distance.filled(partial(spark, sf, True), "wse2", "fill", REACH).select(*KEY, "fill")
 
 
+@query("n5_nearest_fill_fine_unbounded")
+def n5_fine_unbounded(spark, sf):
+    return distance.filled(partial(spark, sf, True), "wse2", "fill", None).select(*KEY, "fill")
+
+
 @query("n5_nearest_fill_unbounded", SCN_SQL + """SELECT k.scene, k.br, k.bc, (SELECT min(row(greatest(abs(s.br - k.br), abs(s.bc - k.bc)), (s.br - k.br) * (s.br - k.br) + (s.bc - k.bc) * (s.bc - k.bc), s.br, s.bc, s.wse))
   FROM coarse s WHERE s.scene = k.scene AND s.wse IS NOT NULL)[5] AS fill FROM coarse k""")
 def n5_unbounded(spark, sf):

@@ -1,3 +1,4 @@
+import random
 import re
 
 from wetcell.llm import licenses
@@ -48,3 +49,37 @@ def test_every_template_finds_itself(spark):
 
 def test_empty_table(spark):
     assert licenses.license_matches(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_windows_match_brute_force_over_all_word_windows():
+    rng = random.Random(6)
+    template = "a b c d e f"
+    matcher = licenses.Matcher({"t": template}, licenses.LEAST)
+    other, some = set(zip(template.split(), template.split()[1:], strict=False)), 0
+    for _ in range(400):
+        words = [w for _ in range(6) for w in (template.split() if rng.random() < 0.4 else rng.choices("abcdefx", k=3))]
+        pairs = list(zip(words, words[1:], strict=False))
+        every = []
+        for i in range(len(pairs)):
+            for j in range(i, len(pairs)):
+                own = set(pairs[i : j + 1])
+                d = 2 * len(own & other) / (len(own) + len(other))
+                if d >= licenses.LEAST:
+                    every.append((-d, j - i, i, len(own & other)))
+        want = licenses.apart(sorted(every))
+        got = licenses.apart(matcher.candidates(pairs, [i for i, p in enumerate(pairs) if p in other], other))
+        assert got == want
+        some += bool(want)
+    assert some > 100
+
+
+def test_the_query_finds_notices_inside_lines_and_paragraphs(spark, tmp_path):
+    mit = licenses.TEMPLATES["MIT text"]
+    prose = " ".join(f"w{i}" for i in range(400)) + " "
+    texts = [prose + mit + prose, "first line\n" + "\n".join(mit.split(", ")) + "\n" + prose, " ".join(licenses.TEMPLATES.values()), prose, mit, None, "permission is " * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in licenses.op10_license_scans(spark, str(tmp_path)).collect()}
+    last = len(mit.split(", "))
+    assert [(got[i].n_matches, got[i].license, got[i].spans) for i in (0, 1, 4)] == [(1, "MIT text", "MIT text:0:0"), (1, "MIT text", f"MIT text:1:{last}"), (1, "MIT text", "MIT text:0:0")]
+    assert got[2].n_matches == len(licenses.TEMPLATES) and {x.rsplit(":", 2)[0] for x in got[2].spans.split(",")} == set(licenses.TEMPLATES)
+    assert [got[i].n_matches for i in (3, 5, 6)] == [0, 0, 0]

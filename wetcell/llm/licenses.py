@@ -6,6 +6,12 @@ paragraph. A unit and a template are sets of word bigrams (lower case, word char
 not compared, and a unit is given up as soon as its set outgrows the largest template's bound. A unit takes the template
 of the highest coefficient, ties to the first name.
 
+A notice that is no unit of its own is found by word windows (`windows`): all runs of words of the whole text with Dice >=
+least count; of a template's overlapping ones the highest coefficient stays, then the shortest, then the first; of
+different templates' the one that shares most bigrams. Windows that overlap the best window of a matching unit are that
+unit's. Only windows that start at a bigram of the template not seen again and end at one not seen before are tried; any
+other has one of these inside it that is as good and shorter.
+
 Nulls, ties and odd input: a null text counts as empty; texts of less than two words match nothing; repeated rows each
 get their row; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
@@ -13,6 +19,7 @@ get their row; an empty table gives an empty result; columns other than doc_id a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,6 +58,15 @@ def bigrams(words: list[str], most: float = float("inf")) -> set[tuple[str, str]
     return found
 
 
+def apart(rows: list[tuple[float, int, int, int]]) -> list[tuple[float, int, int, int]]:
+    """The first of the windows that overlap."""
+    out = []
+    for row in rows:
+        if all(row[2] + row[1] < x[2] or x[2] + x[1] < row[2] for x in out):
+            out.append(row)
+    return out
+
+
 class Matcher:
     def __init__(self, templates: dict[str, str], least: float):
         self.least = least
@@ -74,7 +90,48 @@ class Matcher:
                     found = (name, dice)
         return found
 
-    def matches(self, text: str) -> list[dict]:
+    def candidates(self, pairs: list[tuple[str, str]], at: list[int], template: set[tuple[str, str]]) -> list[tuple[float, int, int, int]]:
+        """(-dice, pairs after the first, first pair, shared pairs) of windows, best first. at: where pairs of the template are."""
+        m, out = len(template), []
+        if len({pairs[i] for i in at}) * (2 - self.least) < self.least * m - 1e-9:
+            return out
+        for start in at:
+            seen, shared = set(), 0
+            for end in range(start, len(pairs)):
+                pair = pairs[end]
+                if pair in seen:
+                    if pair == pairs[start]:
+                        break
+                    continue
+                seen.add(pair)
+                if len(seen) * self.least > m * (2 - self.least) + 1e-9:
+                    break
+                if pair in template:
+                    shared += 1
+                    dice = 2 * shared / (len(seen) + m)
+                    if dice >= self.least:
+                        out.append((-dice, end - start, start, shared))
+        return sorted(out)
+
+    def windows(self, lines: list[list[str]], units: list[dict]) -> list[dict]:
+        """Matches of word windows outside the units that match."""
+        words, where = [w for x in lines for w in x], [i for i, x in enumerate(lines) for _ in x]
+        pairs = list(zip(words, words[1:], strict=False))
+        hits = [i for i, p in enumerate(pairs) if p in self.known]
+        found = {name: self.candidates(pairs, [i for i in hits if pairs[i] in t], t) for name, t in self.templates} if hits else {}
+        taken = []
+        for u in units:
+            a, b = bisect_left(where, u["first"]), bisect_right(where, u["last"]) - 2
+            taken += [(s, s + n) for _, n, s, _ in found[u["license"]] if a <= s and s + n <= b][:1]
+        picked = [(-shared, dice, name, s, s + n) for name, rows in found.items() for dice, n, s, shared in apart(rows)]
+        out = []
+        for _, dice, name, a, b in sorted(picked):
+            if all(b < x or y < a for x, y in taken):
+                taken.append((a, b))
+                out.append({"license": name, "first": where[a], "last": where[b + 1], "dice": -dice})
+        return out
+
+    def matches(self, text: str, windows: bool = False) -> list[dict]:
         """license, first, last (line numbers from 0), dice of every unit that matches, in order."""
         lines = [_WORD.findall(x) for x in text.lower().split("\n")]
         units = [(i, i, x) for i, x in enumerate(lines)]
@@ -88,19 +145,20 @@ class Matcher:
         if paragraphs > 1:
             units.append((0, len(lines) - 1, [w for x in lines for w in x]))
         found = [(a, b, self.best(words)) for a, b, words in units]
-        return sorted(({"license": x[0], "first": a, "last": b, "dice": x[1]} for a, b, x in found if x), key=lambda m: (m["first"], m["last"]))
+        out = [{"license": x[0], "first": a, "last": b, "dice": x[1]} for a, b, x in found if x]
+        return sorted(out + (self.windows(lines, out) if windows else []), key=lambda m: (m["first"], m["last"]))
 
 
 _MATCHES = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("dice", pa.float64())]))
 
 
-def license_matches(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def license_matches(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, least: float = LEAST, windows: bool = False) -> DataFrame:
     """doc_id and matches: array of (license, first, last, dice), in the scan's own tasks: no shuffle."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, least)
         for batch in batches:
-            found = [matcher.matches(x.as_py() or "") for x in batch.column(1)]
+            found = [matcher.matches(x.as_py() or "", windows) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _MATCHES)], names=["doc_id", "matches"])
 
     schema = "doc_id long, matches array<struct<license:string,first:int,last:int,dice:double>>"
@@ -108,7 +166,7 @@ def license_matches(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, l
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = license_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = license_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), windows=True)
     named = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["first"], m["last"]))
     best = F.array_max(F.transform("matches", lambda m: F.struct(m["dice"], m["license"])))
     return rows.select(

@@ -3,14 +3,18 @@
 Byte-level BPE never merges across the words of its split pattern, so a text's ids are its words' ids in a row.
 
 1. split: each task cuts its texts into words and numbers a block's distinct words. A block (the texts of a task, up to
-   block_chars characters) yields its documents as word numbers and its distinct words, dealt by hash over the parts.
-2. encode: a part meets every block's words of its share, and encodes each distinct word once.
+   block_chars characters) yields its documents as word numbers, packed, and a row (word, block, number) for each of its
+   distinct words.
+2. encode: the rows of all blocks are dealt by word and sorted, so that a distinct word is a run of rows, encoded once;
+   nothing is remembered but the last word.
 3. join back: the words' ids return to their block, where documents take them by word number, in order of position.
-4. decode: ids become pieces by an id-to-piece join with the vocabulary (its size is fixed, so it is broadcast), and a
-   document's pieces are joined in order of position.
+4. decode: ids become pieces by a lookup in the vocabulary, whose size is fixed and which is broadcast, and a document's
+   pieces are joined in order of position. The join of exploded ids with a table of pieces makes a row for every token,
+   which has to be sorted back into documents: see the README for what that costs.
 
 One exchange carries the documents and the words; the words' branch and the documents' branch both read it. A hot word
-is in each block once at most, and a block is bounded, so no key is larger than others.
+is in each block once at most, and a block is bounded, so no key is larger than others. The number of parts grows with
+the splits of the input.
 
 Nulls, ties and odd input: a null text counts as empty and has no ids; null and repeated doc_ids keep a row each; the
 special token's string in a text is that token, as in the tokenizers library; ids outside the vocabulary decode to
@@ -22,23 +26,29 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wetcell.llm.common import from_files
+from wetcell.storage import durable
+
 DOCS_IN_ROW = 256
+WORDS_IN_BATCH = 1 << 16
 _LETTER, _NUMBER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ˁ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 #: The vocabulary's split pattern for texts whose characters are all below U+02C2; the library splits the others.
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _BEYOND = re.compile("[^\x00-ˁ]")
-MOVED = "key string, body binary"
+MOVED = "key string, block long, at int, body binary"
+_MOVED = pa.schema([("key", pa.string()), ("block", pa.int64()), ("at", pa.int32()), ("body", pa.binary())])
 
 
 def default_path() -> str:
@@ -86,34 +96,23 @@ def unpacked(body: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(body).read_next_batch()
 
 
-def lists(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    return pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int64()), pa.array(flat))
-
-
-def splitter(path: str, parts: int, block_chars: int):
+def splitter(path: str, block_chars: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, chars, numbers = TaskContext.get().partitionId() << 24, 0, {}
         ids, texts = [], []
 
-        def rows(*pairs: tuple[str, bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.binary())], names=["key", "body"])
-
         def documents() -> pa.RecordBatch:
-            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-            flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
-            body = packed(doc_id=pa.array(ids, pa.int64()), words=lists(flat, lengths))
+            planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in texts]  # bytes of one rank together pack well
+            body = packed(doc_id=pa.array(ids, pa.int64()), words=pa.array(planes, pa.large_binary()))
             ids.clear(), texts.clear()
-            return rows((f"block {block}", body))
+            return pa.RecordBatch.from_arrays([pa.array([str(block)]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([body], pa.binary())], schema=_MOVED)
 
         def words() -> Iterator[pa.RecordBatch]:
-            dealt = [[] for _ in range(parts)]
-            for word in sorted(numbers):
-                dealt[zlib.crc32(word.encode()) % parts].append(word)
-            for part, own in enumerate(dealt):
-                if own:
-                    at = np.fromiter((numbers[w] for w in own), np.int32, len(own))
-                    body = packed(block=pa.array([block] * len(own), pa.int64()), word=pa.array(own, pa.large_string()), at=pa.array(at))
-                    yield rows((f"part {part}", body))
+            own = list(numbers)
+            for low in range(0, len(own), WORDS_IN_BATCH):
+                part = pa.array(own[low : low + WORDS_IN_BATCH], pa.string())
+                at = pa.array(np.arange(low, low + len(part), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), block)), at, pa.nulls(len(part), pa.binary())], schema=_MOVED)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -136,21 +135,30 @@ def splitter(path: str, parts: int, block_chars: int):
 
 def word_encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        """key (word, sorted), block, at. A row for the batch's words of a block: their numbers, how many ids each has, the ids."""
+        last, last_ids = None, None
         for batch in batches:
-            keys, bodies = [], []
-            for key, body in zip(batch.column(0), batch.column(1), strict=True):
-                if key.as_py().startswith("block"):
-                    continue
-                rows = unpacked(body.as_py())
-                words = rows["word"].to_pylist()
-                new = [w for w in words if w not in known]
-                for word, found in zip(new, tokenizer(path).encode_batch(new, add_special_tokens=False), strict=True):
-                    known[word] = np.array(found.ids, np.int32)
-                ids = [known[w] for w in words]
-                keys.append(f"block {rows['block'][0].as_py()}")
-                bodies.append(packed(at=rows["at"], ids=lists(np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(bodies, pa.binary())], names=["key", "body"])
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(0))  # a run is a distinct word
+            words = runs.values.to_pylist()
+            ids = [x.ids for x in tokenizer(path).encode_batch(words[words[0] == last :], add_special_tokens=False)]
+            if words[0] == last:  # the batch before ended in this word
+                ids.insert(0, last_ids)
+            last, last_ids = words[-1], ids[-1]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            times = np.diff(runs.run_ends.to_numpy(), prepend=0)
+            starts = np.repeat(np.cumsum(sizes) - sizes, times)
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+            sizes, blocks = np.repeat(sizes, times), batch.column(1).to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            first = np.flatnonzero(np.diff(blocks[order], prepend=blocks[order[0]] - 1))
+            flat, sizes = gathered(flat, starts[order], sizes[order]), sizes[order]
+            cuts = np.append(first, len(order))
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            cut_lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
+            columns = [cut_lists(batch.column(2).to_numpy()[order], cuts), cut_lists(sizes, cuts), cut_lists(flat, ends[cuts])]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[order[first]]).cast(pa.string()), *columns], names=["key", "at", "n", "ids"])
 
     return encode
 
@@ -162,33 +170,37 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 def join_back(documents: pa.Table, words: pa.Table) -> pa.Table:
-    """doc_id and ids of a block's documents; the other groups, words on their way to a part, give none."""
+    """doc_id and ids of a block's documents, whose words are numbers into the block's words."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    found = [unpacked(x.as_py()) for x in words["body"]]
+    at, counts, flat = (words[x].combine_chunks().flatten().to_numpy() for x in ("at", "n", "ids"))
+    starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    starts[at], lengths[at] = np.cumsum(counts, dtype=np.int64) - counts, counts
     out = []
-    if documents.num_rows and documents["key"][0].as_py().startswith("block"):
-        at = np.concatenate([np.zeros(0, np.int32), *(x["at"].to_numpy() for x in found)])
-        flat = np.concatenate([np.zeros(0, np.int32), *(x["ids"].values.to_numpy() for x in found)])
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.diff(x["ids"].offsets.to_numpy()) for x in found)])
-        starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        starts[at], lengths[at] = np.cumsum(counts) - counts, counts
-        for body in documents["body"]:
-            rows = unpacked(body.as_py())
-            numbers, offsets = rows["words"].values.to_numpy(), rows["words"].offsets.to_numpy()
-            size = np.concatenate(([0], np.cumsum(lengths[numbers])))[offsets]
-            ids = gathered(flat, starts[numbers], lengths[numbers])
-            out.append(pa.RecordBatch.from_arrays([rows["doc_id"], pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(ids))], schema=schema))
+    for body in documents["body"]:
+        rows = unpacked(body.as_py())
+        planes = [np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1) for x in rows["words"]]
+        numbers = np.concatenate([np.ascontiguousarray(x.T).view(np.int32).ravel() for x in planes])
+        offsets = np.concatenate(([0], np.cumsum([x.shape[1] for x in planes])))
+        size = np.concatenate(([0], np.cumsum(lengths[numbers])))[offsets]
+        ids = gathered(flat, starts[numbers], lengths[numbers])
+        out.append(pa.RecordBatch.from_arrays([rows["doc_id"], pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(ids))], schema=schema))
     return pa.Table.from_batches(out, schema=schema)
 
 
-def encode(docs: DataFrame, *, path: str | None = None, block_chars: int = 1 << 23) -> DataFrame:
-    """doc_id and ids (array<int>) of every document."""
+def encode(docs: DataFrame, *, path: str | None = None, block_chars: int = 1 << 25) -> DataFrame:
+    """doc_id and ids (array<int>) of every document. Word numbers depend on the order of a task's rows, so docs that do
+    not come straight from files, where a task that runs again reads the same rows in the same order, are written first."""
     path = path or default_path()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(splitter(path, parts, block_chars), MOVED)
-    moved = rows.repartition(parts, "key")
-    encoded = moved.mapInArrow(word_encoder(path), MOVED)
-    return moved.groupBy("key").cogroup(encoded.groupBy("key")).applyInArrow(join_back, "doc_id long, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = rows if from_files(rows) else durable(rows)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    moved = rows.mapInArrow(splitter(path, block_chars), MOVED).repartition(parts, "key")
+    # one exchange for both branches: what depends on the row's number stays above it, so neither is pruned or filtered below
+    moved = moved.select("key", F.when(F.monotonically_increasing_id() >= 0, F.struct("block", "at", "body")).alias("row"))
+    words = moved.filter("row.at IS NOT NULL").select("key", "row.block", "row.at").sortWithinPartitions("key")
+    encoded = words.mapInArrow(word_encoder(path), "key string, at array<int>, n array<int>, ids array<int>")
+    documents = moved.filter("row.body IS NOT NULL").select("key", "row.body")
+    return documents.groupBy("key").cogroup(encoded.repartition(parts, "key").groupBy("key")).applyInArrow(join_back, "doc_id long, ids array<int>")
 
 
 def piece_table(path: str) -> list[bytes]:

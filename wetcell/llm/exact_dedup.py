@@ -1,12 +1,15 @@
 """Exact dedup by skew-safe combining (operator 7).
 
-Texts are equal when identical after lower-casing A-Z. Copies are merged in three steps, each of which groups by the
-digest *and* the full content, so a digest collision never merges different texts:
+Texts are equal when identical after lower-casing A-Z. A first pass over the texts writes a narrow table: doc_id, digest
+and a row number. It tells how many rows a digest has, and so how many salts its groups need. Copies are then merged in
+three steps, each of which groups by the digest *and* the full content, so that a digest collision never merges texts:
 
-1. locally: Spark's map-side half of the first aggregation leaves one row per text and salt in each task;
-2. salted digest groups: rows of a digest are dealt over `salts` groups, so that a text that makes up a third of the
-   corpus is merged by that many tasks;
-3. globally: the salts' winners of a digest are merged; a text has at most `salts` rows by then.
+1. locally: the salt is the task's, so Spark's map-side half of the first aggregation leaves one row per text in a task;
+2. salted digest groups: rows of a digest are dealt over one salt for every `per_salt` rows, so that a text that makes up
+   a third of the corpus is merged by many tasks. Digests with fewer rows have one salt, and with it their result;
+3. globally: the salts' winners of a digest are merged. Only texts with several salts move for it.
+
+per_salt grows with the rows, so that at most HOT digests have several salts: a broadcast of bounded size tells which.
 
 Nulls, ties and odd input: a null text counts as empty; a null doc_id is smaller than any other and is kept only in a
 group without ids; rows repeated with the same doc_id and text count in group_size and one of them is kept; an empty
@@ -20,11 +23,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from wetcell.llm.common import unused
+from wetcell.llm.common import from_files, unused
 from wetcell.storage import durable
 
+HOT = 50_000  # digests with several salts, at most: 40 bytes each
+
 
 def normalised(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty."""
@@ -35,48 +39,65 @@ def sha256(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
-def exact_classes(docs: DataFrame, *, salts: int = 16, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, digest, sha256 as columns of the same names."""
+def merged_texts(docs: DataFrame, salts: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """digest, keep_id, group_size, texts (different contents under the digest). salts: digest, salts of hot digests."""
     rows = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    merged = (
-        rows.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .groupBy("digest", "norm")
-        .agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    )
-    heads = durable(
-        merged.groupBy("digest").agg(
-            F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts")
-        )
-    )
-    # rows that repeat a doc_id with the same text: one of them stays
-    copy = F.row_number().over(W.partitionBy("doc_id", "digest").orderBy(F.lit(0)))
+    rows = rows.join(F.broadcast(salts), "digest", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))  # HOT rows at most
+    rows = rows.withColumn("salt", F.spark_partition_id() % F.col("salts"))
+    size, top = F.sum("group_size").alias("group_size"), F.max("keep_id").alias("keep_id")
+    salted = rows.groupBy("digest", "salt", "salts", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    salted = salted.select("digest", F.when(F.col("salts") > 1, F.col("norm")).alias("norm"), "keep_id", "group_size")
+    texts = salted.groupBy("digest", "norm").agg(top, size, F.count(F.lit(1)).alias("winners"))
+    # without a norm there was one salt, and every winner is a text of its own
+    texts = texts.withColumn("texts", F.when(F.col("norm").isNull(), F.col("winners")).otherwise(1))
+    return texts.groupBy("digest").agg(top, size, F.sum("texts").alias("texts"))
+
+
+def exact_classes(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, digest."""
+    return numbered_classes(docs, **options).drop("row")
+
+
+def numbered_classes(docs: DataFrame, *, per_salt: int = 4096, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """exact_classes() with row, the document's monotonically_increasing_id() in docs."""
+    rows = docs.select("doc_id", digest(normalised(F.col("text"))).alias("digest"))
+    rows = durable(rows.withColumn("row", F.monotonically_increasing_id()))
+    best = F.max(F.struct("doc_id", (-F.col("row")).alias("last")))  # the first row of the largest doc_id
+    counts = durable(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), best.alias("best")))
+    limit = max(per_salt, rows.count() // HOT)
+    hot = durable(counts.filter(F.col("n") > limit).select("digest", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
+    heads = durable(merged_texts(docs, hot, digest).join(counts.select("digest", "best.last"), "digest"))
+    kept = F.col("row") == -F.col("last")
     clashes = heads.filter("texts > 1").select("digest")
-    if clashes.isEmpty():
-        numbered = rows.select("doc_id", "digest").withColumn("copy", copy)
-        found = numbered.join(heads.drop("texts"), "digest")
-    else:  # different texts under one digest: content decides, for those digests alone
-        rows = rows.join(clashes.withColumn("clash", F.lit(True)), "digest", "left")
-        numbered = rows.select(
-            "doc_id", "digest", F.when(F.col("clash"), F.col("norm")).alias("norm"),
-            F.row_number().over(W.partitionBy("doc_id", "digest", "norm").orderBy(F.lit(0))).alias("copy"),
-        )
-        plain = numbered.filter("norm IS NULL").drop("norm").join(heads.drop("texts"), "digest")
-        texts = merged.join(clashes, "digest", "left_semi")
-        found = plain.unionByName(numbered.filter("norm IS NOT NULL").join(texts, ["digest", "norm"]).drop("norm"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
-    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
-
-
-def drop_copies(docs: DataFrame, *, salts: int = 16) -> DataFrame:
-    """The documents without their copies, all columns as they were. The text moves once, by doc_id and digest."""
-    own = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    kept = exact_classes(docs, salts=salts).filter("kept").select(own.alias("id"), F.col("digest").alias("won"))
-    id_, digest, one = (unused(docs, x) for x in ("id_", "digest_", "one_"))
-    marked = docs.withColumns({id_: own, digest: sha256(normalised(F.col("text")))})
-    marked = marked.join(kept, (marked[id_] == kept["id"]) & (marked[digest] == kept["won"]), "left_semi")
-    first = F.row_number().over(W.partitionBy(id_, digest).orderBy(F.lit(0)))
-    return marked.withColumn(one, first).filter(F.col(one) == 1).drop(id_, digest, one)
+    if not clashes.isEmpty():  # different texts under one digest: content decides, for those digests alone
+        return by_content(docs, heads, clashes, digest)
+    small = heads.select("digest", "keep_id", "group_size", "last")
+    # the hot digests' rows are joined where they are, so that no task gets all rows of one
+    few = small.join(F.broadcast(hot.select("digest")), "digest", "left_semi")
+    there = rows.join(F.broadcast(few), "digest")
+    rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(small, "digest")
+    return there.unionByName(rest).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest", "row")
+
+
+def by_content(docs: DataFrame, heads: DataFrame, clashes: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """numbered_classes() where digests clash: the texts of those digests are grouped by themselves."""
+    rows = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+    rows = durable(rows.withColumn("digest", digest(F.col("norm"))).withColumn("row", F.monotonically_increasing_id()))
+    clashing = rows.join(clashes, "digest", "left_semi").withColumn("text", F.col("norm"))
+    every = rows.join(clashes, "digest", "left_anti").withColumn("text", F.lit(None).cast("string")).unionByName(clashing)
+    first = F.max(F.struct("doc_id", (-F.col("row")).alias("last"))).alias("best")
+    groups = every.groupBy("digest", "text").agg(first, F.count(F.lit(1)).alias("group_size"))
+    found = every.alias("a").join(groups.alias("b"), (F.col("a.digest") == F.col("b.digest")) & F.col("a.text").eqNullSafe(F.col("b.text")))
+    return found.select("a.doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.last")).alias("kept"), "a.digest", "row")
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The documents without their copies, all columns as they were. The text moves once more, by row number, so that no
+    id or text is a key; docs that do not come straight from files are written first, for rows to keep their numbers."""
+    docs = docs if from_files(docs) else durable(docs)
+    row = unused(docs, "row")
+    kept = numbered_classes(docs).filter("kept").select(F.col("row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from wetcell.llm import mixing
 
 
@@ -83,3 +85,35 @@ def test_mixed_documents_hold_the_words_taken(spark):
         want[r.doc_id, sources[r.doc_id]] += r.taken
     assert dict(words) == {k: n for k, n in want.items() if n}
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_reversed_bits(spark):
+    rows = spark.range(64).select(mixing.reversed_bits(F.col("id"), 6).alias("x")).collect()
+    assert [r.x for r in rows] == [int(f"{i:06b}"[::-1], 2) for i in range(64)]
+    big = spark.createDataFrame([(2**40 + 5,)], "id long").select(mixing.reversed_bits(F.col("id"), 62).alias("x")).first().x
+    assert big == int(f"{2**40 + 5:062b}"[::-1], 2)
+
+
+def test_every_block_has_a_slot(spark):
+    """Also of sources with few blocks beside large ones."""
+    plan = spark.createDataFrame([(0, 3), (1, 900_000), (2, 1), (3, 77), (4, 0)], "place int, taken long")
+    got = mixing.schedule(plan, 1).groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("top")).collect()
+    assert sorted(map(tuple, got)) == [(0, 3, 2), (1, 900_000, 899_999), (2, 1, 0), (3, 77, 76)]
+
+
+def test_ids_that_are_null_or_repeat(spark):
+    data = [(None if i % 3 else i % 5, " ".join(["w"] * (i % 9 + i % 2)), "a" if i % 2 else None) for i in range(9000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.taken(docs, block=64)
+    assert got.count() == len(data) and not got.filter("taken > 3 * size").count()
+    by = {r.source_size: (r.t, r.n) for r in got.groupBy("source_size").agg(F.max("target").alias("t"), F.sum("taken").alias("n")).collect()}
+    assert all(abs(t - n) <= 1 for t, n in by.values())
+
+
+def test_a_part_is_the_text_as_it_was(spark):
+    docs = spark.createDataFrame([(1, " \n a  b\tc \n\n d e ", "x"), (2, "one two  three", "y"), (3, "four", "z")], "doc_id long, text string, source string")
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    out = mixing.mixed_documents(docs, block=2).collect()
+    assert all(whole[r.doc_id].startswith(r.text) for r in out)
+    parts = {r.text for r in out} - set(whole.values())
+    assert parts and all(not t.endswith((" ", "\n", "\t")) for t in parts)

@@ -2,12 +2,15 @@
 
 A source's documents stand in shuffled order (by the md5 of the id) and their words form a stream, which the mix may go
 through up to three times. The stream is cut into blocks of `block` words; the last one ends at the source's target.
-Slot k of the schedule has the golden-ratio point frac(k * 0.618...); the points go through the cumulative numbers of
-blocks, so that a slot picks a source in proportion. A source's slots are ranked and rank r takes its block r; slots past
-its last block are left out. Joining blocks and slots gives the mix: which words of which document stand in which slot.
+Slot k of the schedule has the van der Corput point of k: its bits in reverse, a whole number of L bits, so that 2^L slots
+meet every point once. The points go through the cumulative numbers of blocks, so that a slot picks a source in
+proportion; with 2^L at least twice the blocks, every source has a slot for each of its blocks. A source's slots are
+ranked and rank r takes its block r; slots past its last block are left out. Joining blocks and slots gives the mix: which
+words of which document stand in which slot. It fails if a block has no slot. Whole numbers alone: nothing is rounded.
 
 All ranks and running sums are two-level: within chunks of bounded size, plus the running sums of the chunks' totals, so
-a source with a third of the rows is spread over many tasks. Only per-source rows are ordered in one task.
+a source with a third of the rows is spread over many tasks; chunks are ranges of the whole order, the row's own hash
+last, so that ids that repeat or are null are spread too. Only per-source rows are ordered in one task.
 
 Targets: sources in code point order, null last, weigh 5, 2, 1, repeating, and share all words; a target stops at three
 times its source's words and the excess is shared anew by weight. That is the water level L with
@@ -30,8 +33,9 @@ from wetcell.storage import durable
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
-GOLDEN = 0.6180339887498949
 CHUNK = 4096
+#: The masks of bits that change places when a word's bits are reversed by halves.
+HALVES = ((1, 0x5555555555555555), (2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF))
 
 
 def size_of(text: Column) -> Column:
@@ -62,31 +66,44 @@ def targets(sizes: DataFrame) -> DataFrame:
 def ordered(docs: DataFrame) -> DataFrame:
     """doc_id, source, text_hash, size and start: where the document begins in its source's shuffled stream of words."""
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), size_of(F.col("text")).alias("size"))
-    rows = durable(rows.withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
-    digits = max(1, len(f"{rows.count() // CHUNK:x}"))  # chunks of a few thousand rows, by the leading digits of the mark
-    rows = rows.withColumn("chunk", F.substring("mark", 1, digits))
+    rows = rows.withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    rows = durable(rows.withColumn("tie", F.xxhash64(F.monotonically_increasing_id())))
+    order = ["mark", "doc_id", "text_hash", "tie"]
+    ranges = rows.repartitionByRange(max(1, -(-rows.count() // CHUNK)), "source", *order)
+    rows = durable(ranges.withColumn("chunk", F.spark_partition_id()))
     chunks = rows.groupBy("source", "chunk").agg(F.sum("size").alias("total"))
     before = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     chunks = chunks.select("source", "chunk", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("source", "chunk").orderBy("mark", "doc_id", "size", "text_hash").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = rows.alias("a").join(chunks.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.chunk") == F.col("b.chunk")))
     return joined.select("a.doc_id", "a.source", "a.text_hash", "a.size", (F.col("start") + F.col("offset")).alias("start"))
 
 
+def reversed_bits(x: Column, bits: int) -> Column:
+    """The lowest bits of x in reverse order."""
+    for step, mask in HALVES:
+        low = F.lit(mask)
+        x = F.shiftleft(x.bitwiseAND(low), step).bitwiseOR(F.shiftrightunsigned(x, step).bitwiseAND(low))
+    return F.shiftrightunsigned(x, 64 - bits)
+
+
 def schedule(plan: DataFrame, block: int) -> DataFrame:
-    """plan: place, taken. slot, place, rank for every block of every source, by golden-ratio points."""
+    """plan: place, taken. slot, place, rank for every block of every source, by van der Corput points."""
     spark = plan.sparkSession
     quotas = plan.select("place", F.ceil(F.col("taken") / block).alias("quota")).filter("quota > 0")
     upto = W.partitionBy(F.lit(0)).orderBy("place")
     spans = quotas.withColumn("high", F.sum("quota").over(upto)).withColumn("low", F.col("high") - F.col("quota"))
     blocks = spans.agg(F.max("high")).first()[0] or 0
-    # an interval of length q/n has q of the first n points, give or take the sequence's discrepancy; the spare ones make up for it
-    slots = spark.range(3 * blocks + 64).withColumnRenamed("id", "slot")
-    point = F.col("slot") * F.lit(GOLDEN)
-    slots = slots.withColumn("at", (point - F.floor(point)) * F.lit(float(blocks)))
-    slots = slots.withColumn("band", F.expr(f"cast(at as long) div {CHUNK}"))  # a range join by bands of places in the sum
-    spans = spans.withColumn("band", F.explode(F.sequence(F.expr(f"low div {CHUNK}"), F.expr(f"(high - 1) div {CHUNK}"))))
+    bits = max(1, blocks).bit_length() + 1  # 2 ** bits slots are twice the blocks and more
+    # a source's share of the points, exact; a range join by bands of points
+    width = 2**bits
+    point = lambda n: F.expr(f"(cast({n} as decimal(20, 0)) * cast({width} as decimal(18, 0))) div {max(1, blocks)}")
+    band = max(1, width // max(1, blocks)) * CHUNK
+    spans = spans.withColumns({"low": point("low"), "high": point("high")})
+    spans = spans.withColumn("band", F.explode(F.sequence(F.expr(f"low div {band}"), F.expr(f"(high - 1) div {band}"))))
+    slots = spark.range(width if blocks else 0).withColumnRenamed("id", "slot").withColumn("at", reversed_bits(F.col("slot"), bits))
+    slots = slots.withColumn("band", F.expr(f"at div {band}"))
     picks = slots.join(spans, "band").filter((F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
     picks = picks.select("slot", "place", "quota", F.expr(f"slot div {CHUNK}").alias("chunk"))
     counts = picks.groupBy("place", "chunk").agg(F.count(F.lit(1)).alias("n"))
@@ -116,7 +133,9 @@ def mixed(docs: DataFrame, *, block: int = 8192) -> tuple[DataFrame, DataFrame,
     rows = rows.alias("a").join(plan.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
     rows = rows.select("doc_id", "a.source", "text_hash", "size", "start", "place", "source_size", "target")
     parts = blocks_of(rows.select("place", "start", "size"), plan, block)
-    mix = schedule(plan, block).join(parts, ["place", "rank"]).select("slot", "place", "start", "pass", "first", "words")
+    mix = parts.join(schedule(plan, block), ["place", "rank"], "left")
+    mix = mix.withColumn("slot", F.coalesce("slot", F.raise_error(F.lit("mixing: a block has no slot")).cast("long")))
+    mix = mix.select("slot", "place", "start", "pass", "first", "words")
     return rows, plan, mix
 
 
@@ -130,26 +149,30 @@ def taken(docs: DataFrame, *, block: int = 8192) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, *, block: int = 8192) -> DataFrame:
-    """The documents as the mix takes them, all columns as they were: a row for every pass that takes words of one.
+    """The documents as the mix takes them, all columns as they were: a row for every pass that takes words of one, in the
+    order of the slots of their first words.
 
-    At a source's target a document may be taken in part: its row has the first words of the text, joined by single
-    spaces, and n_chars, where there is such a column, is their length. Rows repeated with the same doc_id, source and
-    text have the other columns of one of them. Documents without words are left out.
+    At a source's target a document may be taken in part: its row has the text up to the end of the last word taken, as it
+    was, and n_chars, where there is such a column, is its length. Rows repeated with the same doc_id, source and text
+    have the other columns of one of them. Documents without words are left out.
     """
     rows, _, mix = mixed(docs, block=block)
-    parts = mix.groupBy("place", "start", "pass").agg(F.sum("words").alias("words"))
+    parts = mix.groupBy("place", "start", "pass").agg(F.sum("words").alias("words"), F.min(F.struct("slot", "first")).alias("at"))
     takes = rows.filter("size > 0").join(parts, ["place", "start"])
     id_, source, text_hash, part, n = (unused(docs, x) for x in ("id_", "source_", "hash_", "part_", "copy_"))
     key = {id_: F.coalesce("doc_id", F.lit(-(2**63))), source: F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))}
-    takes = takes.select(*(c.alias(f"k_{k}") for k, c in enumerate([*key.values(), F.col("text_hash")])), F.struct("pass", "words", "size").alias("take"))
+    takes = takes.select(*(c.alias(f"k_{k}") for k, c in enumerate([*key.values(), F.col("text_hash")])), F.struct("pass", "words", "size", "at", "start").alias("take"))
     takes = takes.groupBy("k_0", "k_1", "k_2").agg(F.collect_list("take").alias("takes"))  # PASSES for each repeated row
     marked = docs.withColumns({**key, text_hash: F.xxhash64("text")})
     found = marked.join(takes, (marked[id_] == takes["k_0"]) & (marked[source] == takes["k_1"]) & (marked[text_hash] == takes["k_2"]))
     copy = F.row_number().over(W.partitionBy(id_, source, text_hash).orderBy(F.lit(0)))
     found = found.withColumn(n, copy).filter(F.col(n) == 1).withColumn(part, F.explode("takes"))
-    cut = F.col(part)["words"] < F.col(part)["size"]
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    head = F.array_join(F.slice(words, F.lit(1), F.col(part)["words"].cast("int")), " ")
+    found = found.orderBy(F.col(part)["at"]["slot"], F.col(part)["at"]["first"], F.col(part)["start"], F.col(part)["pass"])
+    taken_, space = F.col(part)["words"], r"[\x20\x09-\x0D]+"
+    cut = taken_ < F.col(part)["size"]
+    # split after so many gaps, one more if the text begins with one: the last part is what comes after the words
+    pieces = F.split("text", F.lit(space), (taken_ + 1 + F.when(F.col("text").rlike("^" + space), 1).otherwise(0)).cast("int"))
+    head = F.regexp_replace(F.left("text", F.length("text") - F.length(F.element_at(pieces, -1))), space + "$", "")
     found = found.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

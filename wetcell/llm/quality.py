@@ -34,6 +34,7 @@ STATS = (
 WINDOW = 512
 CUT = 0.3  # predicted is 1 from this score on
 FOLDS = 5
+SENT = 1_000_000  # label ids that are sent to every executor
 _KIND = np.zeros(256, np.intp)  # 0 letters and other bytes, 1 upper case, 2 digits, 3 symbols, 4 sentence marks, 5 space
 _KIND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
 _KIND[list(b"0123456789")] = 2
@@ -156,9 +157,18 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("predicted", F.when(F.col("score") >= CUT, 1).otherwise(0))
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and f of the documents with labels. Ids of few labels go to the texts, so that only those texts are measured;
+    with more labels than SENT every text is, for the narrow table of statistics to go to the labels."""
+    ids = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id").distinct()
+    few = ids.limit(SENT + 1).count() <= SENT
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi") if few else docs  # SENT longs at most
+    return durable(rows.select("doc_id", stats(F.col("text")).alias("f")))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier takes, all columns as they were; the texts are scored where they are read."""
-    model = fit(durable(docs.select("doc_id", stats(F.col("text")).alias("f"))), labels)
+    model = fit(labelled_features(docs, labels), labels)
     name = unused(docs, "score")
     return docs.withColumn(name, scorer(model)(stats(F.col("text")))).filter(F.col(name) >= CUT).drop(name)
 

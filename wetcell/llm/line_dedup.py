@@ -70,7 +70,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT source, trim(unnest(lines)) AS line FROM d),
-s AS (SELECT list(line) AS shared FROM (SELECT line FROM l WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT source) >= 10)),
+s AS (SELECT list(line) AS shared FROM (SELECT line FROM l WHERE regexp_matches(line, '[^\\s\\x0B]') GROUP BY line HAVING count(DISTINCT source) >= 10)),
 c AS (SELECT doc_id, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(shared, trim(x)), false)) AS kept FROM d, s)
 SELECT doc_id, len(lines) AS n_lines, len(lines) - len(kept) AS n_removed,
   sha256(coalesce(array_to_string(kept, chr(10)), '')) AS clean_sha256

@@ -1,20 +1,24 @@
 """Least-cost accumulation and allocation over tiles (C1-C11).
 
-A cell's label is (cost, source row, source column); the least one wins. Each round every tile runs Dijkstra from the
-labels it has, with the border cells of its neighbours as a fixed halo, and only tiles whose halo changed run again. Labels
-only fall, so the end does not depend on tiling or order. A tile's size bounds a task's memory; the number of rounds grows
-with the tiles that a path crosses.
+A cell's label is (cost, source row, source column); the least one wins. A tile is one row with arrays of its cells. Each
+round runs Dijkstra in the tiles whose halo changed, from the border labels that changed in their neighbours, and writes
+those tiles alone; the newest version of every tile is the result. Labels only fall, so the end does not depend on tiling
+or order. A tile's size bounds a task's memory; the number of rounds grows with the tiles that a path crosses.
 
 Costs: "geometric" steps cost the mean of the two cells times the step's length (8 neighbours); "node" steps cost the
-entered cell (4 neighbours). A null, negative or infinite cost is a barrier: no label passes or stays there.
+entered cell (4 neighbours). Steps are whole numbers of GRAIN, so that sums below 2**29 are exact and ties are ties in any
+order of work. A null, negative or infinite cost is a barrier: no label passes or stays there; a source there is none.
+Of the cells before a cell that give the same label, the first in row-major order is its backlink.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,42 +27,113 @@ from wetcell.storage import durable
 D4 = [(-1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0), (1, 0, 1.0)]
 D8 = D4 + [(i, j, math.sqrt(2)) for i in (-1, 1) for j in (-1, 1)]
 GRAIN = 2.0**-24
-_CELL = "scene string, r int, c int, cost double, d double, sr int, sc int, pr int, pc int"
+_FAR = 2**62
+_KEY = ["scene", "tr", "tc"]
+_BORDER = pa.list_(pa.struct([("r", pa.int32()), ("c", pa.int32()), ("cost", pa.float64()), ("d", pa.int64()), ("sr", pa.int32()), ("sc", pa.int32())]))
+_TILE = {"tr": pa.int32(), "tc": pa.int32(), "version": pa.int32(), "at": pa.list_(pa.int32()), "cost": pa.list_(pa.float64()), "d": pa.list_(pa.int64()), "source": pa.list_(pa.int64()), "back": pa.list_(pa.int32()), "border": _BORDER}
+_TILES = (
+    "scene string, tr int, tc int, version int, at array<int>, cost array<double>, d array<long>, source array<long>, back array<int>, "
+    "border array<struct<r:int,c:int,cost:double,d:long,sr:int,sc:int>>"
+)
 
 
 def stepped(x: float) -> float:
-    """Steps are whole numbers of GRAIN, so that sums below 2**29 are exact and ties are ties in any order of work."""
+    """A step's cost as a whole number of GRAIN."""
     return round(x / GRAIN) * GRAIN
 
 
-def relaxed(model: str, tile: int):
-    steps = D4 if model == "node" else D8
+class Tile:
+    """A tile with a ring of its neighbours' cells; cells are numbers in a square of tile + 2 cells, row by row."""
 
-    def relax(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr, tc = int(pdf["tr"].iloc[0]), int(pdf["tc"].iloc[0])
-        cost, label = {}, {}
-        for r, c, k, d, sr, sc, pr, pc in pdf[["r", "c", "cost", "d", "sr", "sc", "pr", "pc"]].itertuples(index=False):
-            cost[r, c] = k
-            label[r, c] = (d, sr, sc, pr, pc) if d == d else (math.inf, -1, -1, -1, -1)
-        heap = [(*label[p][:3], *p) for p in label if label[p][0] < math.inf]
+    def __init__(self, model: str, tile: int, tr: int, tc: int):
+        self.node, self.tile, self.width, self.r0, self.c0 = model == "node", tile, tile + 2, tr * tile - 1, tc * tile - 1
+        n = self.width**2
+        self.cost, self.d, self.source, self.back = [-1.0] * n, [_FAR] * n, [-1] * n, [-1] * n
+        self.steps = [(i * self.width + j, length / GRAIN) for i, j, length in (D4 if self.node else D8)]
+
+    def at(self, r: int, c: int) -> int:
+        return (r - self.r0) * self.width + c - self.c0
+
+    def place(self, at: int) -> tuple[int, int]:
+        return self.r0 + at // self.width, self.c0 + at % self.width
+
+    def own(self, at: int) -> bool:
+        return 0 < at // self.width <= self.tile and 0 < at % self.width <= self.tile
+
+    def relax(self, starts: list[int]) -> None:
+        cost, d, source, back, node = self.cost, self.d, self.source, self.back, self.node
+        inside = [self.own(at) and k >= 0 for at, k in enumerate(cost)]
+        heap = [(d[at], source[at], at) for at in starts]
         heapq.heapify(heap)
         while heap:
-            d, sr, sc, r, c = heapq.heappop(heap)
-            if label[r, c][:3] != (d, sr, sc):
+            far, src, at = heapq.heappop(heap)
+            if far != d[at] or src != source[at]:
                 continue
-            for i, j, length in steps:
-                at = (r + i, c + j)
-                if at in cost and at[0] // tile == tr and at[1] // tile == tc:
-                    step = stepped(cost[at] if model == "node" else (cost[r, c] + cost[at]) / 2 * length)
-                    new = (d + step, sr, sc)
-                    if new < label[at][:3]:
-                        label[at] = (*new, r, c)
-                        heapq.heappush(heap, (*new, *at))
-        own = [(pdf["scene"].iloc[0], r, c, cost[r, c], *label[r, c]) for r, c in cost if r // tile == tr and c // tile == tc]
-        out = pd.DataFrame(own, columns=["scene", "r", "c", "cost", "d", "sr", "sc", "pr", "pc"])
-        return out.astype({"r": "int32", "c": "int32", "sr": "int32", "sc": "int32", "pr": "int32", "pc": "int32"})
-
-    return relax
+            here = cost[at]
+            for shift, length in self.steps:
+                to = at + shift
+                if not 0 <= to < len(cost) or not inside[to]:
+                    continue
+                step = round(cost[to] / GRAIN if node else (here + cost[to]) / 2 * length)
+                new = far + step
+                if new < d[to] or new == d[to] and src < source[to]:
+                    d[to], source[to], back[to] = new, src, at
+                    heapq.heappush(heap, (new, src, to))
+                elif step and new == d[to] and src == source[to] and back[to] > at:
+                    back[to] = at
+
+    def row(self, scene, tr: int, tc: int, version: int, cells: list[int], before: dict[int, tuple]) -> pa.Table:
+        """The tile's row; its border holds the labels that are not those of before."""
+        low, high = 1, self.tile
+        edge = [at for at in cells if at // self.width in (low, high) or at % self.width in (low, high)]
+        border = []
+        for at in edge:
+            if self.d[at] < _FAR and before.get(at) != (self.d[at], self.source[at]):
+                r, c = self.place(at)
+                border.append({"r": r, "c": c, "cost": self.cost[at], "d": self.d[at], "sr": self.source[at] >> 32, "sc": self.source[at] & 0xFFFFFFFF})
+        pick = lambda values: [[values[at] for at in cells]]
+        values = {"tr": [tr], "tc": [tc], "version": [version], "at": [cells], "cost": pick(self.cost), "d": pick(self.d), "source": pick(self.source), "back": pick(self.back), "border": [border]}
+        return pa.table({"scene": pa.array([scene], pa.string()), **{n: pa.array(v, _TILE[n]) for n, v in values.items()}})
+
+
+def started(model: str, tile: int):
+    def start(cells: pa.Table) -> pa.Table:
+        """cells of a tile: scene, tr, tc, r, c, cost, seed. The tile after its first run."""
+        scene, tr, tc = (cells[n][0].as_py() for n in _KEY)
+        t = Tile(model, tile, tr, tc)
+        r, c = cells["r"].to_numpy(), cells["c"].to_numpy()
+        order = np.lexsort((c, r))
+        at = [t.at(int(a), int(b)) for a, b in zip(r[order], c[order], strict=True)]
+        seeds = []
+        for k, cost, seed in zip(at, cells["cost"].to_numpy()[order].tolist(), cells["seed"].to_numpy()[order].tolist(), strict=True):
+            t.cost[k] = cost
+            if seed:
+                a, b = t.place(k)
+                t.d[k], t.source[k] = 0, a << 32 | b
+                seeds.append(k)
+        t.relax(seeds)
+        return t.row(scene, tr, tc, 0, at, {})
+
+    return start
+
+
+def continued(model: str, tile: int, version: int):
+    def go_on(rows: pa.Table) -> pa.Table:
+        """A tile's newest row and the border cells of its neighbours that changed (halo)."""
+        x = rows.to_pylist()[0]
+        t = Tile(model, tile, x["tr"], x["tc"])
+        for at, cost, d, source, back in zip(x["at"], x["cost"], x["d"], x["source"], x["back"], strict=True):
+            t.cost[at], t.d[at], t.source[at], t.back[at] = cost, d, source, back
+        before = {at: (t.d[at], t.source[at]) for at in x["at"]}
+        starts = []
+        for h in x["halo"]:
+            at = t.at(h["r"], h["c"])
+            t.cost[at], t.d[at], t.source[at] = h["cost"], h["d"], h["sr"] << 32 | h["sc"]
+            starts.append(at)
+        t.relax(starts)
+        return t.row(x["scene"], x["tr"], x["tc"], version, x["at"], before)
+
+    return go_on
 
 
 def allocated(cells: DataFrame, cost: str, source: str, *, model: str = "geometric", tile: int = 256, most_rounds: int = 1000) -> DataFrame:
@@ -67,42 +142,35 @@ def allocated(cells: DataFrame, cost: str, source: str, *, model: str = "geometr
     if model not in ("geometric", "node"):
         raise ValueError(f"model {model!r}")
     finite = F.col(cost).isNotNull() & (F.col(cost) >= 0) & (F.col(cost) < float("inf"))
-    seed = F.col(source).isNotNull()
-    start = lambda x: F.when(seed, F.col(x)).otherwise(-1).cast("int")
-    none = F.lit(-1).cast("int")
-    rows = cells.filter(finite).select(
-        "scene", "r", "c", F.col(cost).cast("double").alias("cost"), F.when(seed, 0.0).otherwise(float("inf")).alias("d"),
-        start("r").alias("sr"), start("c").alias("sc"), none.alias("pr"), none.alias("pc"),
-    )
-    rows = durable(rows)
-    in_tile = {"tr": F.expr(f"cast(floor(r / {tile}) as int)"), "tc": F.expr(f"cast(floor(c / {tile}) as int)")}
-    tiles = durable(rows.withColumns(in_tile).select("scene", "tr", "tc").distinct())
+    tile_of = lambda x: F.expr(f"cast(floor({x} / {tile}) as int)")
+    rows = cells.filter(finite).select("scene", tile_of("r").alias("tr"), tile_of("c").alias("tc"), "r", "c", F.col(cost).cast("double").alias("cost"), F.col(source).isNotNull().alias("seed"))
+    rounds = [durable(rows.groupBy(*_KEY).applyInArrow(started(model, tile), _TILES))]
     shifts = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))
-    edge = f"pmod(r, {tile}) IN (0, {tile - 1}) OR pmod(c, {tile}) IN (0, {tile - 1})"
-    fresh, awake = None, rows.filter("d = 0").withColumns(in_tile).select("scene", "tr", "tc").distinct()
-    for _ in range(most_rounds):
-        own = rows.withColumns(in_tile)
-        busy = own.join(awake, ["scene", "tr", "tc"], "left_semi").select(*own.columns)
-        work = busy if fresh is None else busy.unionByName(fresh)
-        done = work.groupBy("scene", "tr", "tc").applyInPandas(relaxed(model, tile), _CELL)
-        rest = own.join(awake, ["scene", "tr", "tc"], "left_anti").drop("tr", "tc")
-        after = durable(done.unionByName(rest))
-        # border cells whose labels changed are the next halo of the tiles they touch; those tiles run again
-        was = rows.filter(edge).select("scene", "r", "c", F.struct("d", "sr", "sc").alias("was"))
-        if fresh is None:  # sources on the border have had their labels from the start
-            changed = after.filter(edge).filter(F.col("d") < float("inf"))
-        else:
-            changed = after.filter(edge).join(was, ["scene", "r", "c"]).filter(F.struct("d", "sr", "sc") != F.col("was")).drop("was")
-        halo = changed.withColumn("s", F.explode(shifts)).withColumns({
-            "tr": F.expr(f"cast(floor((r + s.i) / {tile}) as int)"), "tc": F.expr(f"cast(floor((c + s.j) / {tile}) as int)")
-        }).filter(f"floor(r / {tile}) <> tr OR floor(c / {tile}) <> tc").drop("s").distinct()
-        fresh, rows = durable(halo.join(tiles, ["scene", "tr", "tc"], "left_semi").select(*own.columns)), after
-        awake = fresh.select("scene", "tr", "tc").distinct()
-        if fresh.isEmpty():
-            reached = rows.filter(F.col("d") < float("inf"))
-            back = lambda x: F.when(F.col("pr") >= 0, F.col(x))
-            return reached.select("scene", "r", "c", "d", "sr", "sc", back("pr").alias("pr"), back("pc").alias("pc"))
-    raise RuntimeError(f"allocated: no end after {most_rounds} rounds")
+    for version in range(1, most_rounds + 1):
+        every = reduce(DataFrame.unionByName, rounds)
+        sent = rounds[-1].select("scene", F.col("tr").alias("from_r"), F.col("tc").alias("from_c"), F.explode("border").alias("h")).withColumn("s", F.explode(shifts))
+        sent = sent.withColumns({"tr": tile_of("(h.r + s.i)"), "tc": tile_of("(h.c + s.j)")}).filter("tr <> from_r OR tc <> from_c")
+        halo = sent.groupBy(*_KEY).agg(F.collect_set("h").alias("halo"))  # the border cells around one tile at most
+        newest = every.groupBy(*_KEY).agg(F.max("version").alias("version"))
+        awake = durable(halo.join(newest, _KEY))
+        if awake.isEmpty():
+            break
+        work = every.drop("border").join(awake, [*_KEY, "version"])
+        rounds.append(durable(work.groupBy(*_KEY).applyInArrow(continued(model, tile, version), _TILES)))
+    else:
+        raise RuntimeError(f"allocated: no end after {most_rounds} rounds")
+    last = every
+    if len(rounds) > 1:
+        last = every.join(every.groupBy(*_KEY).agg(F.max("version").alias("version")), [*_KEY, "version"])
+    flat = last.select(*_KEY, F.explode(F.arrays_zip("at", "d", "source", "back")).alias("x")).filter(F.col("x.d") < _FAR)
+    width = tile + 2
+    r_of = lambda x: F.expr(f"cast(tr * {tile} - 1 + x.{x} div {width} as int)")
+    c_of = lambda x: F.expr(f"cast(tc * {tile} - 1 + x.{x} % {width} as int)")
+    back = lambda x: F.when(F.col("x.back") >= 0, x)
+    return flat.select(
+        "scene", r_of("at").alias("r"), c_of("at").alias("c"), (F.col("x.d") * GRAIN).alias("d"), F.shiftright("x.source", 32).cast("int").alias("sr"),
+        F.col("x.source").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("sc"), back(r_of("back")).alias("pr"), back(c_of("back")).alias("pc"),
+    )
 
 
 def cost_fill(cells: DataFrame, value: str, cost: str, out: str, *, target: Column | None = None, **options) -> DataFrame:

@@ -5,6 +5,7 @@ fine: scene, r, c, dem. coarse: scene, br, bc, wse. f: fine cells along a coarse
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -42,7 +43,7 @@ class Settings:
             raise ValueError(f"decay methods {sorted(unknown)}")
 
     def reach(self, f: int) -> int | None:
-        return None if self.cap is None else max(1, int(self.cap * f))
+        return None if self.cap is None else max(1, math.ceil(self.cap * f))
 
 
 def resampled(fine: DataFrame, coarse: DataFrame, f: int) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from wetcell.functions import cell
 from wetcell.operators import cost, distance, regions, stencil
 from wetcell.plans import growth, pluvial, validation
+from wetcell.queries import oracles
 from wetcell.queries.fixtures import CAP, EMB_SQL, F4, REACH, SCN_SQL, emb, scn, water
 from wetcell.storage import durable
 
 QUERIES, SQL = {}, {}
 KEY = ("scene", "r", "c")
 TILE = 128
+THREE = {"linear": {"decay_frac": 0.001}, "slope_linear": {"decay_frac": 0.0001}, "slope_power": {"c": 0.00001, "n": 1.1}}
 
 
 def query(name: str, sql: str | None = None):
@@ -159,7 +161,7 @@ def n10(spark, sf):
     return stencil.ssim_chips(predicted(spark, sf), ["scene"], "obs", "pred").select("scene", F.round("ssim", 6).alias("ssim"))
 
 
-@query("n11_uniform_distance")
+@query("n11_uniform_distance", SCN_SQL + oracles.allocated("lab", "SELECT scene, r, c, CASE WHEN c % 13 <> 0 THEN 1 END AS cost, wse2 IS NOT NULL AS src FROM wp") + f"SELECT scene, r, c, k[1]::DOUBLE / {oracles.GRAIN} AS d FROM lab")
 def n11(spark, sf):
     return cost.uniform_distance(partial(spark, sf, True), "wse2", F.col("c") % 13 != 0, tile=TILE)
 
@@ -175,23 +177,38 @@ def penalty(spark, sf: str) -> DataFrame:
     return partial(spark, sf, True).withColumn("cost", F.when(F.col("dem") < 250, 1 + F.abs("dem") / 64))
 
 
-@query("c2_accumulated_cost")
+PENALTY = SCN_SQL + oracles.allocated("lab", "SELECT scene, r, c, CASE WHEN dem < 250 THEN 1 + abs(dem) / 64 END AS cost, wse2 IS NOT NULL AS src FROM wp")
+
+
+@query("c1_node_cost_d4_varying", SCN_SQL + oracles.allocated("lab", "SELECT scene, r, c, CASE WHEN dem < 250 THEN 1 + abs(dem) / 64 END AS cost, wse2 IS NOT NULL AS src FROM wp", node=True) + f"SELECT scene, r, c, k[1]::DOUBLE / {oracles.GRAIN} AS d, k[2] AS sr, k[3] AS sc FROM lab")
+def c1_varying(spark, sf):
+    return cost.allocated(durable(penalty(spark, sf)), "cost", "wse2", model="node", tile=TILE).select(*KEY, "d", "sr", "sc")
+
+
+@query("c2_accumulated_cost", PENALTY + f"SELECT scene, r, c, round(k[1]::DOUBLE / {oracles.GRAIN}, 6) AS d FROM lab")
 def c2(spark, sf):
     return cost.allocated(durable(penalty(spark, sf)), "cost", "wse2", tile=TILE).select(*KEY, F.round("d", 6).alias("d"))
 
 
-@query("c3_accumulated_slope")
+SLOPE = EDGES + """, slopes AS (
+  SELECT scene, r, c, 100 * sqrt(gx * gx + gy * gy) / 8.0::DOUBLE AS slope FROM (
+    SELECT f.scene, f.r, f.c, sum((n.c - f.c) * (2 - abs(n.r - f.r)) * n.dem) AS gx, sum((n.r - f.r) * (2 - abs(n.c - f.c)) * n.dem) AS gy
+    FROM fine f JOIN full_ n ON n.scene = f.scene AND abs(n.r - f.r) <= 1 AND abs(n.c - f.c) <= 1 GROUP BY ALL))
+""" + oracles.allocated("climb", "SELECT scene, r, c, slope AS cost, wse2 IS NOT NULL AS src FROM slopes JOIN wp USING (scene, r, c)") + f", acc AS (SELECT scene, r, c, k[1]::DOUBLE / {oracles.GRAIN} AS accumulated FROM climb)\n"
+
+
+@query("c3_accumulated_slope", SCN_SQL + SLOPE + "SELECT scene, r, c, accumulated FROM acc")
 def c3(spark, sf):
     rows = durable(stencil.slope_horn(partial(spark, sf, True)))
     return cost.accumulated_slope(rows, "slope", "wse2", tile=TILE)
 
 
-@query("c4_cost_allocation")
+@query("c4_cost_allocation", PENALTY + oracles.valued("lab", "wp", "wse2", "fill") + "SELECT scene, r, c, fill FROM fine LEFT JOIN lab_v USING (scene, r, c)")
 def c4(spark, sf):
     return cost.cost_fill(durable(penalty(spark, sf)), "wse2", "cost", "fill", tile=TILE).select(*KEY, "fill")
 
 
-@query("c5_zones")
+@query("c5_zones", PENALTY + "SELECT scene, r, c, (k[2] * 64 + k[3])::BIGINT AS zone FROM fine LEFT JOIN lab USING (scene, r, c)")
 def c5(spark, sf):
     return cost.cost_fill(durable(penalty(spark, sf)), "wse2", "cost", "fill", tile=TILE).select(*KEY, F.col("fill_zone").alias("zone"))
 
@@ -206,23 +223,35 @@ def c6(spark, sf):
     return cost.allocated(rows, "one", "wse2", model="node", tile=TILE).select(*KEY, "d")
 
 
-@query("c7_backlinks")
+@query("c6_barriers_varying", SCN_SQL + oracles.allocated("lab", "SELECT scene, r, c, CASE WHEN r % 7 <> 3 OR c % 5 = 0 THEN 1 + abs(dem) / 64 WHEN c % 2 = 0 THEN -1 END AS cost, wse2 IS NOT NULL AND c < 20 AS src FROM wp") + f"SELECT scene, r, c, k[1]::DOUBLE / {oracles.GRAIN} AS d FROM lab")
+def c6_varying(spark, sf):
+    """Walls of null and negative costs with a gap at every fifth column, sources at the left alone: paths go around."""
+    price = F.when((F.col("r") % 7 != 3) | (F.col("c") % 5 == 0), 1 + F.abs("dem") / 64).when(F.col("c") % 2 == 0, -1.0)
+    rows = partial(spark, sf, True).withColumns({"cost": price, "source": F.when(F.col("c") < 20, F.col("wse2"))})
+    return cost.allocated(durable(rows), "cost", "source", tile=32).select(*KEY, "d")
+
+
+@query("c7_backlinks", PENALTY + oracles.backlinks("lab") + "SELECT scene, r, c, pr, pc FROM lab_b")
 def c7(spark, sf):
     return cost.allocated(durable(penalty(spark, sf)), "cost", "wse2", tile=TILE).select(*KEY, "pr", "pc")
 
 
-@query("c8_paths")
+@query("c8_paths", PENALTY + oracles.backlinks("lab") + """, walk AS (
+  SELECT scene, r, c, 0::BIGINT AS steps, r AS sr, c AS sc FROM lab_b WHERE pr IS NULL
+  UNION ALL
+  SELECT b.scene, b.r, b.c, w.steps + 1, w.sr, w.sc FROM walk w JOIN lab_b b ON b.scene = w.scene AND b.pr = w.r AND b.pc = w.c)
+SELECT scene, r, c, steps, sr, sc FROM walk""")
 def c8(spark, sf):
     links = durable(cost.allocated(durable(penalty(spark, sf)), "cost", "wse2", tile=TILE))
     return cost.paths(links.select(*KEY, "pr", "pc"), links)
 
 
-@query("c9_target_mask")
+@query("c9_target_mask", PENALTY + oracles.valued("lab", "wp", "wse2", "fill") + "SELECT scene, r, c, CASE WHEN r % 2 = 0 THEN fill ELSE wse2 END AS fill FROM wp LEFT JOIN lab_v USING (scene, r, c)")
 def c9(spark, sf):
     return cost.cost_fill(durable(penalty(spark, sf)), "wse2", "cost", "fill", target=F.col("r") % 2 == 0, tile=TILE).select(*KEY, "fill")
 
 
-@query("c10_terrain_fill")
+@query("c10_terrain_fill", SCN_SQL + oracles.TERRAIN + "SELECT scene, r, c, fill FROM fine LEFT JOIN paid_v USING (scene, r, c)")
 def c10(spark, sf):
     fine = scn(spark, sf)
     coarse = water(fine)
@@ -291,6 +320,12 @@ def x1(spark, sf):
     return downscaled(spark, sf).select(*KEY, "wse1", "wse2", "wse3", "wse4")
 
 
+@query("x1_neutral_euclidean", EMB_SQL + oracles.downscaled("e", "euclidean", 2.6) + "SELECT scene, r, c, within, wse3, wse4 FROM final_e")
+def x1_euclidean(spark, sf):
+    """A cap that is no whole number of cells."""
+    return downscaled(spark, sf, cap=2.6, distance_fill_method="euclidean").select(*KEY, "within", "wse3", "wse4")
+
+
 @query("x1_neutral_depth", EMB_SQL + "SELECT scene, r, c, greatest(coalesce(wse4, dem) - dem, 0) AS wsh FROM final")
 def x1_depth(spark, sf):
     return downscaled(spark, sf, as_wsh=True).select(*KEY, "wsh")
@@ -301,10 +336,23 @@ def x9(spark, sf):
     return downscaled(spark, sf, True).groupBy("scene").agg(F.count("wse2").alias("partial"), F.count("wse3").alias("grown"), F.count("wse4").alias("final"), F.sum("wse2").alias("total"))
 
 
-@query("x2_terrain_penalty")
+NO_SLOPES = ", acc AS (SELECT scene, r, c, 0.0::DOUBLE AS accumulated FROM fine)\n"
+LINEAR = "CASE WHEN wse2 IS NULL THEN g.away * 0.001::DOUBLE ELSE 0 END"
+DECAYS = f"{LINEAR} + accumulated * 0.0001::DOUBLE + pow(accumulated, 1.1::DOUBLE) * 0.00001::DOUBLE".replace("wse2", "w.wse2")
+TERRAIN = oracles.TERRAIN.replace("full_", "filled_")
+
+
+@query("p11_sum_of_decays", SCN_SQL + SLOPE + f"SELECT w.scene, w.r, w.c, round({DECAYS}, 6) AS v FROM wp w JOIN grown g USING (scene, r, c) JOIN acc USING (scene, r, c)")
+def p11(spark, sf):
+    own = growth.Settings(cap=2, tile=TILE, decay=THREE)
+    rows = distance.filled(partial(spark, sf, True), "wse2", "fill", own.reach(F4)).withColumnRenamed("fill_d", "away")
+    rows, total = growth.decay(durable(rows), own)
+    return rows.select(*KEY, F.round(total, 6).alias("v"))
+
+
+@query("x2_terrain_penalty", SCN_SQL + SLOPE + TERRAIN + oracles.penalised("p", DECAYS) + "SELECT scene, r, c, round(wse4, 6) AS wse4 FROM final_p")
 def x2(spark, sf):
-    decay = {"linear": {"decay_frac": 0.001}, "slope_linear": {"decay_frac": 0.0001}, "slope_power": {"c": 0.00001, "n": 1.1}}
-    return downscaled(spark, sf, True, distance_fill="terrain_penalty", decay=decay).select(*KEY, F.round("wse4", 6).alias("wse4"))
+    return downscaled(spark, sf, True, distance_fill="terrain_penalty", decay=THREE).select(*KEY, F.round("wse4", 6).alias("wse4"))
 
 
 @query("x3_pluvial")
@@ -315,13 +363,39 @@ def x3(spark, sf):
     return rows.select(*KEY, "wse_base", "wse")
 
 
-@query("x4_mcp")
+MCP = oracles.allocated("plain", "SELECT scene, r, c, 1 AS cost, wse2 IS NOT NULL AS src FROM wp") + oracles.valued("plain", "wp", "wse2", "flat") + oracles.allocated(
+    "dear", "SELECT w.scene, w.r, w.c, CASE WHEN flat - dem > 0 THEN 1 ELSE 1 + abs(flat - dem) * 0.01::DOUBLE END AS cost, wse2 IS NOT NULL AS src FROM wp w JOIN plain_v USING (scene, r, c)"
+) + oracles.valued("dear", "wp", "wse2", "fill") + """, merged AS (
+  SELECT w.*, CASE WHEN wse2 IS NOT NULL THEN wse2 WHEN flat_cost / 4 <= 2 AND fill - flat_cost * 0.001::DOUBLE > dem THEN fill - flat_cost * 0.001::DOUBLE END AS wse3
+  FROM wp w LEFT JOIN plain_v USING (scene, r, c) LEFT JOIN dear_v USING (scene, r, c))
+"""
+
+
+@query("p14_mcp_merge", SCN_SQL + MCP + "SELECT scene, r, c, round(wse3, 6) AS wse3 FROM merged")
+def p14(spark, sf):
+    fine = scn(spark, sf)
+    return growth.downscale_mcp(fine, water(fine), F4, cap=2, scale=0.01, tile=TILE).select(*KEY, F.round("wse3", 6).alias("wse3"))
+
+
+@query("x4_mcp", SCN_SQL + MCP + oracles.isolated("m", "merged") + "SELECT scene, r, c, round(wse4, 6) AS wse4 FROM final_m")
 def x4(spark, sf):
     fine = scn(spark, sf)
     return growth.downscale_mcp(fine, water(fine), F4, cap=2, scale=0.01, tile=TILE).select(*KEY, F.round("wse4", 6).alias("wse4"))
 
 
-@query("x8_terrain_example")
+SHADE = """, shaded AS (
+  SELECT scene, r, c, (shade - min(shade) OVER w) / (max(shade) OVER w - min(shade) OVER w) AS shade FROM (
+    SELECT scene, r, c, sin(radians(45)) * sin(pi() / 2 - atan(sqrt(gx * gx + gy * gy))) + cos(radians(45)) * cos(pi() / 2 - atan(sqrt(gx * gx + gy * gy))) * cos(radians(315) - atan2(-gx, gy)) AS shade FROM (
+      SELECT f.scene, f.r, f.c, (e.dem - v.dem) / (e.c - v.c) AS gx, (s.dem - n.dem) / (s.r - n.r) AS gy FROM fine f JOIN (SELECT scene, max(r) AS h, max(c) AS w FROM fine GROUP BY scene) z USING (scene)
+      JOIN fine e ON e.scene = f.scene AND e.r = f.r AND e.c = least(f.c + 1, w) JOIN fine v ON v.scene = f.scene AND v.r = f.r AND v.c = greatest(f.c - 1, 0)
+      JOIN fine s ON s.scene = f.scene AND s.c = f.c AND s.r = least(f.r + 1, h) JOIN fine n ON n.scene = f.scene AND n.c = f.c AND n.r = greatest(f.r - 1, 0)))
+  WINDOW w AS (PARTITION BY scene))
+"""
+
+
+@query("x8_terrain_example", SCN_SQL + NO_SLOPES + TERRAIN + oracles.penalised("p", LINEAR.replace("wse2", "w.wse2")) + SHADE + oracles.allocated(
+    "cheap", "SELECT scene, r, c, CASE WHEN wse1 - dem > 0 THEN 1 ELSE 1 + abs(wse1 - dem) END AS cost, wse2 IS NOT NULL AS src FROM wp"
+) + f"SELECT scene, r, c, round(wse4, 6) AS wse4, round(shade, 6) AS shade, round(k[1]::DOUBLE / {oracles.GRAIN}, 6) AS accumulated, round(CASE WHEN wse2 IS NULL THEN away * 0.001::DOUBLE ELSE 0 END, 6) AS decay FROM final_p JOIN shaded USING (scene, r, c) LEFT JOIN cheap USING (scene, r, c)")
 def x8(spark, sf):
     fine = scn(spark, sf)
     rows = validation.terrain_example(fine, water(fine), F4, growth.Settings(distance_fill="terrain_penalty", cap=2, tile=TILE))

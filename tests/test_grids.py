@@ -76,7 +76,7 @@ def random_grid(spark, h=23, w=31, seed=1):
 @pytest.mark.parametrize("metric,measure", [("chessboard", lambda a, b: max(a, b)), ("taxicab", lambda a, b: a + b), ("euclidean", math.hypot)])
 def test_nearest_without_bound(spark, metric, measure):
     cells, wet, price = random_grid(spark)
-    got = distance.nearest(cells, "wse", metric, reach=2).collect()
+    got = distance.nearest(cells, "wse", metric).collect()
     assert len(got) == len(price)
     for row in got:
         best = min((measure(abs(row.r - sr), abs(row.c - sc)), (row.r - sr) ** 2 + (row.c - sc) ** 2, sr, sc) for sr, sc in wet)

@@ -1,20 +1,21 @@
 """Distance to the nearest wet cell, and what that cell holds (N1-N5).
 
-Two window passes: along rows each cell takes the nearest wet cell of its row (the left one of two), then along columns
-it picks among the rows at most `reach` away. That is exact for cells whose distance is at most `reach`; without a
-bound, the cells that are left are done again with a doubled reach.
+Two passes: along rows each cell takes the nearest wet cell of its row (the left one of two), by windows; then along
+columns it picks among the rows, nearest rows first, until no farther one can be nearer: the work depends on the distances
+there are, not on the bound. With a bound, grids are cut into bands of rows with the rows around them.
 Ties: (distance, squared Euclidean distance, source row, source column).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wetcell.storage import durable
-
 METRICS = ("chessboard", "taxicab", "euclidean")
+ROWS, COLUMNS = 1024, 64  # of a group of cells with a bound
 
 
 def measured(metric: str, dr: Column, dc: Column) -> Column:
@@ -37,42 +38,95 @@ def row_pass(cells: DataFrame, value: str) -> DataFrame:
     return rows.withColumn("s", F.when(take_east, F.col("east")).otherwise(F.col("west"))).drop("own", "west", "east")
 
 
+def column_pass(metric: str, reach: int | None):
+    """A function of a group's rows (scene, r, c, sc, v, halo): near for its own cells. Rows are looked at in order of
+    their distance, until no farther one can be nearer, all columns of the group at once."""
+    size = (lambda dr, dc: np.maximum(dr, dc)) if metric == "chessboard" else (lambda dr, dc: dr + dc) if metric == "taxicab" else (lambda dr, dc: dr * dr + dc * dc)
+    most = None if reach is None else reach * reach if metric == "euclidean" else reach
+    far = np.int64(2**62)
+
+    def find(rows: pa.Table) -> pa.Table:
+        r, c, halo = rows["r"].to_numpy().astype(np.int64), rows["c"].to_numpy().astype(np.int64), rows["halo"].to_numpy()
+        r0, c0 = r.min(), c.min()
+        h, w = int(r.max() - r0 + 1), int(c.max() - c0 + 1)
+        source, index = np.full((h, w), -1, np.int64), np.full((h, w), -1, np.int64)
+        sc = rows["sc"].to_numpy()
+        held = ~np.isnan(sc) if sc.dtype.kind == "f" else np.ones(len(sc), bool)
+        source[r[held] - r0, c[held] - c0] = sc[held].astype(np.int64)
+        index[r - r0, c - c0] = np.arange(len(r))
+        own = np.flatnonzero(~halo)
+        y, x = r[own] - r0, c[own] - c0
+        d, d2, sr, best = (np.full(len(own), far), np.full(len(own), far), np.full(len(own), far), np.full(len(own), -1))
+        open_, k = np.arange(len(own)), 0
+        while len(open_) and k <= max(h, 1) and (most is None or int(size(np.int64(k), np.int64(0))) <= most):
+            for step in (-k, k) if k else (0,):
+                at = y[open_] + step
+                inside = (at >= 0) & (at < h)
+                i, at = open_[inside], at[inside]
+                s = source[at, x[i]]
+                i, at, s = i[s >= 0], at[s >= 0], s[s >= 0]
+                dc = np.abs(s - (x[i] + c0))
+                new, new2 = size(np.int64(k), dc), k * k + dc * dc
+                better = (new < d[i]) | (new == d[i]) & ((new2 < d2[i]) | (new2 == d2[i]) & (at + r0 < sr[i]))
+                i, at = i[better], at[better]
+                d[i], d2[i], sr[i], best[i] = new[better], new2[better], at + r0, index[at, x[i]]
+            k += 1
+            open_ = open_[d[open_] >= size(np.int64(k), np.int64(0))]
+        got = best >= 0
+        if most is not None:
+            got &= d <= most
+        take = pa.array(np.where(got, best, 0), mask=~got)
+        length = np.sqrt(d2.astype(float)) if metric == "euclidean" else d.astype(float)
+        near = {"d": pa.array(length, mask=~got), "d2": pa.array(d2, mask=~got), "sr": pa.array(sr.astype(np.int64), mask=~got).cast(pa.int32(), safe=False), "sc": rows["sc"].take(take).combine_chunks(), "v": rows["v"].take(take).combine_chunks()}
+        near = pa.StructArray.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in near.values()], names=list(near), mask=pa.array(~got))
+        keys = {n: rows[n].take(pa.array(own)) for n in ("scene", "r", "c")}
+        return pa.table({**keys, "near": near})
+
+    return find
+
+
+def searched(cells: DataFrame, value: str, metric: str, reach: int | None) -> DataFrame:
+    """Adds near: d, d2, sr, sc, v. Groups are bands of columns; with a reach also of rows, with the rows around them."""
+    if metric not in METRICS:
+        raise ValueError(f"metric {metric!r} is none of {METRICS}")
+    rows = row_pass(cells.select("scene", "r", "c", F.col(value)), value)
+    rows = rows.select("scene", "r", "c", F.col("s.sc").alias("sc"), F.col("s.v").alias("v"))
+    kind = rows.schema["v"].dataType.simpleString()
+    if reach is None:
+        rows = rows.withColumns({"band": F.lit(0), "halo": F.lit(False)})
+        wide = 1  # a column is in one task, whatever its length
+    else:
+        high, wide = max(ROWS, 2 * reach), COLUMNS
+        own = F.expr(f"cast(floor(r / {high}) as int)")
+        bands = F.sequence(F.expr(f"cast(floor((r - {reach}) / {high}) as int)"), F.expr(f"cast(floor((r + {reach}) / {high}) as int)"))
+        rows = rows.withColumn("own", own).withColumn("band", F.explode(bands)).withColumn("halo", F.col("band") != F.col("own")).drop("own")
+    group = rows.groupBy("scene", "band", F.expr(f"c div {wide}"))
+    near = group.applyInArrow(column_pass(metric, reach), f"scene string, r int, c int, near struct<d:double,d2:long,sr:int,sc:int,v:{kind}>")
+    return cells.join(near, ["scene", "r", "c"], "left")
+
+
 def nearest_within(cells: DataFrame, value: str, reach: int, metric: str = "chessboard") -> DataFrame:
     """Adds near: (d, d2, sr, sc, v) of the nearest valid cell, null if its distance is over reach.
-    d is the distance in cells; for euclidean d2 is exact and d its root."""
-    rows = row_pass(cells, value)
-    column = W.partitionBy("scene", "c").orderBy("r").rangeBetween(-reach, reach)
-    rows = rows.withColumn("all", F.collect_list("s").over(column))
+    d is the distance in cells; for euclidean d2 is exact and d its root. Cells have to be unique in scene, r, c."""
+    return searched(cells, value, metric, reach)
 
-    def ranked(s: Column) -> Column:
-        dr, dc = s["sr"] - F.col("r"), s["sc"] - F.col("c")
-        return F.struct(measured(metric, dr, dc).alias("d"), (dr * dr + dc * dc).alias("d2"), s["sr"].alias("sr"), s["sc"].alias("sc"), s["v"].alias("v"))
 
-    rows = rows.withColumn("near", F.array_min(F.transform("all", ranked))).drop("all", "s")
-    most = reach * reach if metric == "euclidean" else reach
-    d = F.sqrt(F.col("near.d2").cast("double")) if metric == "euclidean" else F.col("near.d").cast("double")
-    return rows.withColumn("near", F.when(F.col("near.d") <= most, F.struct(d.alias("d"), "near.d2", "near.sr", "near.sc", "near.v")))
+def nearest(cells: DataFrame, value: str, metric: str = "chessboard") -> DataFrame:
+    """Without a bound. A scene without valid cells is left null."""
+    return searched(cells, value, metric, None)
 
 
-def nearest(cells: DataFrame, value: str, metric: str = "chessboard", reach: int = 64) -> DataFrame:
-    """Without a bound. A scene without valid cells is left null."""
-    wet = cells.groupBy("scene").agg(F.max("r").alias("_h"), F.max("c").alias("_w"), F.count(value).alias("_n"))
-    rows, done = cells, None
-    while True:
-        found = durable(nearest_within(rows, value, reach, metric))
-        if done is not None:
-            keep = [*rows.columns]
-            found = done.select(*keep, "near").unionByName(found.join(done.select("scene", "r", "c"), ["scene", "r", "c"], "left_anti").select(*keep, "near"))
-            found = durable(found)
-        open_ = found.filter("near IS NULL").join(wet.filter((F.col("_n") > 0) & (F.col("_h") + F.col("_w") >= reach)), "scene", "left_semi")
-        if open_.isEmpty():
-            return found
-        done, reach = durable(found.filter("near IS NOT NULL")), reach * 2
+def require_mask(cells: DataFrame, value: str) -> None:
+    """Raises if a scene has no valid cell to fill from, or none to fill."""
+    counts = cells.groupBy("scene").agg(F.count(value).alias("valid"), F.count(F.lit(1)).alias("all"))
+    bad = counts.filter((F.col("valid") == 0) | (F.col("valid") == F.col("all"))).limit(5).collect()
+    if bad:
+        raise ValueError("nearest fill: " + "; ".join(f"{x['scene']}: {'no valid cell' if not x['valid'] else 'nothing to fill'}" for x in bad))
 
 
 def filled(cells: DataFrame, value: str, out: str, reach: int | None, metric: str = "chessboard") -> DataFrame:
     """Adds `out` (the nearest valid value) and `out_d` (its distance in cells)."""
-    found = nearest(cells, value, metric) if reach is None else nearest_within(cells, value, reach, metric)
+    found = searched(cells, value, metric, reach)
     return found.withColumn(out, F.col("near.v")).withColumn(f"{out}_d", F.col("near.d")).drop("near")
 
 

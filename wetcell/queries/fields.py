@@ -64,7 +64,7 @@ for metric, measure, most, number in (
         lambda spark, sf, m=metric: distance.nearest_within(partial(spark, sf), "wse2", REACH, m).select(*KEY, "near.d", "near.sr", "near.sc")
     )
     query(f"n{number}_distance_{metric}_unbounded")(
-        lambda spark, sf, m=metric: distance.nearest(partial(spark, sf), "wse2", m, REACH).select(*KEY, "near.d", "near.sr", "near.sc")
+        lambda spark, sf, m=metric: distance.nearest(partial(spark, sf), "wse2", m).select(*KEY, "near.d", "near.sr", "near.sc")
     )
 
 
@@ -87,7 +87,7 @@ def n5_fine_unbounded(spark, sf):
   FROM coarse s WHERE s.scene = k.scene AND s.wse IS NOT NULL)[5] AS fill FROM coarse k""")
 def n5_unbounded(spark, sf):
     cells = water(scn(spark, sf)).withColumnsRenamed({"br": "r", "bc": "c"})
-    return distance.nearest(cells, "wse", reach=2).select("scene", F.col("r").alias("br"), F.col("c").alias("bc"), F.col("near.v").alias("fill"))
+    return distance.nearest(cells, "wse").select("scene", F.col("r").alias("br"), F.col("c").alias("bc"), F.col("near.v").alias("fill"))
 
 
 #: dem with a border of cells that go on in a straight line: x along rows, then y along columns

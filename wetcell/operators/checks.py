@@ -78,6 +78,18 @@ def conventions(grids: DataFrame) -> DataFrame:
     return bad(grids, "nodata -9999, a CRS, x and y", wrong)
 
 
+def single_band(grids: DataFrame) -> DataFrame:
+    """grids with a column bands: layers of more or less than one."""
+    return bad(grids, "one band", F.coalesce(F.col("bands") != 1, F.lit(True)))
+
+
+def layer_names(grids: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """A warning, not a violation to raise on: layers whose name in the file is not the expected one. grids: scene, layer,
+    name (as the layer calls itself, null if it does not)."""
+    want = F.create_map(*(F.lit(x) for pair in expected.items() for x in pair))[F.col("layer")]
+    return bad(grids, "layer name (warning)", F.lower("name") != F.lower(want))
+
+
 def square_cells(grids: DataFrame) -> DataFrame:
     return bad(grids, "square cells", ~_near(F.abs("res_x"), F.abs("res_y"), 1e-5))
 

@@ -175,7 +175,16 @@ def allocated(cells: DataFrame, cost: str, source: str, *, model: str = "geometr
 
 def cost_fill(cells: DataFrame, value: str, cost: str, out: str, *, target: Column | None = None, **options) -> DataFrame:
     """Adds `out` (the value of each cell's least-cost source), `out_cost` and `out_zone` (the source's cell number).
-    Cells outside `target` keep their own value; those that no source reaches are null."""
+    Cells outside `target` keep their own value; those that no source reaches are null. Raises if a scene has no source
+    or a negative cost; where every cell has a value, that is the result."""
+    counts = cells.groupBy("scene").agg(F.count(value).alias("wet"), F.count(F.lit(1)).alias("all"), F.count_if(F.col(cost) < 0).alias("low"))
+    bad = counts.filter("wet = 0 OR low > 0").limit(5).collect()
+    if bad:
+        raise ValueError("cost fill: " + "; ".join(f"{x['scene']}: {'negative costs' if x['low'] else 'no wet cell'}" for x in bad))
+    if counts.filter("wet < all").isEmpty():
+        width = cells.groupBy("scene").agg((F.max("c") + 1).alias("_width"))
+        rows = cells.withColumn(out, F.col(value)).withColumn(f"{out}_cost", F.lit(0.0)).join(width, "scene")
+        return rows.withColumn(f"{out}_zone", F.col("r").cast("long") * F.col("_width") + F.col("c")).drop("_width")
     found = allocated(cells, cost, value, **options).drop("pr", "pc")
     values = cells.filter(F.col(value).isNotNull()).select("scene", F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(value).alias(out))
     width = cells.groupBy("scene").agg((F.max("c") + 1).alias("_width"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wetcell.operators.stencil import ssim
+from wetcell.storage import durable
 
 ORDER = ("psnr", "ssim", "rmse", "rmse_wet", "mae", "bias", "csi", "observed_wet_fraction", "predicted_wet_fraction", "valid_pixels")
 
@@ -151,5 +152,12 @@ def compared(records: DataFrame, by: str, a: str, b: str, values: list[str], key
     return rows.select(*key, "name", F.col(a), F.col(b), (F.col(b) - F.col(a)).alias("delta"), F.when(F.col(a) != 0, F.col(b) / F.col(a)).alias("ratio"))
 
 
-def ranked(records: DataFrame, *order: Column) -> DataFrame:
-    return records.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
+def ranked(records: DataFrame, *order: Column, chunk_rows: int = 100_000) -> DataFrame:
+    """Adds rank from 1: places in chunks that are ranges of the order, after the rows of the chunks before."""
+    rows = durable(records)
+    rows = durable(rows.repartitionByRange(max(1, -(-rows.count() // chunk_rows)), *order).withColumn("_chunk", F.spark_partition_id()))
+    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))  # a row a chunk
+    before = W.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_chunk").orderBy(*order))
+    return rows.join(sizes, "_chunk").withColumn("rank", (place + F.col("_before")).cast("int")).drop("_chunk", "_before")

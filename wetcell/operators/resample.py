@@ -6,7 +6,6 @@ size allows and shuffles by that key otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +91,3 @@ def mosaic(layers: DataFrame, value: str = "v") -> DataFrame:
     first = F.row_number().over(W.partitionBy("scene", "r", "c").orderBy(F.col(value).isNull(), F.desc("priority")))
     return layers.withColumn("n", first).filter("n = 1").drop("n", "priority")
 
-
-def block_reduce_by(fine: DataFrame, f: int, reduce_: Callable[[str], Column], value: str) -> DataFrame:
-    return block_reduce(fine, f, **{value: reduce_(value)})

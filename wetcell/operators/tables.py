@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from wetcell.operators.metrics import ORDER
@@ -12,11 +13,11 @@ from wetcell.operators.metrics import ORDER
 RUNS = "run_name string, distance_fill string, distance_fill_method string, status string, wall_seconds double, wet_cell_count long, meta_key_count long, error string"
 
 
-def matrix(spark: SparkSession, **choices: list[str]) -> DataFrame:
-    """Every combination of the parameters, with run_name `a|b`."""
-    frames = [spark.createDataFrame([(v,) for v in values], f"{name} string") for name, values in choices.items()]
-    rows = reduce(lambda a, b: a.crossJoin(b), frames)  # a few values each
-    return rows.withColumn("run_name", F.concat_ws("|", *choices))
+def matrix(rows: DataFrame, **choices: list[str]) -> DataFrame:
+    """Every row with every combination of the choices, a few values each, and run_name `a|b|...` of all columns."""
+    for name, values in choices.items():
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return rows.withColumn("run_name", F.concat_ws("|", *rows.columns))
 
 
 def wide(metrics: DataFrame, runs: list[str], key: list[str] | None = None) -> DataFrame:
@@ -49,6 +50,12 @@ def sorted_summary(table: DataFrame, *by: Column) -> DataFrame:
     return table.orderBy(*(by or (F.col("status").desc(), F.col("rmse").asc_nulls_last(), F.col("wall_seconds"))))
 
 
+def run_record(spark: SparkSession, **values) -> DataFrame:
+    """A record of RUNS; what is not given is null."""
+    names = [x.split()[0] for x in RUNS.split(", ")]
+    return spark.createDataFrame([tuple(values.get(n) for n in names)], RUNS)
+
+
 def best(table: DataFrame, name: str, by: str) -> DataFrame:
     return table.agg(F.min_by(name, by).alias(name), F.min(by).alias(by))
 

@@ -6,6 +6,7 @@ fine: scene, r, c, dem. coarse: scene, br, bc, wse. f: fine cells along a coarse
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wetcell.functions import cell
 from wetcell.operators import checks, cost, distance, regions, resample, stencil
+from wetcell.sources import grids as grids_
 from wetcell.storage import durable
 
 KEY = ["scene", "r", "c"]
@@ -46,6 +48,36 @@ class Settings:
         return None if self.cap is None else max(1, math.ceil(self.cap * f))
 
 
+def units(grids: DataFrame, layer: str = "dem", geographic: tuple[str, ...] = ("EPSG:4326", "EPSG:4258", "EPSG:4269")) -> DataFrame:
+    """scene, pixel_size (metres along a cell, the mean of both axes) and m_to_rad (metres for one unit of the grid), from
+    the rows of a layer. Degrees become metres at the grid's mean latitude; other grids are in metres."""
+    rows = grids.filter(F.col("layer") == layer)
+    latitude = F.col("y0") - F.col("height") * F.col("res_y") / 2
+    x, y = cell.metres(F.col("res_x"), F.col("res_y"), latitude)
+    degrees, native = F.col("crs").isin(*geographic), (F.abs("res_x") + F.abs("res_y")) / 2
+    size = F.when(degrees, (x + y) / 2).otherwise(native)
+    return rows.select("scene", size.alias("pixel_size"), F.when(degrees, size / native).otherwise(1.0).alias("m_to_rad"))
+
+
+def ratio_of(grids: DataFrame, fine: str = "dem", coarse: str = "wse", coarse_shape: tuple[int, int] | None = None) -> int:
+    """The fine cells along a coarse cell; raises unless it is whole and the same in both axes and all scenes. coarse_shape
+    (height, width) stands for the coarse layer's own shape where that layer was reprojected already."""
+    if coarse_shape is not None:
+        height, width = coarse_shape
+        own = grids.filter(F.col("layer") == coarse).withColumns({"height": F.lit(height), "width": F.lit(width)})
+        grids = grids.filter(F.col("layer") == fine).unionByName(own.select(*grids.columns))
+    checks.require(checks.whole_ratio(grids, fine, coarse))
+    found = [r["f"] for r in checks.ratio(grids, fine, coarse).select("f").distinct().limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"ratios of fine to coarse cells: {sorted(found)}; scenes of one ratio make a job")
+    return found[0]
+
+
+def setting(rows: DataFrame, settings: Settings, name: str) -> Column:
+    """The scene's own value where rows has such a column, else that of settings."""
+    return F.col(name) if name in rows.columns else F.lit(float(getattr(settings, name)))
+
+
 def resampled(fine: DataFrame, coarse: DataFrame, f: int) -> DataFrame:
     """Phase 1 adds wse1; phase 2 adds wse2, the wet partials."""
     rows = resample.bilinear_up(fine, coarse, f, "wse", "wse1")
@@ -67,12 +99,13 @@ def decay(rows: DataFrame, settings: Settings) -> tuple[DataFrame, Column]:
     """The sum of the configured decays of dry cells; slopes are accumulated once for both that need them."""
     dry, total = F.col("wse2").isNull(), F.lit(0.0)
     if {"slope_linear", "slope_power"} & set(settings.decay):
-        rows = durable(stencil.slope_horn(rows, "dem", "slope", settings.pixel_size))
-        found = cost.accumulated_slope(rows, "slope", "wse2", settings.m_to_rad, tile=settings.tile)
+        rows = durable(stencil.slope_horn(rows, "dem", "slope", setting(rows, settings, "pixel_size")))
+        found = cost.accumulated_slope(rows, "slope", "wse2", tile=settings.tile)
         rows = rows.join(found, KEY, "left").drop("slope")
+        rows = rows.withColumn("accumulated", F.col("accumulated") * setting(rows, settings, "m_to_rad"))
     for name, options in settings.decay.items():
         if name == "linear":
-            total = total + cell.linear_decay(dry, F.col("away") * settings.pixel_size, **options)
+            total = total + cell.linear_decay(dry, F.col("away") * setting(rows, settings, "pixel_size"), **options)
         elif name == "slope_linear":
             total = total + cell.slope_linear_decay(F.col("accumulated"), **options)
         else:
@@ -91,19 +124,54 @@ def grown(rows: DataFrame, coarse: DataFrame, f: int, settings: Settings) -> Dat
     return rows.drop("fill", "accumulated")
 
 
-def downscale(fine: DataFrame, coarse: DataFrame, f: int, settings: Settings = Settings()) -> DataFrame:
-    """fine with wse1, wse2, away, within, wse3 and wse4 (regions that touch a wet partial); wsh if asked for."""
+def require_wet_partials(rows: DataFrame) -> None:
+    """Raises if a scene has no wet partial: all of its water is below the terrain, or it has none."""
+    dry = rows.groupBy("scene").agg(F.count("wse2").alias("n")).filter("n = 0").limit(5).collect()
+    if dry:
+        raise checks.CheckFailed(f"no wet partial is above the terrain in {', '.join(str(x['scene']) for x in dry)}")
+
+
+def to_depth(rows: DataFrame, wse: str, dem: str = "dem", *, allow_low_wse: bool = False) -> DataFrame:
+    """Adds wsh. Water below the terrain is an error, or a warning where it is allowed; its depth is 0."""
+    low = rows.filter(F.col(wse) < F.col(dem)).count()
+    if low and not allow_low_wse:
+        raise checks.CheckFailed(f"{low} cells of {wse} are below the terrain")
+    if low:
+        warnings.warn(f"{low} cells of {wse} are below the terrain", stacklevel=2)
+    return rows.withColumn("wsh", cell.depth(F.col(wse), F.col(dem)))
+
+
+def write_phases(rows: DataFrame, root: str) -> list[str]:
+    """The layers of each phase of downscale() as cells below root, under the phase's name; refuses to overwrite."""
+    height, width = rows.agg(F.max("r") + 1, F.max("c") + 1).first()
+    layers = {"wse1": "01_resampled", "wse2": "02_wp", "wse3": "03_dp", "wse4": "04_isol"}
+    cells = {v: rows.select("scene", F.lit("wse").alias("layer"), "r", "c", F.col(v).alias("v")) for v in layers}
+    return [grids_.write_phase(cells[v], root, phase, "wse", height, width) for v, phase in layers.items()]
+
+
+def downscale(fine: DataFrame, coarse: DataFrame, f: int, settings: Settings = Settings(), *, phases_to: str | None = None) -> DataFrame:
+    """fine with wse1, wse2, away, within, wse3 and wse4 (regions that touch a wet partial); wsh if asked for. Columns
+    pixel_size and m_to_rad of fine stand for those of settings. phases_to: a folder for every phase's layer."""
     rows = durable(grown(resampled(fine, coarse, f), coarse, f, settings))
+    require_wet_partials(rows)
     rows = regions.isolated_filter(rows, "wse3", "wse2", "wse4")
+    if phases_to is not None:
+        rows = durable(rows)
+        write_phases(rows, phases_to)
     return rows.withColumn("wsh", cell.depth(F.col("wse4"), F.col("dem"))) if settings.as_wsh else rows
 
 
+def downscale_layers(fine: DataFrame, coarse: DataFrame, grids: DataFrame, settings: Settings = Settings(), *, coarse_shape: tuple[int, int] | None = None, **options) -> DataFrame:
+    """downscale() with the ratio, the cells' size and the metres of a unit taken from the georeferences of the layers dem
+    and wse (see grids.GRIDS), after the checks of their ratios."""
+    f = ratio_of(grids, coarse_shape=coarse_shape)
+    return downscale(fine.join(units(grids), "scene"), coarse, f, settings, **options)
+
+
 def checked(fine: DataFrame, coarse: DataFrame, f: int, settings: Settings = Settings()) -> DataFrame:
     """downscale() with its input and output checks; raises if one has violations."""
     checks.require(checks.dem_partly_valid(fine), checks.wse_partly_wet(coarse, "wse"))
     rows = durable(downscale(fine, coarse, f, settings))
-    if rows.select("wse2").filter("wse2 IS NOT NULL").isEmpty():
-        raise checks.CheckFailed("no wet partial is above the terrain")
     checks.require(
         checks.phase_rules(rows, resampled="wse1", partial="wse2", grown="wse3", cap="within"),
         checks.isolated_rules(rows, "wse3", "wse4", "wse2"), checks.water_not_below(rows, "wse4"),
@@ -132,3 +200,12 @@ def run_metadata(rows: DataFrame, f: int, settings: Settings) -> DataFrame:
     shape = {"height": F.max("r") + 1, "width": F.max("c") + 1}
     facts = {"f": F.lit(f), "distance_fill": F.lit(settings.distance_fill), "metric": F.lit(settings.distance_fill_method), "cap": F.lit(settings.cap).cast("double")}
     return rows.groupBy("scene").agg(*((x.alias(n)) for n, x in {**shape, **count}.items())).withColumns(facts)
+
+
+def run_record(rows: DataFrame, coarse: DataFrame, f: int, settings: Settings) -> DataFrame:
+    """run_metadata() with the terrain's null cells, the coarse grid's shape and wet cells, and the regions and cells
+    before and after the isolated filter."""
+    null_ = rows.groupBy("scene").agg(F.count_if(F.col("dem").isNull()).alias("dem_null"))
+    shape = coarse.groupBy("scene").agg((F.max("br") + 1).alias("coarse_height"), (F.max("bc") + 1).alias("coarse_width"), F.count("wse").alias("coarse_wet"))
+    parts = regions.isolated_counts(rows, "wse3", "wse2")
+    return run_metadata(rows, f, settings).join(null_, "scene").join(shape, "scene").join(parts, "scene", "left")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wetcell.functions import cell
@@ -31,14 +35,44 @@ def validated(observed: DataFrame, predictions: dict[str, DataFrame], *, wet: fl
     return metrics.as_long(metrics.record(cells, ["scene", "run_name"], valid, wet=wet, csi_at=csi_at), ["scene", "run_name"])
 
 
-def ensemble(fine: DataFrame, coarse: DataFrame, observed: DataFrame, f: int, members: dict[str, growth.Settings]) -> tuple[DataFrame, DataFrame]:
-    """Runs every member and scores it: the run records, and the metrics of all runs over all scenes together."""
-    results = {name: durable(growth.downscale(fine, coarse, f, s).withColumn("wsh", cell.depth(F.col("wse4"), F.col("dem")))) for name, s in members.items()}
-    records = [r.agg(F.count("wse4").alias("wet_cell_count")).select(
-        F.lit(name).alias("run_name"), F.lit(members[name].distance_fill).alias("distance_fill"), F.lit(members[name].distance_fill_method).alias("distance_fill_method"),
-        F.when(F.col("wet_cell_count") > 0, "ok").otherwise("failed").alias("status"), "wet_cell_count",
-    ) for name, r in results.items()]
-    return tables.appended(*records), validated(observed, results)
+def attempted(spark: SparkSession, work: Callable[[], DataFrame], seconds: float) -> tuple[str, float, DataFrame | None, str | None]:
+    """status (ok, failed or timeout), wall seconds, result and error of a member, whose jobs are cancelled at the limit."""
+    group, box = f"member-{uuid.uuid4().hex}", {}
+
+    def run() -> None:
+        spark.sparkContext.setJobGroup(group, "ensemble member", interruptOnCancel=True)
+        try:
+            box["result"] = work()
+        except Exception as error:  # whatever a member raises is its record
+            box["error"] = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
+
+    began = time.perf_counter()
+    thread = InheritableThread(target=run, session=spark, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        spark.sparkContext.cancelJobGroup(group)
+        return "timeout", time.perf_counter() - began, None, f"no result after {seconds:g} s"
+    took = time.perf_counter() - began
+    return ("ok", took, box["result"], None) if "result" in box else ("failed", took, None, box["error"])
+
+
+def ensemble(fine: DataFrame, coarse: DataFrame, observed: DataFrame, f: int, members: dict[str, growth.Settings], *, seconds: float | dict[str, float] = 120) -> tuple[DataFrame, DataFrame]:
+    """Runs every member and scores it: a record of tables.RUNS for each, whether ok, failed or over its limit, and the
+    metrics of those with a result."""
+    spark, results, records = fine.sparkSession, {}, []
+    for name, s in members.items():
+        limit = seconds.get(name, 120) if isinstance(seconds, dict) else seconds
+        work = lambda s=s: durable(growth.downscale(fine, coarse, f, s).withColumn("wsh", cell.depth(F.col("wse4"), F.col("dem"))))
+        status, took, result, error = attempted(spark, work, limit)
+        facts = {}
+        if result is not None:
+            results[name] = result
+            facts = {"wet_cell_count": result.agg(F.count("wse4")).first()[0], "meta_key_count": len(growth.run_metadata(result, f, s).columns)}
+        own = {"distance_fill": s.distance_fill, "distance_fill_method": s.distance_fill_method}
+        records.append(tables.run_record(spark, run_name=name, status=status, wall_seconds=took, error=error, **own, **facts))
+    scores = validated(observed, results) if results else spark.createDataFrame([], "scene string, run_name string, metric string, value double")
+    return tables.appended(*records), scores
 
 
 def backend_differences(a: DataFrame, b: DataFrame, value: str) -> DataFrame:

@@ -355,12 +355,13 @@ def x2(spark, sf):
     return downscaled(spark, sf, True, distance_fill="terrain_penalty", decay=THREE).select(*KEY, F.round("wse4", 6).alias("wse4"))
 
 
-@query("x3_pluvial")
+@query("x3_pluvial", SCN_SQL + oracles.PLUVIAL + "SELECT scene, r, c, round(wse_base, 10) AS wse_base, round(CASE WHEN layer IS NULL THEN wse ELSE coalesce(wse, dem) + layer END, 10) AS wse FROM over")
 def x3(spark, sf):
     fine = scn(spark, sf)
     own = lambda a, b, f: growth.downscale(a, b, f, CAP)
-    rows = pluvial.downscale(fine, pluvial.coarse_depth(fine, water(fine), F4), F4, project=own, filter_depth=None, small_pixel_count=2, reapply_small_groups=True)
-    return rows.select(*KEY, "wse_base", "wse")
+    rained = water(fine).withColumn("wse", F.col("wse") + F.expr("(br * 7 + bc * 3) % 11 * 8"))
+    rows = pluvial.downscale(fine, pluvial.coarse_depth(fine, rained, F4), F4, project=own, filter_depth=None, small_pixel_count=2, reapply_small_groups=True)
+    return rows.select(*KEY, *(F.round(x, 10).alias(x) for x in ("wse_base", "wse")))
 
 
 MCP = oracles.allocated("plain", "SELECT scene, r, c, 1 AS cost, wse2 IS NOT NULL AS src FROM wp") + oracles.valued("plain", "wp", "wse2", "flat") + oracles.allocated(

@@ -117,5 +117,24 @@ one AS (SELECT scene, run_name, CASE WHEN avg((pred - obs) * (pred - obs)) < 1e-
   sqrt(avg((pred - obs) * (pred - obs))) AS rmse, sqrt(avg((pred - obs) * (pred - obs)) FILTER (obs > 0.5)) AS rmse_wet, avg(abs(pred - obs)) AS mae, avg(pred - obs) AS bias,
   count(*) FILTER (obs >= 0.01 AND pred >= 0.01) / nullif(count(*) FILTER (obs >= 0.01 OR pred >= 0.01), 0) AS csi,
   avg((obs >= 0.01)::INTEGER) AS observed_wet_fraction, avg((pred >= 0.01)::INTEGER) AS predicted_wet_fraction, count(*)::DOUBLE AS valid_pixels FROM pairs GROUP BY ALL),
-scores AS (UNPIVOT INCLUDE NULLS (SELECT * FROM one JOIN sim USING (scene, run_name)) ON COLUMNS(* EXCLUDE (scene, run_name)) INTO NAME metric VALUE value)
+scores AS (UNPIVOT (SELECT * FROM one JOIN sim USING (scene, run_name)) ON COLUMNS(* EXCLUDE (scene, run_name)) INTO NAME metric VALUE value)
 """
+
+
+#: the pluvial method with the depths' mode as filter depth, groups of two coarse cells and less taken off and put back
+PLUVIAL = """, rained AS (SELECT scene, br, bc, wse + (br * 7 + bc * 3) % 11 * 8 AS wse FROM coarse),
+deep AS (SELECT q.*, avg_, greatest(coalesce(wse, avg_) - avg_, 0) AS wsh FROM rained q
+  JOIN (SELECT scene, r // 4 AS br, c // 4 AS bc, avg(dem) AS avg_ FROM fine GROUP BY ALL) USING (scene, br, bc)),
+moded AS (SELECT scene, arg_max(w, row(n, -w)) + 0.01::DOUBLE AS depth FROM (SELECT scene, round(wsh, 3) AS w, count(*) AS n FROM deep GROUP BY ALL) GROUP BY scene),
+prep AS (SELECT scene, br, bc, CASE WHEN wse IS NOT NULL THEN least(wsh, depth) ELSE 0 END AS blanket, CASE WHEN wsh > depth THEN wse - least(wsh, depth) END AS filtered FROM deep JOIN moded USING (scene)),
+on_ AS MATERIALIZED (SELECT scene, br, bc FROM prep WHERE filtered IS NOT NULL),
+plab AS (
+  SELECT scene, br, bc, br * 1000 + bc AS first FROM on_
+  UNION
+  SELECT w.scene, w.br, w.bc, l.first FROM plab l JOIN off ON abs(i) + abs(j) = 1 JOIN on_ w ON w.scene = l.scene AND w.br = l.br + i AND w.bc = l.bc + j WHERE l.first < w.br * 1000 + w.bc),
+few AS (SELECT scene, br, bc FROM (SELECT *, count(*) OVER (PARTITION BY scene, first) AS n FROM (SELECT scene, br, bc, min(first) AS first FROM plab GROUP BY ALL)) WHERE n <= 2),
+ready AS (SELECT p.*, CASE WHEN f.br IS NULL THEN filtered END AS wse_in FROM prep p LEFT JOIN few f USING (scene, br, bc))
+""" + bilinear("pres", "fine", "ready", "wse_in", "wse1") + ", pwp AS (SELECT *, CASE WHEN wse1 > dem THEN wse1 END AS wse2 FROM pres)\n" + downscaled("rain", cells="pwp") + """, back AS (
+  SELECT f.scene, f.r, f.c, f.dem, wse4 AS wse_base, coalesce(wse4, CASE WHEN wse_in IS NULL AND filtered > dem THEN filtered END) AS wse
+  FROM final_rain f LEFT JOIN ready q ON q.scene = f.scene AND q.br = f.r // 4 AND q.bc = f.c // 4)
+""" + bilinear("over", "back", "ready", "blanket", "layer")

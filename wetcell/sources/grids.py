@@ -27,11 +27,9 @@ def from_embeddings(vectors: DataFrame, scene_rows: int | None = None) -> DataFr
     return cells.select(scene.alias("scene"), row.cast("int").alias("r"), "c", (F.round(F.col("x").cast("double") * 1000) + 0.0).alias("dem"))  # no -0.0
 
 
-def from_orders(orders: DataFrame, width: int = 256, block: int = 8) -> DataFrame:
-    """A terrain grid of order prices; whole blocks of rows only."""
-    last = orders.agg(F.expr(f"((count(*) div {width}) div {block}) * {block}").alias("rows"))
-    cells = orders.select(F.expr(f"cast(o_orderkey div {width} as int)").alias("r"), (F.col("o_orderkey") % width).cast("int").alias("c"), F.round("o_totalprice").cast("double").alias("dem"))
-    return cells.join(F.broadcast(last)).filter("r < rows").select(F.lit("ord").alias("scene"), "r", "c", "dem")  # last: one row
+def from_orders(orders: DataFrame, width: int = 256) -> DataFrame:
+    """A terrain grid of order prices."""
+    return orders.select(F.lit("ord").alias("scene"), F.expr(f"cast(o_orderkey div {width} as int)").alias("r"), (F.col("o_orderkey") % width).cast("int").alias("c"), F.round("o_totalprice").cast("double").alias("dem"))
 
 
 def coarse_water(fine: DataFrame, f: int) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wetcell.llm import jaccard_join
 
@@ -64,6 +65,45 @@ def test_large_buckets_are_split_and_then_dealt_in_blocks(spark):
         assert result(jaccard_join.classes(docs, depth=depth, most=most, runs=24)) == brute(corpus())
 
 
+def test_classes_without_links_are_the_same(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    want = sorted(((i, c) for i, c, _ in brute(corpus())), key=str)
+    for options in ({}, {"most": 6, "runs": 24}, {"depth": 0, "most": 6}):
+        got = jaccard_join.classes(docs, links=False, **options)
+        assert sorted(((r.doc_id, r.class_id) for r in got.collect()), key=str) == want
+        assert got.filter("n_links > 0").count() == 0
+
+
+def test_a_large_group_of_near_copies_takes_few_buckets(spark):
+    """Sets of one group that all differ: the buckets that are left hold fewer rows than there are sets."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:k] + [f"x{i}"] + base[k:]) for i in range(600) for k in (rng.randrange(200),)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    plain = jaccard_join.buckets_of
+    jaccard_join.buckets_of = lambda *a: seen.append(plain(*a)) or seen[-1]
+    try:
+        got = jaccard_join.classes(docs, links=False, most=40)
+        assert {r.class_id for r in got.collect()} == {0}
+    finally:
+        jaccard_join.buckets_of = plain
+    rows = seen[0].select(F.explode("members")).count()
+    assert rows < 20 * len(texts)  # every pair of blocks would be 16 runs of 30 blocks for each set
+
+
+def test_the_check_before_loses_no_pair_at_the_threshold():
+    rng = np.random.default_rng(6)
+    for own in ((50, 50), (100, 0)):
+        lost = 0
+        for _ in range(3000):
+            both, *rest = (rng.integers(0, 2**63, k, np.uint64) * np.uint64(2) for k in (400, *own))
+            sets = [np.unique(np.concatenate((both, x))) for x in rest]
+            samples = np.frombuffer(b"".join(map(jaccard_join.sampled, sets)), np.uint8).reshape(2, -1)
+            lost += not jaccard_join.alike(np.array([len(x) for x in sets]), samples)[0, 1]
+        assert lost <= (1 - jaccard_join.RECALL) * 3000
+
+
 def test_recall_of_choosing_at_the_threshold():
     rng = np.random.default_rng(3)
     found = 0

@@ -12,7 +12,12 @@ A document is the set of its five-word shingles (lower case, split at white spac
    sets are fetched and intersected exactly. A pair that meets in several buckets counts in the first one.
 
 With the default 16 runs a link at exactly 0.8 is missed with a chance of about 1e-7 without recursion and 5e-4 after two
-splits (RECALL); a third would miss 2e-3 and more, so buckets too large after two are dealt into blocks. Buckets return sums and one edge a class, never pairs; their size is bounded by the limits above.
+splits (RECALL); a third would miss 2e-3 and more, so buckets too large after two are dealt into blocks. Buckets return
+sums and one edge a class, never pairs; their size is bounded by the limits above.
+
+Exact numbers of links take every pair of a group of linked sets. Where only the classes are wanted (links=False, as in
+the pipeline) the sets of an oversized bucket first meet a few representatives and the sets of their chunk, which takes
+work in proportion to the bucket; pairs within the largest group that this connects are then left out.
 
 Nulls, ties and odd input: null and blank texts have no shingles, no links and their own doc_id as class; a null doc_id
 is never a class id unless all ids of the class are null; repeated rows are copies of each other; an empty table gives an
@@ -22,6 +27,7 @@ empty result; columns other than doc_id and text are ignored, whatever their nam
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +46,7 @@ NEAR = 0.8
 RECALL = 0.999
 RUNS = 16
 BINS = 128
+REPRESENTATIVES = 16  # of an oversized bucket
 DEPTH = 2  # a third split would bring recall at 0.8 under RECALL with RUNS runs
 MOST = 2000
 MOST_TOKENS = 4_000_000
@@ -191,13 +198,8 @@ def linked(bucket: list[dict], code: int) -> list[tuple[bytes, bytes, int]]:
     np.fill_diagonal(link, False)
     if not link.any():
         return []
-    lower = sorted({c for x in bucket for c in x["buckets"] if c < code})
-    at = {c: i for i, c in enumerate(lower)}
-    before = np.zeros((m, len(lower)), np.float32)
-    for i, x in enumerate(bucket):
-        before[i, [at[c] for c in x["buckets"] if c < code]] = 1
-    counted = link & (before @ before.T == 0)
-    links = counted @ np.array([x["size"] for x in bucket], np.int64)
+    lower = [np.array(sorted(c for c in x["buckets"] or () if c < code), np.int64) for x in bucket]
+    links = (link & (intersections(lower) == 0)) @ np.array([x["size"] for x in bucket], np.int64)
     rank = np.argsort(np.argsort(np.array([x["digest"] for x in bucket], object)))
     root, last = rank, None
     reach = link | np.eye(m, dtype=bool)
@@ -215,8 +217,25 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["digest", "root", "links"])
 
 
-def buckets_of(sets: DataFrame, depth: int, most: int, most_tokens: int) -> DataFrame:
-    """sets: digest, n, sample, codes. code, members (sorted digests) of buckets within the limits, equal ones merged."""
+def one_group_aside(large: DataFrame, groups: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """large: rows of oversized buckets; groups: digest, label of sets known to be connected. Pairs within the largest group
+    of a bucket tell nothing new. Where at most most / 2 sets are outside it, they meet the group's sets in chunks: those
+    buckets (code, digest), and the rows of the other oversized buckets."""
+    rows = large.join(groups, "digest", "left")
+    by = rows.filter("label IS NOT NULL").groupBy("code", "label").agg(F.count(F.lit(1)).alias("own"))
+    top = by.groupBy("code").agg(F.max_by("label", F.struct("own", "label")).alias("top"), F.max("own").alias("own"))
+    rows = rows.join(top, "code", "left").withColumn("others", F.col("count") - F.coalesce("own", F.lit(0)))
+    few = F.col("others") * 2 <= most
+    chunks = F.greatest(F.ceil(F.col("own") * 2 / most), F.lit(1))
+    member = F.coalesce(F.col("label") == F.col("top"), F.lit(False))
+    chunk = F.when(member, F.array(F.pmod(F.xxhash64("digest"), chunks))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1))
+    near = rows.filter(few & (F.col("others") > 0)).withColumn("chunk", F.explode(chunk))
+    return near.select(F.xxhash64("code", "chunk", F.lit("aside")).alias("code"), "digest"), rows.filter(~few).select(*large.columns)
+
+
+def buckets_of(sets: DataFrame, depth: int, most: int, most_tokens: int, grouped=None) -> DataFrame:
+    """sets: digest, n, sample, codes. code, members (sorted digests) of buckets within the limits, equal ones merged.
+    grouped, if links need no count: a function from rows of oversized buckets to digest, label of connected sets."""
     rows = sets.select(F.explode("codes").alias("code"), "digest", "n")
     small: DataFrame | None = None
     fits = (F.col("count") <= most) & (F.col("total") <= most_tokens)
@@ -229,6 +248,12 @@ def buckets_of(sets: DataFrame, depth: int, most: int, most_tokens: int) -> Data
         large = durable(sized.filter(~fits))
         if large.isEmpty():
             break
+        if grouped is not None:
+            groups = grouped(large) if level == 0 else groups
+            near, large = one_group_aside(large, groups, most)
+            small, large = small.unionByName(near), durable(large)
+            if large.isEmpty():
+                break
         if level < depth:
             picked = large.join(sets.select("digest", "sample"), "digest")
             rows = picked.select(F.explode(split_on("code", "sample")).alias("code"), "digest", "n")
@@ -242,46 +267,68 @@ def buckets_of(sets: DataFrame, depth: int, most: int, most_tokens: int) -> Data
     return members.filter(F.size("members") > 1).groupBy("members").agg(F.min("code").alias("code"))
 
 
-def classes(docs: DataFrame, *, runs: int = RUNS, depth: int = DEPTH, most: int = MOST, most_tokens: int = MOST_TOKENS) -> DataFrame:
+def classes(docs: DataFrame, *, links: bool = True, runs: int = RUNS, depth: int = DEPTH, most: int = MOST, most_tokens: int = MOST_TOKENS) -> DataFrame:
     """One row per document: doc_id, mark (hash of its text), class_id (least doc_id of all that links lead to), copies
-    (documents with the same shingles, itself too), n_links (other documents at 0.8 or more, copies too)."""
+    (documents with the same shingles, itself too), n_links (other documents at 0.8 or more, copies too; null without
+    links). The count takes every pair of linked sets; without it the sets of a large group meet its representatives,
+    and pairs within the group are left out, since they are of one class already."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").alias("text"))
     every = durable(text.mapInArrow(featurer(runs), _FEATURES))
     held = every.filter("digest IS NOT NULL")
     sets = durable(held.groupBy("digest").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sample").alias("sample"), F.first("codes").alias("codes")
     ))
-    buckets = durable(buckets_of(sets, depth, most, most_tokens))
+    no_id = F.lit(-(2**63))
+
+    def whole_sets(wanted: DataFrame) -> DataFrame:
+        """wanted (digest, least, ...) with tokens: their texts are found by one doc_id of each."""
+        ids = wanted.select(F.coalesce("least", no_id).alias("id")).distinct()
+        texts = text.withColumn("id", F.coalesce("doc_id", no_id)).join(ids, "id", "left_semi").select("text")
+        whole = texts.mapInArrow(token_sets, "digest binary, tokens binary")
+        return whole.join(wanted, "digest").dropDuplicates(["digest"])
+
+    def grouped(large: DataFrame) -> DataFrame:
+        """Each set meets the representatives of its largest bucket, and the sets of its chunk."""
+        at = large.groupBy("digest").agg(F.max(F.struct("count", "code", "total")).alias("b")).select("digest", "b.*")
+        chunks = F.greatest(F.ceil(F.col("count") * 2 / most), F.ceil(F.col("total") * 2 / most_tokens))
+        place = F.row_number().over(W.partitionBy("code").orderBy(F.xxhash64("digest"), "digest"))
+        heads = at.withColumn("place", place).filter(F.col("place") <= REPRESENTATIVES)
+        dealt = at.select("code", F.pmod(F.xxhash64("digest"), chunks).alias("chunk"), "digest")
+        dealt = dealt.unionByName(heads.select("code", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), "digest")).distinct()
+        dealt = durable(dealt.select(F.xxhash64("code", "chunk").alias("code"), "digest"))
+        wanted = dealt.groupBy("digest").agg(F.collect_list("code").alias("at")).join(sets.select("digest", "least"), "digest")
+        full = whole_sets(wanted).select(F.explode("at").alias("code"), "digest", F.lit(0).cast("long").alias("size"), F.lit(None).cast("array<long>").alias("buckets"), "tokens")
+        full = full.groupBy("code").agg(F.collect_list(F.struct("digest", "size", "buckets", "tokens")).alias("bucket"))
+        edges = durable(full.mapInArrow(joined, "digest binary, root binary, links long"))
+        found.append(edges)
+        return durable(components(edges.select(F.col("digest").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "digest"))
+
+    found: list[DataFrame] = []
+    buckets = durable(buckets_of(sets, depth, most, most_tokens, None if links else grouped))
     sketched = buckets.select("code", F.explode("members").alias("digest")).join(sets.select("digest", "n", "sample"), "digest")
     sketched = sketched.groupBy("code").agg(F.collect_list(F.struct("digest", "n", "sample")).alias("sets"))
     likely = sketched.select("code", hopeful("sets").alias("members")).filter(F.size("members") > 1)
     likely = durable(likely.groupBy("members").agg(F.min("code").alias("code")).select("code", F.explode("members").alias("digest")))
     per_set = likely.groupBy("digest").agg(F.collect_list("code").alias("buckets"))
     wanted = durable(per_set.join(sets.select("digest", "least", "size"), "digest"))
-    # whole sets of the wanted classes alone: their texts are found by one doc_id of each
-    no_id = F.lit(-(2**63))
-    ids = wanted.select(F.coalesce("least", no_id).alias("id")).distinct()
-    texts = text.withColumn("id", F.coalesce("doc_id", no_id)).join(ids, "id", "left_semi").select("text")
-    whole = texts.mapInArrow(token_sets, "digest binary, tokens binary")
-    whole = whole.join(wanted, "digest").dropDuplicates(["digest"])
-    full = whole.select(F.explode("buckets").alias("code"), "digest", "size", "buckets", "tokens")
+    full = whole_sets(wanted).select(F.explode("buckets").alias("code"), "digest", "size", "buckets", "tokens")
     full = full.groupBy("code").agg(F.collect_list(F.struct("digest", "size", "buckets", "tokens")).alias("bucket"))
-    found = durable(full.mapInArrow(joined, "digest binary, root binary, links long"))
-    labels = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "digest")
-    links = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    grouped = sets.select("digest", "least", "size").join(labels, "digest", "left").join(links, "digest", "left")
-    grouped = grouped.withColumn("label", F.coalesce("label", "digest"))
-    heads = grouped.groupBy("label").agg(F.min("least").alias("class_id"))
-    grouped = durable(grouped.join(heads, "label").select(
-        "digest", "class_id", F.col("size").alias("copies"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    ))
-    alone = every.filter("digest IS NULL").select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_links"))
-    return held.select("doc_id", "mark", "digest").join(grouped, "digest").drop("digest").unionByName(alone)
+    found.append(durable(full.mapInArrow(joined, "digest binary, root binary, links long")))
+    edges = reduce(DataFrame.unionByName, found)
+    labels = components(edges.select(F.col("digest").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "digest")
+    others = edges.groupBy("digest").agg(F.sum("links").alias("links"))
+    named = sets.select("digest", "least", "size").join(labels, "digest", "left").join(others, "digest", "left")
+    named = named.withColumn("label", F.coalesce("label", "digest"))
+    heads = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    n_links = F.col("size") - 1 + F.coalesce("links", F.lit(0)) if links else F.lit(None).cast("long")
+    named = durable(named.join(heads, "label").select("digest", "class_id", F.col("size").alias("copies"), n_links.alias("n_links")))
+    alone = every.filter("digest IS NULL").select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0 if links else None).cast("long").alias("n_links"))
+    return held.select("doc_id", "mark", "digest").join(named, "digest").drop("digest").unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the class's id; all columns as they were. Texts without shingles all stay."""
-    found = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    found = classes(docs, links=False).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     no_id = F.lit(-(2**63))
     stay = found.select(F.coalesce("doc_id", no_id).alias("stay"), F.col("mark").alias("text_mark"))
     id_, mark, one = (unused(docs, x) for x in ("id_", "mark_", "one_"))
@@ -293,3 +340,17 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark")
+
+
+#: Every pair of documents that share a shingle, by exact Jaccard; classes by the least id that links lead to.
+OP4_SQL = """
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\s\\x0B\\x1C-\\x1F\\x85\\xA0]+'), lambda w: w <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS t FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b, m = x.n AND m = y.n AS same FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * m >= 4 * (x.n + y.n - m)),
+reach AS (SELECT doc_id AS a, doc_id AS least FROM d UNION SELECT l.b, r.least FROM reach r JOIN link l ON l.a = r.a WHERE r.least < l.b)
+SELECT doc_id, (SELECT min(least) FROM reach WHERE a = doc_id) AS class_id, 1 + count(*) FILTER (same) AS copies, count(b) AS n_links
+FROM d LEFT JOIN link ON a = doc_id GROUP BY doc_id
+"""

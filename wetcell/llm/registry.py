@@ -16,6 +16,7 @@ QUERIES = {
 }
 SQL = {
     "op1_exact_topk": topk.OP1_SQL,
+    "op4_ngram_jaccard_join": jaccard_join.OP4_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,

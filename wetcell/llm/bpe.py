@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wetcell.llm.common import from_files
+from wetcell.llm.common import from_files, small_batches
 from wetcell.storage import durable
 
 DOCS_IN_ROW = 256
-WORDS_IN_BATCH = 1 << 16
+WORDS_IN_BATCH = 1 << 15
 _LETTER, _NUMBER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ˁ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 #: The vocabulary's split pattern for texts whose characters are all below U+02C2; the library splits the others.
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -133,13 +133,24 @@ def splitter(path: str, block_chars: int):
     return split
 
 
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of WORDS_IN_BATCH rows and more, the last one excepted."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= WORDS_IN_BATCH:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def word_encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """key (word, sorted), block, at. A row for the batch's words of a block: their numbers, how many ids each has, the ids."""
         last, last_ids = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in merged(batches):
             runs = pc.run_end_encode(batch.column(0))  # a run is a distinct word
             words = runs.values.to_pylist()
             ids = [x.ids for x in tokenizer(path).encode_batch(words[words[0] == last :], add_special_tokens=False)]
@@ -191,6 +202,7 @@ def encode(docs: DataFrame, *, path: str | None = None, block_chars: int = 1 <<
     """doc_id and ids (array<int>) of every document. Word numbers depend on the order of a task's rows, so docs that do
     not come straight from files, where a task that runs again reads the same rows in the same order, are written first."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     rows = rows if from_files(rows) else durable(rows)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+BATCH_ROWS = 1000
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -13,6 +15,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python workers BATCH_ROWS at a time, not 10,000: a worker holds a batch and its results."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def from_files(df: DataFrame) -> bool:
     """Whether a task of df that runs again reads the same rows in the same order: a scan of files without a shuffle."""
     plan = df._jdf.queryExecution().executedPlan().toString()

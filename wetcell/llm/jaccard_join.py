@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from wetcell.llm.common import unused
+from wetcell.llm.common import small_batches, unused
 from wetcell.operators.components import components
 from wetcell.storage import durable
 
@@ -272,6 +272,7 @@ def classes(docs: DataFrame, *, links: bool = True, runs: int = RUNS, depth: int
     (documents with the same shingles, itself too), n_links (other documents at 0.8 or more, copies too; null without
     links). The count takes every pair of linked sets; without it the sets of a large group meet its representatives,
     and pairs within the group are left out, since they are of one class already."""
+    small_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").alias("text"))
     every = durable(text.mapInArrow(featurer(runs), _FEATURES))
     held = every.filter("digest IS NOT NULL")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wetcell.llm.common import unused
+from wetcell.llm.common import small_batches, unused
 from wetcell.storage import durable
 
 STATS = (
@@ -152,6 +152,7 @@ def scorer(model: Discriminant | None):
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document. The statistics are written once and read twice."""
+    small_batches(docs.sparkSession)
     features = durable(docs.select("doc_id", stats(F.col("text")).alias("f")))
     rows = features.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(fit(features, labels))(F.col("f")).alias("score"))
     return rows.withColumn("predicted", F.when(F.col("score") >= CUT, 1).otherwise(0))
@@ -168,6 +169,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier takes, all columns as they were; the texts are scored where they are read."""
+    small_batches(docs.sparkSession)
     model = fit(labelled_features(docs, labels), labels)
     name = unused(docs, "score")
     return docs.withColumn(name, scorer(model)(stats(F.col("text")))).filter(F.col(name) >= CUT).drop(name)

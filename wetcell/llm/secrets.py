@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wetcell.llm.common import small_batches
+
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -148,6 +150,7 @@ def joined(spans: Column) -> Column:
 def secret_spans(docs: DataFrame, *, odds: float = ODDS) -> DataFrame:
     """doc_id, base and spans: arrays of (start, kind, end), sorted; kind is an index into KINDS."""
     span = "array<struct<start:int,kind:int,end:int>>"
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(scanner(trained(docs), odds), f"doc_id long, base {span}, spans {span}")
 

@@ -8,27 +8,25 @@ import pytest
 from pyspark.sql import functions as F
 
 from wetcell.operators import checks, cost, distance, regions, resample
-from wetcell.plans import growth, pluvial
+from wetcell.plans import growth, pluvial, validation
 from wetcell.sources import grids
 
-DEM = """1 1 1 9 9 9 9 9 9
-1 1 1 9 9 9 9 9 9
-1 1 1 2 2 9 9 9 9
-2 2 2 9 2 9 9 9 9
-6 2 2 9 2 9 9 9 9
-2 2 2 9 9 9 9 9 9
-4 4 4 2 2 9 9 9 9
-4 4 4 9 9 9 9 9 9
-4 4 4 9 1 1 9 9 null"""
-PARTIAL = [3, 3, 10 / 3, 11 / 3, 4, 13 / 3, 14 / 3, 5, 5]
-GROWN = {(2, 3): 3.332333, (2, 4): 3.331333, (3, 4): 3.664667, (4, 4): 3.998, (6, 3): 4.665667, (6, 4): 4.664667, (8, 4): 4.998, (8, 5): 4.997}
+DEM = """1 1 3 9 9 9
+1 5 3 9 2 2
+1 1 3 3 9 9
+1 1 9 3 9 9
+1 1 9 9 9 9
+1 1 9 9 9 -9999"""
+#: rows and columns to the nearest wet cell of the cells that grow; the last two touch no wet partial
+GROWN = {(0, 2): (0, 1), (1, 2): (1, 1), (2, 2): (0, 1), (2, 3): (0, 2), (3, 3): (0, 2), (1, 4): (1, 3), (1, 5): (1, 4)}
 
 
 def toy(spark):
-    lines = [("toy", r, line.replace("null", "-9999").replace(" ", ",")) for r, line in enumerate(DEM.split("\n"))]
-    cells = grids.from_text(spark.createDataFrame(lines, "scene string, r int, line string"))
+    """A slope down to the left, water of 4 in the coarse cells of the first column; two fine cells along a coarse one."""
+    lines = [("toy", r, line) for r, line in enumerate(DEM.split("\n"))]
+    cells = grids.from_text(spark.createDataFrame(lines, "scene string, r int, line string"), sep=" ")
     fine = grids.normalised(cells).withColumnRenamed("v", "dem")
-    coarse = [("toy", r, c, {0: 3.0, 1: 4.0, 2: 5.0}[r] if c == 0 else None) for r in range(3) for c in range(3)]
+    coarse = [("toy", r, c, 4.0 if c == 0 else None) for r in range(3) for c in range(3)]
     return fine, spark.createDataFrame(coarse, "scene string, br int, bc int, wse double")
 
 
@@ -36,30 +34,31 @@ def values(df, column):
     return {(r.r, r.c): r[column] for r in df.select("r", "c", column).collect() if r[column] is not None}
 
 
-@pytest.mark.parametrize("metric", ["chessboard", "euclidean"])
-def test_toy_phases(spark, metric):
-    rows = growth.checked(*toy(spark), 3, growth.Settings(distance_fill_method=metric))
-    partial = {(r, c): PARTIAL[r] for r in range(9) for c in range(3) if (r, c) != (4, 0)}
+@pytest.mark.parametrize("metric,size", [("chessboard", max), ("euclidean", math.hypot)])
+def test_toy_phases(spark, metric, size):
+    rows = growth.checked(*toy(spark), 2, growth.Settings(distance_fill_method=metric))
+    partial = {(r, c): 4.0 for r in range(6) for c in range(2) if (r, c) != (1, 1)}
+    grown = {p: 4 - 0.001 * size(*d) for p, d in GROWN.items()}
     assert values(rows, "wse2") == pytest.approx(partial)
-    assert values(rows, "wse3") == pytest.approx(partial | GROWN, abs=1e-6)
-    assert values(rows, "wse4") == pytest.approx({k: v for k, v in (partial | GROWN).items() if k not in ((8, 4), (8, 5))}, abs=1e-6)
+    assert values(rows, "wse3") == pytest.approx(partial | grown, abs=1e-9)
+    assert values(rows, "wse4") == pytest.approx({k: v for k, v in (partial | grown).items() if k not in ((1, 4), (1, 5))}, abs=1e-9)
 
 
 def test_toy_terrain_penalty_and_mcp_keep_the_rules(spark):
     fine, coarse = toy(spark)
     decay = {"linear": {"decay_frac": 0.001}, "slope_linear": {"decay_frac": 1e-5}, "slope_power": {"c": 1e-6, "n": 1.0}}
-    rows = growth.checked(fine, coarse, 3, growth.Settings(distance_fill="terrain_penalty", decay=decay, tile=4))
+    rows = growth.checked(fine, coarse, 2, growth.Settings(distance_fill="terrain_penalty", decay=decay, tile=4))
     assert set(values(rows, "wse2")) < set(values(rows, "wse4"))
-    mcp = growth.downscale_mcp(fine, coarse, 3, tile=4)
+    mcp = growth.downscale_mcp(fine, coarse, 2, tile=4)
     assert set(values(mcp, "wse2")) < set(values(mcp, "wse4"))
 
 
 def test_checks_raise(spark):
     fine, coarse = toy(spark)
     with pytest.raises(checks.CheckFailed):
-        growth.checked(fine, coarse.withColumn("wse", F.lit(None).cast("double")), 3)
+        growth.checked(fine, coarse.withColumn("wse", F.lit(None).cast("double")), 2)
     with pytest.raises(checks.CheckFailed):
-        growth.checked(fine.withColumn("dem", F.lit(99.0)), coarse, 3)
+        growth.checked(fine.withColumn("dem", F.lit(99.0)), coarse, 2)
     with pytest.raises(ValueError):
         growth.Settings(decay={"cubic": {}})
 
@@ -152,13 +151,13 @@ def test_mosaic_and_decimate(spark):
 
 def test_pluvial_puts_the_blanket_back(spark):
     fine, coarse = toy(spark)
-    coarse = pluvial.coarse_depth(fine, coarse, 3)
+    coarse = pluvial.coarse_depth(fine, coarse, 2)
     with pytest.raises(ValueError):
         pluvial.prepared(coarse, filter_depth=-1.0)
-    rows = pluvial.downscale(fine, coarse, 3, small_pixel_count=0)
+    rows = pluvial.downscale(fine, coarse, 2, small_pixel_count=0)
     base, out = values(rows, "wse_base"), values(rows, "wse")
     assert set(base) <= set(out)
-    assert all(out[p] == pytest.approx(base[p] + 0.1) for p in base if p[1] < 2)  # columns whose centres have no dry neighbour
+    assert all(out[p] == pytest.approx(base[p] + 0.1) for p in base if p[1] < 1)  # columns whose centres have no dry neighbour
 
 
 def test_layers_round_trip(spark, tmp_path):
@@ -182,3 +181,55 @@ def test_counts_of_the_embeddings_grid(spark):
 
     r = flagship(spark, "/root/testdata/sf0.01").first()
     assert (r.resampled, r.wet_partial, r.grown, r.final, r.beyond_cap) == (16_000, 8_014, 15_204, 12_545, 1_804)
+
+
+def test_errors_of_inputs(spark):
+    fine, coarse = toy(spark)
+    with pytest.raises(checks.CheckFailed, match="no wet partial"):
+        growth.downscale(fine.withColumn("dem", F.lit(99.0)), coarse, 2)
+    cells = grids.empty_like(spark, "e", 3, 3, 1.0)
+    with pytest.raises(ValueError, match="no valid cell"):
+        distance.require_mask(cells.withColumn("v", F.lit(None).cast("double")), "v")
+    with pytest.raises(ValueError, match="nothing to fill"):
+        distance.require_mask(cells, "v")
+    dry = cells.withColumn("wse", F.lit(None).cast("double"))
+    with pytest.raises(ValueError, match="no wet cell"):
+        cost.cost_fill(dry, "wse", "v", "out")
+    half = cells.withColumn("wse", F.when(F.col("c") == 0, 2.0))
+    with pytest.raises(ValueError, match="negative costs"):
+        cost.cost_fill(half.withColumn("v", F.lit(-1.0)), "wse", "v", "out")
+    full = cost.cost_fill(cells.withColumn("wse", F.col("c") + 0.5), "wse", "v", "out").collect()
+    assert all(r.out == r.c + 0.5 and r.out_cost == 0 and r.out_zone == 3 * r.r + r.c for r in full)
+    low = cells.withColumns({"dem": F.lit(2.0), "wse": F.lit(1.0)})
+    with pytest.raises(checks.CheckFailed, match="below the terrain"):
+        growth.to_depth(low, "wse")
+    with pytest.warns(UserWarning, match="9 cells"):
+        assert set(values(growth.to_depth(low, "wse", allow_low_wse=True), "wsh").values()) == {0.0}
+
+
+def test_ratio_from_georeferences(spark):
+    row = lambda layer, h, w: ("t", layer, h, w, 0.0, 0.0, 1.0, 1.0, "EPSG:3857", -9999.0)
+    table = lambda *rows: spark.createDataFrame(rows, grids.GRIDS)
+    assert growth.ratio_of(table(row("dem", 6, 6), row("wse", 3, 3))) == 2
+    with pytest.raises(checks.CheckFailed):
+        growth.ratio_of(table(row("dem", 6, 6), row("wse", 4, 3)))
+    assert growth.ratio_of(table(row("dem", 6, 6), row("wse", 6, 6)), coarse_shape=(2, 2)) == 3
+
+
+@pytest.mark.parametrize("metric", ["chessboard", "euclidean"])
+def test_bands_of_rows_change_nothing(spark, metric, monkeypatch):
+    cells, _, _ = random_grid(spark, seed=3)
+    whole = {(r.r, r.c): r.near for r in distance.nearest_within(cells, "wse", 4, metric).collect()}
+    monkeypatch.setattr(distance, "ROWS", 8)
+    monkeypatch.setattr(distance, "COLUMNS", 5)
+    assert {(r.r, r.c): r.near for r in distance.nearest_within(cells, "wse", 4, metric).collect()} == whole
+
+
+def test_members_that_fail_or_take_too_long(spark):
+    fine, coarse = toy(spark)
+    members = {"good": growth.Settings(), "bad": growth.Settings(distance_fill="terrain_penalty", cost_model="none"), "slow": growth.Settings()}
+    records, scores = validation.ensemble(fine, coarse, validation.bilinear_baseline(fine, coarse, 2), 2, members, seconds={"good": 600, "bad": 600, "slow": 0})
+    got = {r.run_name: r for r in records.collect()}
+    assert {k: r.status for k, r in got.items()} == {"good": "ok", "bad": "failed", "slow": "timeout"}
+    assert got["good"].wet_cell_count > 11 and got["good"].wall_seconds > 0 and "model" in got["bad"].error
+    assert {r.run_name for r in scores.collect()} == {"good"}

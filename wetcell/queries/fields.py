@@ -78,7 +78,10 @@ def n5(spark, sf):
     return distance.filled(partial(spark, sf, True), "wse2", "fill", REACH).select(*KEY, "fill")
 
 
-@query("n5_nearest_fill_fine_unbounded")
+@query("n5_nearest_fill_fine_unbounded", SCN_SQL + """, all_ AS (
+  SELECT scene, r, c, min(row(greatest(abs(sr - r), abs(sc - c)), (sr - r) * (sr - r) + (sc - c) * (sc - c), sr, sc, v)) AS n
+  FROM wp JOIN (SELECT scene, r AS sr, c AS sc, wse2 AS v FROM wp WHERE wse2 IS NOT NULL) s USING (scene) GROUP BY ALL)
+SELECT f.scene, f.r, f.c, n[5] AS fill FROM fine f LEFT JOIN all_ USING (scene, r, c)""")
 def n5_fine_unbounded(spark, sf):
     return distance.filled(partial(spark, sf, True), "wse2", "fill", None).select(*KEY, "fill")
 

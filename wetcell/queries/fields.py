@@ -63,7 +63,10 @@ for metric, measure, most, number in (
     query(f"n{number}_distance_{metric}", EMB_SQL + near_sql(measure, most) + f"SELECT f.scene, f.r, f.c, {d} AS d, n[3] AS sr, n[4] AS sc FROM fine f LEFT JOIN brute USING (scene, r, c)")(
         lambda spark, sf, m=metric: distance.nearest_within(partial(spark, sf), "wse2", REACH, m).select(*KEY, "near.d", "near.sr", "near.sc")
     )
-    query(f"n{number}_distance_{metric}_unbounded")(
+    every = f""", every AS (SELECT scene, r, c, min(row({measure}, (sr - r) * (sr - r) + (sc - c) * (sc - c), sr, sc)) AS n
+  FROM wp JOIN (SELECT scene, r AS sr, c AS sc FROM wp WHERE wse2 IS NOT NULL) s USING (scene) GROUP BY ALL)
+"""
+    query(f"n{number}_distance_{metric}_unbounded", EMB_SQL + every + f"SELECT f.scene, f.r, f.c, {d} AS d, n[3] AS sr, n[4] AS sc FROM fine f LEFT JOIN every USING (scene, r, c)")(
         lambda spark, sf, m=metric: distance.nearest(partial(spark, sf), "wse2", m).select(*KEY, "near.d", "near.sr", "near.sc")
     )
 

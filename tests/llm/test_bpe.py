@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from wetcell.llm import bpe
 
@@ -41,8 +43,33 @@ def test_query_digests(spark, tmp_path):
 def test_invalid_bytes_and_unknown_ids_decode(spark):
     tok = bpe.tokenizer(bpe.default_path())
     part = tok.encode("👍", add_special_tokens=False).ids[:1]
-    out = bpe.decoded(spark.createDataFrame([(1, part), (2, [99_999_999, -1]), (3, [])], "doc_id long, ids array<int>")).collect()
-    assert {r.doc_id: r.text for r in out} == {1: tok.decode(part), 2: "", 3: ""}
+    rows = [(1, part), (2, [99_999_999, -1]), (3, []), (4, None), (None, part), (None, part)]
+    for piece_bytes in (1 << 26, 0):
+        out = bpe.decoded(spark.createDataFrame(rows, "doc_id long, ids array<int>"), piece_bytes=piece_bytes).collect()
+        want = [(i, ids or [], tok.decode(ids or []) if i != 2 else "") for i, ids in rows]
+        assert sorted(((r.doc_id, list(r.ids), r.text) for r in out), key=str) == sorted(want, key=str)
+
+
+def test_decoding_by_either_join_gives_the_texts_back(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string").repartition(3)
+    for piece_bytes, kind in ((1 << 26, "BroadcastHashJoin"), (0, "ShuffledHashJoin")):
+        out = bpe.decoded(bpe.encode(docs), piece_bytes=piece_bytes)
+        assert kind in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id: r.text for r in out.collect()} == {i: t or "" for i, t in enumerate(texts())}
+
+
+def test_documents_are_put_together_over_batches():
+    rng, rows = random.Random(8), []
+    for doc in range(300):
+        n = rng.choice([0, 1, 2, 50, 3000])
+        rows += [(doc, i, i % 7, b"p%d " % (i % 7)) for i in range(n)] or [(doc, None, None, None)]
+    columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+    whole = pa.RecordBatch.from_arrays(columns, names=["doc_id", "pos", "id", "piece"])
+    out = pa.Table.from_batches(bpe.in_documents(whole.slice(i, 1000) for i in range(0, len(rows), 1000))).to_pylist()
+    assert [r["doc_id"] for r in out] == list(range(300)) and sum(len(r["ids"]) for r in out) == sum(x[1] is not None for x in rows)
+    assert all(r["text"] == "".join(f"p{i} " for i in r["ids"]) and r["ids"] == [i % 7 for i in range(len(r["ids"]))] for r in out)
+    with pytest.raises(RuntimeError, match="order"):
+        list(bpe.in_documents([whole.take(pa.array(range(len(rows) - 1, -1, -1)))]))
 
 
 def test_empty_table(spark):

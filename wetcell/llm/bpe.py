@@ -8,9 +8,9 @@ Byte-level BPE never merges across the words of its split pattern, so a text's i
 2. encode: the rows of all blocks are dealt by word and sorted, so that a distinct word is a run of rows, encoded once;
    nothing is remembered but the last word.
 3. join back: the words' ids return to their block, where documents take them by word number, in order of position.
-4. decode: ids become pieces by a lookup in the vocabulary, whose size is fixed and which is broadcast, and a document's
-   pieces are joined in order of position. The join of exploded ids with a table of pieces makes a row for every token,
-   which has to be sorted back into documents: see the README for what that costs.
+4. decode: ids, a row each, are joined to the vocabulary's table of pieces by id, and a document's pieces are put together
+   in order of position. The table's size is checked: below piece_bytes it is broadcast, so that the ids neither move nor
+   leave their order and no sort is needed; a larger one is joined by a shuffle and the rows are sorted back into documents.
 
 One exchange carries the documents and the words; the words' branch and the documents' branch both read it. A hot word
 is in each block once at most, and a block is bounded, so no key is larger than others. The number of parts grows with
@@ -18,7 +18,8 @@ the splits of the input.
 
 Nulls, ties and odd input: a null text counts as empty and has no ids; null and repeated doc_ids keep a row each; the
 special token's string in a text is that token, as in the tokenizers library; ids outside the vocabulary decode to
-nothing; an empty table gives an empty result; columns other than doc_id and text are ignored.
+nothing; a null list of ids decodes as an empty one; an empty table gives an empty result; columns other than doc_id and
+text (in decoding doc_id and ids) are ignored.
 """
 
 from __future__ import annotations
@@ -226,23 +227,48 @@ def piece_table(path: str) -> list[bytes]:
     return [piece(tokens[i]) if i in tokens else b"" for i in range(max(tokens) + 1)]
 
 
-def decoded(encoded: DataFrame, *, path: str | None = None) -> DataFrame:
-    """encoded with a column text: ids joined to their pieces, the pieces joined in order, as UTF-8."""
-    pieces = piece_table(path or default_path())
-    lengths = np.array([*map(len, pieces), 0], np.int64)  # the last for ids that the vocabulary doesn't have
-    table = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(lengths) - lengths, lengths))
+def in_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, pos, id, piece, a document's rows in a row by pos -> doc_id, ids, text. A null pos is a document without ids."""
 
-    @F.arrow_udf(T.StringType())
-    def text(ids: pa.Array) -> pa.Array:
-        flat, starts, sizes = table.value
-        out = []
-        for row in ids:
-            own = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, np.int32)
-            own = np.where((own >= 0) & (own < len(sizes) - 1), own, len(sizes) - 1)
-            out.append(gathered(flat, starts[own], sizes[own]).tobytes().decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+    def documents(rows: pa.RecordBatch) -> pa.RecordBatch:
+        pos = pc.fill_null(rows["pos"], 0).to_numpy()
+        first = np.flatnonzero(pos == 0)
+        if not np.array_equal(pos, np.arange(len(pos)) - np.repeat(first, np.diff(first, append=len(pos)))):
+            raise RuntimeError("ids are not in order of their positions")
+        own = rows["pos"].is_valid()
+        counts = np.concatenate(([0], np.cumsum(own.to_numpy(zero_copy_only=False))))[np.append(first, len(pos))]
+        pieces = pc.fill_null(rows["piece"], b"")
+        cuts = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :][np.append(first, len(pos))]
+        data = memoryview(pieces.buffers()[2] or b"")
+        texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
+        ids = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), rows["id"].filter(own))
+        return pa.RecordBatch.from_arrays([rows["doc_id"].take(pa.array(first)), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.withColumn("text", text(F.col("ids")))
+    held, n = [], 0
+    for batch in batches:
+        if n >= WORDS_IN_BATCH and len(starts := np.flatnonzero(pc.fill_null(batch["pos"], 0).to_numpy() == 0)):
+            yield documents(pa.concat_batches([*held, batch.slice(0, starts[-1])]))
+            batch, held, n = batch.slice(starts[-1]), [], 0
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+    if held:
+        yield documents(pa.concat_batches(held))
+
+
+def decoded(encoded: DataFrame, *, path: str | None = None, piece_bytes: int = 1 << 26) -> DataFrame:
+    """doc_id, ids and text of every row of encoded: ids joined to their pieces, the pieces joined in order, as UTF-8."""
+    found = piece_table(path or default_path())
+    columns = {"id": pa.array(np.arange(len(found), dtype=np.int32)), "piece": pa.array(found, pa.binary())}
+    table = encoded.sparkSession.createDataFrame(pa.table(columns))
+    rows = encoded.select(F.col("doc_id").cast("long"), "ids")
+    if sum(map(len, found)) + 16 * len(found) <= piece_bytes:
+        joined = rows.select("doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(table), "id", "left")
+    else:
+        rows = durable(rows).withColumn("row", F.monotonically_increasing_id())
+        joined = rows.select("doc_id", "row", F.posexplode_outer("ids").alias("pos", "id")).join(table.hint("shuffle_hash"), "id", "left")
+        joined = joined.repartition("row").sortWithinPartitions("row", "pos")
+    return joined.select("doc_id", "pos", "id", "piece").mapInArrow(in_documents, "doc_id long, ids array<int>, text string")
 
 
 @F.arrow_udf(T.StringType())

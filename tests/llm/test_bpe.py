@@ -43,9 +43,11 @@ def test_query_digests(spark, tmp_path):
 def test_invalid_bytes_and_unknown_ids_decode(spark):
     tok = bpe.tokenizer(bpe.default_path())
     part = tok.encode("👍", add_special_tokens=False).ids[:1]
-    rows = [(1, part), (2, [99_999_999, -1]), (3, []), (4, None), (None, part), (None, part)]
+    rows = [(1, part), (2, [99_999_999, -1, None]), (3, []), (4, None), (None, part), (None, part)]
     for piece_bytes in (1 << 26, 0):
-        out = bpe.decoded(spark.createDataFrame(rows, "doc_id long, ids array<int>"), piece_bytes=piece_bytes).collect()
+        encoded = spark.createDataFrame(rows, "doc_id long, ids array<int>").selectExpr("*", "1 AS pos", "2 AS id", "'x' AS text", "3 AS row", "4 AS head")
+        out = bpe.decoded(encoded, piece_bytes=piece_bytes).collect()
+        assert {(r.pos, r.id, r.row, r.head) for r in out} == {(1, 2, 3, 4)}
         want = [(i, ids or [], tok.decode(ids or []) if i != 2 else "") for i, ids in rows]
         assert sorted(((r.doc_id, list(r.ids), r.text) for r in out), key=str) == sorted(want, key=str)
 
@@ -58,18 +60,21 @@ def test_decoding_by_either_join_gives_the_texts_back(spark):
         assert {r.doc_id: r.text for r in out.collect()} == {i: t or "" for i, t in enumerate(texts())}
 
 
-def test_documents_are_put_together_over_batches():
-    rng, rows = random.Random(8), []
+def test_documents_are_put_together_over_batches(monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 5000)
+    rng, docs, rows = random.Random(8), [], []
     for doc in range(300):
-        n = rng.choice([0, 1, 2, 50, 3000])
-        rows += [(doc, i, i % 7, b"p%d " % (i % 7)) for i in range(n)] or [(doc, None, None, None)]
-    columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
-    whole = pa.RecordBatch.from_arrays(columns, names=["doc_id", "pos", "id", "piece"])
-    out = pa.Table.from_batches(bpe.in_documents(whole.slice(i, 1000) for i in range(0, len(rows), 1000))).to_pylist()
-    assert [r["doc_id"] for r in out] == list(range(300)) and sum(len(r["ids"]) for r in out) == sum(x[1] is not None for x in rows)
-    assert all(r["text"] == "".join(f"p{i} " for i in r["ids"]) and r["ids"] == [i % 7 for i in range(len(r["ids"]))] for r in out)
-    with pytest.raises(RuntimeError, match="order"):
-        list(bpe.in_documents([whole.take(pa.array(range(len(rows) - 1, -1, -1)))]))
+        ids = [rng.randrange(2000) for _ in range(rng.choice([0, 1, 2, 50, 3000]))]
+        docs.append({"doc_id": doc if doc % 9 else None, "ids": ids, "text": "".join(f"p{i} " for i in ids)})
+        head = {"doc_id": docs[-1]["doc_id"], "ids": ids}
+        rows += [(None if at else head, i, b"p%d " % i) for at, i in enumerate(dict.fromkeys(ids))] or [(head, None, None)]
+    kinds = (pa.struct([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), pa.int32(), pa.binary())
+    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+    whole = pa.RecordBatch.from_arrays(columns, names=["head", "id", "piece"])
+    out = list(bpe.in_documents(whole.slice(i, 1000) for i in range(0, len(rows), 1000)))
+    assert len(out) > 5 and pa.Table.from_batches(out).to_pylist() == docs
+    with pytest.raises(RuntimeError, match="apart"):
+        list(bpe.in_documents([whole.take(pa.array([0, *range(len(rows) - 1, 0, -1)]))]))
 
 
 def test_empty_table(spark):

@@ -8,9 +8,9 @@ Byte-level BPE never merges across the words of its split pattern, so a text's i
 2. encode: the rows of all blocks are dealt by word and sorted, so that a distinct word is a run of rows, encoded once;
    nothing is remembered but the last word.
 3. join back: the words' ids return to their block, where documents take them by word number, in order of position.
-4. decode: ids, a row each, are joined to the vocabulary's table of pieces by id, and a document's pieces are put together
-   in order of position. The table's size is checked: below piece_bytes it is broadcast, so that the ids neither move nor
-   leave their order and no sort is needed; a larger one is joined by a shuffle and the rows are sorted back into documents.
+4. decode: the distinct ids of a document, a row each, are joined to the vocabulary's table of pieces by id, and its pieces
+   are put together in order of position. The table's size is checked: below piece_bytes it is broadcast, so that a
+   document's rows stay together without a sort; a larger one is joined by a shuffle and the rows are sorted back.
 
 One exchange carries the documents and the words; the words' branch and the documents' branch both read it. A hot word
 is in each block once at most, and a block is bounded, so no key is larger than others. The number of parts grows with
@@ -44,6 +44,7 @@ from wetcell.storage import durable
 
 DOCS_IN_ROW = 256
 WORDS_IN_BATCH = 1 << 15
+BATCH_BYTES = 1 << 21
 _LETTER, _NUMBER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ˁ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 #: The vocabulary's split pattern for texts whose characters are all below U+02C2; the library splits the others.
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -182,8 +183,8 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 def join_back(documents: pa.Table, words: pa.Table) -> pa.Table:
-    """doc_id and ids of a block's documents, whose words are numbers into the block's words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    """doc_id, ids and their digest of a block's documents, whose words are numbers into the block's words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string())])
     at, counts, flat = (words[x].combine_chunks().flatten().to_numpy() for x in ("at", "n", "ids"))
     starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     starts[at], lengths[at] = np.cumsum(counts, dtype=np.int64) - counts, counts
@@ -195,13 +196,16 @@ def join_back(documents: pa.Table, words: pa.Table) -> pa.Table:
         offsets = np.concatenate(([0], np.cumsum([x.shape[1] for x in planes])))
         size = np.concatenate(([0], np.cumsum(lengths[numbers])))[offsets]
         ids = gathered(flat, starts[numbers], lengths[numbers])
-        out.append(pa.RecordBatch.from_arrays([rows["doc_id"], pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(ids))], schema=schema))
+        digests = pa.array([hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(size, size[1:], strict=False)], pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(ids))
+        out.append(pa.RecordBatch.from_arrays([rows["doc_id"], lists, digests], schema=schema))
     return pa.Table.from_batches(out, schema=schema)
 
 
 def encode(docs: DataFrame, *, path: str | None = None, block_chars: int = 1 << 25) -> DataFrame:
-    """doc_id and ids (array<int>) of every document. Word numbers depend on the order of a task's rows, so docs that do
-    not come straight from files, where a task that runs again reads the same rows in the same order, are written first."""
+    """doc_id, ids (array<int>) and ids_sha256 (of the ids as little-endian unsigned 32-bit integers) of every document.
+    Word numbers depend on the order of a task's rows, so docs that do not come straight from files, where a task that
+    runs again reads the same rows in the same order, are written first."""
     path = path or default_path()
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
@@ -213,7 +217,7 @@ def encode(docs: DataFrame, *, path: str | None = None, block_chars: int = 1 <<
     words = moved.filter("row.at IS NOT NULL").select("key", "row.block", "row.at").sortWithinPartitions("key")
     encoded = words.mapInArrow(word_encoder(path), "key string, at array<int>, n array<int>, ids array<int>")
     documents = moved.filter("row.body IS NOT NULL").select("key", "row.body")
-    return documents.groupBy("key").cogroup(encoded.repartition(parts, "key").groupBy("key")).applyInArrow(join_back, "doc_id long, ids array<int>")
+    return documents.groupBy("key").cogroup(encoded.repartition(parts, "key").groupBy("key")).applyInArrow(join_back, "doc_id long, ids array<int>, ids_sha256 string")
 
 
 def piece_table(path: str) -> list[bytes]:
@@ -228,47 +232,53 @@ def piece_table(path: str) -> list[bytes]:
 
 
 def in_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, pos, id, piece, a document's rows in a row by pos -> doc_id, ids, text. A null pos is a document without ids."""
+    """head (the document's columns, null but in its first row), id, piece -> the document's columns and text."""
 
     def documents(rows: pa.RecordBatch) -> pa.RecordBatch:
-        pos = pc.fill_null(rows["pos"], 0).to_numpy()
-        first = np.flatnonzero(pos == 0)
-        if not np.array_equal(pos, np.arange(len(pos)) - np.repeat(first, np.diff(first, append=len(pos)))):
-            raise RuntimeError("ids are not in order of their positions")
-        own = rows["pos"].is_valid()
-        counts = np.concatenate(([0], np.cumsum(own.to_numpy(zero_copy_only=False))))[np.append(first, len(pos))]
-        pieces = pc.fill_null(rows["piece"], b"")
-        cuts = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :][np.append(first, len(pos))]
-        data = memoryview(pieces.buffers()[2] or b"")
-        texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
-        ids = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), rows["id"].filter(own))
-        return pa.RecordBatch.from_arrays([rows["doc_id"].take(pa.array(first)), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
-
-    held, n = [], 0
+        first = np.flatnonzero(rows["head"].is_valid().to_numpy(zero_copy_only=False))
+        heads = rows["head"].take(pa.array(first))
+        pieces, known = pc.fill_null(rows["piece"], b""), pc.fill_null(rows["id"], -1).to_numpy()
+        ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :][: len(pieces) + 1].astype(np.int64)
+        flat, starts, lengths = np.frombuffer(pieces.buffers()[2] or b"", np.uint8), ends[:-1], np.diff(ends)
+        texts = []
+        for low, high, ids in zip(first, [*first[1:], len(known)], heads.field("ids"), strict=True):
+            own = pc.fill_null(ids.values, -1).to_numpy()
+            order = low + np.argsort(known[low:high])
+            at = order[np.minimum(np.searchsorted(known[order], own), high - low - 1)]
+            if not np.array_equal(known[at], own):
+                raise RuntimeError("a document is apart from the pieces of its ids")
+            texts.append(gathered(flat, starts[at], lengths[at]).tobytes().decode("utf-8", "replace"))
+        return pa.RecordBatch.from_arrays([*heads.flatten(), pa.array(texts, pa.string())], names=[*(x.name for x in heads.type), "text"])
+
+    held, size = [], 0
     for batch in batches:
-        if n >= WORDS_IN_BATCH and len(starts := np.flatnonzero(pc.fill_null(batch["pos"], 0).to_numpy() == 0)):
+        starts = np.flatnonzero(batch["head"].is_valid().to_numpy(zero_copy_only=False)) if size >= BATCH_BYTES else ()
+        if len(starts):
             yield documents(pa.concat_batches([*held, batch.slice(0, starts[-1])]))
-            batch, held, n = batch.slice(starts[-1]), [], 0
+            batch, held, size = batch.slice(starts[-1]), [], 0
         if batch.num_rows:
             held.append(batch)
-            n += batch.num_rows
+            size += batch.nbytes
     if held:
         yield documents(pa.concat_batches(held))
 
 
 def decoded(encoded: DataFrame, *, path: str | None = None, piece_bytes: int = 1 << 26) -> DataFrame:
-    """doc_id, ids and text of every row of encoded: ids joined to their pieces, the pieces joined in order, as UTF-8."""
+    """encoded with a column text (in place of one it may have): ids joined to their pieces, the pieces joined in order, as UTF-8."""
     found = piece_table(path or default_path())
     columns = {"id": pa.array(np.arange(len(found), dtype=np.int32)), "piece": pa.array(found, pa.binary())}
     table = encoded.sparkSession.createDataFrame(pa.table(columns))
-    rows = encoded.select(F.col("doc_id").cast("long"), "ids")
-    if sum(map(len, found)) + 16 * len(found) <= piece_bytes:
-        joined = rows.select("doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(table), "id", "left")
+    rows = encoded.drop("text").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    schema = T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())])
+    small = sum(map(len, found)) + 16 * len(found) <= piece_bytes
+    rows = (rows if small else durable(rows)).select(F.struct("*").alias("head"), "ids", F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("row", "head", F.posexplode_outer(F.array_distinct("ids")).alias("pos", "id"))
+    rows = rows.select("row", "pos", "id", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("head")).alias("head"))
+    if small:
+        joined = rows.join(F.broadcast(table), "id", "left")
     else:
-        rows = durable(rows).withColumn("row", F.monotonically_increasing_id())
-        joined = rows.select("doc_id", "row", F.posexplode_outer("ids").alias("pos", "id")).join(table.hint("shuffle_hash"), "id", "left")
-        joined = joined.repartition("row").sortWithinPartitions("row", "pos")
-    return joined.select("doc_id", "pos", "id", "piece").mapInArrow(in_documents, "doc_id long, ids array<int>, text string")
+        joined = rows.join(table.hint("shuffle_hash"), "id", "left").repartition("row").sortWithinPartitions("row", "pos")
+    return joined.select("head", "id", "piece").mapInArrow(in_documents, schema)
 
 
 @F.arrow_udf(T.StringType())
@@ -280,5 +290,5 @@ def ids_sha256(ids: pa.Array) -> pa.Array:
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = decoded(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("text", 256).alias("decoded_sha256")
     )

@@ -281,12 +281,6 @@ def decoded(encoded: DataFrame, *, path: str | None = None, piece_bytes: int = 1
     return joined.select("head", "id", "piece").mapInArrow(in_documents, schema)
 
 
-@F.arrow_udf(T.StringType())
-def ids_sha256(ids: pa.Array) -> pa.Array:
-    """Of the ids as little-endian unsigned 32-bit integers."""
-    return pa.array([hashlib.sha256(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()).hexdigest() for x in ids], pa.string())
-
-
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = decoded(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return encoded.select(

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from wetcell.llm import bpe, exact_dedup, jaccard_join, licenses, line_dedup, mixing, quality, secrets, token_counts, topk
+from wetcell.llm import bpe, exact_dedup, jaccard_join, licenses, line_dedup, mixing, quality, secrets, token_counts, topk, whitening
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_bpe_encoding": bpe.op8_bpe_encoding,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_license_scans": licenses.op10_license_scans,
+    "op12_whitening": whitening.op12_whitening,
 }
 SQL = {
     "op1_exact_topk": topk.OP1_SQL,

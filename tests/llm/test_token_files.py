@@ -58,6 +58,15 @@ def test_boundaries_read_no_ids(spark, tmp_path):
     assert (row.width, len(row.ids), row.n_docs) == (2, 2 * row.n_ids, 1)
 
 
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_WORDS", 3)
+    words = token_files.Words(bpe.default_path(), 0)
+    for text in ("one two", "three four five", "one two", ""):
+        ids, ends = words.ids([words.number(text), words.number("x" + text)])
+        want = [[*bpe.tokenizer(bpe.default_path()).encode(t, add_special_tokens=False).ids, 0] for t in (text, "x" + text)]
+        assert ids.tolist() == sum(want, []) and ends.tolist() == [len(want[0]), len(want[0]) + len(want[1])]
+
+
 def test_ids_that_repeat_keep_a_row_each(spark, tmp_path):
     rows = [(7, f"t {i % 4}") for i in range(40)] + [(None, None), (None, "x")]
     token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/r", segment_ids=8)

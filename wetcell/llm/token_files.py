@@ -11,8 +11,8 @@ A dataset is a folder with two Parquet tables, written and read by Spark whereve
   no table has a 64-bit number for each document's offset.
 
 Writing: texts are dealt by ranges of doc_id and sorted, each range (part) is written by one task in that order. A task
-splits texts into words, encodes a block's distinct words once and puts the ids together by word number; a block has
-block_chars characters, so memory doesn't grow with the part. Every document ends in end_id.
+splits texts into words, encodes each distinct word once and puts the ids together by word number; a block has block_chars
+characters and a Python worker remembers MOST_WORDS words, so memory doesn't grow with the part. Every document ends in end_id.
 
 Nulls, ties and odd input: a null text counts as empty and has the end id alone; null ids come first, rows with the same
 id are in order of the text's hash, rows that tie in both have the same text; a special token's string in a text is that
@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -38,6 +39,7 @@ from wetcell.llm.common import small_batches
 from wetcell.storage import PREFIX, shared_folder
 
 SAMPLE = 64
+MOST_WORDS = 1 << 19
 SEGMENT = pa.schema([
     ("part", pa.int32()), ("k", pa.int32()), ("at", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
     ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.list_(pa.int32())), ("width", pa.int32()), ("ids", pa.binary()),
@@ -88,30 +90,64 @@ class Ends(NamedTuple):
         return high << self.low_bits | low @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
 
-def ids_of(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts in a row, each text's followed by end_id, and where each text's end. A distinct word is encoded once."""
-    numbers: dict[str, int] = {}
-    words = [[numbers.setdefault(w, len(numbers)) for w in words_of(t, path)] for t in texts]
-    known = [x.ids for x in tokenizer(path).encode_batch(list(numbers), add_special_tokens=False)] + [[end_id]]
-    sizes = np.fromiter(map(len, known), np.int64, len(known))
-    flat = np.fromiter(chain.from_iterable(known), np.int32, int(sizes.sum()))
-    last = [len(numbers)]
-    counts = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    order = np.fromiter(chain.from_iterable(chain(w, last) for w in words), np.int32, int(counts.sum()))
-    lengths = sizes[order]
-    ends = np.cumsum(lengths)[np.cumsum(counts) - 1]
-    return gathered(flat, (np.cumsum(sizes) - sizes)[order], lengths), ends
+class Numbers(dict):
+    """Words by order of their first lookup."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+class Words:
+    """The ids of words, each encoded once while it is known; number 0 stands for a text's end. All are forgotten after
+    MOST_WORDS, so that memory is bounded; nothing depends on what is known."""
+
+    def __init__(self, path: str, end_id: int):
+        self.path, self.end_id = path, end_id
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = Numbers({None: 0})
+        self.sizes, self.starts, self.flat = np.ones(1, np.int32), np.zeros(1, np.int32), np.array([self.end_id], np.int32)
+
+    def number(self, text: str) -> np.ndarray:
+        """The numbers of a text's words and its end."""
+        found = words_of(text, self.path)
+        out = np.zeros(len(found) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found))
+        return out
+
+    def ids(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of numbered texts in a row, and where each text's end."""
+        new = list(islice(self.numbers, len(self.sizes), None))
+        known = [x.ids for x in tokenizer(self.path).encode_batch(new, add_special_tokens=False)]
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, known), np.int32, len(known))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(known), np.int32)])
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        order = np.concatenate(texts)
+        lengths = self.sizes[order].astype(np.int64)
+        ends = np.cumsum(lengths)[np.cumsum([len(x) for x in texts]) - 1]
+        out = gathered(self.flat, self.starts[order], lengths)
+        if len(self.numbers) > MOST_WORDS:
+            self.forget()
+        return out, ends
+
+
+@cache
+def words_known(path: str, end_id: int) -> Words:
+    """One for all tasks of a Python worker."""
+    return Words(path, end_id)
 
 
 def segmenting(path: str, end_id: int, block_chars: int, segment_ids: int):
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, before = TaskContext.get().partitionId(), 0, 0
         width = 2 if max(end_id, tokenizer(path).get_vocab_size() - 1) < 1 << 16 else 4
-        doc_ids, texts, chars = [], [], 0
+        doc_ids, texts, chars, words = [], [], 0, words_known(path, end_id)
 
         def block() -> Iterator[pa.RecordBatch]:
             nonlocal k, before
-            ids, ends = ids_of(texts, path, end_id)
+            ids, ends = words.ids(texts)
             first = 0
             while first < len(ends):
                 begin = int(ends[first - 1]) if first else 0
@@ -125,9 +161,10 @@ def segmenting(path: str, end_id: int, block_chars: int, segment_ids: int):
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                texts.append(text.as_py() or "")
+                text = text.as_py() or ""
+                texts.append(words.number(text))
                 doc_ids.append(doc_id.as_py())
-                chars += len(texts[-1])
+                chars += len(text)
                 if chars >= block_chars:
                     yield from block()
                     chars = 0

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from wetcell.llm import mixing
@@ -65,10 +66,31 @@ def test_schedule_is_even_and_whole(spark):
     assert sorted(map(tuple, mix.collect())) == sorted(map(tuple, mixing.mixed(docs, block=64)[2].collect()))
 
 
+def test_a_block_without_a_slot_is_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, source string")
+    whole = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda plan, block: whole(plan, block).filter("place <> 2 OR rank <> 0"))
+    with pytest.raises(Exception, match="a block has no slot"):
+        mixing.taken(docs, block=64).collect()
+
+
+def test_slots_and_parts_of_documents(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, source string")
+    own, _, mix = mixing.mixed(docs, block=16)
+    place = {(r.doc_id, r.source): (r.place, r.start) for r in own.collect()}
+    parts = defaultdict(list)
+    for r in mix.collect():
+        parts[r.place, r.start].append(r.slot)
+    sources = {i: s for i, _, s in rows()}
+    for r in mixing.taken(docs, block=16).collect():
+        slots = parts[place[r.doc_id, sources[r.doc_id]]] if r.size else []
+        assert (r.first_slot, r.n_blocks) == (min(slots, default=None), len(slots)) and (r.taken > 0) == bool(slots)
+
+
 def test_empty_tables(spark):
     assert mixing.taken(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     none = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
-    assert sorted(tuple(r) for r in mixing.taken(none).collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+    assert sorted(tuple(r) for r in mixing.taken(none).collect()) == [(1, 0, 0, 0.0, 0, None, 0), (2, 0, 0, 0.0, 0, None, 0)]
 
 
 def test_mixed_documents_hold_the_words_taken(spark):

@@ -6,11 +6,13 @@ Slot k of the schedule has the van der Corput point of k: its bits in reverse, a
 meet every point once. The points go through the cumulative numbers of blocks, so that a slot picks a source in
 proportion; with 2^L at least twice the blocks, every source has a slot for each of its blocks. A source's slots are
 ranked and rank r takes its block r; slots past its last block are left out. Joining blocks and slots gives the mix: which
-words of which document stand in which slot. It fails if a block has no slot. Whole numbers alone: nothing is rounded.
+words of which document stand in which slot. Words are counted as taken where their block has a slot, and a block without
+one is an error. Whole numbers alone: nothing is rounded.
 
-All ranks and running sums are two-level: within chunks of bounded size, plus the running sums of the chunks' totals, so
-a source with a third of the rows is spread over many tasks; chunks are ranges of the whole order, the row's own hash
-last, so that ids that repeat or are null are spread too. Only per-source rows are ordered in one task.
+All ranks and running sums are two-level: within chunks, plus the running sums of the chunks' totals, so a source with a
+third of the rows is spread over many tasks; chunks are ranges of the whole order, the row's own hash last, so that ids
+that repeat or are null are spread too. There are a few chunks for each of the session's shuffle partitions, whatever the
+rows, and fewer where the rows are few. Only per-source rows are ordered in one task.
 
 Targets: sources in code point order, null last, weigh 5, 2, 1, repeating, and share all words; a target stops at three
 times its source's words and the excess is shared anew by weight. That is the water level L with
@@ -69,7 +71,8 @@ def ordered(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = durable(rows.withColumn("tie", F.xxhash64(F.monotonically_increasing_id())))
     order = ["mark", "doc_id", "text_hash", "tie"]
-    ranges = rows.repartitionByRange(max(1, -(-rows.count() // CHUNK)), "source", *order)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    ranges = rows.repartitionByRange(max(1, min(4 * parts, -(-rows.count() // CHUNK))), "source", *order)
     rows = durable(ranges.withColumn("chunk", F.spark_partition_id()))
     chunks = rows.groupBy("source", "chunk").agg(F.sum("size").alias("total"))
     before = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -140,12 +143,14 @@ def mixed(docs: DataFrame, *, block: int = 8192) -> tuple[DataFrame, DataFrame,
 
 
 def taken(docs: DataFrame, *, block: int = 8192) -> DataFrame:
-    """doc_id, size, source_size, target, taken: the words of each document that the mix takes, repeats counted."""
+    """doc_id, size, source_size, target, taken (the words of the document that the mix takes, repeats counted), first_slot
+    (the first slot with words of it, null without any) and n_blocks (its parts: blocks it has words in, by passes)."""
     rows, _, mix = mixed(docs, block=block)
-    words = mix.groupBy("place", "start").agg(F.sum("words").alias("taken"))
+    words = mix.groupBy("place", "start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_blocks"))
     found = rows.join(words, ["place", "start"], "left")
-    amount = F.when(F.col("size") > 0, F.coalesce(F.col("taken"), F.lit(0))).otherwise(0).cast("long")
-    return found.select("doc_id", "size", "source_size", "target", amount.alias("taken"))
+    has = F.col("size") > 0  # a document without words starts where another one does
+    count = lambda c: F.when(has, F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
+    return found.select("doc_id", "size", "source_size", "target", count("taken"), F.when(has, F.col("first_slot")).alias("first_slot"), count("n_blocks"))
 
 
 def mixed_documents(docs: DataFrame, *, block: int = 8192) -> DataFrame:
@@ -183,7 +188,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: Targets by the same water level; a document's words lie in the stream [start, start + size) of each pass.
+#: Targets by the same water level; a document's words lie in the stream [start, start + size) of each pass; slots by points.
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -191,15 +196,31 @@ o AS (
   SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start,
     (sum(size) OVER (PARTITION BY source))::BIGINT AS source_size FROM d),
 s AS (
-  SELECT source, source_size, 3 * source_size AS cap, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  SELECT source, source_size, 3 * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place, [5, 2, 1][place % 3 + 1] AS weight
   FROM (SELECT DISTINCT source, source_size FROM o)),
 a AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) AS rest, (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS open
   FROM s WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT arg_min(rest / open, cap / weight) FILTER (cap * open >= rest * weight) AS level FROM a),
-t AS (SELECT source, source_size, least(cap::DOUBLE, level * weight) AS target FROM s, l),
-u AS (SELECT *, least(round(target)::BIGINT, 3 * source_size) AS take FROM t)
-SELECT doc_id, size, o.source_size, target,
-  (CASE WHEN size = 0 THEN 0 ELSE (take // o.source_size) * size + greatest(0, least(size, take % o.source_size - start)) END)::BIGINT AS taken
-FROM o JOIN u ON o.source IS NOT DISTINCT FROM u.source
+t AS (SELECT source, source_size, place, least(cap::DOUBLE, level * weight) AS target FROM s, l),
+u AS (SELECT *, least(round(target)::BIGINT, 3 * source_size) AS take FROM t),
+q AS (
+  SELECT place, (take + 8191) // 8192 AS quota, (sum(quota) OVER (ORDER BY place))::BIGINT AS high, (sum(quota) OVER ())::BIGINT AS blocks
+  FROM u),
+w AS (SELECT max(blocks) AS blocks, len(bin(greatest(1, max(blocks)))) + 1 AS bits FROM q),
+k AS (
+  SELECT slot, list_sum([((slot >> i) & 1) << (bits - 1 - i) FOR i IN range(bits)])::HUGEINT AS point, bits
+  FROM (SELECT unnest(range(CASE WHEN blocks > 0 THEN 1 << bits ELSE 0 END)) AS slot, bits FROM w)),
+p AS (
+  SELECT slot, place, quota, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank
+  FROM k JOIN q ON point >= ((high - quota)::HUGEINT << bits) // blocks AND point < (high::HUGEINT << bits) // blocks),
+m AS (
+  SELECT place, start, pass, unnest(range(low // 8192, (least(low + size, take) - 1) // 8192 + 1)) AS rank, low, least(low + size, take) AS top
+  FROM (SELECT o.*, place, take, pass, pass * o.source_size + start AS low FROM o JOIN u ON o.source IS NOT DISTINCT FROM u.source, range(3) AS x(pass))
+  WHERE size > 0 AND low < take),
+b AS (
+  SELECT m.place, start, sum(least(top, (m.rank + 1) * 8192) - greatest(low, m.rank * 8192))::BIGINT AS taken, min(slot) AS first_slot, count(*) AS n_blocks
+  FROM m JOIN p ON p.place = m.place AND p.rank = m.rank WHERE p.rank < quota GROUP BY m.place, start)
+SELECT doc_id, size, o.source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, coalesce(n_blocks, 0) AS n_blocks
+FROM o JOIN u ON o.source IS NOT DISTINCT FROM u.source LEFT JOIN b ON size > 0 AND b.place = u.place AND b.start = o.start
 """

@@ -1,9 +1,11 @@
 """Least-cost accumulation and allocation over tiles (C1-C11).
 
-A cell's label is (cost, source row, source column); the least one wins. A tile is one row with arrays of its cells. Each
-round runs Dijkstra in the tiles whose halo changed, from the border labels that changed in their neighbours, and writes
-those tiles alone; the newest version of every tile is the result. Labels only fall, so the end does not depend on tiling
-or order. A tile's size bounds a task's memory; the number of rounds grows with the tiles that a path crosses.
+A cell's label is (cost, source row, source column); the least one wins. A tile is one row with buffers of its cells. The
+first round lets labels spread in every tile, whole fronts of cells at a time; after that a tile runs again only if labels
+at its neighbours' borders fell, and goes on from where it was. What tiles send each other is one buffer for each
+neighbour; tiles that run again are written, and every few rounds the newest versions are put together and the older ones
+deleted. Labels only fall, so the end does not depend on tiling or order, and there is an end without a limit of rounds. A
+tile's size bounds a task's memory; the number of rounds grows with the tiles that a path crosses, not with its cells.
 
 Costs: "geometric" steps cost the mean of the two cells times the step's length (8 neighbours); "node" steps cost the
 entered cell (4 neighbours). Steps are whole numbers of GRAIN, so that sums below 2**29 are exact and ties are ties in any
@@ -13,8 +15,8 @@ Of the cells before a cell that give the same label, the first in row-major orde
 
 from __future__ import annotations
 
-import heapq
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,19 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wetcell.storage import durable
+from wetcell.storage import durable, superseded
 
 D4 = [(-1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0), (1, 0, 1.0)]
 D8 = D4 + [(i, j, math.sqrt(2)) for i in (-1, 1) for j in (-1, 1)]
 GRAIN = 2.0**-24
-_FAR = 2**62
+_FAR, _WALL = 2**61, 2**62
 _KEY = ["scene", "tr", "tc"]
-_BORDER = pa.list_(pa.struct([("r", pa.int32()), ("c", pa.int32()), ("cost", pa.float64()), ("d", pa.int64()), ("sr", pa.int32()), ("sc", pa.int32())]))
-_TILE = {"tr": pa.int32(), "tc": pa.int32(), "version": pa.int32(), "at": pa.list_(pa.int32()), "cost": pa.list_(pa.float64()), "d": pa.list_(pa.int64()), "source": pa.list_(pa.int64()), "back": pa.list_(pa.int32()), "border": _BORDER}
-_TILES = (
-    "scene string, tr int, tc int, version int, at array<int>, cost array<double>, d array<long>, source array<long>, back array<int>, "
-    "border array<struct<r:int,c:int,cost:double,d:long,sr:int,sc:int>>"
-)
+ROUNDS_KEPT = 6
+_HALO = np.dtype([("r", "<i4"), ("c", "<i4"), ("cost", "<f8"), ("d", "<i8"), ("source", "<i8")])
+_BUFFERS = {"at": "<i4", "cost": "<f8", "d": "<i8", "source": "<i8", "back": "<i4"}
+_SENT = pa.list_(pa.struct([("tr", pa.int32()), ("tc", pa.int32()), ("cells", pa.binary())]))
+_TILES = "scene string, tr int, tc int, version int, at binary, cost binary, d binary, source binary, back binary, sent array<struct<tr:int,tc:int,cells:binary>>"
 
 
 def stepped(x: float) -> float:
@@ -43,57 +44,76 @@ def stepped(x: float) -> float:
 
 
 class Tile:
-    """A tile with a ring of its neighbours' cells; cells are numbers in a square of tile + 2 cells, row by row."""
+    """A tile with a ring of its neighbours' cells; cells are numbers in a square of tile + 2 cells, row by row. Labels
+    have some room behind the square, where steps out of it would end."""
 
     def __init__(self, model: str, tile: int, tr: int, tc: int):
-        self.node, self.tile, self.width, self.r0, self.c0 = model == "node", tile, tile + 2, tr * tile - 1, tc * tile - 1
+        self.node, self.tile, self.width, self.tr, self.tc = model == "node", tile, tile + 2, tr, tc
+        self.r0, self.c0 = tr * tile - 1, tc * tile - 1
         n = self.width**2
-        self.cost, self.d, self.source, self.back = [-1.0] * n, [_FAR] * n, [-1] * n, [-1] * n
-        self.steps = [(i * self.width + j, length / GRAIN) for i, j, length in (D4 if self.node else D8)]
+        room = n + self.width + 2
+        self.cost, self.d, self.source, self.back = np.full(n, -1.0), np.full(room, _FAR), np.full(room, -1), np.full(room, -1)
 
-    def at(self, r: int, c: int) -> int:
+    def at(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
         return (r - self.r0) * self.width + c - self.c0
 
-    def place(self, at: int) -> tuple[int, int]:
-        return self.r0 + at // self.width, self.c0 + at % self.width
-
-    def own(self, at: int) -> bool:
-        return 0 < at // self.width <= self.tile and 0 < at % self.width <= self.tile
-
-    def relax(self, starts: list[int]) -> None:
-        cost, d, source, back, node = self.cost, self.d, self.source, self.back, self.node
-        inside = [self.own(at) and k >= 0 for at, k in enumerate(cost)]
-        heap = [(d[at], source[at], at) for at in starts]
-        heapq.heapify(heap)
-        while heap:
-            far, src, at = heapq.heappop(heap)
-            if far != d[at] or src != source[at]:
-                continue
-            here = cost[at]
-            for shift, length in self.steps:
-                to = at + shift
-                if not 0 <= to < len(cost) or not inside[to]:
-                    continue
-                step = round(cost[to] / GRAIN if node else (here + cost[to]) / 2 * length)
-                new = far + step
-                if new < d[to] or new == d[to] and src < source[to]:
-                    d[to], source[to], back[to] = new, src, at
-                    heapq.heappush(heap, (new, src, to))
-                elif step and new == d[to] and src == source[to] and back[to] > at:
-                    back[to] = at
-
-    def row(self, scene, tr: int, tc: int, version: int, cells: list[int], before: dict[int, tuple]) -> pa.Table:
-        """The tile's row; its border holds the labels that are not those of before."""
-        low, high = 1, self.tile
-        edge = [at for at in cells if at // self.width in (low, high) or at % self.width in (low, high)]
-        border = []
-        for at in edge:
-            if self.d[at] < _FAR and before.get(at) != (self.d[at], self.source[at]):
-                r, c = self.place(at)
-                border.append({"r": r, "c": c, "cost": self.cost[at], "d": self.d[at], "sr": self.source[at] >> 32, "sc": self.source[at] & 0xFFFFFFFF})
-        pick = lambda values: [[values[at] for at in cells]]
-        values = {"tr": [tr], "tc": [tc], "version": [version], "at": [cells], "cost": pick(self.cost), "d": pick(self.d), "source": pick(self.source), "back": pick(self.back), "border": [border]}
-        return pa.table({"scene": pa.array([scene], pa.string()), **{n: pa.array(v, _TILE[n]) for n, v in values.items()}})
+    def steps(self) -> list[tuple[int, np.ndarray]]:
+        """(shift, cost of that step from each cell in grains) for every direction; a wall where it may not go."""
+        square = self.cost.reshape(self.width, self.width)
+        own = np.zeros_like(square, bool)
+        own[1:-1, 1:-1] = square[1:-1, 1:-1] >= 0
+        out = []
+        for i, j, length in D4 if self.node else D8:
+            from_r, from_c = (slice(max(0, -x), self.width - max(0, x)) for x in (i, j))
+            to_r, to_c = (slice(max(0, x), self.width - max(0, -x)) for x in (i, j))
+            here, there = square[from_r, from_c], square[to_r, to_c]
+            price = there / GRAIN if self.node else (here + there) / 2 * (length / GRAIN)
+            step = np.full(square.shape, _WALL)
+            step[from_r, from_c] = np.where(own[to_r, to_c] & (here >= 0), np.rint(price), _WALL).astype(np.int64)
+            out.append((i * self.width + j, step.ravel()))
+        return out
+
+    def relax(self, front: np.ndarray) -> None:
+        """Spreads the labels of the cells of front until none falls."""
+        d, source, back, steps = self.d, self.source, self.back, self.steps()
+        while len(front):
+            far, src, fell = d[front], source[front], []
+            for shift, every in steps:
+                step, to = every[front], front + shift
+                new, old = far + step, d[to]
+                same, old_src = new == old, source[to]
+                better = (new < old) | same & (src < old_src)
+                tie = same & (src == old_src) & (step > 0) & (front < back[to])
+                back[to[tie]] = front[tie]
+                to = to[better]
+                d[to], source[to], back[to] = new[better], src[better], front[better]
+                fell.append(to)
+            front = np.unique(np.concatenate(fell))
+
+    def row(self, scene, version: int, cells: np.ndarray, d: np.ndarray, source: np.ndarray) -> pa.Table:
+        """The tile's row. d and source: what the labels were; those that fell at its borders go to the neighbours there."""
+        y, x = cells // self.width, cells % self.width
+        fell = (self.d[cells] != d) | (self.source[cells] != source)
+        sides = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+        sent = []
+        for i, j in sides:
+            there = fell.copy()
+            for side, place in ((i, y), (j, x)):
+                if side:
+                    there &= place == (1 if side < 0 else self.tile)
+            if there.any():
+                at = cells[there]
+                halo = np.empty(len(at), _HALO)
+                halo["r"], halo["c"], halo["cost"], halo["d"], halo["source"] = y[there] + self.r0, x[there] + self.c0, self.cost[at], self.d[at], self.source[at]
+                sent.append({"tr": self.tr + i, "tc": self.tc + j, "cells": halo.tobytes()})
+        buffers = {"at": cells, "cost": self.cost[cells], "d": self.d[cells], "source": self.source[cells], "back": self.back[cells]}
+        values = {n: pa.array([v.astype(_BUFFERS[n]).tobytes()], pa.binary()) for n, v in buffers.items()}
+        key = {"scene": pa.array([scene], pa.string()), **{n: pa.array([v], pa.int32()) for n, v in (("tr", self.tr), ("tc", self.tc), ("version", version))}}
+        return pa.table({**key, **values, "sent": pa.array([sent], _SENT)})
+
+
+def buffers(row: dict) -> dict[str, np.ndarray]:
+    return {n: np.frombuffer(row[n], kind) for n, kind in _BUFFERS.items()}
 
 
 def started(model: str, tile: int):
@@ -101,42 +121,64 @@ def started(model: str, tile: int):
         """cells of a tile: scene, tr, tc, r, c, cost, seed. The tile after its first run."""
         scene, tr, tc = (cells[n][0].as_py() for n in _KEY)
         t = Tile(model, tile, tr, tc)
-        r, c = cells["r"].to_numpy(), cells["c"].to_numpy()
+        r, c = cells["r"].to_numpy().astype(np.int64), cells["c"].to_numpy().astype(np.int64)
         order = np.lexsort((c, r))
-        at = [t.at(int(a), int(b)) for a, b in zip(r[order], c[order], strict=True)]
-        seeds = []
-        for k, cost, seed in zip(at, cells["cost"].to_numpy()[order].tolist(), cells["seed"].to_numpy()[order].tolist(), strict=True):
-            t.cost[k] = cost
-            if seed:
-                a, b = t.place(k)
-                t.d[k], t.source[k] = 0, a << 32 | b
-                seeds.append(k)
-        t.relax(seeds)
-        return t.row(scene, tr, tc, 0, at, {})
+        r, c, seed = r[order], c[order], cells["seed"].to_numpy()[order]
+        at = t.at(r, c)
+        t.cost[at] = cells["cost"].to_numpy()[order]
+        t.d[at[seed]], t.source[at[seed]] = 0, r[seed] << 32 | c[seed]
+        t.relax(at[seed])
+        return t.row(scene, 0, at, np.int64(_FAR), np.int64(-1))
 
     return start
 
 
 def continued(model: str, tile: int, version: int):
     def go_on(rows: pa.Table) -> pa.Table:
-        """A tile's newest row and the border cells of its neighbours that changed (halo)."""
+        """A tile's newest row with halo: buffers of its neighbours' border cells whose labels fell."""
         x = rows.to_pylist()[0]
-        t = Tile(model, tile, x["tr"], x["tc"])
-        for at, cost, d, source, back in zip(x["at"], x["cost"], x["d"], x["source"], x["back"], strict=True):
-            t.cost[at], t.d[at], t.source[at], t.back[at] = cost, d, source, back
-        before = {at: (t.d[at], t.source[at]) for at in x["at"]}
-        starts = []
-        for h in x["halo"]:
-            at = t.at(h["r"], h["c"])
-            t.cost[at], t.d[at], t.source[at] = h["cost"], h["d"], h["sr"] << 32 | h["sc"]
-            starts.append(at)
-        t.relax(starts)
-        return t.row(x["scene"], x["tr"], x["tc"], version, x["at"], before)
+        t, known = Tile(model, tile, x["tr"], x["tc"]), buffers(x)
+        at = known["at"]
+        t.cost[at], t.d[at], t.source[at], t.back[at] = (known[n] for n in ("cost", "d", "source", "back"))
+        halo = np.concatenate([np.frombuffer(h, _HALO) for h in x["halo"]])
+        front = t.at(halo["r"].astype(np.int64), halo["c"])
+        t.cost[front], t.d[front], t.source[front] = halo["cost"], halo["d"], halo["source"]
+        t.relax(front)
+        return t.row(x["scene"], version, at.astype(np.int64), known["d"], known["source"])
 
     return go_on
 
 
-def allocated(cells: DataFrame, cost: str, source: str, *, model: str = "geometric", tile: int = 256, most_rounds: int = 1000) -> DataFrame:
+def labels_of(tile: int):
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tiles -> scene, r, c, d, sr, sc, pr, pc of the cells that have a label."""
+        width = tile + 2
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = buffers(row)
+                has = x["d"] < _FAR
+                at, d, source, back = (x[n][has] for n in ("at", "d", "source", "back"))
+                place = lambda k: (row["tr"] * tile - 1 + k // width, row["tc"] * tile - 1 + k % width)  # noqa: B023, E731
+                (r, c), (pr, pc) = place(at), place(back)
+                ints = {"r": r, "c": c, "sr": source >> 32, "sc": source & 0xFFFFFFFF}
+                columns = {n: pa.array(v.astype(np.int32)) for n, v in ints.items()}
+                columns |= {n: pa.array(v.astype(np.int32), mask=back < 0) for n, v in (("pr", pr), ("pc", pc))}
+                columns |= {"scene": pa.array([row["scene"]] * len(at), pa.string()), "d": pa.array(d * GRAIN)}
+                names = ["scene", "r", "c", "d", "sr", "sc", "pr", "pc"]
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return flat
+
+
+def newest(rounds: list[DataFrame]) -> DataFrame:
+    """The last version of every tile, of rounds that are written."""
+    every = reduce(DataFrame.unionByName, rounds)
+    if len(rounds) == 1:
+        return every
+    return every.join(every.groupBy(*_KEY).agg(F.max("version").alias("version")), [*_KEY, "version"])
+
+
+def allocated(cells: DataFrame, cost: str, source: str, *, model: str = "geometric", tile: int = 256) -> DataFrame:
     """cells: scene, r, c, cost, source (null: no source), ... Returns scene, r, c, d, sr, sc, pr, pc: accumulated cost,
     source cell and the cell before on the path (null at sources) of every cell that a source reaches."""
     if model not in ("geometric", "node"):
@@ -144,44 +186,40 @@ def allocated(cells: DataFrame, cost: str, source: str, *, model: str = "geometr
     finite = F.col(cost).isNotNull() & (F.col(cost) >= 0) & (F.col(cost) < float("inf"))
     tile_of = lambda x: F.expr(f"cast(floor({x} / {tile}) as int)")
     rows = cells.filter(finite).select("scene", tile_of("r").alias("tr"), tile_of("c").alias("tc"), "r", "c", F.col(cost).cast("double").alias("cost"), F.col(source).isNotNull().alias("seed"))
-    rounds = [durable(rows.groupBy(*_KEY).applyInArrow(started(model, tile), _TILES))]
-    shifts = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))
-    for version in range(1, most_rounds + 1):
-        every = reduce(DataFrame.unionByName, rounds)
-        sent = rounds[-1].select("scene", F.col("tr").alias("from_r"), F.col("tc").alias("from_c"), F.explode("border").alias("h")).withColumn("s", F.explode(shifts))
-        sent = sent.withColumns({"tr": tile_of("(h.r + s.i)"), "tc": tile_of("(h.c + s.j)")}).filter("tr <> from_r OR tc <> from_c")
-        halo = sent.groupBy(*_KEY).agg(F.collect_set("h").alias("halo"))  # the border cells around one tile at most
-        newest = every.groupBy(*_KEY).agg(F.max("version").alias("version"))
-        awake = durable(halo.join(newest, _KEY))
-        if awake.isEmpty():
+    rounds, version = [durable(rows.groupBy(*_KEY).applyInArrow(started(model, tile), _TILES))], 0
+    while True:
+        sent = rounds[-1].filter(F.col("version") == version).select("scene", F.explode("sent").alias("s"))
+        halo = sent.groupBy("scene", "s.tr", "s.tc").agg(F.collect_list("s.cells").alias("halo"))  # a buffer a neighbour: 8 at most
+        version += 1
+        awake = newest([x.drop("sent") for x in rounds]).join(halo, _KEY)
+        again = durable(awake.groupBy(*_KEY).applyInArrow(continued(model, tile, version), _TILES))
+        if again.isEmpty():
+            superseded(again)
             break
-        work = every.drop("border").join(awake, [*_KEY, "version"])
-        rounds.append(durable(work.groupBy(*_KEY).applyInArrow(continued(model, tile, version), _TILES)))
-    else:
-        raise RuntimeError(f"allocated: no end after {most_rounds} rounds")
-    last = every
-    if len(rounds) > 1:
-        last = every.join(every.groupBy(*_KEY).agg(F.max("version").alias("version")), [*_KEY, "version"])
-    flat = last.select(*_KEY, F.explode(F.arrays_zip("at", "d", "source", "back")).alias("x")).filter(F.col("x.d") < _FAR)
-    width = tile + 2
-    r_of = lambda x: F.expr(f"cast(tr * {tile} - 1 + x.{x} div {width} as int)")
-    c_of = lambda x: F.expr(f"cast(tc * {tile} - 1 + x.{x} % {width} as int)")
-    back = lambda x: F.when(F.col("x.back") >= 0, x)
-    return flat.select(
-        "scene", r_of("at").alias("r"), c_of("at").alias("c"), (F.col("x.d") * GRAIN).alias("d"), F.shiftright("x.source", 32).cast("int").alias("sr"),
-        F.col("x.source").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("sc"), back(r_of("back")).alias("pr"), back(c_of("back")).alias("pc"),
-    )
+        rounds.append(again)
+        if len(rounds) > ROUNDS_KEPT:
+            whole = durable(newest(rounds))
+            superseded(*rounds)
+            rounds = [whole]
+    return newest(rounds).mapInArrow(labels_of(tile), "scene string, r int, c int, d double, sr int, sc int, pr int, pc int")
+
+
+def fill_inputs(cells: DataFrame, value: str, cost: str) -> DataFrame:
+    """scene, wet, cells and state: what a cost fill does with the scene (C11)."""
+    counts = cells.groupBy("scene").agg(F.count(value).alias("wet"), F.count(F.lit(1)).alias("cells"), F.count_if(F.col(cost) < 0).alias("low"))
+    state = F.when(F.col("low") > 0, "negative costs").when(F.col("wet") == 0, "no wet cell").when(F.col("wet") == F.col("cells"), "nothing to fill").otherwise("fill")
+    return counts.select("scene", "wet", "cells", state.alias("state"))
 
 
 def cost_fill(cells: DataFrame, value: str, cost: str, out: str, *, target: Column | None = None, **options) -> DataFrame:
     """Adds `out` (the value of each cell's least-cost source), `out_cost` and `out_zone` (the source's cell number).
     Cells outside `target` keep their own value; those that no source reaches are null. Raises if a scene has no source
     or a negative cost; where every cell has a value, that is the result."""
-    counts = cells.groupBy("scene").agg(F.count(value).alias("wet"), F.count(F.lit(1)).alias("all"), F.count_if(F.col(cost) < 0).alias("low"))
-    bad = counts.filter("wet = 0 OR low > 0").limit(5).collect()
-    if bad:
-        raise ValueError("cost fill: " + "; ".join(f"{x['scene']}: {'negative costs' if x['low'] else 'no wet cell'}" for x in bad))
-    if counts.filter("wet < all").isEmpty():
+    states = {r["state"]: r["scene"] for r in fill_inputs(cells, value, cost).groupBy("state").agg(F.min("scene").alias("scene")).collect()}
+    for bad in ("negative costs", "no wet cell"):
+        if bad in states:
+            raise ValueError(f"cost fill: {states[bad]}: {bad}")
+    if "fill" not in states:
         width = cells.groupBy("scene").agg((F.max("c") + 1).alias("_width"))
         rows = cells.withColumn(out, F.col(value)).withColumn(f"{out}_cost", F.lit(0.0)).join(width, "scene")
         return rows.withColumn(f"{out}_zone", F.col("r").cast("long") * F.col("_width") + F.col("c")).drop("_width")

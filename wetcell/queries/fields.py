@@ -14,7 +14,7 @@ from wetcell.storage import durable
 
 QUERIES, SQL = {}, {}
 KEY = ("scene", "r", "c")
-TILE = 128
+TILE = 24  # smaller than a scene, so that labels cross tiles
 THREE = {"linear": {"decay_frac": 0.001}, "slope_linear": {"decay_frac": 0.0001}, "slope_power": {"c": 0.00001, "n": 1.1}}
 
 
@@ -234,7 +234,7 @@ def c6_varying(spark, sf):
     """Walls of null and negative costs with a gap at every fifth column, sources at the left alone: paths go around."""
     price = F.when((F.col("r") % 7 != 3) | (F.col("c") % 5 == 0), 1 + F.abs("dem") / 64).when(F.col("c") % 2 == 0, -1.0)
     rows = partial(spark, sf, True).withColumns({"cost": price, "source": F.when(F.col("c") < 20, F.col("wse2"))})
-    return cost.allocated(durable(rows), "cost", "source", tile=32).select(*KEY, "d")
+    return cost.allocated(durable(rows), "cost", "source", tile=TILE).select(*KEY, "d")
 
 
 @query("c7_backlinks", PENALTY + oracles.backlinks("lab") + "SELECT scene, r, c, pr, pc FROM lab_b")
@@ -265,6 +265,23 @@ def c10(spark, sf):
     return growth.terrain_fill(rows, coarse, F4, growth.Settings(tile=TILE)).select(*KEY, "fill")
 
 
+@query("c11_fill_inputs", SCN_SQL + """SELECT scene, n AS wet, cells, CASE WHEN low > 0 THEN 'negative costs' WHEN n = 0 THEN 'no wet cell' WHEN n = cells THEN 'nothing to fill' ELSE 'fill' END AS state
+FROM (SELECT scene, count(*) AS cells, count(*) FILTER (k % 3 = 1 AND r = 5 AND dem < 0) AS low, count(CASE WHEN k % 3 = 2 THEN dem WHEN k % 4 <> 0 THEN wse2 END) AS n
+  FROM (SELECT *, scene[2:]::INTEGER AS k FROM wp) GROUP BY scene)""")
+def c11(spark, sf):
+    """Scenes without a wet cell, without a dry one, with negative costs and with something to fill."""
+    kind = F.substring("scene", 2, 9).cast("int")
+    value = F.when(kind % 3 == 2, F.col("dem")).when(kind % 4 != 0, F.col("wse2"))
+    price = F.when((kind % 3 == 1) & (F.col("r") == 5), F.col("dem")).otherwise(1.0)
+    return cost.fill_inputs(partial(spark, sf, True).withColumns({"value": value, "price": price}), "value", "price")
+
+
+@query("c11_nothing_to_fill", SCN_SQL + "SELECT scene, r, c, dem::DOUBLE AS fill, 0::DOUBLE AS fill_cost, (r * 64 + c)::BIGINT AS fill_zone FROM fine")
+def c11_full(spark, sf):
+    rows = scn(spark, sf).withColumns({"value": F.col("dem").cast("double"), "price": F.lit(1.0)})
+    return cost.cost_fill(rows, "value", "price", "fill", tile=TILE).select(*KEY, "fill", "fill_cost", "fill_zone")
+
+
 @query("p8_linear_decay", EMB_SQL + "SELECT scene, r, c, CASE WHEN wse2 IS NULL THEN away * 0.001::DOUBLE ELSE 0 END AS v FROM grown")
 def p8(spark, sf):
     return grown(spark, sf).select(*KEY, cell.linear_decay(F.col("wse2").isNull(), F.col("away"), 0.001).alias("v"))

@@ -216,13 +216,26 @@ def test_ratio_from_georeferences(spark):
     assert growth.ratio_of(table(row("dem", 6, 6), row("wse", 6, 6)), coarse_shape=(2, 2)) == 3
 
 
-@pytest.mark.parametrize("metric", ["chessboard", "euclidean"])
-def test_bands_of_rows_change_nothing(spark, metric, monkeypatch):
-    cells, _, _ = random_grid(spark, seed=3)
-    whole = {(r.r, r.c): r.near for r in distance.nearest_within(cells, "wse", 4, metric).collect()}
-    monkeypatch.setattr(distance, "ROWS", 8)
-    monkeypatch.setattr(distance, "COLUMNS", 5)
-    assert {(r.r, r.c): r.near for r in distance.nearest_within(cells, "wse", 4, metric).collect()} == whole
+@pytest.mark.parametrize("metric", list(distance.METRICS))
+def test_bands_of_rows_change_nothing(spark, metric):
+    """Also where water is a diagonal or one cell, and rows differ in length."""
+    random_cells, _, _ = random_grid(spark, seed=3)
+    picture = [("diagonal", r, c, float(r) if r == c else None) for r in range(70) for c in range(40)]
+    picture += [("corner", r, c, 7.0 if (r, c) == (0, 39) else None) for r in range(50) for c in range(40)]
+    picture += [("ragged", r, c, float(c) if (r * 7 + c) % 31 == 0 and r < 20 else None) for r in range(60) for c in range(5, 5 + r % 13)]
+    cells = random_cells.select("scene", "r", "c", "wse").unionByName(spark.createDataFrame(picture, "scene string, r int, c int, wse double"))
+    whole = {(r.scene, r.r, r.c): r.near for r in distance.searched(cells, "wse", metric, None, rows=1000).collect()}
+    for rows, columns in ((16, 128), (3, 5), (1, 1)):
+        assert {(r.scene, r.r, r.c): r.near for r in distance.searched(cells, "wse", metric, None, rows=rows, columns=columns).collect()} == whole
+    within = {k: n if n is not None and n.d <= 4 else None for k, n in whole.items()}
+    assert {(r.scene, r.r, r.c): r.near for r in distance.searched(cells, "wse", metric, 4, rows=16).collect()} == within
+
+
+def test_columns_are_carried_by_the_distance(spark):
+    cells = spark.createDataFrame([("a", 0, 0, 5, "x", None, [1]), ("a", 0, 1, None, None, 2.5, None)], "scene string, r int, c int, v int, value string, low double, band array<int>")
+    got = {r.c: r for r in distance.nearest(cells, "v").collect()}
+    assert (got[1].near.v, got[1].near.d, got[1].value, got[1].low, got[0].value, got[0].band) == (5, 1.0, None, 2.5, "x", [1])
+    assert distance.nearest(cells.limit(0), "v").count() == 0
 
 
 def test_members_that_fail_or_take_too_long(spark):

@@ -134,17 +134,19 @@ def started(model: str, tile: int):
 
 
 def continued(model: str, tile: int, version: int):
-    def go_on(rows: pa.Table) -> pa.Table:
-        """A tile's newest row with halo: buffers of its neighbours' border cells whose labels fell."""
-        x = rows.to_pylist()[0]
-        t, known = Tile(model, tile, x["tr"], x["tc"]), buffers(x)
-        at = known["at"]
-        t.cost[at], t.d[at], t.source[at], t.back[at] = (known[n] for n in ("cost", "d", "source", "back"))
-        halo = np.concatenate([np.frombuffer(h, _HALO) for h in x["halo"]])
-        front = t.at(halo["r"].astype(np.int64), halo["c"])
-        t.cost[front], t.d[front], t.source[front] = halo["cost"], halo["d"], halo["source"]
-        t.relax(front)
-        return t.row(x["scene"], version, at.astype(np.int64), known["d"], known["source"])
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows are tiles with halo: buffers of their neighbours' border cells whose labels fell."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (x,) = batch.slice(i, 1).to_pylist()
+                t, known = Tile(model, tile, x["tr"], x["tc"]), buffers(x)
+                at = known["at"]
+                t.cost[at], t.d[at], t.source[at], t.back[at] = (known[n] for n in ("cost", "d", "source", "back"))
+                halo = np.concatenate([np.frombuffer(h, _HALO) for h in x["halo"]])
+                front = t.at(halo["r"].astype(np.int64), halo["c"])
+                t.cost[front], t.d[front], t.source[front] = halo["cost"], halo["d"], halo["source"]
+                t.relax(front)
+                yield from t.row(x["scene"], version, at.astype(np.int64), known["d"], known["source"]).to_batches()
 
     return go_on
 
@@ -154,11 +156,12 @@ def labels_of(tile: int):
         """Tiles -> scene, r, c, d, sr, sc, pr, pc of the cells that have a label."""
         width = tile + 2
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
                 x = buffers(row)
                 has = x["d"] < _FAR
                 at, d, source, back = (x[n][has] for n in ("at", "d", "source", "back"))
-                place = lambda k: (row["tr"] * tile - 1 + k // width, row["tc"] * tile - 1 + k % width)  # noqa: B023, E731
+                place = lambda k, row=row: (row["tr"] * tile - 1 + k // width, row["tc"] * tile - 1 + k % width)
                 (r, c), (pr, pc) = place(at), place(back)
                 ints = {"r": r, "c": c, "sr": source >> 32, "sc": source & 0xFFFFFFFF}
                 columns = {n: pa.array(v.astype(np.int32)) for n, v in ints.items()}
@@ -192,7 +195,7 @@ def allocated(cells: DataFrame, cost: str, source: str, *, model: str = "geometr
         halo = sent.groupBy("scene", "s.tr", "s.tc").agg(F.collect_list("s.cells").alias("halo"))  # a buffer a neighbour: 8 at most
         version += 1
         awake = newest([x.drop("sent") for x in rounds]).join(halo, _KEY)
-        again = durable(awake.groupBy(*_KEY).applyInArrow(continued(model, tile, version), _TILES))
+        again = durable(awake.mapInArrow(continued(model, tile, version), _TILES))
         if again.isEmpty():
             superseded(again)
             break

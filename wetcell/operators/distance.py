@@ -1,21 +1,29 @@
 """Distance to the nearest wet cell, and what that cell holds (N1-N5).
 
-Two passes: along rows each cell takes the nearest wet cell of its row (the left one of two), by windows; then along
-columns it picks among the rows, nearest rows first, until no farther one can be nearer: the work depends on the distances
-there are, not on the bound. With a bound, grids are cut into bands of rows with the rows around them.
+Grids are cut into bands of rows. Within a row a cell's nearest wet cell is the left one of the two around it; among rows,
+of a column's candidates only those count that are nearer along their row than every row between: the others are farther in
+every metric. Each band sums up its candidates for the rows above and below it; a scan over the bands, by chunks of columns,
+carries what can still win into every band, and a last pass over the cells picks among a band's own rows and what was
+carried. The work doesn't grow with the distances. A task holds a band of a scene, or a chunk's candidates.
 Ties: (distance, squared Euclidean distance, source row, source column).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from wetcell.storage import durable
 
 METRICS = ("chessboard", "taxicab", "euclidean")
-ROWS, COLUMNS = 1024, 64  # of a group of cells with a bound
+ROWS, COLUMNS = 64, 128  # of a band, of a chunk
+_FAR = np.int64(2**62)
 
 
 def measured(metric: str, dr: Column, dc: Column) -> Column:
@@ -27,82 +35,183 @@ def measured(metric: str, dr: Column, dc: Column) -> Column:
     return F.abs(dr) + F.abs(dc) if metric == "taxicab" else dr * dr + dc * dc
 
 
-def row_pass(cells: DataFrame, value: str) -> DataFrame:
-    """Adds s: (sr, sc, v) of the nearest valid cell of the row."""
-    own = F.when(F.col(value).isNotNull(), F.struct(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(value).alias("v")))
-    row = W.partitionBy("scene", "r").orderBy("c")
-    rows = cells.withColumn("own", own)
-    rows = rows.withColumn("west", F.last("own", ignorenulls=True).over(row.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("east", F.first("own", ignorenulls=True).over(row.rowsBetween(0, W.unboundedFollowing)))
-    take_east = F.col("west").isNull() | (F.col("east.sc") - F.col("c") < F.col("c") - F.col("west.sc"))
-    return rows.withColumn("s", F.when(take_east, F.col("east")).otherwise(F.col("west"))).drop("own", "west", "east")
-
-
-def column_pass(metric: str, reach: int | None):
-    """A function of a group's rows (scene, r, c, sc, v, halo): near for its own cells. Rows are looked at in order of
-    their distance, until no farther one can be nearer, all columns of the group at once."""
-    size = (lambda dr, dc: np.maximum(dr, dc)) if metric == "chessboard" else (lambda dr, dc: dr + dc) if metric == "taxicab" else (lambda dr, dc: dr * dr + dc * dc)
-    most = None if reach is None else reach * reach if metric == "euclidean" else reach
-    far = np.int64(2**62)
-
-    def find(rows: pa.Table) -> pa.Table:
-        r, c, halo = rows["r"].to_numpy().astype(np.int64), rows["c"].to_numpy().astype(np.int64), rows["halo"].to_numpy()
-        r0, c0 = r.min(), c.min()
-        h, w = int(r.max() - r0 + 1), int(c.max() - c0 + 1)
-        source, index = np.full((h, w), -1, np.int64), np.full((h, w), -1, np.int64)
-        sc = rows["sc"].to_numpy()
-        held = ~np.isnan(sc) if sc.dtype.kind == "f" else np.ones(len(sc), bool)
-        source[r[held] - r0, c[held] - c0] = sc[held].astype(np.int64)
-        index[r - r0, c - c0] = np.arange(len(r))
-        own = np.flatnonzero(~halo)
-        y, x = r[own] - r0, c[own] - c0
-        d, d2, sr, best = (np.full(len(own), far), np.full(len(own), far), np.full(len(own), far), np.full(len(own), -1))
-        open_, k = np.arange(len(own)), 0
-        while len(open_) and k <= max(h, 1) and (most is None or int(size(np.int64(k), np.int64(0))) <= most):
-            for step in (-k, k) if k else (0,):
-                at = y[open_] + step
-                inside = (at >= 0) & (at < h)
-                i, at = open_[inside], at[inside]
-                s = source[at, x[i]]
-                i, at, s = i[s >= 0], at[s >= 0], s[s >= 0]
-                dc = np.abs(s - (x[i] + c0))
-                new, new2 = size(np.int64(k), dc), k * k + dc * dc
-                better = (new < d[i]) | (new == d[i]) & ((new2 < d2[i]) | (new2 == d2[i]) & (at + r0 < sr[i]))
-                i, at = i[better], at[better]
-                d[i], d2[i], sr[i], best[i] = new[better], new2[better], at + r0, index[at, x[i]]
-            k += 1
-            open_ = open_[d[open_] >= size(np.int64(k), np.int64(0))]
-        got = best >= 0
-        if most is not None:
-            got &= d <= most
-        take = pa.array(np.where(got, best, 0), mask=~got)
-        length = np.sqrt(d2.astype(float)) if metric == "euclidean" else d.astype(float)
-        near = {"d": pa.array(length, mask=~got), "d2": pa.array(d2, mask=~got), "sr": pa.array(sr.astype(np.int64), mask=~got).cast(pa.int32(), safe=False), "sc": rows["sc"].take(take).combine_chunks(), "v": rows["v"].take(take).combine_chunks()}
-        near = pa.StructArray.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in near.values()], names=list(near), mask=pa.array(~got))
-        keys = {n: rows[n].take(pa.array(own)) for n in ("scene", "r", "c")}
-        return pa.table({**keys, "near": near})
-
-    return find
-
-
-def searched(cells: DataFrame, value: str, metric: str, reach: int | None) -> DataFrame:
-    """Adds near: d, d2, sr, sc, v. Groups are bands of columns; with a reach also of rows, with the rows around them."""
+def squared(dr: np.ndarray, dc: np.ndarray) -> np.ndarray:
+    return dr * dr + dc * dc
+
+
+#: The same for whole numbers that are not negative.
+SIZES: dict[str, Callable] = {"chessboard": np.maximum, "taxicab": np.add, "euclidean": squared}
+
+
+def entry_type(value: np.dtype) -> np.dtype:
+    return np.dtype([("c", "<i4"), ("r", "<i4"), ("sc", "<i4"), ("v", value)])
+
+
+class Band:
+    """A band as dense arrays over the scene's columns. nearest: the column of each cell's nearest wet cell in its row, -1
+    where there is none; value: what that one holds."""
+
+    def __init__(self, rows: pa.Table):
+        self.r, self.c = rows["r"].to_numpy().astype(np.int64), rows["c"].to_numpy().astype(np.int64)
+        self.r0, self.c0 = int(self.r.min()), int(rows["low"][0].as_py())
+        self.h, self.w = int(self.r.max()) - self.r0 + 1, int(rows["high"][0].as_py()) - self.c0 + 1
+        v = rows["value"].combine_chunks()
+        wet = v.is_valid().to_numpy(zero_copy_only=False)
+        values = v.fill_null(0).to_numpy(zero_copy_only=False)
+        y, x = self.r - self.r0, self.c - self.c0
+        own, held = np.full((self.h, self.w), -1), np.zeros((self.h, self.w), values.dtype)
+        own[y[wet], x[wet]], held[y[wet], x[wet]] = x[wet], values[wet]
+        west = np.maximum.accumulate(own, axis=1)
+        east = np.minimum.accumulate(np.where(own < 0, _FAR, own)[:, ::-1], axis=1)[:, ::-1]
+        columns = np.arange(self.w)
+        pick = np.where((west < 0) | (east - columns < columns - west), east, west)
+        self.dry = pick >= _FAR
+        pick = np.where(self.dry, 0, pick)
+        self.value = np.take_along_axis(held, pick, axis=1)
+        self.nearest = np.where(self.dry, -1, pick + self.c0)
+        self.gap = np.where(self.dry, _FAR, np.abs(pick - columns))
+
+    def candidates(self, down: bool) -> np.ndarray:
+        """Of every column, the rows that are nearer along their row than all rows after them (down) or before them."""
+        gap = self.gap[::-1] if down else self.gap
+        best = np.minimum.accumulate(gap, axis=0)
+        y, x = np.nonzero(gap < np.vstack([np.full((1, self.w), _FAR), best[:-1]]))
+        y = self.h - 1 - y if down else y
+        out = np.empty(len(y), entry_type(self.value.dtype))
+        out["c"], out["r"], out["sc"], out["v"] = x + self.c0, y + self.r0, self.nearest[y, x], self.value[y, x]
+        return out
+
+
+def summing(columns: int):
+    def sum_up(rows: pa.Table) -> pa.Table:
+        """A band -> for each chunk of columns its rows and candidates for the bands after it (down) and before it (up)."""
+        band, out = Band(rows), []
+        for down in (True, False):
+            found = band.candidates(down)
+            chunk = found["c"] // columns
+            order = np.argsort(chunk, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1)
+            out.append({int(chunk[k[0]]): found[k].tobytes() for k in parts if len(k)})
+        chunks = list(range(band.c0 // columns, (band.c0 + band.w - 1) // columns + 1))
+        first = lambda name: pa.array([rows[name][0].as_py()] * len(chunks), rows[name].type)
+        ends = [pa.array([x] * len(chunks), pa.int32()) for x in (band.r0, band.r0 + band.h - 1)]
+        blobs = [pa.array([x.get(k, b"") for k in chunks], pa.binary()) for x in out]
+        return pa.table([first("scene"), pa.array(chunks, pa.int32()), first("band"), *ends, *blobs], names=["scene", "chunk", "band", "top", "bottom", "down", "up"])
+
+    return sum_up
+
+
+def carrying(metric: str, kind: np.dtype, columns: int):
+    size, entry = SIZES[metric], entry_type(kind)
+
+    def least_by(column: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The least value of each column."""
+        least = np.full(columns, _FAR)
+        np.minimum.at(least, column, values)
+        return least
+
+    def merged(known: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Candidates of rows farther away and of nearer ones, without the farther ones that a nearer one beats."""
+        gap = lambda x: np.abs(x["c"] - x["sc"]).astype(np.int64)
+        return np.concatenate([known[gap(known) < least_by(new["c"] % columns, gap(new))[known["c"] % columns]], new])
+
+    def winners(x: np.ndarray, near: int, far: int) -> np.ndarray:
+        """Those that can be the best in one of the rows from near to far, counted from the candidates' side."""
+        measures = [size] if metric != "taxicab" else [size, squared]  # equal sums stay equal, then squares decide
+        for measure in measures:
+            column, gap = x["c"] % columns, np.abs(x["c"] - x["sc"]).astype(np.int64)
+            rows = np.abs(np.array([[near], [far]]) - x["r"]).astype(np.int64)
+            if metric == "taxicab" and measure is size:
+                x = x[rows[0] + gap == least_by(column, rows[0] + gap)[column]]
+            else:
+                x = x[measure(rows[0], gap) <= least_by(column, measure(rows[1], gap))[column]]
+        return x
+
+    def carry(rows: pa.Table) -> pa.Table:
+        """A chunk's bands -> for each band the candidates of all others that can win in it."""
+        bands = sorted(rows.to_pylist(), key=lambda x: x["band"])
+        found = {x["band"]: [] for x in bands}
+        for side, order in (("down", bands), ("up", bands[::-1])):
+            known = np.empty(0, entry)
+            for x in order:
+                ends = (x["top"], x["bottom"]) if side == "down" else (x["bottom"], x["top"])
+                found[x["band"]].append(winners(known, *ends))
+                known = merged(known, np.frombuffer(x[side], entry))
+        first = lambda name: pa.array([rows[name][0].as_py()] * len(bands), rows[name].type)
+        blobs = pa.array([np.concatenate(found[x["band"]]).tobytes() for x in bands], pa.binary())
+        return pa.table([first("scene"), pa.array([x["band"] for x in bands], pa.int32()), blobs], names=["scene", "band", "carried"])
+
+    return carry
+
+
+def picking(metric: str, reach: int | None, names: list[str], schema: pa.Schema):
+    size = SIZES[metric]
+    most = None if reach is None else int(size(np.int64(reach), np.int64(0)))
+
+    def pick(rows: pa.Table, carried: pa.Table) -> pa.Table:
+        """A band's cells with near, from its own rows and from what was carried."""
+        if not rows.num_rows:
+            return schema.empty_table()
+        band = Band(rows)
+        shape = (band.h, band.w)
+        d, d2, sr, sc = (np.full(shape, _FAR) for _ in range(4))
+        value = np.zeros(shape, band.value.dtype)
+
+        def offer(at, far, far2, row, column, held) -> None:
+            better = (far < d[at]) | (far == d[at]) & ((far2 < d2[at]) | (far2 == d2[at]) & (row < sr[at]))
+            for old, new in ((d, far), (d2, far2), (sr, row), (sc, column), (value, held)):
+                old[at] = np.where(better, new, old[at])
+
+        x = np.concatenate([np.frombuffer(b.as_py(), entry_type(value.dtype)) for b in carried["carried"]] or [np.empty(0, entry_type(value.dtype))])
+        x = x[np.argsort(x["c"], kind="stable")]
+        starts = np.searchsorted(x["c"], x["c"], "left")
+        place = np.arange(len(x)) - starts
+        lines = np.arange(band.h)[:, None] + band.r0
+        for k in range(int(place.max(initial=-1)) + 1):
+            e = x[place == k]  # one a column
+            dr, dc = np.abs(lines - e["r"]).astype(np.int64), np.abs(e["c"] - e["sc"]).astype(np.int64)[None, :]
+            at = (slice(None), e["c"] - band.c0)
+            offer(at, size(dr, dc), squared(dr, dc), e["r"][None, :].astype(np.int64), e["sc"][None, :], e["v"][None, :])
+        gap = np.where(band.dry, 0, band.gap)
+        for k in range(band.h):
+            step = np.int64(k)
+            if (d < size(step, np.int64(0))).all():
+                break
+            for to, source in {(slice(k, None), slice(0, band.h - k)), (slice(0, band.h - k), slice(k, None))} if k else [(slice(None), slice(None))]:
+                dry, dc = band.dry[source], gap[source]
+                offer((to,), np.where(dry, _FAR, size(step, dc)), squared(step, dc), np.broadcast_to(lines[source], dc.shape), band.nearest[source], band.value[source])
+        y, x = band.r - band.r0, band.c - band.c0
+        far, far2 = d[y, x], d2[y, x]
+        got = far < _FAR if most is None else far <= most
+        length = np.sqrt(far2.astype(float)) if metric == "euclidean" else far.astype(float)
+        kinds = schema.field("near").type
+        parts = {"d": length, "d2": far2, "sr": sr[y, x], "sc": sc[y, x], "v": value[y, x]}
+        arrays = [pa.array(np.where(got, v, 0).astype(v.dtype), mask=~got).cast(kinds.field(n).type) for n, v in parts.items()]
+        near = pa.StructArray.from_arrays(arrays, fields=[kinds.field(n) for n in parts], mask=pa.array(~got))
+        return pa.table([*(rows[n].combine_chunks() for n in names), near], schema=schema)
+
+    return pick
+
+
+def searched(cells: DataFrame, value: str, metric: str, reach: int | None, *, rows: int = ROWS, columns: int = COLUMNS) -> DataFrame:
+    """Adds near: d, d2, sr, sc, v. The cells are written first; value has to be a number."""
     if metric not in METRICS:
         raise ValueError(f"metric {metric!r} is none of {METRICS}")
-    rows = row_pass(cells.select("scene", "r", "c", F.col(value)), value)
-    rows = rows.select("scene", "r", "c", F.col("s.sc").alias("sc"), F.col("s.v").alias("v"))
-    kind = rows.schema["v"].dataType.simpleString()
-    if reach is None:
-        rows = rows.withColumns({"band": F.lit(0), "halo": F.lit(False)})
-        wide = 1  # a column is in one task, whatever its length
-    else:
-        high, wide = max(ROWS, 2 * reach), COLUMNS
-        own = F.expr(f"cast(floor(r / {high}) as int)")
-        bands = F.sequence(F.expr(f"cast(floor((r - {reach}) / {high}) as int)"), F.expr(f"cast(floor((r + {reach}) / {high}) as int)"))
-        rows = rows.withColumn("own", own).withColumn("band", F.explode(bands)).withColumn("halo", F.col("band") != F.col("own")).drop("own")
-    group = rows.groupBy("scene", "band", F.expr(f"c div {wide}"))
-    near = group.applyInArrow(column_pass(metric, reach), f"scene string, r int, c int, near struct<d:double,d2:long,sr:int,sc:int,v:{kind}>")
-    return cells.join(near, ["scene", "r", "c"], "left")
+    cells = durable(cells)
+    kind = cells.schema[value].dataType
+    near = T.StructType.fromDDL(f"near struct<d:double,d2:long,sr:int,sc:int,v:{kind.simpleString()}>")
+    band = F.expr(f"cast(floor(r / {rows}) as int)").alias("band")
+    spans = cells.groupBy("scene").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    slim = cells.select("scene", "r", "c", F.col(value).alias("value"), band).join(spans, "scene")
+    sums = slim.groupBy("scene", "band").applyInArrow(summing(columns), "scene string, chunk int, band int, top int, bottom int, down binary, up binary")
+    dtype = np.dtype(to_arrow_schema(T.StructType([T.StructField("v", kind)])).field("v").type.to_pandas_dtype())
+    carried = sums.groupBy("scene", "chunk").applyInArrow(carrying(metric, dtype, columns), "scene string, band int, carried binary")
+    own = {n: f"cell_{k}" for k, n in enumerate(cells.columns)}  # whatever their names, apart from those added here
+    wide = cells.select(*(F.col(n).alias(o) for n, o in own.items()), "scene", "r", "c", F.col(value).alias("value"), band).join(spans, "scene")
+    kept = list(own.values())
+    out = T.StructType([*(T.StructField(own[f.name], f.dataType) for f in cells.schema.fields), *near.fields])
+    found = wide.groupBy("scene", "band").cogroup(carried.groupBy("scene", "band")).applyInArrow(picking(metric, reach, kept, to_arrow_schema(out)), out)
+    return found.select(*(F.col(o).alias(n) for n, o in own.items()), "near")
 
 
 def nearest_within(cells: DataFrame, value: str, reach: int, metric: str = "chessboard") -> DataFrame:
@@ -111,9 +220,9 @@ def nearest_within(cells: DataFrame, value: str, reach: int, metric: str = "ches
     return searched(cells, value, metric, reach)
 
 
-def nearest(cells: DataFrame, value: str, metric: str = "chessboard") -> DataFrame:
+def nearest(cells: DataFrame, value: str, metric: str = "chessboard", **options) -> DataFrame:
     """Without a bound. A scene without valid cells is left null."""
-    return searched(cells, value, metric, None)
+    return searched(cells, value, metric, None, **options)
 
 
 def require_mask(cells: DataFrame, value: str) -> None:

@@ -14,7 +14,7 @@ from wetcell.storage import durable
 
 QUERIES, SQL = {}, {}
 KEY = ("scene", "r", "c")
-TILE = 24  # smaller than a scene, so that labels cross tiles
+TILE, PLAN_TILE = 24, 48  # smaller than a scene, so that labels cross tiles
 THREE = {"linear": {"decay_frac": 0.001}, "slope_linear": {"decay_frac": 0.0001}, "slope_power": {"c": 0.00001, "n": 1.1}}
 
 
@@ -35,14 +35,14 @@ def partial(spark, sf: str, scenes: bool = False) -> DataFrame:
 
 def grown(spark, sf: str, scenes: bool = False, **settings) -> DataFrame:
     fine = (scn if scenes else emb)(spark, sf)
-    own = growth.Settings(**{"cap": 2, "tile": TILE, **settings})
+    own = growth.Settings(**{"cap": 2, "tile": PLAN_TILE, **settings})
     coarse = water(fine)
     return growth.grown(growth.resampled(fine, coarse, F4), coarse, F4, own)
 
 
 def downscaled(spark, sf: str, scenes: bool = False, **settings) -> DataFrame:
     fine = (scn if scenes else emb)(spark, sf)
-    return growth.downscale(fine, water(fine), F4, growth.Settings(**{"cap": 2, "tile": TILE, **settings}))
+    return growth.downscale(fine, water(fine), F4, growth.Settings(**{"cap": 2, "tile": PLAN_TILE, **settings}))
 
 
 def near_sql(measure: str, most: int) -> str:
@@ -367,7 +367,7 @@ TERRAIN = oracles.TERRAIN.replace("full_", "filled_")
 
 @query("p11_sum_of_decays", SCN_SQL + SLOPE + f"SELECT w.scene, w.r, w.c, round({DECAYS}, 6) AS v FROM wp w JOIN grown g USING (scene, r, c) JOIN acc USING (scene, r, c)")
 def p11(spark, sf):
-    own = growth.Settings(cap=2, tile=TILE, decay=THREE)
+    own = growth.Settings(cap=2, tile=PLAN_TILE, decay=THREE)
     rows = distance.filled(partial(spark, sf, True), "wse2", "fill", own.reach(F4)).withColumnRenamed("fill_d", "away")
     rows, total = growth.decay(durable(rows), own)
     return rows.select(*KEY, F.round(total, 6).alias("v"))
@@ -398,13 +398,13 @@ MCP = oracles.allocated("plain", "SELECT scene, r, c, 1 AS cost, wse2 IS NOT NUL
 @query("p14_mcp_merge", SCN_SQL + MCP + "SELECT scene, r, c, round(wse3, 6) AS wse3 FROM merged")
 def p14(spark, sf):
     fine = scn(spark, sf)
-    return growth.downscale_mcp(fine, water(fine), F4, cap=2, scale=0.01, tile=TILE).select(*KEY, F.round("wse3", 6).alias("wse3"))
+    return growth.downscale_mcp(fine, water(fine), F4, cap=2, scale=0.01, tile=PLAN_TILE).select(*KEY, F.round("wse3", 6).alias("wse3"))
 
 
 @query("x4_mcp", SCN_SQL + MCP + oracles.isolated("m", "merged") + "SELECT scene, r, c, round(wse4, 6) AS wse4 FROM final_m")
 def x4(spark, sf):
     fine = scn(spark, sf)
-    return growth.downscale_mcp(fine, water(fine), F4, cap=2, scale=0.01, tile=TILE).select(*KEY, F.round("wse4", 6).alias("wse4"))
+    return growth.downscale_mcp(fine, water(fine), F4, cap=2, scale=0.01, tile=PLAN_TILE).select(*KEY, F.round("wse4", 6).alias("wse4"))
 
 
 SHADE = """, shaded AS (
@@ -422,5 +422,5 @@ SHADE = """, shaded AS (
 ) + f"SELECT scene, r, c, round(wse4, 6) AS wse4, round(shade, 6) AS shade, round(k[1]::DOUBLE / {oracles.GRAIN}, 6) AS accumulated, round(CASE WHEN wse2 IS NULL THEN away * 0.001::DOUBLE ELSE 0 END, 6) AS decay FROM final_p JOIN shaded USING (scene, r, c) LEFT JOIN cheap USING (scene, r, c)")
 def x8(spark, sf):
     fine = scn(spark, sf)
-    rows = validation.terrain_example(fine, water(fine), F4, growth.Settings(distance_fill="terrain_penalty", cap=2, tile=TILE))
+    rows = validation.terrain_example(fine, water(fine), F4, growth.Settings(distance_fill="terrain_penalty", cap=2, tile=PLAN_TILE))
     return rows.select(*KEY, *(F.round(x, 6).alias(x) for x in ("wse4", "shade", "accumulated", "decay")))

@@ -52,9 +52,12 @@ def slope_power_decay(accumulated: Column, c: float, n: float) -> Column:
     return F.pow(accumulated, n) * c
 
 
-def within_cap(cells_away: Column, f: int, cap: float | None) -> Column:
-    """Strictly under the cap in coarse cells; None has no bound."""
-    return F.lit(True) if cap is None else cells_away / f < cap
+def within_cap(cells_away: Column, f: int | Column, cap: float | Column | None) -> Column:
+    """Strictly under the cap in coarse cells; None, or a null in a column, has no bound."""
+    if cap is None:
+        return F.lit(True)
+    cap = cap if isinstance(cap, Column) else F.lit(float(cap))
+    return F.when(cap.isNull(), True).otherwise(cells_away / f < cap)
 
 
 def infill(wse: Column, filled: Column, decay: Column, dem: Column, cap: Column) -> Column:

@@ -204,7 +204,11 @@ def allocated(cells: DataFrame, cost: str, source: str, *, model: str = "geometr
             whole = durable(newest(rounds))
             superseded(*rounds)
             rounds = [whole]
-    return newest(rounds).mapInArrow(labels_of(tile), "scene string, r int, c int, d double, sr int, sc int, pr int, pc int")
+    last = rounds[0]
+    if len(rounds) > 1:
+        last = durable(newest(rounds).drop("sent"))
+        superseded(*rounds)
+    return last.mapInArrow(labels_of(tile), "scene string, r int, c int, d double, sr int, sc int, pr int, pc int")
 
 
 def fill_inputs(cells: DataFrame, value: str, cost: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Resampling and regrouping of grids (R). f is the number of fine cells along a coarse cell.
+"""Resampling and regrouping of grids (R). f is the number of fine cells along a coarse cell: a number, or the name of a
+column of the fine cells that has it, so that scenes of several ratios make one job.
 
 The coarse side has f * f times fewer rows. It is joined on (scene, r div f, c div f); Spark broadcasts it while its
 size allows and shuffles by that key otherwise.
@@ -15,7 +16,11 @@ from pyspark.sql import Window as W
 SHIFTS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
-def block_of(name: str, f: int) -> Column:
+def ratio(f: int | str) -> Column:
+    return F.col(f) if isinstance(f, str) else F.lit(f)
+
+
+def block_of(name: str, f: int | str) -> Column:
     return F.expr(f"cast({name} div {f} as int)")
 
 
@@ -28,7 +33,7 @@ def around(coarse: DataFrame, value: str) -> DataFrame:
     return sent.groupBy("scene", "br", "bc").agg(F.array(*cells).alias("n"))
 
 
-def bilinear_up(fine: DataFrame, coarse: DataFrame, f: int, value: str, out: str) -> DataFrame:
+def bilinear_up(fine: DataFrame, coarse: DataFrame, f: int | str, value: str, out: str) -> DataFrame:
     """Adds `out`: null unless the parent cell is valid, else the mean of the valid ones of the four nearest coarse cells
     by bilinear weights. fine: scene, r, c, ...; coarse: scene, br, bc, value."""
     near = around(coarse, value).filter(F.col("n")[4].isNotNull())
@@ -36,7 +41,7 @@ def bilinear_up(fine: DataFrame, coarse: DataFrame, f: int, value: str, out: str
 
     def weights(index: str, block: str) -> list[Column]:
         """Of the coarse cells before, at and after the parent."""
-        off = (F.col(index) + 0.5) / f - F.col(block) - 0.5
+        off = (F.col(index) + 0.5) / ratio(f) - F.col(block) - 0.5
         return [F.greatest(-off, F.lit(0.0)), 1 - F.abs(off), F.greatest(off, F.lit(0.0))]
 
     wr, wc = weights("r", "br"), weights("c", "bc")
@@ -46,22 +51,22 @@ def bilinear_up(fine: DataFrame, coarse: DataFrame, f: int, value: str, out: str
     return rows.withColumn(out, F.when(F.col("n").isNotNull(), total / weight)).drop("br", "bc", "n")
 
 
-def nearest_up(fine: DataFrame, coarse: DataFrame, f: int, value: str, out: str) -> DataFrame:
+def nearest_up(fine: DataFrame, coarse: DataFrame, f: int | str, value: str, out: str) -> DataFrame:
     rows = fine.withColumn("br", block_of("r", f)).withColumn("bc", block_of("c", f))
     return rows.join(coarse.select("scene", "br", "bc", F.col(value).alias(out)), ["scene", "br", "bc"], "left").drop("br", "bc")
 
 
-def valid_up(fine: DataFrame, coarse: DataFrame, f: int, value: str, out: str) -> DataFrame:
+def valid_up(fine: DataFrame, coarse: DataFrame, f: int | str, value: str, out: str) -> DataFrame:
     """Whether the parent cell is valid."""
     return nearest_up(fine, coarse.withColumn(value, F.col(value).isNotNull()), f, value, out).withColumn(out, F.coalesce(out, F.lit(False)))
 
 
-def block_reduce(fine: DataFrame, f: int, **aggregates: Column) -> DataFrame:
+def block_reduce(fine: DataFrame, f: int | str, **aggregates: Column) -> DataFrame:
     """scene, br, bc and any aggregates of the blocks' cells."""
     return fine.groupBy("scene", block_of("r", f).alias("br"), block_of("c", f).alias("bc")).agg(*(a.alias(k) for k, a in aggregates.items()))
 
 
-def average_down(fine: DataFrame, f: int, value: str) -> DataFrame:
+def average_down(fine: DataFrame, f: int | str, value: str) -> DataFrame:
     return block_reduce(fine, f, **{value: F.avg(value)})
 
 
@@ -70,16 +75,16 @@ def strict_mean(value: str) -> Column:
     return F.when(F.count(value) == F.count(F.lit(1)), F.avg(value))
 
 
-def coarsen(fine: DataFrame, f: int, value: str, nodata: float) -> DataFrame:
+def coarsen(fine: DataFrame, f: int | str, value: str, nodata: float) -> DataFrame:
     return average_down(fine.withColumn(value, F.when(F.col(value) != nodata, F.col(value))), f, value)
 
 
-def bilinear_down(fine: DataFrame, f: int, value: str) -> DataFrame:
+def bilinear_down(fine: DataFrame, f: int | str, value: str) -> DataFrame:
     """Mean weighted by a triangle of radius f around each coarse centre; nulls ignored."""
     shift = F.array(*map(F.lit, (-1, 0, 1)))
     rows = fine.filter(F.col(value).isNotNull()).withColumn("i", F.explode(shift)).withColumn("j", F.explode(shift))
     rows = rows.withColumn("br", block_of("r", f) + F.col("i")).withColumn("bc", block_of("c", f) + F.col("j"))
-    weight = lambda index, block: F.greatest(1 - F.abs((F.col(index) + 0.5) / f - F.col(block) - 0.5), F.lit(0.0))
+    weight = lambda index, block: F.greatest(1 - F.abs((F.col(index) + 0.5) / ratio(f) - F.col(block) - 0.5), F.lit(0.0))
     rows = rows.withColumn("w", weight("r", "br") * weight("c", "bc")).filter("w > 0")
     found = rows.groupBy("scene", "br", "bc").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
     own = fine.select("scene", block_of("r", f).alias("br"), block_of("c", f).alias("bc")).distinct()

@@ -1,6 +1,8 @@
 """The downscaling pipelines over many scenes at once (X1, X2, X4).
 
-fine: scene, r, c, dem. coarse: scene, br, bc, wse. f: fine cells along a coarse cell. Lazy but for the iterative parts.
+fine: scene, r, c, dem. coarse: scene, br, bc, wse. f: fine cells along a coarse cell, a number or the name of a column of
+fine that has each scene's own. Lazy but for distances and the iterative parts. downscale_runs() makes many runs, whose
+settings are columns, one chain of jobs.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ class Settings:
     m_to_rad: float = 1.0
     cost_model: str = "geometric"
     tile: int = 256
+    allow_low_wse: bool = False
 
     def __post_init__(self):
         if self.distance_fill not in ("neutral", "terrain_penalty"):
@@ -43,6 +46,8 @@ class Settings:
             raise ValueError(f"distance_fill_method {self.distance_fill_method!r}")
         if unknown := set(self.decay) - set(DECAYS):
             raise ValueError(f"decay methods {sorted(unknown)}")
+        if self.cost_model not in ("geometric", "node"):
+            raise ValueError(f"cost model {self.cost_model!r}")
 
     def reach(self, f: int) -> int | None:
         return None if self.cap is None else max(1, math.ceil(self.cap * f))
@@ -78,13 +83,13 @@ def setting(rows: DataFrame, settings: Settings, name: str) -> Column:
     return F.col(name) if name in rows.columns else F.lit(float(getattr(settings, name)))
 
 
-def resampled(fine: DataFrame, coarse: DataFrame, f: int) -> DataFrame:
+def resampled(fine: DataFrame, coarse: DataFrame, f: int | str) -> DataFrame:
     """Phase 1 adds wse1; phase 2 adds wse2, the wet partials."""
     rows = resample.bilinear_up(fine, coarse, f, "wse", "wse1")
     return rows.withColumn("wse2", cell.wet_partial(F.col("wse1"), F.col("dem")))
 
 
-def terrain_fill(rows: DataFrame, coarse: DataFrame, f: int, settings: Settings) -> DataFrame:
+def terrain_fill(rows: DataFrame, coarse: DataFrame, f: int | str, settings: Settings) -> DataFrame:
     """Adds fill: each cell takes the value of the wet cell that the terrain makes cheapest. The coarse surface, filled
     by the nearest wet cell in chessboard distance, tells how far the terrain stands over the water."""
     as_cells = coarse.withColumnsRenamed({"br": "r", "bc": "c"})
@@ -113,10 +118,17 @@ def decay(rows: DataFrame, settings: Settings) -> tuple[DataFrame, Column]:
     return rows, total
 
 
-def grown(rows: DataFrame, coarse: DataFrame, f: int, settings: Settings) -> DataFrame:
-    """Phase 3 adds away (cells to the nearest wet one), within (the cap) and wse3."""
-    rows = distance.filled(rows, "wse2", "fill", settings.reach(f), settings.distance_fill_method).withColumnRenamed("fill_d", "away")
-    rows = rows.withColumn("within", F.coalesce(cell.within_cap(F.col("away"), f, settings.cap), F.lit(False)))
+def reached(away: Column, f: int | str, cap: Column) -> Column:
+    """away, null beyond the cap in whole cells; a null cap has no bound."""
+    return F.when(cap.isNull() | (away <= F.greatest(F.lit(1), F.ceil(cap * resample.ratio(f)))), away)
+
+
+def grown(rows: DataFrame, coarse: DataFrame, f: int | str, settings: Settings) -> DataFrame:
+    """Phase 3 adds away (cells to the nearest wet one, null beyond the cap), within (the cap) and wse3."""
+    cap = F.lit(settings.cap).cast("double")
+    rows = distance.filled(rows, "wse2", "fill", None, settings.distance_fill_method)
+    rows = rows.withColumn("away", reached(F.col("fill_d"), f, cap)).withColumn("fill", F.when(F.col("away").isNotNull(), F.col("fill"))).drop("fill_d")
+    rows = rows.withColumn("within", F.coalesce(cell.within_cap(F.col("away"), resample.ratio(f), cap), F.lit(False)))
     if settings.distance_fill == "terrain_penalty":
         rows = terrain_fill(rows.drop("fill"), coarse, f, settings)
     rows, lowering = decay(rows, settings)
@@ -149,7 +161,7 @@ def write_phases(rows: DataFrame, root: str) -> list[str]:
     return [grids_.write_phase(cells[v], root, phase, "wse", height, width) for v, phase in layers.items()]
 
 
-def downscale(fine: DataFrame, coarse: DataFrame, f: int, settings: Settings = Settings(), *, phases_to: str | None = None) -> DataFrame:
+def downscale(fine: DataFrame, coarse: DataFrame, f: int | str, settings: Settings = Settings(), *, phases_to: str | None = None) -> DataFrame:
     """fine with wse1, wse2, away, within, wse3 and wse4 (regions that touch a wet partial); wsh if asked for. Columns
     pixel_size and m_to_rad of fine stand for those of settings. phases_to: a folder for every phase's layer."""
     rows = durable(grown(resampled(fine, coarse, f), coarse, f, settings))
@@ -158,7 +170,63 @@ def downscale(fine: DataFrame, coarse: DataFrame, f: int, settings: Settings = S
     if phases_to is not None:
         rows = durable(rows)
         write_phases(rows, phases_to)
-    return rows.withColumn("wsh", cell.depth(F.col("wse4"), F.col("dem"))) if settings.as_wsh else rows
+    return to_depth(durable(rows), "wse4", allow_low_wse=settings.allow_low_wse) if settings.as_wsh else rows
+
+
+def chosen(by: Column, columns: dict[str, str]) -> Column:
+    """The value of the column that stands under the name in `by`."""
+    return F.coalesce(*(F.when(by == name, F.col(c)) for name, c in columns.items()))
+
+
+def downscale_runs(fine: DataFrame, coarse: DataFrame, f: int | str, members: dict[str, Settings]) -> DataFrame:
+    """downscale() of every member in one chain of jobs: scene, run_name, r, c, dem, wse1, wse2, away, within, wse3, wse4.
+
+    Resampling, wet partials, each metric's distances, each cost model's fill and the slopes are made once for all members
+    that need them. Then every cell has a row for each member, with the member's settings as columns, which choose among
+    those; regions are by scene and run."""
+    if len({s.tile for s in members.values()}) != 1:
+        raise ValueError("members of one chain have one tile size")
+    own = [c for c in ("pixel_size", "m_to_rad") if c in fine.columns]
+    rows = durable(resampled(fine, coarse, f))
+    require_wet_partials(rows)
+    settings = list(members.values())
+    for metric in sorted({s.distance_fill_method for s in settings}):
+        rows = distance.filled(rows, "wse2", f"fill_{metric}", None, metric)
+    for model in sorted({s.cost_model for s in settings if s.distance_fill == "terrain_penalty"}):
+        rows = terrain_fill(rows, coarse, f, Settings(cost_model=model, tile=settings[0].tile)).withColumnRenamed("fill", f"terrain_{model}")
+    slopes = sorted({s.pixel_size for s in settings if {"slope_linear", "slope_power"} & set(s.decay)})[: 1 if "pixel_size" in own else None]
+    for k, size in enumerate(slopes):
+        rows = durable(stencil.slope_horn(rows, "dem", "slope", F.col("pixel_size") if "pixel_size" in own else F.lit(size)))
+        found = cost.accumulated_slope(rows, "slope", "wse2", tile=settings[0].tile).withColumnRenamed("accumulated", f"accumulated_{k}")
+        rows = rows.drop("slope").join(found, KEY, "left")
+    number = lambda x: F.lit(x).cast("double")
+    runs = []
+    for name, s in members.items():
+        at = 0 if len(slopes) < 2 else slopes.index(s.pixel_size) if s.pixel_size in slopes else 0
+        linear, sloped, power = (s.decay.get(x, {}) for x in DECAYS)
+        columns = {
+            "run_name": F.lit(name), "metric": F.lit(s.distance_fill_method), "source": F.lit(f"terrain_{s.cost_model}" if s.distance_fill == "terrain_penalty" else f"fill_{s.distance_fill_method}"),
+            "cap": number(s.cap), "size": number(s.pixel_size), "unit": number(s.m_to_rad), "slopes": F.lit(f"accumulated_{at}"),
+            "linear": number(linear.get("decay_frac")), "sloped": number(sloped.get("decay_frac")), "c": number(power.get("c")), "n": number(power.get("n")),
+        }
+        runs.append(F.struct(*(v.alias(k) for k, v in columns.items())))
+    rows = rows.withColumn("run", F.explode(F.array(*runs)))  # a few members each
+    metrics = sorted({s.distance_fill_method for s in settings})
+    cap, size = F.col("run.cap"), F.col("pixel_size") if "pixel_size" in own else F.col("run.size")
+    away = chosen(F.col("run.metric"), {m: f"fill_{m}_d" for m in metrics})
+    fill = chosen(F.col("run.source"), {c: c for c in rows.columns if c in {f"fill_{m}" for m in metrics} or c.startswith("terrain_")})
+    rows = rows.withColumn("away", reached(away, f, cap)).withColumn("within", F.coalesce(cell.within_cap(F.col("away"), resample.ratio(f), cap), F.lit(False)))
+    linear = cell.linear_decay(F.col("wse2").isNull(), F.col("away") * size, F.col("run.linear"))
+    total = F.when(F.col("run.linear").isNull(), 0.0).otherwise(linear)
+    if slopes:
+        climbed = chosen(F.col("run.slopes"), {f"accumulated_{k}": f"accumulated_{k}" for k in range(len(slopes))}) * (F.col("m_to_rad") if "m_to_rad" in own else F.col("run.unit"))
+        total = total + F.when(F.col("run.sloped").isNull(), 0.0).otherwise(cell.slope_linear_decay(climbed, F.col("run.sloped")))
+        total = total + F.when(F.col("run.c").isNull(), 0.0).otherwise(cell.slope_power_decay(climbed, F.col("run.c"), F.col("run.n")))
+    rows = rows.withColumn("wse3", cell.infill(F.col("wse2"), fill, total, F.col("dem"), F.col("within")))
+    kept = [c for c in fine.columns if c != "scene"] + ["wse1", "wse2", "away", "within", "wse3"]
+    rows = durable(rows.select(F.concat_ws("\x01", "run.run_name", "scene").alias("scene"), F.col("scene").alias("own_scene"), "run.run_name", *kept))
+    rows = regions.isolated_filter(rows, "wse3", "wse2", "wse4")
+    return rows.select(F.col("own_scene").alias("scene"), "run_name", *kept, "wse4")
 
 
 def downscale_layers(fine: DataFrame, coarse: DataFrame, grids: DataFrame, settings: Settings = Settings(), *, coarse_shape: tuple[int, int] | None = None, **options) -> DataFrame:

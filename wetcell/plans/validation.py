@@ -28,9 +28,13 @@ def bilinear_baseline(fine: DataFrame, coarse: DataFrame, f: int) -> DataFrame:
 
 def validated(observed: DataFrame, predictions: dict[str, DataFrame], *, wet: float = 0.5, csi_at: float = 0.01) -> DataFrame:
     """scene, run_name, metric, value of each run's depths against the observed ones (scene, r, c, wsh)."""
-    obs = observed.select(*KEY, F.col("wsh").alias("obs"))
     runs = [p.select(*KEY, F.lit(name).alias("run_name"), F.col("wsh").alias("pred")) for name, p in predictions.items()]
-    cells = reduce(lambda a, b: a.unionByName(b), runs).join(obs, KEY)
+    return scored(observed, reduce(DataFrame.unionByName, runs), wet=wet, csi_at=csi_at)
+
+
+def scored(observed: DataFrame, runs: DataFrame, *, wet: float = 0.5, csi_at: float = 0.01) -> DataFrame:
+    """validated() of runs as data: scene, r, c, run_name, pred."""
+    cells = runs.join(observed.select(*KEY, F.col("wsh").alias("obs")), KEY)
     valid = cell.shared_valid(F.lit(True), F.col("obs"), F.col("pred"))
     return metrics.as_long(metrics.record(cells, ["scene", "run_name"], valid, wet=wet, csi_at=csi_at), ["scene", "run_name"])
 
@@ -51,28 +55,41 @@ def attempted(spark: SparkSession, work: Callable[[], DataFrame], seconds: float
     thread.start()
     thread.join(seconds)
     if thread.is_alive():
-        spark.sparkContext.cancelJobGroup(group)
+        spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(group)  # what the member would start next fails too
+        thread.join()
         return "timeout", time.perf_counter() - began, None, f"no result after {seconds:g} s"
     took = time.perf_counter() - began
     return ("ok", took, box["result"], None) if "result" in box else ("failed", took, None, box["error"])
 
 
-def ensemble(fine: DataFrame, coarse: DataFrame, observed: DataFrame, f: int, members: dict[str, growth.Settings], *, seconds: float | dict[str, float] = 120) -> tuple[DataFrame, DataFrame]:
-    """Runs every member and scores it: a record of tables.RUNS for each, whether ok, failed or over its limit, and the
-    metrics of those with a result."""
-    spark, results, records = fine.sparkSession, {}, []
+def ensemble(fine: DataFrame, coarse: DataFrame, observed: DataFrame, f: int | str, members: dict[str, growth.Settings | dict], *, seconds: float | dict[str, float] = 120) -> tuple[DataFrame, DataFrame]:
+    """Runs all members and scores them: a record of tables.RUNS for each, whether ok, failed or over its limit, and the
+    metrics of those with a result. Members are settings, or their values, which may be wrong ones. All members with the
+    same limit are one chain of jobs, in which their settings are columns; the limit is that chain's, and so is the time."""
+    spark, chains, records, results = fine.sparkSession, {}, {}, []
     for name, s in members.items():
+        try:
+            own = s if isinstance(s, growth.Settings) else growth.Settings(**s)
+        except (TypeError, ValueError) as error:
+            given = {k: s.get(k, getattr(growth.Settings, k)) for k in ("distance_fill", "distance_fill_method")}
+            records[name] = {"status": "failed", "wall_seconds": 0.0, "error": f"{type(error).__name__}: {error}", **given}
+            continue
         limit = seconds.get(name, 120) if isinstance(seconds, dict) else seconds
-        work = lambda s=s: durable(growth.downscale(fine, coarse, f, s).withColumn("wsh", cell.depth(F.col("wse4"), F.col("dem"))))
+        chains.setdefault((limit, own.tile), {})[name] = own
+    for (limit, _), own in chains.items():
+        work = lambda own=own: durable(growth.downscale_runs(fine, coarse, f, own).withColumn("wsh", cell.depth(F.col("wse4"), F.col("dem"))))
         status, took, result, error = attempted(spark, work, limit)
-        facts = {}
+        wet = {}
         if result is not None:
-            results[name] = result
-            facts = {"wet_cell_count": result.agg(F.count("wse4")).first()[0], "meta_key_count": len(growth.run_metadata(result, f, s).columns)}
-        own = {"distance_fill": s.distance_fill, "distance_fill_method": s.distance_fill_method}
-        records.append(tables.run_record(spark, run_name=name, status=status, wall_seconds=took, error=error, **own, **facts))
-    scores = validated(observed, results) if results else spark.createDataFrame([], "scene string, run_name string, metric string, value double")
-    return tables.appended(*records), scores
+            results.append(result)
+            wet = dict(result.groupBy("run_name").agg(F.count("wse4")).collect())  # a row a member
+        for name, s in own.items():
+            facts = {} if result is None else {"wet_cell_count": wet.get(name, 0), "meta_key_count": len(growth.run_metadata(result, f, s).columns)}
+            records[name] = {"status": status, "wall_seconds": took, "error": error, "distance_fill": s.distance_fill, "distance_fill_method": s.distance_fill_method, **facts}
+    table = tables.appended(*(tables.run_record(spark, run_name=name, **records[name]) for name in members))
+    if not results:
+        return table, spark.createDataFrame([], "scene string, run_name string, metric string, value double")
+    return table, scored(observed, reduce(DataFrame.unionByName, results).select(*KEY, "run_name", F.col("wsh").alias("pred")))
 
 
 def backend_differences(a: DataFrame, b: DataFrame, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from wetcell.functions import cell
 from wetcell.operators import cost, distance, regions, stencil
 from wetcell.plans import growth, pluvial, validation
 from wetcell.queries import oracles
-from wetcell.queries.fixtures import CAP, EMB_SQL, F4, REACH, SCN_SQL, emb, scn, water
+from wetcell.queries.fixtures import CAP, EMB_SQL, F4, REACH, SCN2_SQL, SCN_SQL, emb, scn, water
 from wetcell.storage import durable
 
 QUERIES, SQL = {}, {}
@@ -359,6 +359,32 @@ def x9(spark, sf):
     return downscaled(spark, sf, True).groupBy("scene").agg(F.count("wse2").alias("partial"), F.count("wse3").alias("grown"), F.count("wse4").alias("final"), F.sum("wse2").alias("total"))
 
 
+EVEN, ODD = "scene[2:]::INTEGER % 2 = 0", "scene[2:]::INTEGER % 2 = 1"
+RATIOS = " UNION ALL ".join(f"SELECT * FROM ({sql} SELECT scene, r, c, within, wse1, wse2, wse3, wse4 FROM final WHERE {own})" for sql, own in ((SCN_SQL, EVEN), (SCN2_SQL, ODD)))
+
+
+def two_ratios(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Scenes of ratio 4 and of ratio 2, by turns; fine has a column f."""
+    fine = scn(spark, sf).withColumn("f", F.when(F.substring("scene", 2, 9).cast("int") % 2 == 0, 4).otherwise(2))
+    coarse = [water(fine.filter(F.col("f") == f).drop("f"), f) for f in (4, 2)]
+    return fine, coarse[0].unionByName(coarse[1])
+
+
+@query("x9_many_ratios", RATIOS)
+def x9_ratios(spark, sf):
+    fine, coarse = two_ratios(spark, sf)
+    return growth.downscale(fine, coarse, "f", growth.Settings(cap=2)).select(*KEY, "within", "wse1", "wse2", "wse3", "wse4")
+
+
+@query("x6_many_runs", SCN_SQL + oracles.downscaled("e", "euclidean", 2.6) + oracles.downscaled("t", "taxicab", 1) + """SELECT 'a' AS run_name, scene, r, c, within, wse3, wse4 FROM final
+UNION ALL SELECT 'b', scene, r, c, within, wse3, wse4 FROM final_e UNION ALL SELECT 'c', scene, r, c, within, wse3, wse4 FROM final_t""")
+def x6_runs(spark, sf):
+    """Runs of three metrics and caps as data: one chain of jobs."""
+    fine = scn(spark, sf)
+    runs = {"a": growth.Settings(cap=2), "b": growth.Settings(cap=2.6, distance_fill_method="euclidean"), "c": growth.Settings(cap=1, distance_fill_method="taxicab")}
+    return growth.downscale_runs(fine, water(fine), F4, runs).select("run_name", *KEY, "within", "wse3", "wse4")
+
+
 NO_SLOPES = ", acc AS (SELECT scene, r, c, 0.0::DOUBLE AS accumulated FROM fine)\n"
 LINEAR = "CASE WHEN wse2 IS NULL THEN g.away * 0.001::DOUBLE ELSE 0 END"
 DECAYS = f"{LINEAR} + accumulated * 0.0001::DOUBLE + pow(accumulated, 1.1::DOUBLE) * 0.00001::DOUBLE".replace("wse2", "w.wse2")

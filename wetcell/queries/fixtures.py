@@ -27,8 +27,8 @@ def scn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.from_embeddings(vectors(spark, sf_dir), SCENE_ROWS)
 
 
-def water(fine: DataFrame) -> DataFrame:
-    return grids.coarse_water(fine, F4)
+def water(fine: DataFrame, f: int = F4) -> DataFrame:
+    return grids.coarse_water(fine, f)
 
 
 def fixture_sql(scenes: bool) -> str:
@@ -69,3 +69,5 @@ final AS (SELECT g.*, CASE WHEN p.r IS NOT NULL THEN wse3 END AS wse4 FROM grown
 
 EMB_SQL = fixture_sql(False)
 SCN_SQL = fixture_sql(True)
+#: the same with two fine cells along a coarse one; the pattern of dry blocks is as it was
+SCN2_SQL = SCN_SQL.replace("bc // 4", "bc // :").replace("// 4", "// 2").replace("// :", "// 4").replace("/ 4 - (", "/ 2 - (").replace("n[1] / 4", "n[1] / 2").replace("/ 16.0", "/ 4.0")

@@ -301,7 +301,7 @@ def t7(spark, sf):
     return tables.action_counts(tables.ok(runs(spark, sf)), "backend")
 
 
-MEMBERS = {"chessboard": growth.Settings(cap=2), "euclidean": growth.Settings(cap=2, distance_fill_method="euclidean"), "broken": growth.Settings(cap=2, distance_fill="terrain_penalty", cost_model="none"), "slow": growth.Settings(cap=2)}
+MEMBERS = {"chessboard": growth.Settings(cap=2), "euclidean": growth.Settings(cap=2, distance_fill_method="euclidean"), "broken": {"cap": 2, "distance_fill": "terrain_penalty", "cost_model": "none"}, "slow": growth.Settings(cap=2)}
 LIMITS = {"slow": 0.0}
 
 

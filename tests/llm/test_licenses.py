@@ -35,7 +35,7 @@ def test_matches_brute_force(spark):
         gpl + "\n" + gpl, "Licensed under the Apache License, Version 1.1.", "Licensed under CC BY-NC 4.0.", " ".join(licenses.TEMPLATES.values()),
     ]
     rows = [(i, t, "m") for i, t in enumerate(texts)] + [(None, gpl, "m"), (3, texts[3], "m")]
-    got = licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string, matches string")).collect()
+    got = licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string, matches string"), windows=False).collect()
     found = sorted(((r.doc_id, [(m.license, m.first, m.last, round(m.dice, 9)) for m in r.matches]) for r in got), key=str)
     assert found == sorted(((i, brute(t)) for i, t, _ in rows), key=str)
     assert sum(bool(m) for _, m in found) >= 9
@@ -73,6 +73,25 @@ def test_windows_match_brute_force_over_all_word_windows():
     assert some > 100
 
 
+def test_spans_that_meet_are_one():
+    rng = random.Random(1)
+    spans, taken = licenses.Spans(), set()
+    for _ in range(500):
+        a = rng.randrange(2000)
+        b = a + rng.randrange(4)
+        assert spans.free(a, b) == taken.isdisjoint(range(a, b + 1))
+        if rng.random() < 0.5:
+            spans.add(a, b)
+            taken.update(range(a, b + 1))
+    assert spans.starts == sorted(spans.starts) and all(x < y for x, y in zip(spans.ends, spans.starts[1:], strict=False))
+
+
+def test_texts_with_very_many_notices():
+    texts = list(licenses.TEMPLATES.values())
+    found = licenses.Matcher(licenses.TEMPLATES, licenses.LEAST).matches("\n".join(texts[i % len(texts)] for i in range(2000)))
+    assert len(found) == 2000 and all(m["first"] == m["last"] == i for i, m in enumerate(found))
+
+
 def test_the_query_finds_notices_inside_lines_and_paragraphs(spark, tmp_path):
     mit = licenses.TEMPLATES["MIT text"]
     prose = " ".join(f"w{i}" for i in range(400)) + " "

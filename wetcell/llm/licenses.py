@@ -58,11 +58,30 @@ def bigrams(words: list[str], most: float = float("inf")) -> set[tuple[str, str]
     return found
 
 
+class Spans:
+    """Spans of places, ends included, that lie apart; those that meet become one."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, b)
+        return i == 0 or self.ends[i - 1] < a
+
+    def add(self, a: int, b: int) -> None:
+        low, high = bisect_left(self.ends, a), bisect_right(self.starts, b)
+        if low < high:
+            a, b = min(a, self.starts[low]), max(b, self.ends[high - 1])
+        self.starts[low:high], self.ends[low:high] = [a], [b]
+
+
 def apart(rows: list[tuple[float, int, int, int]]) -> list[tuple[float, int, int, int]]:
     """The first of the windows that overlap."""
-    out = []
+    out, taken = [], Spans()
     for row in rows:
-        if all(row[2] + row[1] < x[2] or x[2] + x[1] < row[2] for x in out):
+        if taken.free(row[2], row[2] + row[1]):
+            taken.add(row[2], row[2] + row[1])
             out.append(row)
     return out
 
@@ -119,19 +138,22 @@ class Matcher:
         pairs = list(zip(words, words[1:], strict=False))
         hits = [i for i, p in enumerate(pairs) if p in self.known]
         found = {name: self.candidates(pairs, [i for i in hits if pairs[i] in t], t) for name, t in self.templates} if hits else {}
-        taken = []
+        taken, in_order = Spans(), {name: sorted(rows, key=lambda x: x[2]) for name, rows in found.items()}
         for u in units:
             a, b = bisect_left(where, u["first"]), bisect_right(where, u["last"]) - 2
-            taken += [(s, s + n) for _, n, s, _ in found[u["license"]] if a <= s and s + n <= b][:1]
+            rows = in_order[u["license"]]
+            inside = rows[bisect_left(rows, a, key=lambda x: x[2]) : bisect_right(rows, b, key=lambda x: x[2])]
+            for _, n, s, _ in sorted(x for x in inside if x[2] + x[1] <= b)[:1]:
+                taken.add(s, s + n)
         picked = [(-shared, dice, name, s, s + n) for name, rows in found.items() for dice, n, s, shared in apart(rows)]
         out = []
         for _, dice, name, a, b in sorted(picked):
-            if all(b < x or y < a for x, y in taken):
-                taken.append((a, b))
+            if taken.free(a, b):
+                taken.add(a, b)
                 out.append({"license": name, "first": where[a], "last": where[b + 1], "dice": -dice})
         return out
 
-    def matches(self, text: str, windows: bool = False) -> list[dict]:
+    def matches(self, text: str, windows: bool = True) -> list[dict]:
         """license, first, last (line numbers from 0), dice of every unit that matches, in order."""
         lines = [_WORD.findall(x) for x in text.lower().split("\n")]
         units = [(i, i, x) for i, x in enumerate(lines)]
@@ -152,8 +174,9 @@ class Matcher:
 _MATCHES = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("dice", pa.float64())]))
 
 
-def license_matches(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, least: float = LEAST, windows: bool = False) -> DataFrame:
-    """doc_id and matches: array of (license, first, last, dice), in the scan's own tasks: no shuffle."""
+def license_matches(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, least: float = LEAST, windows: bool = True) -> DataFrame:
+    """doc_id and matches: array of (license, first, last, dice), in the scan's own tasks: no shuffle. windows: search word
+    windows too, not only lines, paragraphs and the whole text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, least)
@@ -166,7 +189,7 @@ def license_matches(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, l
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = license_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), windows=True)
+    rows = license_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     named = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["first"], m["last"]))
     best = F.array_min(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("dice"), m["license"])))  # ties to the first name
     return rows.select(

@@ -1,7 +1,7 @@
 """Line dedup: removal of lines that many sites share (operator 9).
 
-A site is a document's source. Lines are compared without spaces at their ends; blank lines and those shorter than
-`least` characters stay (the query has `least=1`: every line that is not blank counts). HyperLogLog sketches of the sites, one per line hash (128 bits), are built where the lines are read and merged by
+A site is a document's source. Lines are compared without spaces at their ends; blank lines stay, all others count, however
+short. HyperLogLog sketches of the sites, one per line hash (128 bits), are built where the lines are read and merged by
 aggregation, so a line that a third of the documents share is a few rows in the shuffle. Lines whose estimate is near
 `sites` get an exact distinct count. A line on `sites` sites or more is removed wherever it stands.
 
@@ -30,12 +30,12 @@ def line_key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line).cast("binary")))
 
 
-def counts(line: Column, least: int) -> Column:
-    return (F.length(F.trim(line)) >= least) & line.rlike(r"\S")
+def counts(line: Column) -> Column:
+    return line.rlike(r"\S")
 
 
-def keys_of(text: Column, least: int) -> Column:
-    return F.array_distinct(F.transform(F.filter(lines_of(text), lambda x: counts(x, least)), line_key))
+def keys_of(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(lines_of(text), counts), line_key))
 
 
 def shared_lines(lines: DataFrame, sites: int) -> DataFrame:
@@ -49,21 +49,21 @@ def shared_lines(lines: DataFrame, sites: int) -> DataFrame:
     return sure.unionByName(exact.filter(F.col("count") >= sites).select("key"))
 
 
-def without_shared_lines(docs: DataFrame, *, sites: int = 10, least: int = 20) -> DataFrame:
+def without_shared_lines(docs: DataFrame, *, sites: int = 10) -> DataFrame:
     """doc_id, text without the shared lines, n_lines, n_removed."""
-    lines = durable(docs.select("doc_id", "source", F.explode(keys_of(F.col("text"), least)).alias("key")))
+    lines = durable(docs.select("doc_id", "source", F.explode(keys_of(F.col("text"))).alias("key")))
     shared = durable(shared_lines(lines, sites))
     marks = lines.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     rows = docs.select("doc_id", "text").alias("a").join(marks.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
     every = lines_of(F.col("text"))
-    kept = F.filter(every, lambda x: ~counts(x, least) | ~F.array_contains(F.col("keys"), line_key(x)))
+    kept = F.filter(every, lambda x: ~counts(x) | ~F.array_contains(F.col("keys"), line_key(x)))
     rows = rows.select("a.doc_id", every.alias("lines"), F.when(F.col("keys").isNull(), every).otherwise(kept).alias("kept"))
     n_lines, n_kept = F.size("lines").cast("long"), F.size("kept").cast("long")
     return rows.select("doc_id", F.array_join("kept", "\n").alias("text"), n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = without_shared_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=1)
+    rows = without_shared_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("clean_sha256"))
 
 

@@ -240,7 +240,7 @@ def test_columns_are_carried_by_the_distance(spark):
 
 def test_members_that_fail_or_take_too_long(spark):
     fine, coarse = toy(spark)
-    members = {"good": growth.Settings(), "bad": growth.Settings(distance_fill="terrain_penalty", cost_model="none"), "slow": growth.Settings()}
+    members = {"good": growth.Settings(), "bad": {"distance_fill": "terrain_penalty", "cost_model": "none"}, "slow": growth.Settings()}
     records, scores = validation.ensemble(fine, coarse, validation.bilinear_baseline(fine, coarse, 2), 2, members, seconds={"good": 600, "bad": 600, "slow": 0})
     got = {r.run_name: r for r in records.collect()}
     assert {k: r.status for k, r in got.items()} == {"good": "ok", "bad": "failed", "slow": "timeout"}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -84,9 +87,8 @@ def batch_record(cells: DataFrame, key: list[str], *, observed: str = "obs", pre
 def differences(cells: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     """Overlap, MAE, RMSE, bias and the 95th percentile of |b - a| where both are valid."""
     d = F.col(b) - F.col(a)
-    return cells.groupBy(*key).agg(
-        F.count(d).alias("overlap"), mae(d).alias("mae"), rmse(d).alias("rmse"), bias(d).alias("bias"), F.percentile(F.abs(d), 0.95).alias("p95"),
-    )
+    means = cells.groupBy(*key).agg(F.count(d).alias("overlap"), mae(d).alias("mae"), rmse(d).alias("rmse"), bias(d).alias("bias"))
+    return means.join(quantiles(cells.withColumn("_d", F.abs(d)), key, "_d", p95=0.95), key, "left")
 
 
 def statistics(cells: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -96,19 +98,70 @@ def statistics(cells: DataFrame, key: list[str], value: str) -> DataFrame:
     )
 
 
-def mode_rounded(value: Column, digits: int = 3) -> Column:
-    """The most frequent rounded value, the lowest of ties."""
-    return F.mode(F.round(value, digits), True)
+def modes(cells: DataFrame, key: list[str], value: Column, digits: int = 3) -> DataFrame:
+    """key and mode: the most frequent rounded value, the lowest of ties; null if all are. Values are counted by key and
+    value first, so a scene's distinct values are never together in one task."""
+    counts = cells.select(*key, F.round(value, digits).alias("_v")).groupBy(*key, "_v").agg(F.count("_v").alias("_n"))
+    return counts.groupBy(*key).agg(F.max_by("_v", F.struct("_n", -F.col("_v"))).alias("mode"))
 
 
 def filter_depth(cells: DataFrame, value: str, buffer: float = 0.01) -> DataFrame:
     """scene and depth: the mode plus a buffer."""
-    return cells.groupBy("scene").agg((mode_rounded(F.col(value)) + buffer).alias("depth"))
+    return modes(cells, ["scene"], F.col(value)).select("scene", (F.col("mode") + buffer).alias("depth"))
 
 
 def clip_limits(cells: DataFrame, key: list[str], value: str, *shares: float) -> DataFrame:
     """Percentiles with linear interpolation, for display limits."""
-    return cells.groupBy(*key).agg(*(F.percentile(value, s).alias(f"p{round(100 * s):02d}") for s in shares))
+    return quantiles(cells, key, value, **{f"p{round(100 * s):02d}": s for s in shares})
+
+
+def with_before(bins: DataFrame, key: list[str], order: str) -> DataFrame:
+    """bins with before: the rows of the bins of the same key that come earlier."""
+    earlier = W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return bins.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+
+def quantiles(cells: DataFrame, key: list[str], value: str, *, few: int = 100_000, **shares: float) -> DataFrame:
+    """key and a column a share (from 0 to 1): the exact quantile with linear interpolation, null if no value is valid.
+
+    The values next to a quantile are selected by counting: passes count bins of the values, pre-aggregated where they are
+    read, and only the bins that hold a wanted rank are split again, until they have one value or at most `few` rows, which
+    are then put in order. The first bins are sixteenths of a doubling, by the logarithm, so far outliers don't make them
+    coarse; the next ones are 1,024 equal steps between a bin's least and largest value. A task never holds a key's values.
+    Keys are not null; NaN counts as null.
+    """
+    v = F.col("_v")
+    values = durable(cells.select(*key, F.col(value).cast("double").alias("_v")))
+    groups = values.select(*key).distinct()
+    values = values.filter(v.isNotNull() & ~F.isnan(v))
+    tallied = lambda rows, by, of: rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("lo"), F.max(of).alias("hi"))
+    bins = durable(with_before(tallied(values.withColumn("_bin", F.floor(F.signum(v) * F.log1p(F.abs(v)) * (16 / math.log(2)))), [*key, "_bin"], v), key, "_bin").drop("_bin"))
+    place = F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(float(share)) * (F.col("total") - 1)).alias("at")) for name, share in shares.items()))
+    asked = bins.groupBy(*key).agg(F.sum("n").alias("total")).select(*key, F.explode(place).alias("q")).select(*key, "q.name", "q.at")
+    ranks = durable(asked.select(*key, "name", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct())
+    within = F.col("rank").between(F.col("before"), F.col("before") + F.col("n") - 1)
+    found = []
+    while True:
+        hit = durable(bins.join(ranks.select(*key, "rank").distinct(), key).filter(within))
+        found.append(hit.filter("lo = hi").select(*key, "rank", F.col("lo").alias("x")))
+        wide = hit.filter("lo < hi").select(*key, "lo", "hi", "n", "before").distinct()
+        most = wide.agg(F.max("n")).first()[0]
+        if most is None:
+            break
+        rows = values.join(wide.select(*key, "lo", "hi", F.col("before").alias("_base")), key).filter(v.between(F.col("lo"), F.col("hi")))
+        if most <= few:
+            split = tallied(rows, [*key, "_base", "_v"], v)
+            order = "_v"
+        else:
+            share = (v / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)  # halves do not overflow
+            rows = rows.withColumnsRenamed({"lo": "_lo", "hi": "_hi"}).withColumn("_step", F.least(F.floor(share * 1024), F.lit(1023)))
+            split = tallied(rows, [*key, "_base", "_step"], v)
+            order = "_step"
+        bins = durable(with_before(split, [*key, "_base"], order).withColumn("before", F.col("before") + F.col("_base")).drop("_base", order))
+    ends = reduce(DataFrame.unionByName, found).distinct()
+    low, high = F.min_by("x", "rank"), F.max_by("x", "rank")
+    spots = ranks.join(ends, [*key, "rank"]).groupBy(*key, "name").agg((low + (high - low) * (F.max("at") - F.min("rank"))).alias("x"))
+    return groups.join(spots.groupBy(*key).pivot("name", list(shares)).agg(F.first("x")), key, "left")
 
 
 def histogram(cells: DataFrame, value: str, bins: int, *, without_zero: bool = False) -> DataFrame:
@@ -152,12 +205,10 @@ def compared(records: DataFrame, by: str, a: str, b: str, values: list[str], key
     return rows.select(*key, "name", F.col(a), F.col(b), (F.col(b) - F.col(a)).alias("delta"), F.when(F.col(a) != 0, F.col(b) / F.col(a)).alias("ratio"))
 
 
-def ranked(records: DataFrame, *order: Column, chunk_rows: int = 100_000) -> DataFrame:
-    """Adds rank from 1: places in chunks that are ranges of the order, after the rows of the chunks before."""
-    rows = durable(records)
-    rows = durable(rows.repartitionByRange(max(1, -(-rows.count() // chunk_rows)), *order).withColumn("_chunk", F.spark_partition_id()))
-    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))  # a row a chunk
-    before = W.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+def ranked(records: DataFrame, *order: Column) -> DataFrame:
+    """Adds rank (long) from 1: places in chunks that are ranges of the order, after the rows of the chunks before. The
+    chunks are as many as the session's shuffle partitions; the table is written once."""
+    rows = durable(records.repartitionByRange(*order).withColumn("_chunk", F.spark_partition_id()))
+    sizes = with_before(rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n")), [], "_chunk")  # a row a chunk
     place = F.row_number().over(W.partitionBy("_chunk").orderBy(*order))
-    return rows.join(sizes, "_chunk").withColumn("rank", (place + F.col("_before")).cast("int")).drop("_chunk", "_before")
+    return rows.join(sizes.select("_chunk", "before"), "_chunk").withColumn("rank", place + F.col("before")).drop("_chunk", "before")

@@ -114,7 +114,7 @@ full_ AS (
   FROM fine f JOIN full_ n ON n.scene = f.scene AND abs(n.r - f.r) <= 1 AND abs(n.c - f.c) <= 1 GROUP BY ALL)
 SELECT scene, r, c, round(100 * sqrt(gx * gx + gy * gy) / (8 * 2.0), 6) AS slope FROM g""")
 def n6(spark, sf):
-    return stencil.slope_horn(scn(spark, sf), scale=2.0).select(*KEY, F.round("slope", 6).alias("slope"))
+    return stencil.slope_horn(scn(spark, sf), scale=2.0, tile=TILE).select(*KEY, F.round("slope", 6).alias("slope"))
 
 
 @query("n7_slope_zt", SCN_SQL + EDGES + """, g AS (
@@ -122,7 +122,7 @@ def n6(spark, sf):
   FROM fine f JOIN full_ n ON n.scene = f.scene AND abs(n.r - f.r) + abs(n.c - f.c) <= 1 GROUP BY ALL)
 SELECT scene, r, c, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope FROM g""")
 def n7(spark, sf):
-    return stencil.slope_zt(scn(spark, sf), size=2.0).select(*KEY, F.round("slope", 6).alias("slope"))
+    return stencil.slope_zt(scn(spark, sf), size=2.0, tile=TILE).select(*KEY, F.round("slope", 6).alias("slope"))
 
 
 @query("n8_hillshade", SCN_SQL + """, size AS (SELECT scene, max(r) AS h, max(c) AS w FROM fine GROUP BY scene),
@@ -134,7 +134,7 @@ t AS (SELECT *, pi() / 2 - atan(sqrt(gx * gx + gy * gy)) AS slope, atan2(-gx, gy
 u AS (SELECT *, sin(radians(45)) * sin(slope) + cos(radians(45)) * cos(slope) * cos(radians(315) - aspect) AS shade FROM t)
 SELECT scene, r, c, round((shade - min(shade) OVER w) / (max(shade) OVER w - min(shade) OVER w), 6) AS shade FROM u WINDOW w AS (PARTITION BY scene)""")
 def n8(spark, sf):
-    return stencil.hillshade(scn(spark, sf)).select(*KEY, F.round("shade", 6).alias("shade"))
+    return stencil.hillshade(scn(spark, sf), tile=TILE).select(*KEY, F.round("shade", 6).alias("shade"))
 
 
 def predicted(spark, sf: str) -> DataFrame:
@@ -154,7 +154,7 @@ PRED = """, pair AS (SELECT scene, r, c, greatest(dem + 100, 0) / 256 AS obs, gr
 k AS (SELECT scene, power(0.01 * (max(obs) - min(obs)), 2) AS c1, power(0.03 * (max(obs) - min(obs)), 2) AS c2 FROM pair GROUP BY scene)
 SELECT scene, round(avg((2 * x * y + c1) * (2 * (xy - x * y) * 49 / 48 + c2) / ((x * x + y * y + c1) * ((xx - x * x + yy - y * y) * 49 / 48 + c2))), 6) AS ssim FROM w JOIN k USING (scene) GROUP BY scene""")
 def n9(spark, sf):
-    return stencil.ssim(predicted(spark, sf), ["scene"], "obs", "pred", F.lit(True)).select("scene", F.round("ssim", 6).alias("ssim"))
+    return stencil.ssim(predicted(spark, sf), ["scene"], "obs", "pred", F.lit(True), tile=TILE).select("scene", F.round("ssim", 6).alias("ssim"))
 
 
 @query("n10_ssim_chips", SCN_SQL + PRED + """, g AS (SELECT k, exp(-k * k / 4.5) / (SELECT sum(exp(-k * k / 4.5)) FROM range(-5, 6) t(k)) AS g FROM range(-5, 6) t(k)),
@@ -164,7 +164,7 @@ w AS (
   WHERE a.r BETWEEN 5 AND 94 AND a.c BETWEEN 5 AND 58 GROUP BY ALL)
 SELECT scene, round(avg((2 * x * y + 0.0001) * (2 * (xy - x * y) + 0.0009) / ((x * x + y * y + 0.0001) * (xx - x * x + yy - y * y + 0.0009))), 6) AS ssim FROM w GROUP BY scene""")
 def n10(spark, sf):
-    return stencil.ssim_chips(predicted(spark, sf), ["scene"], "obs", "pred").select("scene", F.round("ssim", 6).alias("ssim"))
+    return stencil.ssim_chips(predicted(spark, sf), ["scene"], "obs", "pred", tile=TILE).select("scene", F.round("ssim", 6).alias("ssim"))
 
 
 @query("n11_uniform_distance", SCN_SQL + oracles.allocated("lab", "SELECT scene, r, c, CASE WHEN c % 13 <> 0 THEN 1 END AS cost, wse2 IS NOT NULL AS src FROM wp") + f"SELECT scene, r, c, k[1]::DOUBLE / {oracles.GRAIN} AS d FROM lab")

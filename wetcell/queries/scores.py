@@ -117,7 +117,7 @@ def stepped(spark, sf: str) -> DataFrame:
 
 @query("a12_mode", DEPTH + "SELECT scene, mode FROM moded")
 def a12(spark, sf):
-    return stepped(spark, sf).groupBy("scene").agg(metrics.mode_rounded(F.col("step")).alias("mode"))
+    return metrics.modes(stepped(spark, sf), ["scene"], F.col("step"))
 
 
 @query("a13_filter_depth", DEPTH + "SELECT scene, round(mode + 0.01::DOUBLE, 6) AS depth FROM moded")
@@ -286,7 +286,7 @@ def t5(spark, sf):
     return tables.summary(runs(spark, sf), scored(spark, sf)).select("run_name", "backend", "status", "wall_seconds", "rmse")
 
 
-@query("t6_ranking", RUNS + "SELECT run_name, (row_number() OVER (ORDER BY status DESC, wall_seconds, run_name))::INTEGER AS rank FROM runs")
+@query("t6_ranking", RUNS + "SELECT run_name, row_number() OVER (ORDER BY status DESC, wall_seconds, run_name) AS rank FROM runs")
 def t6(spark, sf):
     return metrics.ranked(runs(spark, sf), F.desc("status"), F.col("wall_seconds"), F.col("run_name")).select("run_name", "rank")
 

@@ -1,7 +1,9 @@
 """Connected regions of flagged cells, four neighbours (L1-L4).
 
 A row's runs of flagged cells are the nodes of the graph, so a wide water body is few nodes; runs that touch in the next
-row are its edges, and components() labels it. A region's label is its first cell in row-major order.
+row are its edges, and components() labels it. Nodes are numbers that order like cells; runs that lie in one tile are
+labelled by its task, only those with edges in several tiles go through the global rounds. A region's label is its first
+cell in row-major order.
 """
 
 from __future__ import annotations
@@ -17,6 +19,19 @@ from wetcell.storage import durable
 TILE = 256
 
 
+def numbered(cells: DataFrame) -> DataFrame:
+    """scene, _wide and _base: cell (r, c) of a scene has the number _base + r * _wide + c, and no cell of another scene has
+    it. Running sums of the scenes' sizes, within chunks of scenes and then over the chunks' totals."""
+    shapes = cells.groupBy("scene").agg((F.max("c").cast("long") + 1).alias("_wide"), (F.max("r").cast("long") + 1).alias("_high"))
+    rows = durable(shapes.withColumn("_chunk", F.spark_partition_id()))
+    area = F.col("_wide") * F.col("_high")
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    chunks = rows.groupBy("_chunk").agg(F.sum(area).alias("_all"))  # a row a task
+    chunks = chunks.select("_chunk", F.coalesce(F.sum("_all").over(before(W.partitionBy(F.lit(0)).orderBy("_chunk"))), F.lit(0)).alias("_from"))
+    own = F.coalesce(F.sum(area).over(before(W.partitionBy("_chunk").orderBy("scene"))), F.lit(0))
+    return durable(rows.withColumn("_own", own).join(chunks, "_chunk").select("scene", "_wide", (F.col("_from") + F.col("_own")).alias("_base")))
+
+
 def labelled(cells: DataFrame, flag: str, label: str = "region") -> DataFrame:
     """The flagged cells with label: (r, c) of the region's first cell. cells: scene, r, c, flag, ..."""
     row, column = W.partitionBy("scene", "r").orderBy("c"), W.partitionBy("scene", "c").orderBy("r")
@@ -24,18 +39,15 @@ def labelled(cells: DataFrame, flag: str, label: str = "region") -> DataFrame:
     starts = F.coalesce(F.lag("c").over(row) != F.col("c") - 1, F.lit(True))
     rows = rows.withColumn("_start", F.when(starts, F.col("c")))
     first = F.last("_start", ignorenulls=True).over(row.rowsBetween(W.unboundedPreceding, 0))
-    rows = durable(rows.withColumn("_run", F.col("r").cast("long") * F.lit(2**32) + first).drop("_start"))  # orders like (r, c)
+    rows = durable(rows.withColumn("_start", first))
+    rows = rows.join(numbered(rows), "scene").withColumn("_run", F.col("_base") + F.col("r") * F.col("_wide") + F.col("_start"))  # orders like (r, c)
     below = F.when(F.lead("r").over(column) == F.col("r") + 1, F.lead("_run").over(column))
     edges = rows.select("scene", "r", "c", F.col("_run").alias("a"), below.alias("b")).filter("b IS NOT NULL")
-    # runs of different scenes never meet: a number for each scene keeps their nodes apart
-    scenes = rows.select("scene").distinct().select("scene", F.concat_ws("/", F.lpad(F.hex(F.xxhash64("scene")), 16, "0"), "scene").alias("_scene"))
-    node = lambda x: F.concat_ws(":", F.lpad(F.hex(x), 16, "0"), "_scene")
-    joined = edges.join(scenes, "scene").select(node("a").alias("a"), node("b").alias("b"), F.struct("scene", F.expr(f"r div {TILE}"), F.expr(f"c div {TILE}")).alias("tile"))
-    labels = components(joined, near=F.col("tile")).select(F.col("node").alias("_node"), "label")
-    rows = rows.join(scenes, "scene").withColumn("_node", node("_run")).join(labels, "_node", "left")
-    found = F.coalesce(F.conv(F.substring("label", 1, 16), 16, 10).cast("long"), F.col("_run"))
-    place = F.struct(F.expr("cast(_first div 4294967296 as int)").alias("r"), (F.col("_first") % 2**32).cast("int").alias("c"))
-    return rows.withColumn("_first", found).withColumn(label, place).select(*cells.columns, label)
+    labels = components(edges, near=F.xxhash64("scene", F.expr(f"r div {TILE}"), F.expr(f"c div {TILE}")))
+    rows = rows.join(labels.select(F.col("node").alias("_run"), F.col("label").alias("_first")), "_run", "left")
+    found = F.coalesce("_first", "_run") - F.col("_base")
+    place = F.struct(F.expr("cast(_at div _wide as int)").alias("r"), (F.col("_at") % F.col("_wide")).cast("int").alias("c"))
+    return rows.withColumn("_at", found).withColumn(label, place).select(*cells.columns, label)
 
 
 def sizes(regions: DataFrame, label: str = "region") -> DataFrame:

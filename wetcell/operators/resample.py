@@ -11,7 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from wetcell.storage import durable
 
 SHIFTS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
@@ -92,7 +93,36 @@ def bilinear_down(fine: DataFrame, f: int | str, value: str) -> DataFrame:
 
 
 def mosaic(layers: DataFrame, value: str = "v") -> DataFrame:
-    """layers: scene, r, c, priority, value. The valid value of the highest priority for each cell."""
-    first = F.row_number().over(W.partitionBy("scene", "r", "c").orderBy(F.col(value).isNull(), F.desc("priority")))
-    return layers.withColumn("n", first).filter("n = 1").drop("n", "priority")
-
+    """layers: scene, r, c, priority, value. The valid value of the highest priority for each cell (of equal ones the
+    largest), combined where the layers are read."""
+    order = F.when(F.col(value).isNotNull(), F.struct("priority", value))
+    return layers.groupBy("scene", "r", "c").agg(F.max_by(value, order).alias(value))
+
+
+def union_grid(grids: DataFrame) -> DataFrame:
+    """grids: scene, height, width, x0, y0, res_x, res_y, a row a layer. The grid of each scene that covers all its layers."""
+    right, bottom = F.col("x0") + F.col("width") * F.col("res_x"), F.col("y0") - F.col("height") * F.col("res_y")
+    most = grids.groupBy("scene").agg(
+        F.min("x0").alias("x0"), F.max("y0").alias("y0"), F.max(right).alias("_right"), F.min(bottom).alias("_bottom"), F.min("res_x").alias("res_x"), F.min("res_y").alias("res_y"),
+    )
+    whole = lambda x: F.round(x).cast("int")
+    size = {"height": whole((F.col("y0") - F.col("_bottom")) / F.col("res_y")), "width": whole((F.col("_right") - F.col("x0")) / F.col("res_x"))}
+    return most.withColumns(size).drop("_right", "_bottom")
+
+
+def mosaic_placed(layers: DataFrame, grids: DataFrame, value: str = "v", *, tolerance: float = 1e-3) -> DataFrame:
+    """The mosaic of layers with grids of their own, on their union_grid(). layers: scene, layer, r, c, value; grids: a row
+    for each of them with priority. Raises for a layer whose cells differ in size, or lie off the common cells by more than
+    tolerance (a share of a cell), and for a layer without a grid."""
+    origin = union_grid(grids).select("scene", F.col("x0").alias("_x"), F.col("y0").alias("_y"), F.col("res_x").alias("_rx"), F.col("res_y").alias("_ry"))
+    places = grids.join(origin, "scene").withColumns({"_dr": (F.col("_y") - F.col("y0")) / F.col("_ry"), "_dc": (F.col("x0") - F.col("_x")) / F.col("_rx")})
+    off = lambda x: F.abs(F.col(x) - F.round(x)) > tolerance
+    stretched = lambda own, common, n: F.abs(F.col(own) / F.col(common) - 1) * F.col(n) > tolerance
+    wrong = off("_dr") | off("_dc") | stretched("res_x", "_rx", "width") | stretched("res_y", "_ry", "height")
+    places = durable(places.select("scene", "layer", "priority", F.round("_dr").cast("int").alias("_dr"), F.round("_dc").cast("int").alias("_dc"), wrong.alias("_wrong")))
+    found = places.filter("_wrong").select("scene", "layer").limit(5).collect()
+    if found:
+        raise ValueError("cells do not fit the common grid: " + ", ".join(f"{x.scene}/{x.layer}" for x in found))
+    rows = layers.join(places, ["scene", "layer"], "left")
+    known = lambda x: F.when(F.col(x).isNull(), F.raise_error(F.lit("a layer has no grid"))).otherwise(F.col(x))
+    return mosaic(rows.select("scene", (F.col("r") + known("_dr")).alias("r"), (F.col("c") + known("_dc")).alias("c"), "priority", value), value)

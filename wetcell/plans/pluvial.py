@@ -13,16 +13,29 @@ from wetcell.plans import growth
 from wetcell.storage import durable
 
 
-def coarse_depth(fine: DataFrame, coarse: DataFrame, f: int) -> DataFrame:
-    """coarse with dem (the fine cells' mean, unless it is there) and wsh."""
+#: how the fine cells' terrain becomes that of coarse cells, by name
+COARSE_TERRAIN = {
+    "average": resample.average_down, "bilinear": resample.bilinear_down,
+    "min": lambda fine, f, v: resample.block_reduce(fine, f, **{v: F.min(v)}), "max": lambda fine, f, v: resample.block_reduce(fine, f, **{v: F.max(v)}),
+    "median": lambda fine, f, v: resample.block_reduce(fine, f, **{v: F.median(v)}),
+}
+
+
+def coarse_depth(fine: DataFrame, coarse: DataFrame, f: int, *, dem_coarse_resampling: str = "average") -> DataFrame:
+    """coarse with dem (of the fine cells by a method of COARSE_TERRAIN, unless it is there) and wsh. A coarse terrain made
+    from the fine one is poor on steep slopes: give coarse cells dem or wsh where they are known."""
+    if dem_coarse_resampling not in COARSE_TERRAIN:
+        raise ValueError(f"dem_coarse_resampling {dem_coarse_resampling!r}, not one of {', '.join(COARSE_TERRAIN)}")
     if "dem" not in coarse.columns:
-        coarse = coarse.join(resample.average_down(fine, f, "dem"), ["scene", "br", "bc"], "left")
+        coarse = coarse.join(COARSE_TERRAIN[dem_coarse_resampling](fine, f, "dem"), ["scene", "br", "bc"], "left")
     return coarse.withColumn("wsh", cell.depth(F.col("wse"), F.col("dem")))
 
 
-def prepared(coarse: DataFrame, *, filter_depth: float | None = 0.1, mode_buffer: float = 0.01, small_pixel_count: int = 5) -> DataFrame:
+def prepared(coarse: DataFrame, *, filter_depth: float | None = 0.1, mode_buffer: float = 0.01, small_pixel_count: int = 5, filter_method: str = "blanket") -> DataFrame:
     """coarse: scene, br, bc, wse, wsh. Adds depth, blanket, filtered (without the blanket) and wse_in (without small
     groups either). filter_depth None takes the mode of the depths plus a buffer. Raises if nothing is filtered."""
+    if filter_method != "blanket":
+        raise ValueError(f"filter_method {filter_method!r}, not blanket")
     if filter_depth is None:
         coarse = coarse.join(metrics.filter_depth(coarse, "wsh", mode_buffer), "scene")
     else:
@@ -48,11 +61,11 @@ def small_groups_back(rows: DataFrame, prepared_: DataFrame, f: int, wse: str) -
 
 def downscale(
     fine: DataFrame, coarse: DataFrame, f: int, *, project: Callable[[DataFrame, DataFrame, int], DataFrame] = growth.downscale,
-    reapply_small_groups: bool = False, **filters,
+    reapply_small_groups: bool = False, dem_coarse_resampling: str = "average", **filters,
 ) -> DataFrame:
     """scene, r, c, dem, wse_base (the projection of the filtered water) and wse. project takes (fine, coarse, f) and
     gives a column wse4."""
-    coarse = coarse if "wsh" in coarse.columns else coarse_depth(fine, coarse, f)
+    coarse = coarse if "wsh" in coarse.columns else coarse_depth(fine, coarse, f, dem_coarse_resampling=dem_coarse_resampling)
     ready = durable(prepared(coarse, **filters))
     base = project(fine, ready.select("scene", "br", "bc", F.col("wse_in").alias("wse")), f)
     rows = base.select("scene", "r", "c", "dem", F.col("wse4").alias("wse_base")).withColumn("wse", F.col("wse_base"))

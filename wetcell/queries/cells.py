@@ -11,7 +11,7 @@ from wetcell.functions import cell
 from wetcell.operators import resample
 from wetcell.plans import growth, validation
 from wetcell.queries.fixtures import EMB_SQL, F4, SCN_SQL, emb, scn, vectors, water
-from wetcell.sources import grids
+from wetcell.sources import grids, tiles
 from wetcell.storage import shared_folder
 
 QUERIES, SQL = {}, {}
@@ -68,6 +68,20 @@ def s1_s5(spark, sf):
     return grids.read_layer(spark, path)
 
 
+@query("s1_tiles", E_ + "SELECT scene, 'dem' AS layer, r, c, CASE WHEN dem % 7 <> 0 THEN dem END AS v FROM fine")
+def s1_tiles(spark, sf):
+    path = fresh(spark)
+    tiles.write_tiles(tiles.to_tiles(dem_cells(spark, sf), 24), path)
+    return tiles.to_cells(tiles.read_tiles(spark, path))
+
+
+@query("p24_clip_tiles", E_ + "SELECT scene, r, c, CASE WHEN dem % 7 <> 0 THEN dem END AS v FROM fine WHERE r BETWEEN 10 AND 77 AND c BETWEEN 5 AND 44")
+def p24_tiles(spark, sf):
+    path = fresh(spark)
+    tiles.write_tiles(tiles.to_tiles(dem_cells(spark, sf), 24), path)
+    return tiles.clip_tiles(tiles.read_tiles(spark, path), 10, 5, 77, 44).drop("layer")
+
+
 @query("s2_s6_phases_listed", E_ + """SELECT 'emb' AS "case", format('{}_wse_{:04d}x{:04d}', phase, max(r) + 1, max(c) + 1) AS layer, any_value(n) AS valid FROM fine,
   (SELECT '01_resampled' AS phase, count(wse1) AS n FROM final UNION ALL SELECT '02_wp', count(wse2) FROM final UNION ALL SELECT '03_dp', count(wse3) FROM final UNION ALL SELECT '04_isol', count(wse4) FROM final) GROUP BY phase""")
 def s2_s6(spark, sf):
@@ -221,6 +235,27 @@ def r8(spark, sf):
     return resample.mosaic(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
+@query("r8_mosaic_placed", E_ + """, l AS (
+  SELECT scene, r, c + 5 AS c, dem AS v, 0 AS p FROM wp
+  UNION ALL SELECT scene, r, c + 5, CASE WHEN c % 3 = 0 THEN -dem END, 1 FROM wp WHERE r >= 10 AND c >= 3
+  UNION ALL SELECT scene, r + 2, c, wse2, 2 FROM wp)
+SELECT scene, r, c, arg_max(v, p) FILTER (v IS NOT NULL) AS v FROM l GROUP BY ALL""")
+def r8_placed(spark, sf):
+    """The terrain, a part of it and water that is shifted to the south and west, each with its own place."""
+    rows = res(spark, sf).select(*KEY, "dem", "wse2")
+    part = F.when(F.col("c") % 3 == 0, -F.col("dem"))
+    sheets = [
+        rows.select("scene", F.lit("dem").alias("layer"), "r", "c", F.col("dem").alias("v")),
+        rows.filter("r >= 10 AND c >= 3").select("scene", F.lit("part").alias("layer"), (F.col("r") - 10).alias("r"), (F.col("c") - 3).alias("c"), part.alias("v")),
+        rows.select("scene", F.lit("water").alias("layer"), "r", "c", F.col("wse2").alias("v")),
+    ]
+    layers = sheets[0].unionByName(sheets[1]).unionByName(sheets[2])
+    shift = F.expr("CASE layer WHEN 'dem' THEN named_struct('r', 0, 'c', 0, 'p', 0) WHEN 'part' THEN named_struct('r', 10, 'c', 3, 'p', 1) ELSE named_struct('r', 2, 'c', -5, 'p', 2) END")
+    sizes = layers.groupBy("scene", "layer").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width")).withColumn("s", shift)
+    located = sizes.select("scene", "layer", "height", "width", (100 + 2.5 * F.col("s.c")).alias("x0"), (50 - 2.5 * F.col("s.r")).alias("y0"), F.lit(2.5).alias("res_x"), F.lit(2.5).alias("res_y"), F.col("s.p").alias("priority"))
+    return resample.mosaic_placed(layers, located)
+
+
 @query("r9_bilinear_baseline", E_ + "SELECT scene, r, c, wse1 AS wse, greatest(coalesce(wse1, dem) - dem, 0) AS wsh FROM res")
 def r9(spark, sf):
     fine = emb(spark, sf)

@@ -115,6 +115,13 @@ def stepped(spark, sf: str) -> DataFrame:
     return coarse_depths(spark, sf).withColumn("step", F.floor(F.abs(F.coalesce("wse", "dem")) / 20) / 8.0)
 
 
+@query("x3_coarse_terrain", SCN_SQL + """SELECT q.scene, br, bc, lo AS dem, greatest(coalesce(wse, lo) - lo, 0) AS wsh FROM coarse q
+  JOIN (SELECT scene, r // 4 AS br, c // 4 AS bc, min(dem) AS lo FROM fine GROUP BY ALL) USING (scene, br, bc)""")
+def x3_coarse_terrain(spark, sf):
+    fine = scn(spark, sf)
+    return pluvial.coarse_depth(fine, water(fine), F4, dem_coarse_resampling="min").select("scene", "br", "bc", "dem", "wsh")
+
+
 @query("a12_mode", DEPTH + "SELECT scene, mode FROM moded")
 def a12(spark, sf):
     return metrics.modes(stepped(spark, sf), ["scene"], F.col("step"))

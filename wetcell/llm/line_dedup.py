@@ -51,10 +51,13 @@ def shared_lines(lines: DataFrame, sites: int) -> DataFrame:
 
 def without_shared_lines(docs: DataFrame, *, sites: int = 10) -> DataFrame:
     """doc_id, text without the shared lines, n_lines, n_removed."""
-    lines = durable(docs.select("doc_id", "source", F.explode(keys_of(F.col("text"))).alias("key")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.unhex(F.md5(text.cast("binary"))).alias("digest")  # with it rows of a repeated or null doc_id are keys of their own
+    lines = durable(docs.select("doc_id", digest, "source", F.explode(keys_of(text)).alias("key")))
     shared = durable(shared_lines(lines, sites))
-    marks = lines.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    rows = docs.select("doc_id", "text").alias("a").join(marks.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
+    marks = lines.join(shared, "key").groupBy("doc_id", "digest").agg(F.collect_set("key").alias("keys"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest"))
+    rows = docs.select("doc_id", text.alias("text"), digest).alias("a").join(marks.alias("b"), same, "left")
     every = lines_of(F.col("text"))
     kept = F.filter(every, lambda x: ~counts(x) | ~F.array_contains(F.col("keys"), line_key(x)))
     rows = rows.select("a.doc_id", every.alias("lines"), F.when(F.col("keys").isNull(), every).otherwise(kept).alias("kept"))

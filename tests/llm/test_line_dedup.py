@@ -63,5 +63,5 @@ def test_the_query_removes_short_lines_too(spark, tmp_path):
 def test_many_rows_without_id_are_kept_apart(spark):
     shared = [(None, f"all of them\nown {i}\n", f"s{i % 12}", i) for i in range(300)]
     docs = spark.createDataFrame(shared + [(None, None, "s1", -1), (None, "alone", None, -2)], "doc_id long, text string, source string, digest int")
-    found = without_shared_lines(docs, sites=10).collect()
+    found = line_dedup.without_shared_lines(docs, sites=10).collect()
     assert sorted((x.text, x.n_lines, x.n_removed) for x in found) == sorted([(f"own {i}\n", 3, 1) for i in range(300)] + [("", 1, 0), ("alone", 1, 0)])

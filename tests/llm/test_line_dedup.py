@@ -65,3 +65,12 @@ def test_many_rows_without_id_are_kept_apart(spark):
     docs = spark.createDataFrame(shared + [(None, None, "s1", -1), (None, "alone", None, -2)], "doc_id long, text string, source string, digest int")
     found = line_dedup.without_shared_lines(docs, sites=10).collect()
     assert sorted((x.text, x.n_lines, x.n_removed) for x in found) == sorted([(f"own {i}\n", 3, 1) for i in range(300)] + [("", 1, 0), ("alone", 1, 0)])
+
+
+def test_a_text_of_many_shared_lines_takes_time_in_proportion(spark):
+    many = [f"shared line number {i}" for i in range(60_000)]
+    own = ["first", *many[:30_000], "", "middle", *many[30_000:], "last"]
+    data = [(0, "\n".join(own), "a"), (1, "\n".join(many), "b"), (2, "\n".join(["first", *many[:10]]), "c")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.without_shared_lines(docs, sites=2).collect()}
+    assert got == {0: ("\nmiddle\nlast", 60_004, 60_001), 1: ("", 60_000, 60_000), 2: ("", 11, 11)}

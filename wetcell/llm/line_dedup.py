@@ -34,8 +34,18 @@ def counts(line: Column) -> Column:
     return line.rlike(r"\S")
 
 
-def keys_of(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(lines_of(text), counts), line_key))
+def keys_by_place(text: Column) -> Column:
+    """A key for each line of the text, null for blank ones."""
+    return F.transform(lines_of(text), lambda x: F.when(counts(x), line_key(x)))
+
+
+def without_places(lines: Column, places: Column) -> Column:
+    """lines without those at the places (from 0, ascending), in time in proportion: the places become a flag for each line
+    up to the last of them, which is looked up by position."""
+    before = lambda p, i: p - F.when(i == 0, 0).otherwise(F.get(places, i - 1) + 1)
+    marked = F.flatten(F.transform(F.transform(places, before), lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
+    unmarked = lambda flags: F.filter(lines, lambda _, i: ~F.coalesce(F.get(flags, i), F.lit(False)))
+    return F.transform(F.array(marked), unmarked)[0]  # a lambda's variable is made once, an expression would be for every line
 
 
 def shared_lines(lines: DataFrame, sites: int) -> DataFrame:
@@ -53,14 +63,15 @@ def without_shared_lines(docs: DataFrame, *, sites: int = 10) -> DataFrame:
     """doc_id, text without the shared lines, n_lines, n_removed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.unhex(F.md5(text.cast("binary"))).alias("digest")  # with it rows of a repeated or null doc_id are keys of their own
-    lines = durable(docs.select("doc_id", digest, "source", F.explode(keys_of(text)).alias("key")))
+    whole = docs.select("doc_id", digest, "source", "text")  # the digest is made before lines are rows, once a text
+    lines = whole.select("doc_id", "digest", "source", F.posexplode(keys_by_place(F.col("text"))).alias("place", "key")).filter("key IS NOT NULL")
+    lines = durable(lines)
     shared = durable(shared_lines(lines, sites))
-    marks = lines.join(shared, "key").groupBy("doc_id", "digest").agg(F.collect_set("key").alias("keys"))
+    marks = lines.join(shared, "key").groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("place")).alias("places"))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest"))
     rows = docs.select("doc_id", text.alias("text"), digest).alias("a").join(marks.alias("b"), same, "left")
     every = lines_of(F.col("text"))
-    kept = F.filter(every, lambda x: ~counts(x) | ~F.array_contains(F.col("keys"), line_key(x)))
-    rows = rows.select("a.doc_id", every.alias("lines"), F.when(F.col("keys").isNull(), every).otherwise(kept).alias("kept"))
+    rows = rows.select("a.doc_id", every.alias("lines"), F.when(F.col("places").isNull(), every).otherwise(without_places(every, F.col("places"))).alias("kept"))
     n_lines, n_kept = F.size("lines").cast("long"), F.size("kept").cast("long")
     return rows.select("doc_id", F.array_join("kept", "\n").alias("text"), n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"))
 

@@ -1,13 +1,15 @@
 """Data-quality checks (Q). Each gives scene, check, n_bad; a check holds where n_bad is 0.
 
-One aggregation per check; require() turns violations into an error.
+One aggregation per check; require() turns violations into an error. A plan checks many rules at once: watched() counts the
+cells that break them in the plan's own pass, violations() gives scene, layer, check, n_bad and detail in one aggregation.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -116,36 +118,45 @@ def same_grid(grids: DataFrame, a: str, b: str, tolerance: float = 1e-6) -> Data
     return bad(_pairs(grids, a, b), "equal grids", ~reduce(lambda p, q: p & q, equal + near))
 
 
-def phase_rules(cells: DataFrame, *, resampled: str, partial: str, grown: str, cap: str, dem: str = "dem") -> DataFrame:
+def phase_conditions(*, resampled: str, partial: str, grown: str, cap: str, dem: str = "dem") -> dict[str, Column]:
     """Wet partials add no water; growth takes none and leaves it as it was; none beyond the cap; none off the terrain."""
     col = F.col
-    rules = {
+    return {
         "wet partials add no water": col(partial).isNotNull() & col(resampled).isNull(),
         "growth takes no water": col(grown).isNull() & col(partial).isNotNull(),
         "wet partials unchanged": col(grown) != col(partial),
         "dry beyond the cap": col(partial).isNull() & col(grown).isNotNull() & ~col(cap),
         "no water off the terrain": col(grown).isNotNull() & col(dem).isNull(),
     }
-    return _each(cells, rules)
 
 
-def isolated_rules(cells: DataFrame, source: str, result: str, anchor: str) -> DataFrame:
+def phase_rules(cells: DataFrame, **columns: str) -> DataFrame:
+    return _each(cells, phase_conditions(**columns))
+
+
+def isolated_conditions(source: str, result: str, anchor: str) -> dict[str, Column]:
     col = F.col
-    rules = {
+    return {
         "result within source": col(result).isNotNull() & (col(source).isNull() | (col(source) != col(result))),
         "anchors within source": col(anchor).isNotNull() & col(source).isNull(),
     }
-    return _each(cells, rules).unionByName(truth(cells, "some cells kept", F.count(result) > 0))
 
 
-def pluvial_rules(cells: DataFrame, *, wse: str, filtered: str, blanket: str, wsh: str, depth: str) -> DataFrame:
+def isolated_rules(cells: DataFrame, source: str, result: str, anchor: str) -> DataFrame:
+    return _each(cells, isolated_conditions(source, result, anchor)).unionByName(truth(cells, "some cells kept", F.count(result) > 0))
+
+
+def pluvial_conditions(*, wse: str, filtered: str, blanket: str, wsh: str, depth: str) -> dict[str, Column]:
     col = F.col
-    rules = {
+    return {
         "blanket within depth": col(blanket) > col(depth) + 1e-5,
         "no blanket where dry": col(wse).isNull() & col(wsh).isNotNull() & (col(blanket) != 0),
         "filter adds no water": col(wse).isNull() & col(filtered).isNotNull(),
     }
-    return _each(cells, rules)
+
+
+def pluvial_rules(cells: DataFrame, **columns: str) -> DataFrame:
+    return _each(cells, pluvial_conditions(**columns))
 
 
 def domain_dry(cells: DataFrame, wse: str, domain: str) -> DataFrame:
@@ -162,3 +173,57 @@ def require(*results: DataFrame) -> None:
     found = reduce(lambda a, b: a.unionByName(b), results).filter("n_bad > 0").limit(5).collect()
     if found:
         raise CheckFailed("; ".join(f"{r['scene']}: {r['check']} ({r['n_bad']})" for r in found))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Of cells: bad is true for a cell that breaks it. Of a scene: holds is an aggregate that is true where it is kept, and
+    detail an aggregate that says what was found (for cells: the place of the first one)."""
+
+    layer: str
+    check: str
+    bad: Column | None = None
+    holds: Column | None = None
+    detail: Column | None = None
+
+    def counts(self) -> Column:
+        broken = F.count_if(self.bad) if self.bad is not None else F.when(F.coalesce(self.holds, F.lit(False)), 0).otherwise(1)
+        return broken.cast("long")
+
+    def says(self, at: tuple[str, str]) -> Column:
+        if self.detail is not None:
+            return self.detail
+        if self.bad is None:
+            return F.lit(None).cast("string")
+        first = F.min(F.when(self.bad, F.struct(*(F.col(x).alias(f"_{k}") for k, x in enumerate(at)))))
+        return F.concat(F.lit("first at row "), first["_0"].cast("string"), F.lit(", column "), first["_1"].cast("string"))
+
+
+def cell_rules(layer: str, conditions: dict[str, Column]) -> list[Rule]:
+    return [Rule(layer, check, bad) for check, bad in conditions.items()]
+
+
+def violations(cells: DataFrame, rules: list[Rule], *, at: tuple[str, str] = ("r", "c")) -> DataFrame:
+    """scene, layer, check, n_bad, detail: a row for every rule that a scene breaks. One aggregation for all rules."""
+    found = [F.struct(F.lit(x.layer).alias("layer"), F.lit(x.check).alias("check"), x.counts().alias("n_bad"), x.says(at).alias("detail")) for x in rules]
+    return cells.groupBy("scene").agg(F.array(*found).alias("found")).select("scene", F.inline("found")).filter("n_bad > 0")
+
+
+def watched(cells: DataFrame, rules: list[Rule], **aggregates: Column) -> tuple[DataFrame, Observation]:
+    """cells and what is seen of them while they are first written: how many break each rule of cells (by its place in
+    rules) and the other aggregates. There is no pass for it. Tasks that run again may be counted twice, so the counts
+    tell only whether a rule is broken."""
+    seen = Observation()
+    counts = [F.count_if(x.bad).alias(str(k)) for k, x in enumerate(rules) if x.bad is not None]
+    return cells.observe(seen, *counts, *(x.alias(name) for name, x in aggregates.items())), seen
+
+
+def require_kept(cells: DataFrame, rules: list[Rule], seen: Observation | None = None, **options) -> None:
+    """Raises if cells break rules. Rules of cells that were watched are only counted by scene once one is known to be
+    broken; rules of scenes take one aggregation over the columns that they name."""
+    broken = [x for k, x in enumerate(rules) if seen is None or x.bad is None or seen.get[str(k)]]
+    if not broken:
+        return
+    found = violations(cells, broken, **options).limit(5).collect()
+    if found:
+        raise CheckFailed("; ".join(f"{x.scene}: {x.layer}: {x.check} ({x.n_bad}; {x.detail})" for x in found))

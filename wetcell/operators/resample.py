@@ -2,7 +2,8 @@
 column of the fine cells that has it, so that scenes of several ratios make one job.
 
 The coarse side has f * f times fewer rows. It is joined on (scene, r div f, c div f); Spark broadcasts it while its
-size allows and shuffles by that key otherwise.
+size allows and shuffles by that key otherwise. Fine cells with the columns of BLOCK (see sources.blocks) have their block
+there: they are not moved then.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wetcell.storage import durable
 
+BLOCK = ["block_r", "block_c"]
 SHIFTS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
@@ -25,6 +27,12 @@ def block_of(name: str, f: int | str) -> Column:
     return F.expr(f"cast({name} div {f} as int)")
 
 
+def at_block(fine: DataFrame, f: int | str) -> DataFrame:
+    """fine with br, bc: the block of each cell."""
+    known = set(BLOCK) <= set(fine.columns)
+    return fine.withColumns({"br": F.col("block_r") if known else block_of("r", f), "bc": F.col("block_c") if known else block_of("c", f)})
+
+
 def around(coarse: DataFrame, value: str) -> DataFrame:
     """scene, br, bc and n: the values of the 3 x 3 cells around each cell, null where there is none."""
     shifts = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in SHIFTS))
@@ -38,7 +46,7 @@ def bilinear_up(fine: DataFrame, coarse: DataFrame, f: int | str, value: str, ou
     """Adds `out`: null unless the parent cell is valid, else the mean of the valid ones of the four nearest coarse cells
     by bilinear weights. fine: scene, r, c, ...; coarse: scene, br, bc, value."""
     near = around(coarse, value).filter(F.col("n")[4].isNotNull())
-    rows = fine.withColumn("br", block_of("r", f)).withColumn("bc", block_of("c", f)).join(near, ["scene", "br", "bc"], "left")
+    rows = at_block(fine, f).join(near, ["scene", "br", "bc"], "left")
 
     def weights(index: str, block: str) -> list[Column]:
         """Of the coarse cells before, at and after the parent."""
@@ -53,7 +61,7 @@ def bilinear_up(fine: DataFrame, coarse: DataFrame, f: int | str, value: str, ou
 
 
 def nearest_up(fine: DataFrame, coarse: DataFrame, f: int | str, value: str, out: str) -> DataFrame:
-    rows = fine.withColumn("br", block_of("r", f)).withColumn("bc", block_of("c", f))
+    rows = at_block(fine, f)
     return rows.join(coarse.select("scene", "br", "bc", F.col(value).alias(out)), ["scene", "br", "bc"], "left").drop("br", "bc")
 
 
@@ -64,7 +72,7 @@ def valid_up(fine: DataFrame, coarse: DataFrame, f: int | str, value: str, out:
 
 def block_reduce(fine: DataFrame, f: int | str, **aggregates: Column) -> DataFrame:
     """scene, br, bc and any aggregates of the blocks' cells."""
-    return fine.groupBy("scene", block_of("r", f).alias("br"), block_of("c", f).alias("bc")).agg(*(a.alias(k) for k, a in aggregates.items()))
+    return at_block(fine, f).groupBy("scene", "br", "bc").agg(*(a.alias(k) for k, a in aggregates.items()))
 
 
 def average_down(fine: DataFrame, f: int | str, value: str) -> DataFrame:

@@ -161,16 +161,56 @@ def write_phases(rows: DataFrame, root: str) -> list[str]:
     return [grids_.write_phase(cells[v], root, phase, "wse", height, width) for v, phase in layers.items()]
 
 
-def downscale(fine: DataFrame, coarse: DataFrame, f: int | str, settings: Settings = Settings(), *, phases_to: str | None = None) -> DataFrame:
+def of_all(valid: str) -> Column:
+    return F.concat(F.count(valid).cast("string"), F.lit(" of "), F.count(F.lit(1)).cast("string"), F.lit(" valid"))
+
+
+def water_rules() -> list[checks.Rule]:
+    """Of the coarse water."""
+    return [checks.Rule("wse", "water neither all dry nor all wet", holds=(F.count("wse") > 0) & (F.count("wse") < F.count(F.lit(1))), detail=of_all("wse"))]
+
+
+def phase_rules() -> list[checks.Rule]:
+    """Of the terrain and phases 1 to 3."""
+    cells = checks.cell_rules("wse3", checks.phase_conditions(resampled="wse1", partial="wse2", grown="wse3", cap="within"))
+    return [*cells, checks.Rule("dem", "terrain partly valid", holds=(F.count("dem") > 0) & (F.max("r") > 0) & (F.max("c") > 0), detail=of_all("dem")),
+            checks.Rule("wse2", "no wet partial is above the terrain", holds=F.count("wse2") > 0, detail=of_all("wse2"))]
+
+
+def result_rules(*, allow_low_wse: bool = False) -> list[checks.Rule]:
+    """Of phase 4."""
+    low = {} if allow_low_wse else {"water not below terrain": F.col("wse4") < F.col("dem")}
+    cells = checks.cell_rules("wse4", {**checks.isolated_conditions("wse3", "wse4", "wse2"), **low})
+    return [*cells, checks.Rule("wse4", "some cells kept", holds=F.count("wse4") > 0, detail=of_all("wse4"))]
+
+
+def kept(rows: DataFrame, rules: list[checks.Rule]) -> DataFrame:
+    """rows, written once; raises if they break rules, of which those of cells are counted as the rows are written."""
+    rows, seen = checks.watched(rows, rules)
+    rows = durable(rows)
+    checks.require_kept(rows, rules, seen)
+    return rows
+
+
+def downscale(fine: DataFrame, coarse: DataFrame, f: int | str, settings: Settings = Settings(), *, phases_to: str | None = None, check: bool = False) -> DataFrame:
     """fine with wse1, wse2, away, within, wse3 and wse4 (regions that touch a wet partial); wsh if asked for. Columns
-    pixel_size and m_to_rad of fine stand for those of settings. phases_to: a folder for every phase's layer."""
-    rows = durable(grown(resampled(fine, coarse, f), coarse, f, settings))
-    require_wet_partials(rows)
+    pixel_size and m_to_rad of fine stand for those of settings. phases_to: a folder for every phase's layer. check: the
+    rules of inputs, phases and result hold or it raises; rules of cells take no pass of their own."""
+    if check:
+        checks.require_kept(coarse, water_rules(), at=("br", "bc"))
+        rows = kept(grown(resampled(fine, coarse, f), coarse, f, settings), phase_rules())
+    else:
+        rows = durable(grown(resampled(fine, coarse, f), coarse, f, settings))
+        require_wet_partials(rows)
     rows = regions.isolated_filter(rows, "wse3", "wse2", "wse4")
+    if check:
+        rows = kept(rows, result_rules(allow_low_wse=settings.allow_low_wse))
     if phases_to is not None:
-        rows = durable(rows)
+        rows = rows if check else durable(rows)
         write_phases(rows, phases_to)
-    return to_depth(durable(rows), "wse4", allow_low_wse=settings.allow_low_wse) if settings.as_wsh else rows
+    if not settings.as_wsh:
+        return rows
+    return to_depth(rows if check else durable(rows), "wse4", allow_low_wse=settings.allow_low_wse)
 
 
 def chosen(by: Column, columns: dict[str, str]) -> Column:
@@ -236,15 +276,9 @@ def downscale_layers(fine: DataFrame, coarse: DataFrame, grids: DataFrame, setti
     return downscale(fine.join(units(grids), "scene"), coarse, f, settings, **options)
 
 
-def checked(fine: DataFrame, coarse: DataFrame, f: int, settings: Settings = Settings()) -> DataFrame:
-    """downscale() with its input and output checks; raises if one has violations."""
-    checks.require(checks.dem_partly_valid(fine), checks.wse_partly_wet(coarse, "wse"))
-    rows = durable(downscale(fine, coarse, f, settings))
-    checks.require(
-        checks.phase_rules(rows, resampled="wse1", partial="wse2", grown="wse3", cap="within"),
-        checks.isolated_rules(rows, "wse3", "wse4", "wse2"), checks.water_not_below(rows, "wse4"),
-    )
-    return rows
+def checked(fine: DataFrame, coarse: DataFrame, f: int | str, settings: Settings = Settings()) -> DataFrame:
+    """downscale() with its checks."""
+    return downscale(fine, coarse, f, settings, check=True)
 
 
 def downscale_mcp(fine: DataFrame, coarse: DataFrame, f: int, *, cap: float = 10, decay_frac: float = 0.001, scale: float = 1.0, pixel_size: float = 1.0, tile: int = 256) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wetcell.functions import cell
-from wetcell.operators import metrics, regions, resample
+from wetcell.operators import checks, metrics, regions, resample
 from wetcell.plans import growth
 from wetcell.storage import durable
 
@@ -33,7 +33,8 @@ def coarse_depth(fine: DataFrame, coarse: DataFrame, f: int, *, dem_coarse_resam
 
 def prepared(coarse: DataFrame, *, filter_depth: float | None = 0.1, mode_buffer: float = 0.01, small_pixel_count: int = 5, filter_method: str = "blanket") -> DataFrame:
     """coarse: scene, br, bc, wse, wsh. Adds depth, blanket, filtered (without the blanket) and wse_in (without small
-    groups either). filter_depth None takes the mode of the depths plus a buffer. Raises if nothing is filtered."""
+    groups either). filter_depth None takes the mode of the depths plus a buffer. Raises if nothing is filtered or a cell
+    breaks the rules of the blanket, both seen while the rows are written."""
     if filter_method != "blanket":
         raise ValueError(f"filter_method {filter_method!r}, not blanket")
     if filter_depth is None:
@@ -42,9 +43,13 @@ def prepared(coarse: DataFrame, *, filter_depth: float | None = 0.1, mode_buffer
         coarse = coarse.withColumn("depth", F.lit(float(filter_depth)))
     wse, wsh, depth = F.col("wse"), F.col("wsh"), F.col("depth")
     rows = coarse.withColumn("blanket", cell.blanket(wsh, wse, depth))
-    rows = durable(rows.withColumn("filtered", cell.without_blanket(wse, F.col("blanket"), wsh, depth)))
-    if rows.filter(wsh <= depth).isEmpty():
+    rows = rows.withColumn("filtered", cell.without_blanket(wse, F.col("blanket"), wsh, depth))
+    rules = checks.cell_rules("wse", checks.pluvial_conditions(wse="wse", filtered="filtered", blanket="blanket", wsh="wsh", depth="depth"))
+    rows, seen = checks.watched(rows, rules, shallow=F.count_if(wsh <= depth))
+    rows = durable(rows)
+    if not seen.get["shallow"]:
         raise ValueError("filter_depth filters no cell")
+    checks.require_kept(rows, rules, seen, at=("br", "bc"))
     if small_pixel_count <= 0:
         return rows.withColumn("wse_in", F.col("filtered"))
     flags = rows.select("scene", F.col("br").alias("r"), F.col("bc").alias("c"), F.col("filtered").isNotNull().alias("on"))

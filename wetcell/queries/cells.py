@@ -11,7 +11,7 @@ from wetcell.functions import cell
 from wetcell.operators import resample
 from wetcell.plans import growth, validation
 from wetcell.queries.fixtures import EMB_SQL, F4, SCN_SQL, emb, scn, vectors, water
-from wetcell.sources import grids, tiles
+from wetcell.sources import blocks, grids, tiles
 from wetcell.storage import shared_folder
 
 QUERIES, SQL = {}, {}
@@ -228,6 +228,17 @@ def r7(spark, sf):
     return resample.valid_up(fine, water(fine), F4, "wse", "ok").select(*KEY, "ok")
 
 
+@query("r1_r3_r7_on_blocks", S_ + """SELECT r.scene, r.r, r.c, wse1, q.wse IS NOT NULL AS ok, avg(dem) OVER (PARTITION BY r.scene, r.r // 4, r.c // 4) AS mean
+FROM res r LEFT JOIN coarse q ON q.scene = r.scene AND q.br = r.r // 4 AND q.bc = r.c // 4""")
+def on_blocks(spark, sf):
+    """Two resamplings and a reduction of fine cells that are moved once, to a table of blocks."""
+    fine = scn(spark, sf)
+    coarse, rows = water(fine), blocks.blocked(fine, F4)
+    means = resample.average_down(rows, F4, "dem").withColumnRenamed("dem", "mean")
+    rows = resample.valid_up(resample.bilinear_up(rows, coarse, F4, "wse", "wse1"), coarse, F4, "wse", "ok")
+    return resample.nearest_up(rows, means, F4, "mean", "mean").select(*KEY, "wse1", "ok", "mean")
+
+
 @query("r8_mosaic", E_ + "SELECT scene, r, c, coalesce(wse2, CASE WHEN c % 3 = 0 THEN -dem END, dem) AS v FROM wp")
 def r8(spark, sf):
     rows = res(spark, sf)

@@ -343,6 +343,13 @@ def x1(spark, sf):
     return downscaled(spark, sf).select(*KEY, "wse1", "wse2", "wse3", "wse4")
 
 
+@query("x1_checked", SCN_SQL + "SELECT scene, r, c, wse1, wse2, wse3, wse4 FROM final")
+def x1_checked(spark, sf):
+    """With the rules of inputs, phases and result, counted as the phases are written."""
+    fine = scn(spark, sf)
+    return growth.checked(fine, water(fine), F4, CAP).select(*KEY, "wse1", "wse2", "wse3", "wse4")
+
+
 @query("x1_neutral_euclidean", EMB_SQL + oracles.downscaled("e", "euclidean", 2.6) + "SELECT scene, r, c, within, wse3, wse4 FROM final_e")
 def x1_euclidean(spark, sf):
     """A cap that is no whole number of cells."""

@@ -441,21 +441,52 @@ cut AS (
     ("wet partials unchanged", "count(*) FILTER (wse3 <> wse2)"), ("dry beyond the cap", "count(*) FILTER (wse2 IS NULL AND wse3 IS NOT NULL AND NOT within)"),
     ("no water off the terrain", "count(*) FILTER (wse3 IS NOT NULL AND dem IS NULL)")))
 def q13(spark, sf):
+    return checks.phase_rules(broken(spark, sf), resampled="wse1", partial="wse2", grown="wse3", cap="within")
+
+
+def broken(spark, sf: str) -> DataFrame:
     scene = F.col("scene")
-    rows = grown(spark, sf, True).withColumns({
+    return grown(spark, sf, True).withColumns({
         "wse1": F.when((scene != "s0") | (F.col("c") % 4 != 0), F.col("wse1")), "within": (scene != "s3") & F.col("within"), "dem": F.when(scene != "s4", F.col("dem")),
         "wse3": F.when(scene == "s1", F.when(F.col("c") % 16 != 0, F.col("wse3"))).when(scene == "s2", F.col("wse3") + 1).otherwise(F.col("wse3")),
     })
-    return checks.phase_rules(rows, resampled="wse1", partial="wse2", grown="wse3", cap="within")
+
+
+def violated_sql(table: str, cells: list[tuple[str, str, str]], scenes: list[tuple[str, str, str]]) -> str:
+    """cells: layer, rule and when a cell breaks it; scenes: layer, rule and when a scene keeps it."""
+    first = "'first at row ' || (min(row(r, c)))[1] || ', column ' || (min(row(r, c)))[2]"
+    parts = [f"SELECT scene, '{v}' AS layer, '{x}' AS \"check\", count(*)::BIGINT AS n_bad, {first} AS detail FROM {table} WHERE {bad} GROUP BY scene" for v, x, bad in cells]
+    parts += [f"SELECT scene, '{v}', '{x}', 1::BIGINT, count({v}) || ' of ' || count(*) || ' valid' FROM {table} GROUP BY scene HAVING NOT ({holds})" for v, x, holds in scenes]
+    return " UNION ALL ".join(parts)
+
+
+@query("q13_violations", SCN_SQL + BROKEN + violated_sql("broken", [
+    ("wse3", "wet partials add no water", "wse2 IS NOT NULL AND wse1 IS NULL"), ("wse3", "growth takes no water", "wse3 IS NULL AND wse2 IS NOT NULL"),
+    ("wse3", "wet partials unchanged", "wse3 <> wse2"), ("wse3", "dry beyond the cap", "wse2 IS NULL AND wse3 IS NOT NULL AND NOT within"),
+    ("wse3", "no water off the terrain", "wse3 IS NOT NULL AND dem IS NULL"),
+], [("dem", "terrain partly valid", "count(dem) > 0"), ("wse2", "no wet partial is above the terrain", "count(wse2) > 0")]))
+def q13_violations(spark, sf):
+    """All rules of a phase in one aggregation, with the layer and where it is broken first."""
+    return checks.violations(broken(spark, sf), growth.phase_rules())
 
 
 @query("q14_isolated_rules", SCN_SQL + BROKEN + rules_sql("cut", ("result within source", "count(*) FILTER (wse4 IS NOT NULL AND (wse3 IS NULL OR wse4 <> wse3))"), ("anchors within source", "count(*) FILTER (wse2 IS NOT NULL AND wse3 IS NULL)"), ("some cells kept", "CASE WHEN count(wse4) > 0 THEN 0 ELSE 1 END")))
 def q14(spark, sf):
+    return checks.isolated_rules(durable(cut(spark, sf)), "wse3", "wse4", "wse2")
+
+
+def cut(spark, sf: str) -> DataFrame:
     scene = F.col("scene")
-    rows = durable(downscaled(spark, sf, True).withColumns({
+    return downscaled(spark, sf, True).withColumns({
         "wse3": F.when((scene != "s2") | F.col("wse2").isNull(), F.col("wse3")), "wse4": F.when(scene == "s1", F.col("wse4") + 1).when(scene != "s3", F.col("wse4")),
-    }))
-    return checks.isolated_rules(rows, "wse3", "wse4", "wse2")
+    })
+
+
+@query("q14_violations", SCN_SQL + BROKEN + violated_sql("cut", [
+    ("wse4", "result within source", "wse4 IS NOT NULL AND (wse3 IS NULL OR wse4 <> wse3)"), ("wse4", "anchors within source", "wse2 IS NOT NULL AND wse3 IS NULL"),
+], [("wse4", "some cells kept", "count(wse4) > 0")]))
+def q14_violations(spark, sf):
+    return checks.violations(cut(spark, sf), growth.result_rules(allow_low_wse=True))
 
 
 @query("q15_pluvial_rules", DEPTH + """, spoiled AS (

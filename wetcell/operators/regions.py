@@ -77,12 +77,12 @@ def isolated_counts(cells: DataFrame, value: str, anchor: str) -> DataFrame:
     )
 
 
-def small_groups(cells: DataFrame, flag: str, most: int, out: str = "small") -> DataFrame:
-    """Adds `out`: whether the cell is in a region of at most `most` cells. Raises if all regions of a scene are."""
+def small_groups(cells: DataFrame, flag: str, most: int, out: str = "small", *, required: bool = True) -> DataFrame:
+    """Adds `out`: whether the cell is in a region of at most `most` cells. required: raises if all regions of a scene are."""
     regions = durable(labelled(cells.select("scene", "r", "c", flag), flag, "_region"))
     few = sizes(regions, "_region").filter(F.col("cells") <= most)
     large = regions.join(few, ["scene", "_region"], "left_anti").select("scene").distinct()
-    if not regions.select("scene").distinct().join(large, "scene", "left_anti").isEmpty():
+    if required and not regions.select("scene").distinct().join(large, "scene", "left_anti").isEmpty():
         raise ValueError(f"all groups of a scene have at most {most} cells")
     marks = regions.join(few, ["scene", "_region"], "left_semi").select("scene", "r", "c", F.lit(True).alias(out))
     return cells.join(marks, ["scene", "r", "c"], "left").withColumn(out, F.coalesce(out, F.lit(False)))

@@ -34,7 +34,8 @@ def coarse_depth(fine: DataFrame, coarse: DataFrame, f: int, *, dem_coarse_resam
 def prepared(coarse: DataFrame, *, filter_depth: float | None = 0.1, mode_buffer: float = 0.01, small_pixel_count: int = 5, filter_method: str = "blanket") -> DataFrame:
     """coarse: scene, br, bc, wse, wsh. Adds depth, blanket, filtered (without the blanket) and wse_in (without small
     groups either). filter_depth None takes the mode of the depths plus a buffer. Raises if nothing is filtered or a cell
-    breaks the rules of the blanket, both seen while the rows are written."""
+    breaks the rules of the blanket, both seen while the rows are written. Of many scenes one may have small groups alone:
+    it has no wse_in then, which is for the projection to refuse (growth.downscale does)."""
     if filter_method != "blanket":
         raise ValueError(f"filter_method {filter_method!r}, not blanket")
     if filter_depth is None:
@@ -53,7 +54,7 @@ def prepared(coarse: DataFrame, *, filter_depth: float | None = 0.1, mode_buffer
     if small_pixel_count <= 0:
         return rows.withColumn("wse_in", F.col("filtered"))
     flags = rows.select("scene", F.col("br").alias("r"), F.col("bc").alias("c"), F.col("filtered").isNotNull().alias("on"))
-    small = regions.small_groups(flags, "on", small_pixel_count).select("scene", F.col("r").alias("br"), F.col("c").alias("bc"), "small")
+    small = regions.small_groups(flags, "on", small_pixel_count, required=False).select("scene", F.col("r").alias("br"), F.col("c").alias("bc"), "small")
     return rows.join(small, ["scene", "br", "bc"]).withColumn("wse_in", F.when(~F.col("small"), F.col("filtered")))
 
 

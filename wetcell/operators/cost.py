@@ -227,12 +227,12 @@ def cost_fill(cells: DataFrame, value: str, cost: str, out: str, *, target: Colu
         if bad in states:
             raise ValueError(f"cost fill: {states[bad]}: {bad}")
     if "fill" not in states:
-        width = cells.groupBy("scene").agg((F.max("c") + 1).alias("_width"))
+        width = durable(cells.groupBy("scene").agg((F.max("c") + 1).alias("_width")))
         rows = cells.withColumn(out, F.col(value)).withColumn(f"{out}_cost", F.lit(0.0)).join(width, "scene")
         return rows.withColumn(f"{out}_zone", F.col("r").cast("long") * F.col("_width") + F.col("c")).drop("_width")
     found = allocated(cells, cost, value, **options).drop("pr", "pc")
     values = cells.filter(F.col(value).isNotNull()).select("scene", F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(value).alias(out))
-    width = cells.groupBy("scene").agg((F.max("c") + 1).alias("_width"))
+    width = durable(cells.groupBy("scene").agg((F.max("c") + 1).alias("_width")))  # of known size for the join
     found = found.join(values, ["scene", "sr", "sc"]).join(width, "scene")
     found = found.select("scene", "r", "c", out, F.col("d").alias(f"{out}_cost"), (F.col("sr").cast("long") * F.col("_width") + F.col("sc")).alias(f"{out}_zone"))
     rows = cells.join(found, ["scene", "r", "c"], "left")

@@ -201,7 +201,7 @@ def searched(cells: DataFrame, value: str, metric: str, reach: int | None, *, ro
     kind = cells.schema[value].dataType
     near = T.StructType.fromDDL(f"near struct<d:double,d2:long,sr:int,sc:int,v:{kind.simpleString()}>")
     band = F.expr(f"cast(floor(r / {rows}) as int)").alias("band")
-    spans = cells.groupBy("scene").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    spans = durable(cells.groupBy("scene").agg(F.min("c").alias("low"), F.max("c").alias("high")))  # its size is known: joined where the cells are
     slim = cells.select("scene", "r", "c", F.col(value).alias("value"), band).join(spans, "scene")
     sums = slim.groupBy("scene", "band").applyInArrow(summing(columns), "scene string, chunk int, band int, top int, bottom int, down binary, up binary")
     dtype = np.dtype(to_arrow_schema(T.StructType([T.StructField("v", kind)])).field("v").type.to_pandas_dtype())

@@ -168,7 +168,7 @@ def histogram(cells: DataFrame, value: str, bins: int, *, without_zero: bool = F
     """scene, bin (from 0), low, high, n of every bin between the scene's least and largest value; the last is closed."""
     v = F.col(value)
     rows = cells.filter(v.isNotNull() & (F.abs(v) > 1e-8)) if without_zero else cells.filter(v.isNotNull())
-    span = rows.groupBy("scene").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    span = durable(rows.groupBy("scene").agg(F.min(v).alias("lo"), F.max(v).alias("hi")))  # of known size for the join
     bin_ = F.least(F.floor((v - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
     counts = rows.join(span, "scene").groupBy("scene", F.coalesce(bin_, F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins

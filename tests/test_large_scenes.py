@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from wetcell.operators import distance
+from wetcell.operators import cost, distance
 from wetcell.storage import durable
 
 
@@ -28,3 +28,12 @@ def test_the_cells_of_a_scene_are_not_joined_by_scene(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in plan and "hashpartitioning(scene#" in plan
     assert all("band" in line or "chunk" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_paths_cross_tiles_and_lose_none(spark):
+    """A path of 60 cells through tiles of 4, from a source at one end; a cell behind a missing one has no path."""
+    way = [(r, c if r % 2 == 0 else 9 - c) for r in range(6) for c in range(10)]
+    rows = [("a", r, c, *(way[k - 1] if k else (None, None))) for k, (r, c) in enumerate(way)] + [("b", 0, 0, 5, 5), ("b", 3, 3, None, None)]
+    links = spark.createDataFrame(rows, "scene string, r int, c int, pr int, pc int")
+    want = {("a", r, c, k, 0, 0) for k, (r, c) in enumerate(way)} | {("b", 3, 3, 0, 3, 3)}
+    assert {tuple(x) for x in cost.paths(links, tile=4).collect()} == want

@@ -173,12 +173,23 @@ def labels_of(tile: int):
     return flat
 
 
-def newest(rounds: list[DataFrame]) -> DataFrame:
-    """The last version of every tile, of rounds that are written."""
-    every = reduce(DataFrame.unionByName, rounds)
-    if len(rounds) == 1:
-        return every
-    return every.join(every.groupBy(*_KEY).agg(F.max("version").alias("version")), [*_KEY, "version"])
+def last_versions(rounds: list[DataFrame]) -> DataFrame:
+    """scene, tr, tc, version of every tile's last version, of rounds that are written; reads no buffers."""
+    return reduce(DataFrame.unionByName, [x.select(*_KEY, "version") for x in rounds]).groupBy(*_KEY).agg(F.max("version").alias("version"))
+
+
+def picked(rounds: list[DataFrame], wanted: DataFrame) -> DataFrame:
+    """The tiles of the wanted keys and versions. wanted is written and small, so that it goes to the tiles by its size and
+    the buffers stay where they are."""
+    return reduce(DataFrame.unionByName, rounds).join(wanted, [*_KEY, "version"])
+
+
+def together(rounds: list[DataFrame], *left_out: str) -> DataFrame:
+    """The last version of every tile as one table; the rounds are deleted."""
+    last = durable(last_versions(rounds))
+    whole = durable(picked(rounds, last).drop(*left_out))
+    superseded(last, *rounds)
+    return whole
 
 
 def allocated(cells: DataFrame, cost: str, source: str, *, model: str = "geometric", tile: int = 256) -> DataFrame:
@@ -194,20 +205,16 @@ def allocated(cells: DataFrame, cost: str, source: str, *, model: str = "geometr
         sent = rounds[-1].filter(F.col("version") == version).select("scene", F.explode("sent").alias("s"))
         halo = sent.groupBy("scene", "s.tr", "s.tc").agg(F.collect_list("s.cells").alias("halo"))  # a buffer a neighbour: 8 at most
         version += 1
-        awake = newest([x.drop("sent") for x in rounds]).join(halo, _KEY)
-        again = durable(awake.mapInArrow(continued(model, tile, version), _TILES))
-        if again.isEmpty():
-            superseded(again)
+        awake = durable(last_versions(rounds).join(sent.select("scene", "s.tr", "s.tc").distinct(), _KEY))  # keys alone
+        if awake.isEmpty():
+            superseded(awake)
             break
-        rounds.append(again)
+        tiles = picked([x.drop("sent") for x in rounds], awake).join(halo, _KEY)  # only tiles that run again are moved
+        rounds.append(durable(tiles.mapInArrow(continued(model, tile, version), _TILES)))
+        superseded(awake)
         if len(rounds) > ROUNDS_KEPT:
-            whole = durable(newest(rounds))
-            superseded(*rounds)
-            rounds = [whole]
-    last = rounds[0]
-    if len(rounds) > 1:
-        last = durable(newest(rounds).drop("sent"))
-        superseded(*rounds)
+            rounds = [together(rounds)]
+    last = rounds[0] if len(rounds) == 1 else together(rounds, "sent")
     return last.mapInArrow(labels_of(tile), "scene string, r int, c int, d double, sr int, sc int, pr int, pc int")
 
 
@@ -239,20 +246,58 @@ def cost_fill(cells: DataFrame, value: str, cost: str, out: str, *, target: Colu
     return rows if target is None else rows.withColumn(out, F.when(target, F.col(out)).otherwise(F.col(value)))
 
 
-def paths(links: DataFrame, wanted: DataFrame, *, most_rounds: int = 40) -> DataFrame:
-    """links: scene, r, c, pr, pc. scene, r, c, steps, sr, sc for the wanted cells (scene, r, c): the source that the
-    backlinks lead to and the steps to it, by doubling the pointers."""
-    node = lambda r, c: F.struct(F.col(r).alias("r"), F.col(c).alias("c"))
-    jump = links.select("scene", node("r", "c").alias("at"), F.when(F.col("pr").isNull(), node("r", "c")).otherwise(node("pr", "pc")).alias("to"), F.when(F.col("pr").isNull(), 0).otherwise(1).cast("long").alias("n"))
+_WALKED = "scene string, r int, c int, to_r int, to_c int, n long, ended boolean"
+
+
+def walked(cells: pa.Table) -> pa.Table:
+    """A tile's cells with their backlinks -> where each one's path ends in the tile or enters another, and the steps there."""
+    r, c = cells["r"].to_numpy().astype(np.int64), cells["c"].to_numpy().astype(np.int64)
+    source = cells["pr"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
+    pr, pc = (cells[n].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("pr", "pc"))
+    own, ahead = r << 32 | c, pr << 32 | pc
+    order = np.argsort(own)
+    place = order[np.minimum(np.searchsorted(own, ahead, sorter=order), len(own) - 1)]
+    inside = ~source & (own[place] == ahead)
+    last, n = np.where(inside, place, np.arange(len(own))), inside.astype(np.int64)
+    for _ in range(64):
+        n, last, before = n + n[last], last[last], last
+        if (last == before).all():
+            break
+    else:
+        raise RuntimeError("paths: backlinks do not end")
+    ended = source[last]
+    to_r, to_c = np.where(ended, r[last], pr[last]), np.where(ended, c[last], pc[last])
+    ints = {"to_r": to_r.astype(np.int32), "to_c": to_c.astype(np.int32), "n": n + ~ended, "ended": ended}
+    return pa.table({**{x: cells[x] for x in ("scene", "r", "c")}, **{k: pa.array(v) for k, v in ints.items()}})
+
+
+def paths(links: DataFrame, wanted: DataFrame | None = None, *, most_rounds: int = 40, tile: int = 256) -> DataFrame:
+    """links: scene, r, c, pr, pc. scene, r, c, steps, sr, sc for the wanted cells (scene, r, c; None: all): the source that
+    the backlinks lead to and the steps to it. Paths are walked in their tiles first; only cells where paths enter a tile
+    double their pointers."""
+    tile_of = lambda x: F.expr(f"cast(floor({x} / {tile}) as int)")
+    rows = links.select("scene", "r", "c", "pr", "pc", tile_of("r").alias("tr"), tile_of("c").alias("tc"))
+    rows = durable(rows.groupBy(*_KEY).applyInArrow(walked, _WALKED))
+    aim = ["scene", "to_r", "to_c"]
+    at = lambda x: x.select("scene", F.col("r").alias("to_r"), F.col("c").alias("to_c"), F.col("to_r").alias("next_r"), F.col("to_c").alias("next_c"), F.col("n").alias("more"), F.col("ended").alias("done"))
+
+    def onward(rows: DataFrame, entered: DataFrame) -> DataFrame:
+        """Rows whose paths have not ended go on to where the entered cells' lead."""
+        gone = rows.filter("NOT ended").join(at(entered), aim)
+        gone = gone.select("scene", "r", "c", F.col("next_r").alias("to_r"), F.col("next_c").alias("to_c"), (F.col("n") + F.col("more")).alias("n"), F.col("done").alias("ended"))
+        return rows.filter("ended").unionByName(gone)
+
+    entries = rows.filter("NOT ended").select("scene", F.col("to_r").alias("r"), F.col("to_c").alias("c")).distinct()
+    entered = durable(rows.join(entries, ["scene", "r", "c"], "left_semi"))
     for _ in range(most_rounds):
-        jump = durable(jump)
-        ahead = jump.select("scene", F.col("at").alias("to"), F.col("to").alias("next"), F.col("n").alias("more"))
-        step = jump.join(ahead, ["scene", "to"])
-        if step.filter("more > 0").isEmpty():
-            ends = jump.select("scene", F.col("at.r").alias("r"), F.col("at.c").alias("c"), F.col("n").alias("steps"), F.col("to.r").alias("sr"), F.col("to.c").alias("sc"))
-            return ends.join(wanted.select("scene", "r", "c"), ["scene", "r", "c"], "left_semi")
-        jump = step.select("scene", "at", F.col("next").alias("to"), (F.col("n") + F.col("more")).alias("n"))
-    raise RuntimeError("paths: backlinks do not end")
+        if entered.filter("NOT ended").isEmpty():
+            break
+        before, entered = entered, durable(onward(entered, entered))
+        superseded(before)
+    else:
+        raise RuntimeError("paths: backlinks do not end")
+    ends = onward(rows, entered).select("scene", "r", "c", F.col("n").alias("steps"), F.col("to_r").alias("sr"), F.col("to_c").alias("sc"))
+    return ends if wanted is None else ends.join(wanted.select("scene", "r", "c"), ["scene", "r", "c"], "left_semi")
 
 
 def uniform_distance(cells: DataFrame, source: str, domain: Column, **options) -> DataFrame:

@@ -249,7 +249,7 @@ def c7(spark, sf):
 SELECT scene, r, c, steps, sr, sc FROM walk""")
 def c8(spark, sf):
     links = durable(cost.allocated(durable(penalty(spark, sf)), "cost", "wse2", tile=TILE))
-    return cost.paths(links.select(*KEY, "pr", "pc"), links)
+    return cost.paths(links.select(*KEY, "pr", "pc"), tile=TILE)
 
 
 @query("c9_target_mask", PENALTY + oracles.valued("lab", "wp", "wse2", "fill") + "SELECT scene, r, c, CASE WHEN r % 2 = 0 THEN fill ELSE wse2 END AS fill FROM wp LEFT JOIN lab_v USING (scene, r, c)")

@@ -149,3 +149,10 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.classes(empty).count() == 0
     assert jaccard_join.drop_near_copies(empty).count() == 0
+
+
+def test_a_set_is_joined_once_with_all_its_buckets(spark):
+    rows = spark.createDataFrame([(code, bytes([k])) for code in range(30) for k in range(4) if (code + k) % 3], "code long, digest binary")
+    sets = spark.createDataFrame([(bytes([k]), k, b"s") for k in range(4)], "digest binary, n int, sample binary")
+    got = jaccard_join.at_once(rows, sets)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((r.code, r.digest, r.digest[0], b"s") for r in rows.collect())

@@ -233,6 +233,13 @@ def one_group_aside(large: DataFrame, groups: DataFrame, most: int) -> tuple[Dat
     return near.select(F.xxhash64("code", "chunk", F.lit("aside")).alias("code"), "digest"), rows.filter(~few).select(*large.columns)
 
 
+def at_once(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows (code, digest) with the columns of sets. A set is joined once, with the codes of all its buckets: they are some
+    20 a split, whatever the buckets' sizes."""
+    held = rows.groupBy("digest").agg(F.collect_list("code").alias("held")).join(sets, "digest")
+    return held.select(F.explode("held").alias("code"), *sets.columns)
+
+
 def buckets_of(sets: DataFrame, depth: int, most: int, most_tokens: int, grouped=None) -> DataFrame:
     """sets: digest, n, sample, codes. code, members (sorted digests) of buckets within the limits, equal ones merged.
     grouped, if links need no count: a function from rows of oversized buckets to digest, label of connected sets."""
@@ -255,7 +262,7 @@ def buckets_of(sets: DataFrame, depth: int, most: int, most_tokens: int, grouped
             if large.isEmpty():
                 break
         if level < depth:
-            picked = large.join(sets.select("digest", "sample"), "digest")
+            picked = at_once(large.select("code", "digest"), sets.select("digest", "n", "sample"))
             rows = picked.select(F.explode(split_on("code", "sample")).alias("code"), "digest", "n")
         else:  # every pair of blocks is a bucket
             halves = F.greatest(F.ceil(F.col("count") * 2 / most), F.ceil(F.col("total") * 2 / most_tokens))
@@ -306,7 +313,7 @@ def classes(docs: DataFrame, *, links: bool = True, runs: int = RUNS, depth: int
 
     found: list[DataFrame] = []
     buckets = durable(buckets_of(sets, depth, most, most_tokens, None if links else grouped))
-    sketched = buckets.select("code", F.explode("members").alias("digest")).join(sets.select("digest", "n", "sample"), "digest")
+    sketched = at_once(buckets.select("code", F.explode("members").alias("digest")), sets.select("digest", "n", "sample"))
     sketched = sketched.groupBy("code").agg(F.collect_list(F.struct("digest", "n", "sample")).alias("sets"))
     likely = sketched.select("code", hopeful("sets").alias("members")).filter(F.size("members") > 1)
     likely = durable(likely.groupBy("members").agg(F.min("code").alias("code")).select("code", F.explode("members").alias("digest")))

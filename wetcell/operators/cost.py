@@ -276,7 +276,7 @@ def paths(links: DataFrame, wanted: DataFrame | None = None, *, most_rounds: int
     the backlinks lead to and the steps to it. Paths are walked in their tiles first; only cells where paths enter a tile
     double their pointers."""
     tile_of = lambda x: F.expr(f"cast(floor({x} / {tile}) as int)")
-    rows = links.select("scene", "r", "c", "pr", "pc", tile_of("r").alias("tr"), tile_of("c").alias("tc"))
+    rows = links.select("scene", *(F.col(x).cast("int").alias(x) for x in ("r", "c", "pr", "pc")), tile_of("r").alias("tr"), tile_of("c").alias("tc"))
     rows = durable(rows.groupBy(*_KEY).applyInArrow(walked, _WALKED))
     aim = ["scene", "to_r", "to_c"]
     at = lambda x: x.select("scene", F.col("r").alias("to_r"), F.col("c").alias("to_c"), F.col("to_r").alias("next_r"), F.col("to_c").alias("next_c"), F.col("n").alias("more"), F.col("ended").alias("done"))

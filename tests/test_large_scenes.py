@@ -2,7 +2,9 @@
 
 import contextlib
 import io
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wetcell.operators import cost, distance
@@ -30,6 +32,28 @@ def test_the_cells_of_a_scene_are_not_joined_by_scene(spark):
     assert all("band" in line or "chunk" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
 
 
+@pytest.mark.parametrize("metric", distance.METRICS)
+def test_no_task_scans_more_bands_than_a_step(spark, monkeypatch, metric):
+    """Scenes of 90, 60 and 1 bands of one row, ragged and with wide dry parts; at a step of 4 the runs have runs of their own."""
+    rng = random.Random(3)
+    rows = [(s, r, c, float(rng.randrange(99)) if r % 23 in (0, 5) and rng.random() < 0.1 else None)
+            for s, low, high in (("a", 0, 90), ("b", 1000, 1060), ("c", 7, 8)) for r in range(low, high) for c in range(r % 3, 14)]
+    cells = spark.createDataFrame(rows, "scene string, r int, c int, v double")
+    whole = {(x.scene, x.r, x.c): x.near for x in distance.searched(cells, "v", metric, None, rows=1000).collect()}
+    real = distance.carrying
+
+    def few(function):
+        def run(bands, *outer):
+            assert bands.num_rows <= 4, "a task has too many bands"
+            return function(bands, *outer)
+
+        return run
+
+    monkeypatch.setattr(distance, "carrying", lambda *args: tuple(few(f) for f in real(*args)))
+    found = distance.searched(cells, "v", metric, None, rows=1, columns=5, step=4)
+    assert {(x.scene, x.r, x.c): x.near for x in found.collect()} == whole
+
+
 def test_paths_cross_tiles_and_lose_none(spark):
     """A path of 60 cells through tiles of 4, from a source at one end; a cell behind a missing one has no path."""
     way = [(r, c if r % 2 == 0 else 9 - c) for r in range(6) for c in range(10)]

@@ -4,7 +4,9 @@ Grids are cut into bands of rows. Within a row a cell's nearest wet cell is the
 of a column's candidates only those count that are nearer along their row than every row between: the others are farther in
 every metric. Each band sums up its candidates for the rows above and below it; a scan over the bands, by chunks of columns,
 carries what can still win into every band, and a last pass over the cells picks among a band's own rows and what was
-carried. The work doesn't grow with the distances. A task holds a band of a scene, or a chunk's candidates.
+carried. Where a scene has more bands than STEP, runs of STEP bands are summed up as bands are, the scan goes over the runs
+(again by runs while they are many) and then over the bands within each. The work doesn't grow with the distances. A task
+holds a band of a scene, or the candidates of STEP bands in a chunk, however many rows the scene has.
 Ties: (distance, squared Euclidean distance, source row, source column).
 """
 
@@ -23,7 +25,9 @@ from wetcell.storage import durable
 
 METRICS = ("chessboard", "taxicab", "euclidean")
 ROWS, COLUMNS = 64, 128  # of a band, of a chunk
+STEP = 128  # bands that a scan takes at once, 2 at least
 _FAR = np.int64(2**62)
+SUMS = "scene string, chunk int, band int, top int, bottom int, down binary, up binary"
 
 
 def measured(metric: str, dr: Column, dc: Column) -> Column:
@@ -101,7 +105,13 @@ def summing(columns: int):
     return sum_up
 
 
+def sided(bands: list[dict]) -> list[tuple[str, list[dict]]]:
+    """Both ways through bands that are in order, with what a band has for those after it on the way."""
+    return [("down", bands), ("up", bands[::-1])]
+
+
 def carrying(metric: str, kind: np.dtype, columns: int):
+    """Two functions: one sums up a run of bands like a band, one carries between the bands of a run."""
     size, entry = SIZES[metric], entry_type(kind)
 
     def least_by(column: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -127,21 +137,53 @@ def carrying(metric: str, kind: np.dtype, columns: int):
                 x = x[measure(rows[0], gap) <= least_by(column, measure(rows[1], gap))[column]]
         return x
 
-    def carry(rows: pa.Table) -> pa.Table:
-        """A chunk's bands -> for each band the candidates of all others that can win in it."""
-        bands = sorted(rows.to_pylist(), key=lambda x: x["band"])
-        found = {x["band"]: [] for x in bands}
-        for side, order in (("down", bands), ("up", bands[::-1])):
+    def in_order(rows: pa.Table) -> list[dict]:
+        return sorted(rows.to_pylist(), key=lambda x: x["band"])
+
+    def sum_up(rows: pa.Table) -> pa.Table:
+        """A run of a chunk's bands -> one band, numbered as the run."""
+        bands, found = in_order(rows), {}
+        for side, order in sided(bands):
             known = np.empty(0, entry)
+            for x in order:
+                known = merged(known, np.frombuffer(x[side], entry))
+            found[side] = known.tobytes()
+        one = {**bands[0], "band": bands[0]["run"], "bottom": bands[-1]["bottom"], **found}
+        return pa.Table.from_pylist([one], rows.schema).drop_columns("run")
+
+    def carry(rows: pa.Table, outer: pa.Table | None = None) -> pa.Table:
+        """A run of a chunk's bands, and the candidates of others that can win in the run -> for each band the candidates of
+        all others that can win in it."""
+        bands = in_order(rows)
+        found = {x["band"]: [] for x in bands}
+        blobs = [] if outer is None else outer["carried"].to_pylist()
+        known = np.concatenate([np.frombuffer(x, entry) for x in blobs] or [np.empty(0, entry)])
+        start = {"down": known[known["r"] < bands[0]["top"]], "up": known[known["r"] > bands[-1]["bottom"]]}
+        for side, order in sided(bands):
+            known = start[side]
             for x in order:
                 ends = (x["top"], x["bottom"]) if side == "down" else (x["bottom"], x["top"])
                 found[x["band"]].append(winners(known, *ends))
                 known = merged(known, np.frombuffer(x[side], entry))
         first = lambda name: pa.array([rows[name][0].as_py()] * len(bands), rows[name].type)
         blobs = pa.array([np.concatenate(found[x["band"]]).tobytes() for x in bands], pa.binary())
-        return pa.table([first("scene"), pa.array([x["band"] for x in bands], pa.int32()), blobs], names=["scene", "band", "carried"])
+        return pa.table([first("scene"), first("chunk"), pa.array([x["band"] for x in bands], pa.int32()), blobs], names=["scene", "chunk", "band", "carried"])
+
+    return sum_up, carry
+
 
-    return carry
+def between(sums: DataFrame, most: int, metric: str, kind: np.dtype, columns: int, step: int) -> DataFrame:
+    """sums: what bands have for others, at most `most` of them in a scene. scene, chunk, band, carried: the candidates of all
+    other bands that can win in a band."""
+    sum_up, carry = carrying(metric, kind, columns)
+    out = "scene string, chunk int, band int, carried binary"
+    if most <= step:
+        return sums.groupBy("scene", "chunk").applyInArrow(lambda rows: carry(rows), out)
+    key = ["scene", "chunk", "run"]
+    sums = durable(sums.withColumn("run", F.expr(f"cast(floor(band / {step}) as int)")))  # read on both ways
+    runs = sums.groupBy(key).applyInArrow(sum_up, SUMS)
+    outer = between(runs, -(-(most - 1) // step) + 1, metric, kind, columns, step).withColumnRenamed("band", "run")
+    return sums.groupBy(key).cogroup(outer.groupBy(key)).applyInArrow(lambda rows, outer: carry(rows, outer), out)
 
 
 def picking(metric: str, reach: int | None, names: list[str], schema: pa.Schema):
@@ -193,19 +235,24 @@ def picking(metric: str, reach: int | None, names: list[str], schema: pa.Schema)
     return pick
 
 
-def searched(cells: DataFrame, value: str, metric: str, reach: int | None, *, rows: int = ROWS, columns: int = COLUMNS) -> DataFrame:
+def searched(cells: DataFrame, value: str, metric: str, reach: int | None, *, rows: int = ROWS, columns: int = COLUMNS, step: int = STEP) -> DataFrame:
     """Adds near: d, d2, sr, sc, v. The cells are written first; value has to be a number."""
+    if step < 2:
+        raise ValueError(f"step {step}")
     if metric not in METRICS:
         raise ValueError(f"metric {metric!r} is none of {METRICS}")
     cells = durable(cells)
     kind = cells.schema[value].dataType
     near = T.StructType.fromDDL(f"near struct<d:double,d2:long,sr:int,sc:int,v:{kind.simpleString()}>")
     band = F.expr(f"cast(floor(r / {rows}) as int)").alias("band")
-    spans = durable(cells.groupBy("scene").agg(F.min("c").alias("low"), F.max("c").alias("high")))  # its size is known: joined where the cells are
+    spans = cells.groupBy("scene").agg(F.min("c").alias("low"), F.max("c").alias("high"), (F.floor(F.max("r") / rows) - F.floor(F.min("r") / rows) + 1).alias("bands"))
+    spans = durable(spans)  # its size is known: joined where the cells are
+    most = spans.agg(F.max("bands")).first()[0] or 0
+    spans = spans.drop("bands")
     slim = cells.select("scene", "r", "c", F.col(value).alias("value"), band).join(spans, "scene")
-    sums = slim.groupBy("scene", "band").applyInArrow(summing(columns), "scene string, chunk int, band int, top int, bottom int, down binary, up binary")
+    sums = slim.groupBy("scene", "band").applyInArrow(summing(columns), SUMS)
     dtype = np.dtype(to_arrow_schema(T.StructType([T.StructField("v", kind)])).field("v").type.to_pandas_dtype())
-    carried = sums.groupBy("scene", "chunk").applyInArrow(carrying(metric, dtype, columns), "scene string, band int, carried binary")
+    carried = between(sums, most, metric, dtype, columns, step)
     own = {n: f"cell_{k}" for k, n in enumerate(cells.columns)}  # whatever their names, apart from those added here
     wide = cells.select(*(F.col(n).alias(o) for n, o in own.items()), "scene", "r", "c", F.col(value).alias("value"), band).join(spans, "scene")
     kept = list(own.values())

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wetcell.operators import cost, distance
+from wetcell.operators import cost, distance, regions
 from wetcell.storage import durable
 
 
@@ -54,6 +54,20 @@ def test_no_task_scans_more_bands_than_a_step(spark, monkeypatch, metric):
     assert {(x.scene, x.r, x.c): x.near for x in found.collect()} == whole
 
 
+def test_columns_of_a_scene_are_linked_in_strips(spark, monkeypatch):
+    """A lake of 600 rows and two columns, with a gap in one of them: no task needs a whole column to find what touches."""
+    on = {(r, c) for r in range(600) for c in range(2)} - {(255, 0), (511, 1)}
+    cells = spark.createDataFrame([("a", r, c, (r, c) in on) for r in range(600) for c in range(2)], "scene string, r int, c int, on boolean")
+    seen, real = [], regions.components
+    monkeypatch.setattr(regions, "components", lambda edges, **options: seen.append(edges) or real(edges, **options))
+    found = regions.labelled(cells, "on")
+    assert {(x.r, x.c, x.region.r, x.region.c) for x in found.collect()} == {(r, c, 0, 0) for r, c in on}
+    links = [(x.r, x.c) for x in seen[0].collect()]
+    assert len(links) == len(set(links)) and set(links) == {(r, c) for r, c in on if (r + 1, c) in on}
+    moved = [line for line in plan_of(seen[0]).splitlines() if "Exchange hashpartitioning" in line and "scene" in line]
+    assert moved and all("_strip" in line for line in moved)
+
+
 def test_paths_cross_tiles_and_lose_none(spark):
     """A path of 60 cells through tiles of 4, from a source at one end; a cell behind a missing one has no path."""
     way = [(r, c if r % 2 == 0 else 9 - c) for r in range(6) for c in range(10)]

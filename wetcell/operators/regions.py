@@ -32,9 +32,15 @@ def numbered(cells: DataFrame) -> DataFrame:
     return durable(rows.withColumn("_own", own).join(chunks, "_chunk").select("scene", "_wide", (F.col("_from") + F.col("_own")).alias("_base")))
 
 
+def in_strips(rows: DataFrame) -> DataFrame:
+    """rows with _strip, of TILE rows, so that a column is as many parts; a strip's first row is the last of the one before too."""
+    strip = F.floor(F.col("r") / TILE)
+    return rows.withColumn("_strip", F.explode(F.when(F.col("r") % TILE == 0, F.array(strip, strip - 1)).otherwise(F.array(strip))))
+
+
 def labelled(cells: DataFrame, flag: str, label: str = "region") -> DataFrame:
     """The flagged cells with label: (r, c) of the region's first cell. cells: scene, r, c, flag, ..."""
-    row, column = W.partitionBy("scene", "r").orderBy("c"), W.partitionBy("scene", "c").orderBy("r")
+    row, column = W.partitionBy("scene", "r").orderBy("c"), W.partitionBy("scene", "_strip", "c").orderBy("r")
     rows = cells.filter(F.col(flag))
     starts = F.coalesce(F.lag("c").over(row) != F.col("c") - 1, F.lit(True))
     rows = rows.withColumn("_start", F.when(starts, F.col("c")))
@@ -42,7 +48,7 @@ def labelled(cells: DataFrame, flag: str, label: str = "region") -> DataFrame:
     rows = durable(rows.withColumn("_start", first))
     rows = rows.join(numbered(rows), "scene").withColumn("_run", F.col("_base") + F.col("r") * F.col("_wide") + F.col("_start"))  # orders like (r, c)
     below = F.when(F.lead("r").over(column) == F.col("r") + 1, F.lead("_run").over(column))
-    edges = rows.select("scene", "r", "c", F.col("_run").alias("a"), below.alias("b")).filter("b IS NOT NULL")
+    edges = in_strips(rows).select("scene", "r", "c", F.col("_run").alias("a"), below.alias("b")).filter("b IS NOT NULL")
     labels = components(edges, near=F.xxhash64("scene", F.expr(f"r div {TILE}"), F.expr(f"c div {TILE}")))
     rows = rows.join(labels.select(F.col("node").alias("_run"), F.col("label").alias("_first")), "_run", "left")
     found = F.coalesce("_first", "_run") - F.col("_base")

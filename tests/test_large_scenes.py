@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wetcell.operators import cost, distance, regions
+from wetcell.queries import fields
 from wetcell.storage import durable
 
 
@@ -32,6 +33,24 @@ def test_the_cells_of_a_scene_are_not_joined_by_scene(spark):
     assert all("band" in line or "chunk" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
 
 
+@pytest.mark.parametrize("name", ["n2_distance_taxicab"])
+def test_without_broadcasts_a_scene_is_still_not_joined_by_scene(spark, tmp_path, name):
+    rng = random.Random(7)
+    rows = [(k, [rng.uniform(-0.1, 0.1) for _ in range(64)]) for k in range(200)]  # four bands
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {tuple(x) for x in fields.QUERIES[name](spark, str(tmp_path)).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = fields.QUERIES[name](spark, str(tmp_path))
+        plan, got = plan_of(found), [tuple(x) for x in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 200 * 64 and set(got) == want
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and all("band" in line or "chunk" in line for line in moved)
+
+
 @pytest.mark.parametrize("metric", distance.METRICS)
 def test_no_task_scans_more_bands_than_a_step(spark, monkeypatch, metric):
     """Scenes of 90, 60 and 1 bands of one row, ragged and with wide dry parts; at a step of 4 the runs have runs of their own."""

@@ -6,7 +6,9 @@ every metric. Each band sums up its candidates for the rows above and below it;
 carries what can still win into every band, and a last pass over the cells picks among a band's own rows and what was
 carried. Where a scene has more bands than STEP, runs of STEP bands are summed up as bands are, the scan goes over the runs
 (again by runs while they are many) and then over the bands within each. The work doesn't grow with the distances. A task
-holds a band of a scene, or the candidates of STEP bands in a chunk, however many rows the scene has.
+holds a band of a scene, or the candidates of STEP bands in a chunk, however many rows the scene has. The scene's width is
+told to each band in a table of bands and joined by band, so this holds with and without broadcasts; that table alone (a row
+a band) is looked at by scene.
 Ties: (distance, squared Euclidean distance, source row, source column).
 """
 
@@ -16,7 +18,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -245,19 +247,21 @@ def searched(cells: DataFrame, value: str, metric: str, reach: int | None, *, ro
     kind = cells.schema[value].dataType
     near = T.StructType.fromDDL(f"near struct<d:double,d2:long,sr:int,sc:int,v:{kind.simpleString()}>")
     band = F.expr(f"cast(floor(r / {rows}) as int)").alias("band")
-    spans = cells.groupBy("scene").agg(F.min("c").alias("low"), F.max("c").alias("high"), (F.floor(F.max("r") / rows) - F.floor(F.min("r") / rows) + 1).alias("bands"))
-    spans = durable(spans)  # its size is known: joined where the cells are
+    ends = cells.groupBy("scene", band).agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    whole = Window.partitionBy("scene")
+    bands = F.max("band").over(whole) - F.min("band").over(whole) + 1
+    spans = durable(ends.select("scene", "band", F.min("low").over(whole).alias("low"), F.max("high").over(whole).alias("high"), bands.alias("bands")))
     most = spans.agg(F.max("bands")).first()[0] or 0
-    spans = spans.drop("bands")
-    slim = cells.select("scene", "r", "c", F.col(value).alias("value"), band).join(spans, "scene")
-    sums = slim.groupBy("scene", "band").applyInArrow(summing(columns), SUMS)
+    spans, key = spans.drop("bands"), ["scene", "band"]  # joined by band, as the cells are grouped: a scene is never one task's
+    slim = cells.select("scene", "r", "c", F.col(value).alias("value"), band).join(spans, key, "left")
+    sums = slim.groupBy(key).applyInArrow(summing(columns), SUMS)
     dtype = np.dtype(to_arrow_schema(T.StructType([T.StructField("v", kind)])).field("v").type.to_pandas_dtype())
     carried = between(sums, most, metric, dtype, columns, step)
     own = {n: f"cell_{k}" for k, n in enumerate(cells.columns)}  # whatever their names, apart from those added here
-    wide = cells.select(*(F.col(n).alias(o) for n, o in own.items()), "scene", "r", "c", F.col(value).alias("value"), band).join(spans, "scene")
+    wide = cells.select(*(F.col(n).alias(o) for n, o in own.items()), "scene", "r", "c", F.col(value).alias("value"), band).join(spans, key, "left")
     kept = list(own.values())
     out = T.StructType([*(T.StructField(own[f.name], f.dataType) for f in cells.schema.fields), *near.fields])
-    found = wide.groupBy("scene", "band").cogroup(carried.groupBy("scene", "band")).applyInArrow(picking(metric, reach, kept, to_arrow_schema(out)), out)
+    found = wide.groupBy(key).cogroup(carried.groupBy(key)).applyInArrow(picking(metric, reach, kept, to_arrow_schema(out)), out)
     return found.select(*(F.col(o).alias(n) for n, o in own.items()), "near")
 
 

@@ -33,7 +33,7 @@ def test_the_cells_of_a_scene_are_not_joined_by_scene(spark):
     assert all("band" in line or "chunk" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
 
 
-@pytest.mark.parametrize("name", ["n2_distance_taxicab", "n2_distance_taxicab_unbounded"])
+@pytest.mark.parametrize("name", ["n2_distance_taxicab", "n2_distance_taxicab_unbounded", "n3_distance_euclidean"])
 def test_without_broadcasts_a_scene_is_still_not_joined_by_scene(spark, tmp_path, name):
     rng = random.Random(7)
     rows = [(k, [rng.uniform(-0.1, 0.1) for _ in range(64)]) for k in range(200)]  # four bands
